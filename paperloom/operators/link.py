@@ -162,12 +162,13 @@ def group_stats(members: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     return members.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), first).filter(F.col("n") > 1)
 
 
-def spanning_edges(members: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """First member -> every other member, with the number of documents the group holds."""
+def spanning_edges(members: DataFrame, by: str = "path", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """First member -> every other member, with the number of documents the group holds. `by` picks
+    what names a document in source and target (`path` or the shorter `ord`)."""
     joined = join_groups(members, group_stats(members), GROUP, F.col("ord"), hot_rows=hot_rows)
     return joined.filter(F.col("ord") != F.col("first.ord")).select(
-        F.col("first.path").alias("source"),
-        F.col("path").alias("target"),
+        F.col(f"first.{by}").alias("source"),
+        F.col(by).alias("target"),
         "type",
         "confidence",
         "evidence",

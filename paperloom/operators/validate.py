@@ -141,88 +141,99 @@ def _json_type(dtype: T.DataType) -> str:
     return "number" if isinstance(dtype, T.NumericType) else "string"
 
 
-def _shown(value: Column) -> Column:
-    """A JSON value the way the messages print it: text quoted, null as None, True / False."""
-    kind = F.schema_of_variant(value)
-    text = F.try_variant_get(value, "$", "string")
-    return (
-        F.when(kind == "STRING", F.concat(F.lit("'"), text, F.lit("'")))
-        .when(kind == "VOID", F.lit("None"))
-        .when(kind == "BOOLEAN", F.initcap(text))
-        .when(kind.rlike("^(OBJECT|ARRAY)"), F.to_json(value))
-        .otherwise(text)
-    )
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _quoted(values: Sequence[str]) -> str:
+def _listed(values: Sequence[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
 class _SchemaChecks:
-    """Walks a struct type once on the driver and emits one column per possible violation."""
+    """Walks a struct type once on the driver and writes one SQL expression per possible violation.
+
+    A violation is null or a struct (value, text): the offending value, if the message shows it, and
+    the rest of the message.
+    """
 
     def __init__(self, constraints: Sequence[tuple]):
         self.rules: dict[str, list[tuple]] = {}
         for path, kind, arg in constraints:
             self.rules.setdefault(path, []).append((kind, arg))
 
-    def walk(self, value: Column, dtype: T.DataType, path: str) -> tuple[list[Column], list[Column]]:
+    def walk(self, value: str, dtype: T.DataType, path: str) -> tuple[list[str], list[str]]:
         """(error arrays, warning arrays) for one value; nothing is reported for an absent value."""
-        kind = F.schema_of_variant(value)
         wanted = _json_type(dtype)
-        fits = kind.rlike(f"^({_JSON_KIND[wanted]})")
-        bad_type = F.when(
-            value.isNotNull() & ~fits, F.concat(_shown(value), F.lit(f" is not of type '{wanted}'"))
-        )
-        errors, warnings = [F.array(bad_type)], []
+        fits = f"schema_of_variant({value}) RLIKE '^({_JSON_KIND[wanted]})'"
+        errors = [self._when(f"NOT ({fits})", value, f" is not of type '{wanted}'")]
+        warnings = []
         for rule, arg in self.rules.get(path, []):
             if rule == "required":
                 for name in arg:
-                    missing = fits & F.try_variant_get(value, f"$.{name}", "variant").isNull()
-                    errors.append(F.array(F.when(missing, F.lit(f"'{name}' is a required property"))))
+                    missing = f"{fits} AND try_variant_get({value}, '$.{name}', 'variant') IS NULL"
+                    errors.append(self._when(missing, None, f"'{name}' is a required property"))
             else:
-                warnings.append(F.array(F.when(value.isNotNull(), self._soft(rule, arg, value, fits))))
+                warnings.append(self._soft(rule, arg, value, fits))
+        errors, warnings = [f"array({e})" for e in errors], [f"array({w})" for w in warnings]
         if isinstance(dtype, T.StructType):
             for field in dtype.fields:
-                child = f"{path}.{field.name}" if path else field.name
-                inner = F.try_variant_get(value, f"$.{field.name}", "variant")
-                e, w = self.walk(inner, field.dataType, child)
+                inner = f"try_variant_get({value}, '$.{field.name}', 'variant')"
+                e, w = self.walk(inner, field.dataType, f"{path}.{field.name}" if path else field.name)
                 errors += e
                 warnings += w
         elif isinstance(dtype, T.ArrayType):
-            items = F.try_variant_get(value, "$", "array<variant>")
-            for side, target in ((0, errors), (1, warnings)):
-                per_item = self._per_item(items, dtype.elementType, path + "[]", side)
-                if per_item is not None:
-                    target.append(per_item)
+            item = "item" + str(path.count("[]"))
+            for found, target in zip(self.walk(item, dtype.elementType, path + "[]"), (errors, warnings)):
+                if found:
+                    each = f"transform(try_variant_get({value}, '$', 'array<variant>'), {item} -> concat({', '.join(found)}))"
+                    target.append(f"coalesce(flatten({each}), array())")
         return errors, warnings
 
-    def _per_item(self, items: Column, dtype: T.DataType, path: str, side: int) -> Column | None:
-        if not self.walk(F.lit(None).cast("variant"), dtype, path)[side]:
-            return None
-        found = F.transform(items, lambda x: F.concat(*self.walk(x, dtype, path)[side]))
-        return F.coalesce(F.flatten(found), F.array().cast("array<string>"))
-
     @staticmethod
-    def _soft(rule: str, arg, value: Column, fits: Column) -> Column:
-        text = F.try_variant_get(value, "$", "string")
+    def _when(condition: str, value: str | None, text: str) -> str:
+        shown = value or "CAST(NULL AS VARIANT)"
+        return f"CASE WHEN {condition} THEN named_struct('value', {shown}, 'text', {_sql_text(text)}) END"
+
+    def _soft(self, rule: str, arg, value: str, fits: str) -> str:
+        text = f"try_variant_get({value}, '$', 'string')"
         if rule == "const":
-            return F.when(~fits | (text != arg), F.lit(f"'{arg}' was expected"))
+            return self._when(f"NOT ({fits} AND {text} = {_sql_text(arg)})", None, f"'{arg}' was expected")
         if rule == "enum":
-            return F.when(~fits | ~text.isin(arg), F.concat(_shown(value), F.lit(f" is not one of {_quoted(arg)}")))
+            allowed = ", ".join(_sql_text(v) for v in arg)
+            return self._when(f"NOT ({fits} AND {text} IN ({allowed}))", value, f" is not one of {_listed(arg)}")
         if rule == "pattern":
-            return F.when(fits & ~text.rlike(arg), F.concat(_shown(value), F.lit(f" does not match '{arg}'")))
-        if rule == "range":
-            number, (low, high) = F.try_variant_get(value, "$", "double"), arg
-            return F.when(
-                fits & (number < low), F.concat(_shown(value), F.lit(f" is less than the minimum of {low}"))
-            ).when(fits & (number > high), F.concat(_shown(value), F.lit(f" is greater than the maximum of {high}")))
+            return self._when(f"{fits} AND NOT {text} RLIKE {_sql_text(arg)}", value, f" does not match '{arg}'")
         if rule == "min_items":
-            count = F.size(F.try_variant_get(value, "$", "array<variant>"))
-            return F.when(fits & (count < arg), F.concat(_shown(value), F.lit(" is too short")))
+            count = f"size(try_variant_get({value}, '$', 'array<variant>'))"
+            return self._when(f"{fits} AND {count} < {arg}", value, " is too short")
+        if rule == "range":
+            number, (low, high) = f"try_variant_get({value}, '$', 'double')", arg
+            below = self._when(f"{fits} AND {number} < {low}", value, f" is less than the minimum of {low}")
+            above = self._when(f"{fits} AND {number} > {high}", value, f" is greater than the maximum of {high}")
+            return f"coalesce({below}, {above})"
         raise ValueError(f"unknown constraint: {rule}")
 
 
+def _messages(violations: Sequence[str]) -> Column:
+    """Violations as text: values print as 'text', number, True / False, None or JSON."""
+    if not violations:
+        return F.array().cast("array<string>")
+
+    def message(v: Column) -> Column:
+        kind, text = F.schema_of_variant(v["value"]), F.try_variant_get(v["value"], F.lit("$"), "string")
+        shown = (
+            F.when(v["value"].isNull(), "")
+            .when(kind == "STRING", F.concat(F.lit("'"), text, F.lit("'")))
+            .when(kind == "VOID", "None")
+            .when(kind == "BOOLEAN", F.initcap(text))
+            .when(kind.rlike("^(OBJECT|ARRAY)"), F.to_json(v["value"]))
+            .otherwise(text)
+        )
+        return F.concat(shown, v["text"])
+
+    return F.transform(F.array_compact(F.expr(f"concat({', '.join(violations)})")), message)
+
+
 def validate_schema(
     df: DataFrame,
     document_type: str | T.StructType,
@@ -236,11 +247,9 @@ def validate_schema(
     if constraints is None:
         constraints = schemas.CONSTRAINTS[document_type] if isinstance(document_type, str) else []
     parsed = df.withColumn("_variant", F.try_parse_json(F.col(json)))
-    errors, warnings = _SchemaChecks(constraints).walk(F.col("_variant"), dtype, "")
-    none = F.array().cast("array<string>")
-    unreadable = F.array(F.when(F.col("_variant").isNull(), F.lit("document is not valid JSON")))
-    errs = F.array_compact(F.concat(unreadable, *errors))
-    warns = F.array_compact(F.concat(*warnings)) if warnings else none
+    errors, warnings = _SchemaChecks(constraints).walk("_variant", dtype, "")
+    unreadable = F.array_compact(F.array(F.when(F.col("_variant").isNull(), "document is not valid JSON")))
+    errs, warns = F.concat(unreadable, _messages(errors)), _messages(warnings)
     return parsed.withColumn(into, _report_struct(errs, warns, strict=True)).drop("_variant")
 
 

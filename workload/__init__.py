@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_validation"]
+MODULES = ["q_validation", "q_links"]
 
 
 def load_all() -> None:
