@@ -5,9 +5,9 @@ Patterns stay in the subset that Java and RE2 share: no look-around, no back-ref
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 DATE_PATTERN = (
@@ -29,7 +29,7 @@ CPT_PATTERN = r"\b[0-9]{5}\b"
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -37,10 +37,32 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def labelled(text: Column, labels: str, value: str = r"[^\n]+") -> Column:
-    """Value after `label:` at the start of a line, or null."""
-    found = F.regexp_extract(text, rf"(?im)^\s*(?:{labels})\s*:\s*({value})", 1)
-    return blank_to_null(F.trim(found))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+# A line `Label: value`; a remark in brackets after the label is not part of its name.
+LABEL_LINE = r"(?m)^ *([A-Za-z][A-Za-z #/]*[A-Za-z#])\.?(?: *\([^)\n]*\))? *: *([^\n]*[^\n ])"
+
+
+def with_labels(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add `_labels` (lower case) and `_values`: all `Label: value` lines of the text, in order.
+
+    The text is read once per document; fields are then looked up in these short arrays.
+    """
+    t = F.col(text)
+    return df.withColumns(
+        {"_labels": F.transform(all_matches(t, LABEL_LINE, 1), F.lower), "_values": all_matches(t, LABEL_LINE, 2)}
+    )
+
+
+def labelled(*names: str, value: str | None = None) -> Column:
+    """Value of the first of `names` that labels a line, cut to its leading `value` match if given."""
+    found = F.coalesce(
+        *[F.get(F.col("_values"), (F.array_position("_labels", n) - 1).cast("int")) for n in names]
+    )
+    return found if value is None else blank_to_null(F.regexp_extract(found, f"^(?:{value})", 0))
 
 
 def to_amount(text: Column) -> Column:
@@ -51,13 +73,17 @@ def to_amount(text: Column) -> Column:
 def to_date(text: Column) -> Column:
     """ISO, month/day/year, `April 4, 2000` and `4 April 2000` to DATE; the shape picks the format, so a
     row is parsed once; impossible dates are null."""
-    short = F.regexp_replace(text, r"([A-Za-z]{3})[a-z]*", "$1")
-    return (
-        F.when(text.rlike(r"^[0-9]{4}-"), F.try_to_date(text, "yyyy-MM-dd"))
-        .when(text.contains("/"), F.try_to_date(text, "M/d/yyyy"))
-        .when(text.rlike(r"^[A-Za-z]"), F.try_to_date(short, "MMM d, yyyy"))
-        .when(text.rlike(r"^[0-9]{1,2} "), F.try_to_date(short, "d MMM yyyy"))
-    )
+
+    def parsed(raw: Column) -> Column:
+        short = F.regexp_replace(raw, r"([A-Za-z]{3})[a-z]*", "$1")
+        return (
+            F.when(raw.rlike(r"^[0-9]{4}-"), F.try_to_date(raw, "yyyy-MM-dd"))
+            .when(raw.contains("/"), F.try_to_date(raw, "M/d/yyyy"))
+            .when(raw.rlike(r"^[A-Za-z]"), F.try_to_date(short, "MMM d, yyyy"))
+            .when(raw.rlike(r"^[0-9]{1,2} "), F.try_to_date(short, "d MMM yyyy"))
+        )
+
+    return let(text, parsed)
 
 
 def iso_dates(text: Column) -> Column:
@@ -73,12 +99,17 @@ def compliance_mentions(text: Column, terms: Sequence[str] = tuple(COMPLIANCE_TE
 
 def payment_terms(text: Column) -> Column:
     """`2% 10 net 30` -> percentage, discount days, net days; plain `net 30` -> net days only."""
-    part = lambda i: blank_to_null(F.regexp_extract(text, DISCOUNT_PATTERN, i))
-    return F.struct(
-        part(1).cast("double").alias("percentage"),
-        part(2).cast("int").alias("days"),
-        F.coalesce(part(3), blank_to_null(F.regexp_extract(text, NET_PATTERN, 1))).cast("int").alias("net_days"),
-    )
+
+    def terms(phrase: Column) -> Column:
+        part = lambda i: blank_to_null(F.regexp_extract(phrase, DISCOUNT_PATTERN, i))
+        plain = F.when(phrase == "", blank_to_null(F.regexp_extract(text, NET_PATTERN, 1)))
+        return F.struct(
+            part(1).cast("double").alias("percentage"),
+            part(2).cast("int").alias("days"),
+            F.coalesce(part(3), plain).cast("int").alias("net_days"),
+        )
+
+    return let(F.regexp_extract(text, DISCOUNT_PATTERN, 0), terms)
 
 
 def tax_rates(text: Column) -> Column:

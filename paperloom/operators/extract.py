@@ -27,11 +27,11 @@ PENALTY_TYPES = ["penalty", "liquidated_damages"]
 RENEWAL_TYPES = ["renewal", "auto-renewal"]
 
 
-def _typed(df: DataFrame, document_type: str, into: str, **fields: Column) -> DataFrame:
+def _typed(df: DataFrame, result_type: str, into: str, **fields: Column) -> DataFrame:
     """Assemble a full result struct; fields that no rule fills are null of their declared type."""
     cols = [
         (fields[f.name].cast(f.dataType) if f.name in fields else F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in schemas.struct_type(document_type).fields
+        for f in schemas.struct_type(result_type).fields
     ]
     return df.withColumn(into, F.struct(*cols))
 
@@ -56,7 +56,7 @@ def line_items(text: Column) -> Column:
     rows = tx.all_matches(text, r"(?m)^ *[0-9]+ *\|[^|\n]*\|[^|\n]*\|[^|\n]*\|[^|\n]*$")
 
     def item(row: Column) -> Column:
-        cell = F.transform(F.split(row, r"\|"), F.trim)
+        cell = F.transform(F.split(row, r"\|"), lambda c: F.trim(c))
         return F.struct(
             cell[0].alias("item_number"),
             cell[1].alias("description"),
@@ -80,53 +80,67 @@ def extract_line_items(df: DataFrame, text: str = "text", *keep: str) -> DataFra
 
 def extract_invoice(df: DataFrame, text: str = "text", into: str = "invoice") -> DataFrame:
     """Invoice header, parties, totals, terms and line items."""
-    t = F.col(text)
-    total = tx.labelled(t, "total(?: amount)?|amount due")
-    terms = tx.payment_terms(t)
+    t, get = F.col(text), tx.labelled
+    total = get("total", "total amount", "amount due")
+    terms = F.col("_terms")
     discount = F.when(
         terms["percentage"].isNotNull(),
         F.struct(terms["percentage"].alias("percentage"), terms["days"].cast("double").alias("days")),
     )
+    read = tx.with_labels(df, text).withColumn("_terms", tx.payment_terms(t))
     return _typed(
-        df,
+        read,
         "invoice",
         into,
         **_path(df),
         document_type=F.lit("invoice"),
         metadata=_record(
             ("invoice", "metadata"),
-            invoice_number=tx.labelled(t, "invoice (?:number|no\\.?|#)", NUMBER),
-            invoice_date=tx.to_date(tx.labelled(t, "(?:invoice )?date")),
-            due_date=tx.to_date(tx.labelled(t, "due date|payment due")),
-            po_number=tx.labelled(t, "(?:po|purchase order)(?: number| no\\.?)?", NUMBER),
+            invoice_number=get("invoice number", "invoice no", "invoice #", value=NUMBER),
+            invoice_date=tx.to_date(get("invoice date", "date")),
+            due_date=tx.to_date(get("due date", "payment due")),
+            po_number=get("po number", "po", "po no", "purchase order", "purchase order number", value=NUMBER),
         ),
         vendor=_record(
             ("invoice", "vendor"),
-            name=tx.labelled(t, "vendor|from|seller"),
-            tax_id=tx.labelled(t, "(?:vendor )?tax id"),
-            contact=tx.labelled(t, "contact"),
+            name=get("vendor", "from", "seller"),
+            address=get("vendor address"),
+            tax_id=get("vendor tax id", "tax id"),
+            contact=get("contact"),
+        ),
+        customer=_record(
+            ("invoice", "customer"),
+            name=get("customer", "bill to", "buyer"),
+            address=get("customer address"),
+            tax_id=get("customer tax id"),
         ),
-        customer=_record(("invoice", "customer"), name=tx.labelled(t, "customer|bill to|buyer")),
         line_items=line_items(t),
         financial=_record(
             ("invoice", "financial"),
-            subtotal=tx.to_amount(tx.labelled(t, "subtotal")),
-            tax=tx.to_amount(tx.labelled(t, r"(?:sales )?tax(?: \([0-9.]+ ?%\))?")),
-            shipping=tx.shipping_charges(t)[0],
-            discount=tx.to_amount(tx.labelled(t, "discount")),
+            subtotal=tx.to_amount(get("subtotal")),
+            tax=tx.to_amount(get("tax", "sales tax", "vat")),
+            shipping=tx.to_amount(get("shipping", "shipping and handling")),
+            discount=tx.to_amount(get("discount")),
             total_amount=tx.to_amount(total),
-            currency=F.coalesce(
-                tx.labelled(t, "currency", "[A-Z]{3}"),
-                F.when(total.rlike(r"^(?:USD|EUR|GBP|\$|€|£)"), tx.currency_of(total)),
-            ),
+            currency=F.coalesce(get("currency", value="[A-Z]{3}"), _leading_currency(total)),
         ),
         payment_terms=_record(
             ("invoice", "payment_terms"),
-            terms=tx.labelled(t, "(?:payment )?terms"),
-            method=tx.labelled(t, "payment method"),
+            terms=get("payment terms", "terms"),
+            method=get("payment method"),
+            bank_details=F.struct(
+                get("bank", "bank name").alias("bank_name"),
+                get("account number", "account no").alias("account_number"),
+                get("routing number").alias("routing_number"),
+                get("swift", "swift code").alias("swift_code"),
+            ),
             early_payment_discount=discount,
         ),
-    )
+    ).drop("_labels", "_values", "_terms")
+
+
+def _leading_currency(amount: Column) -> Column:
+    return F.when(amount.rlike(r"^(?:USD|EUR|GBP|\$|€|£)"), tx.currency_of(amount))
 
 
 # --- agreements (X10-X13) ----------------------------------------------------------------------
@@ -134,21 +148,24 @@ def extract_invoice(df: DataFrame, text: str = "text", into: str = "invoice") ->
 
 def extract_agreement(df: DataFrame, text: str = "text", into: str = "agreement") -> DataFrame:
     """Agreement header, parties, key terms, obligations, renewal terms and signatures."""
-    t = F.col(text)
-    pairs = lambda p, i: tx.all_matches(t, p, i)
+    t, get = F.col(text), tx.labelled
     party_line = r"(?m)^Party \(([^)\n]+)\): ([^\n]+)$"
     duty_line = r"(?m)^Obligation \(([^)\n]+)\): ([^\n]+?)(?: by ([^\n]+))?$"
+    penalty_line = r"(?i)[^.\n]*\bpenalt(?:y|ies)\b[^.\n]*"
     sign_line = r"(?m)^Signed for ([^:\n]+): ([^,\n]+), ([^,\n]+), ([^\n]+)$"
     none = F.lit(None).cast("string")
-    parties = F.zip_with(
-        pairs(party_line, 1),
-        pairs(party_line, 2),
-        lambda role, name: F.struct(
-            role.alias("role"), name.alias("name"), none.alias("address"), none.alias("representative"), none.alias("title")
+    parties = F.transform(
+        tx.all_matches(t, party_line),
+        lambda line: F.struct(
+            F.regexp_extract(line, party_line, 1).alias("role"),
+            F.regexp_extract(line, party_line, 2).alias("name"),
+            none.alias("address"),
+            none.alias("representative"),
+            none.alias("title"),
         ),
     )
     obligations = F.transform(
-        pairs(duty_line, 0),
+        tx.all_matches(t, duty_line),
         lambda line: F.struct(
             F.regexp_extract(line, duty_line, 1).alias("party"),
             F.regexp_extract(line, duty_line, 2).alias("obligation"),
@@ -156,8 +173,18 @@ def extract_agreement(df: DataFrame, text: str = "text", into: str = "agreement"
             none.alias("deliverable"),
         ),
     )
+    penalties = F.transform(
+        tx.all_matches(t, penalty_line),
+        lambda line: F.struct(
+            none.alias("condition"),
+            F.trim(line).alias("penalty"),
+            tx.blank_to_null(
+                F.regexp_extract(line, r"([0-9]+(?:\.[0-9]+)? ?%|" + tx.MONEY_PATTERN + ")", 1)
+            ).alias("amount"),
+        ),
+    )
     signatures = F.transform(
-        pairs(sign_line, 0),
+        tx.all_matches(t, sign_line),
         lambda line: F.struct(
             F.regexp_extract(line, sign_line, 1).alias("party"),
             F.regexp_extract(line, sign_line, 2).alias("signatory"),
@@ -167,33 +194,34 @@ def extract_agreement(df: DataFrame, text: str = "text", into: str = "agreement"
         ),
     )
     return _typed(
-        df,
+        tx.with_labels(df, text),
         "agreement",
         into,
         **_path(df),
         document_type=F.lit("agreement"),
         metadata=_record(
             ("agreement", "metadata"),
-            agreement_type=tx.labelled(t, "agreement type", "[A-Za-z]+"),
-            agreement_id=tx.labelled(t, "agreement (?:no\\.?|number|id)", NUMBER),
-            effective_date=tx.to_date(tx.labelled(t, "effective date")),
-            expiry_date=tx.to_date(tx.labelled(t, "expiry date|expiration date")),
-            term_duration=tx.labelled(t, "term"),
+            agreement_type=get("agreement type", value="[A-Za-z]+"),
+            agreement_id=get("agreement no", "agreement number", "agreement id", value=NUMBER),
+            effective_date=tx.to_date(get("effective date")),
+            expiry_date=tx.to_date(get("expiry date", "expiration date")),
+            term_duration=get("term"),
         ),
         parties=parties,
         key_terms=_record(
             ("agreement", "key_terms"),
-            scope=tx.labelled(t, "scope"),
-            payment_terms=tx.labelled(t, "payment terms"),
-            termination_clause=tx.labelled(t, "termination"),
-            notice_period=tx.labelled(t, "notice period"),
-            liability_cap=tx.labelled(t, "liability cap"),
-            indemnification=tx.labelled(t, "indemnification"),
-            confidentiality=tx.labelled(t, "confidentiality"),
-            governing_law=tx.labelled(t, "governing law"),
-            dispute_resolution=tx.labelled(t, "dispute resolution"),
+            scope=get("scope"),
+            payment_terms=get("payment terms"),
+            termination_clause=get("termination"),
+            notice_period=get("notice period"),
+            liability_cap=get("liability cap"),
+            indemnification=get("indemnification"),
+            confidentiality=get("confidentiality"),
+            governing_law=get("governing law"),
+            dispute_resolution=get("dispute resolution"),
         ),
         obligations=obligations,
+        penalties=penalties,
         renewal_terms=F.struct(
             t.rlike(CLAUSE_RULES["auto-renewal"]).alias("auto_renewal"),
             none.alias("renewal_period"),
@@ -201,7 +229,7 @@ def extract_agreement(df: DataFrame, text: str = "text", into: str = "agreement"
             none.alias("renewal_terms_change"),
         ),
         signatures=signatures,
-    )
+    ).drop("_labels", "_values")
 
 
 NOTICE_PATTERN = r"(?i)notice of ([0-9]+ (?:day|week|month)s?)|([0-9]+ (?:day|week|month)s?)(?:'| of)? notice"
@@ -209,7 +237,7 @@ NOTICE_PATTERN = r"(?i)notice of ([0-9]+ (?:day|week|month)s?)|([0-9]+ (?:day|we
 
 def paragraphs(text: Column) -> Column:
     """Blank-line separated paragraphs, empty ones left out."""
-    return F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def extract_clauses(
@@ -297,37 +325,44 @@ MRZ_LINES = r"(?m)^(P[A-Z<][A-Z<]{3}[A-Z0-9<]{39})\n([A-Z0-9<]{44})$"
 
 def extract_kyc(df: DataFrame, text: str = "text", into: str = "kyc") -> DataFrame:
     """Identity fields, address and the machine-readable zone if there is one."""
-    t = F.col(text)
-    zone = parse_mrz(F.regexp_extract(t, MRZ_LINES, 1), F.regexp_extract(t, MRZ_LINES, 2))
-    full = tx.labelled(t, "(?:full )?name")
+    t, get = F.col(text), tx.labelled
+    zone = parse_mrz(F.regexp_extract(F.col("_zone"), MRZ_LINES, 1), F.regexp_extract(F.col("_zone"), MRZ_LINES, 2))
+    full = get("full name", "name")
     return _typed(
-        df,
+        tx.with_labels(df, text).withColumn("_zone", F.regexp_extract(t, MRZ_LINES, 0)),
         "kyc",
         into,
         **_path(df),
         document_type=F.lit("kyc"),
         metadata=_record(
             ("kyc", "metadata"),
-            document_id=tx.labelled(t, "(?:document|passport|licen[cs]e|id) (?:no\\.?|number)", NUMBER),
-            document_subtype=tx.labelled(t, "document type", "[a-z_]+"),
-            issue_date=tx.to_date(tx.labelled(t, "(?:date of issue|issue date)")),
-            expiry_date=tx.to_date(tx.labelled(t, "(?:date of expiry|expiry date)")),
-            issuing_authority=tx.labelled(t, "(?:issuing )?authority"),
-            issuing_country=tx.labelled(t, "(?:issuing )?country"),
+            document_id=get("document no", "document number", "passport no", "passport number", "license no",
+                            "licence no", "license number", "id no", "id number", value=NUMBER),
+            document_subtype=get("document type", value="[a-z_]+"),
+            issue_date=tx.to_date(get("date of issue", "issue date")),
+            expiry_date=tx.to_date(get("date of expiry", "expiry date")),
+            issuing_authority=get("issuing authority", "authority"),
+            issuing_country=get("issuing country", "country"),
         ),
         personal_info=_record(
             ("kyc", "personal_info"),
             full_name=full,
             first_name=tx.blank_to_null(F.substring_index(full, " ", 1)),
             last_name=F.when(full.contains(" "), F.substring_index(full, " ", -1)),
-            date_of_birth=tx.to_date(tx.labelled(t, "date of birth")),
-            place_of_birth=tx.labelled(t, "place of birth"),
-            nationality=tx.labelled(t, "nationality"),
-            gender=tx.labelled(t, "(?:sex|gender)", "M|F|X|Other"),
+            date_of_birth=tx.to_date(get("date of birth")),
+            place_of_birth=get("place of birth"),
+            nationality=get("nationality"),
+            gender=get("sex", "gender", value="M|F|X|Other"),
         ),
-        address=_record(("kyc", "address"), full_address=tx.labelled(t, "address")),
+        address=_record(("kyc", "address"), full_address=get("address")),
         verification=_record(("kyc", "verification"), mrz_data=zone),
-    )
+        utility_bill_specific=_record(
+            ("kyc", "utility_bill_specific"),
+            utility_type=F.lower(get("utility type", "utility")),
+            billing_period=get("billing period"),
+            amount_due=tx.to_amount(get("amount due")),
+        ),
+    ).drop("_labels", "_values", "_zone")
 
 
 # --- receipts (X16) ------------------------------------------------------------------------------
@@ -335,8 +370,8 @@ def extract_kyc(df: DataFrame, text: str = "text", into: str = "kyc") -> DataFra
 
 def extract_receipt(df: DataFrame, text: str = "text", into: str = "receipt") -> DataFrame:
     """Store, transaction, items, totals, payment, promotion and loyalty fields."""
-    t = F.col(text)
-    total = tx.labelled(t, "total")
+    t, get = F.col(text), tx.labelled
+    total = get("total")
     items = F.transform(
         line_items(t),
         lambda i: F.struct(
@@ -349,45 +384,47 @@ def extract_receipt(df: DataFrame, text: str = "text", into: str = "receipt") ->
         ),
     )
     return _typed(
-        df,
+        tx.with_labels(df, text),
         "receipt",
         into,
         store=_record(
             ("receipt", "store"),
-            name=tx.labelled(t, "store"),
-            address=tx.labelled(t, "address"),
-            phone=tx.labelled(t, "(?:phone|tel)"),
-            store_id=tx.labelled(t, "store id", NUMBER),
+            name=get("store"),
+            address=get("address"),
+            phone=get("phone", "tel"),
+            store_id=get("store id", value=NUMBER),
         ),
         transaction=_record(
             ("receipt", "transaction"),
-            receipt_number=tx.labelled(t, "receipt (?:no\\.?|number|#)", NUMBER),
-            date=tx.to_date(tx.labelled(t, "date")),
-            time=receipt_time(tx.labelled(t, "time")),
-            cashier=tx.labelled(t, "cashier"),
-            register=tx.labelled(t, "register"),
+            receipt_number=get("receipt no", "receipt number", "receipt #", value=NUMBER),
+            date=tx.to_date(get("date")),
+            time=receipt_time(get("time")),
+            cashier=get("cashier"),
+            register=get("register"),
         ),
         line_items=items,
         totals=_record(
             ("receipt", "totals"),
-            subtotal=tx.to_amount(tx.labelled(t, "subtotal")),
-            tax=tx.to_amount(tx.labelled(t, r"tax(?: \([0-9.]+ ?%\))?")),
+            subtotal=tx.to_amount(get("subtotal")),
+            tax=tx.to_amount(get("tax")),
             total=tx.to_amount(total),
-            currency=F.when(total.rlike(r"^(?:USD|EUR|GBP|\$|€|£)"), tx.currency_of(total)),
+            currency=_leading_currency(total),
         ),
         payment=_record(
             ("receipt", "payment"),
-            method=F.lower(tx.labelled(t, "paid by", "[A-Za-z_]+")),
-            card_last_four=tx.labelled(t, r"card", r"[*xX ]*[0-9]{4}").substr(-4, 4),
-            amount_tendered=tx.to_amount(tx.labelled(t, "tendered")),
-            change=tx.to_amount(tx.labelled(t, "change")),
+            method=F.lower(get("paid by", value="[A-Za-z_]+")),
+            card_last_four=tx.blank_to_null(F.regexp_extract(get("card"), "([0-9]{4})$", 1)),
+            amount_tendered=tx.to_amount(get("tendered")),
+            change=tx.to_amount(get("change")),
         ),
         loyalty=_record(
             ("receipt", "loyalty"),
-            member_id=tx.labelled(t, "member", NUMBER),
-            points_earned=tx.labelled(t, "points earned", "[0-9]+").try_cast("double"),
+            member_id=get("member", value=NUMBER),
+            points_earned=get("points earned", value="[0-9]+").try_cast("double"),
+            points_redeemed=get("points redeemed", value="[0-9]+").try_cast("double"),
+            points_balance=get("points balance", value="[0-9]+").try_cast("double"),
         ),
-    )
+    ).drop("_labels", "_values")
 
 
 def receipt_time(raw: Column) -> Column:

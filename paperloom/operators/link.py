@@ -100,7 +100,7 @@ def link_filename(df: DataFrame, mode: str = "literal") -> DataFrame:
     if mode != "documented":
         raise ValueError(f"unknown mode: {mode}")
     name = F.lower(last_segment(F.col("path")))
-    kinds = [("version", r"^(.+)[-_]v[0-9]+\b"), ("multi_part_document", r"^(.+)[-_]part[-_]?[0-9]+\b")]
+    kinds = [("version", r"^(.+)[-_]v[0-9]+"), ("multi_part_document", r"^(.+)[-_]part[-_]?[0-9]+")]
     found = [
         F.when(name.rlike(p), F.struct(F.lit(t).alias("type"), F.regexp_extract(name, p, 1).alias("key")))
         for t, p in kinds

@@ -195,7 +195,8 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 4 == 0, F.array(F.concat(F.lit("a/INV-"), group, F.lit(".pdf")), F.concat(F.lit("b/INV_"), group, F.lit(".pdf"))))
         .when(key % 4 == 1, F.array(F.concat(F.lit("a/INV-"), group, F.lit(".pdf")), F.concat(F.lit("c/PO-"), group, F.lit(".pdf"))))
         .when(key % 4 == 2, F.array(F.concat(F.lit("x/invoice-"), group, F.lit(".pdf")), F.concat(F.lit("y/invoice_"), group, F.lit("_part1.pdf"))))
-        .otherwise(F.array(F.concat(F.lit("deal"), text, F.lit("_part1_v1.pdf")), F.concat(F.lit("deal"), text, F.lit("-part-2_v2.pdf"))))
+        .when(key % 8 == 3, F.array(F.concat(F.lit("deal"), text, F.lit("_part1.pdf")), F.concat(F.lit("deal"), text, F.lit("-part-2.pdf"))))
+        .otherwise(F.array(F.concat(F.lit("Deal"), text, F.lit("_v1.pdf")), F.concat(F.lit("deal"), text, F.lit("-v2.pdf"))))
     )
     return (
         table(spark, sf_dir, "orders")
@@ -233,3 +234,240 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 STEMS = ["invoice", "video", "company", "border", "policy_invoice", "Contract", "scan", "LEASE", "notes", "msa", "page", "visa"]
 SUFFIXES = [".pdf", ".zip", ".TAR.GZ", ".tgz", ".eml", ".Msg", ".docx", "", ".7z", ".json", ".html"]
 HINTS = ["", "A Payment is due", "Terms apply", "holder of this PASSPORT", "plain text", None]
+
+
+# --- rendered texts ----------------------------------------------------------------------------
+
+
+def _dated(date: Column, style: Column) -> Column:
+    """A date in one of four spellings."""
+    return (
+        F.when(style == 0, F.date_format(date, "yyyy-MM-dd"))
+        .when(style == 1, F.date_format(date, "MM/dd/yyyy"))
+        .when(style == 2, F.date_format(date, "MMMM d, yyyy"))
+        .otherwise(F.date_format(date, "d MMM yyyy"))
+    )
+
+
+def _cents(cents: Column) -> Column:
+    return (cents / F.lit(100).cast("decimal(3,0)")).cast(MONEY)
+
+
+def _lines(*parts: Column | str) -> Column:
+    """Join lines, leaving out null ones."""
+    return F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _line(label: str, *values: Column) -> Column:
+    return F.concat(F.lit(f"{label}: "), *values)
+
+
+def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rendered invoice per lineitem row: two items, charges, terms, dates in four spellings."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("k"),
+        F.col("l_linenumber").alias("n"),
+        F.col("l_suppkey").alias("s"),
+        F.col("l_partkey").alias("p"),
+        F.col("l_quantity").cast("bigint").alias("q"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("c"),
+        F.col("l_shipdate").cast("date").alias("d"),
+    )
+    k, c, q = F.col("k"), F.col("c"), F.col("q")
+    text = lambda name: F.col(name).cast("string")
+    sign = F.when(k % 3 == 0, "$").when(k % 3 == 1, "EUR ").otherwise("£")
+    shown = lambda cents: F.concat(sign, F.format_number(_cents(cents), 2))
+    tax = F.floor(c * 7 / 100)
+    body = _lines(
+        "INVOICE",
+        _line("Invoice Number", F.lit("INV-"), text("k"), F.lit("-"), text("n"), F.lit("-"), text("s")),
+        _line("Invoice Date", _dated(F.col("d"), k % 4)),
+        _line("Due Date", _dated(F.date_add("d", 30), (k + 1) % 4)),
+        F.when(k % 5 != 0, _line("PO Number", F.lit("PO-"), text("k"))),
+        _line("Vendor", F.lit("Supplier#"), _pad(F.col("s"), 9)),
+        _line("Vendor Tax ID", F.lit("12-"), _pad(F.col("s"), 7)),
+        _line("Bill To", F.lit("Customer of order "), text("k")),
+        "",
+        "No | Description | Quantity | Unit Price | Amount",
+        F.concat(F.lit("1 | Part "), text("p"), F.lit(" | "), text("q"), F.lit(" | "),
+                 F.format_number(_cents(F.floor(c / q)), 2), F.lit(" | "), F.format_number(_cents(c), 2)),
+        "2 | Handling | 1 | 12.50 | 12.50",
+        "",
+        _line("Subtotal", shown(c + 1250)),
+        _line("Tax (7%)", shown(tax)),
+        _line("Shipping and handling", shown(k % 90 * 100)),
+        F.when(k % 6 == 0, _line("Credit note", shown(F.lit(500)))),
+        _line("Total", shown(c + 1250 + tax + k % 90 * 100)),
+        F.when(k % 4 == 0, "Payment Terms: 2% 10 net 30").when(k % 4 == 1, "Payment Terms: Net 45"),
+        F.when(k % 7 == 0, "Data is handled under GDPR and sox rules, see GDPR notice."),
+    )
+    return rows.select("k", "n", "s", "p", F.lit("invoice").alias("document_type"), body.alias("text"))
+
+
+def agreement_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rendered agreement per contract with clauses chosen by key."""
+    docs = agreements(spark, sf_dir)
+    k = F.col("ord")
+    meta = lambda name: F.col(f"metadata.{name}")
+    parties = F.array_join(F.transform("parties", lambda p: F.concat(F.lit("Party ("), p["role"], F.lit("): "), p["name"])), "\n")
+    vendor = F.col("parties")[0]["name"]
+    header = _lines(
+        _line("Agreement Type", meta("agreement_type")),
+        _line("Agreement No", meta("agreement_id")),
+        _line("Effective Date", _dated(meta("effective_date"), k % 4)),
+        _line("Expiry Date", _dated(meta("expiry_date"), (k + 2) % 4)),
+        _line("Term", (1 + k % 3).cast("string"), F.lit(" years")),
+        parties,
+        _line("Scope", F.lit("supply of lot "), k.cast("string")),
+        "Governing Law: State of Delaware",
+        F.concat(F.lit("Obligation (vendor): deliver lot "), k.cast("string"), F.lit(" by the fifth of each month")),
+    )
+    body = F.concat_ws(
+        "\n\n",
+        header,
+        F.when(k % 2 == 0, F.concat(F.lit("A penalty of "), (k % 10).cast("string"), F.lit("% applies to late delivery."))),
+        F.when(k % 3 == 0, F.lit("Liquidated damages are payable on breach and count as a penalty.")),
+        F.when(k % 5 == 0, F.concat(F.lit("This agreement renews automatically after a notice of "), (30 + k % 60).cast("string"), F.lit(" days.")))
+        .when(k % 5 == 1, F.lit("Renewal needs 2 months notice.")),
+        F.when(k % 4 == 0, "Either side may terminate for cause. Neither side is liable for delay."),
+        F.when(k % 6 == 0, F.concat(F.lit("The service keeps 99.9% uptime under SOC2. Service credits of 5% apply. Faults escalate to desk "), k.cast("string"), F.lit("."))),
+        F.concat(F.lit("Signed for vendor: Agent of "), vendor, F.lit(", Director, "), _dated(meta("effective_date"), k % 2)),
+    )
+    return docs.select("ord", "path", "document_type", body.alias("text"))
+
+
+def identity_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rendered passport per customer, zone included."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    k = F.col("c_custkey")
+    surname = F.concat(F.lit("NAME"), F.translate((k % 1000).cast("string"), "0123456789", "ABCDEFGHIJ"))
+    given = F.concat(F.lit("GIVEN"), F.translate(F.col("c_nationkey").cast("string"), "0123456789", "KLMNOPQRST"))
+    number = F.concat(F.lit("P"), _pad(k, 8))
+    born = F.date_add(F.lit("1940-01-01").cast("date"), (k * 37 % 25000).cast("int"))
+    expires = F.date_add(F.lit("2024-01-01").cast("date"), (k * 11 % 4000).cast("int"))
+    sex = F.when(k % 3 == 0, "M").when(k % 3 == 1, "F").otherwise("X")
+    line1 = F.rpad(F.concat(F.lit("P<UTO"), surname, F.lit("<<"), given, F.lit("<"), F.lit("B")), 44, "<")
+    line2 = F.concat(
+        F.rpad(number, 9, "<"), F.lit("1UTO"), F.date_format(born, "yyMMdd"), F.lit("2"),
+        F.when(sex == "X", "<").otherwise(sex), F.date_format(expires, "yyMMdd"), F.lit("3"),
+        F.rpad((k % 5000).cast("string"), 14, "<"), F.lit("45"),
+    )
+    body = _lines(
+        "PASSPORT",
+        "Document Type: passport",
+        _line("Passport No", number),
+        _line("Full Name", F.initcap(given), F.lit(" B "), F.initcap(surname)),
+        _line("Date of Birth", _dated(born, k % 4)),
+        _line("Date of Expiry", _dated(expires, (k + 1) % 4)),
+        _line("Sex", sex),
+        "Nationality: Utopian",
+        "Issuing Country: Utopia",
+        _line("Address", (k % 200).cast("string"), F.lit(" Long Street, Port")),
+        "",
+        line1,
+        line2,
+    )
+    return rows.select("c_custkey", body.alias("text"))
+
+
+def receipt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rendered till receipt per order."""
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("m"), F.col("o_orderdate").cast("date").alias("d"),
+        F.round(F.col("o_totalprice") * 100).cast("bigint").alias("c"),
+    )
+    k, c = F.col("k"), F.col("c")
+    money = lambda cents: F.format_number(_cents(cents), 2)
+    body = _lines(
+        _line("Store", F.lit("Shop "), (k % 50).cast("string")),
+        _line("Store ID", F.lit("S"), (k % 50).cast("string")),
+        _line("Receipt No", F.lit("R-"), k.cast("string")),
+        _line("Date", _dated(F.col("d"), k % 4)),
+        F.concat(F.lit("Time: "), (k % 12 + 1).cast("string"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"),
+                 F.when(k % 2 == 0, " PM").otherwise(" AM")),
+        _line("Cashier", F.lit("C"), (k % 9).cast("string")),
+        F.concat(F.lit("1 | Goods [SKU"), (k % 300).cast("string"), F.lit("] | 2 | "), money(F.floor(c / 2)), F.lit(" | "), money(c)),
+        _line("Subtotal", money(c)),
+        _line("Tax (10%)", money(F.floor(c / 10))),
+        _line("Total", F.lit("$"), money(c + F.floor(c / 10))),
+        F.when(k % 2 == 0, "Paid by: Credit").otherwise("Paid by: CASH"),
+        F.when(k % 2 == 0, F.concat(F.lit("Card: **** **** **** "), F.lpad((k % 10000).cast("string"), 4, "0"))),
+        _line("Member", F.lit("M"), F.col("m").cast("string")),
+        _line("Points earned", (k % 77).cast("string")),
+    )
+    return rows.select("k", body.alias("text"))
+
+
+def medical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rendered visit note per order: two diagnosis codes, procedure codes named twice or once."""
+    k = F.col("o_orderkey")
+    code = lambda n: (10000 + n).cast("string")
+    body = F.concat(
+        F.lit("Diagnosis: E"), F.lpad((k % 90 + 10).cast("string"), 2, "0"), F.lit(".9 and I10.\nProcedures: "),
+        code(k % 2500), F.lit(", "), code((k + 7) % 2500), F.lit("; repeated "), code(k % 2500), F.lit("."),
+    )
+    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), body.alias("text"))
+
+
+def medical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code table: one procedure code per part."""
+    return table(spark, sf_dir, "part").select(
+        F.lit("CPT").alias("system"), (10000 + F.col("p_partkey")).cast("string").alias("code"), F.col("p_name").alias("description")
+    )
+
+
+# --- parser output tables ------------------------------------------------------------------------
+
+
+def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of a document as a page."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).select(
+        "doc_id", (F.col("i") + 1).alias("page_number"), "text", ((F.col("doc_id") + F.col("i")) % 10 == 0).alias("has_images")
+    )
+
+
+def ocr_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of a document as a token; confidences run from -1 to 99."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[ \n]")).alias("position", "token"))
+    i = F.col("position")
+    return words.select(
+        "doc_id", "position", "token", (i % 101 - 1).alias("conf"),
+        (i % 20 * 50).alias("x"), (F.floor(i / 20) * 12).alias("y"), F.lit(40).alias("width"), F.lit(10).alias("height"),
+    )
+
+
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 3 x 4 grid per order: header row with three names, a fourth column without header."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    key = F.col("o_orderkey").cast("string")
+    cell = lambda r, c, v: F.struct(F.lit(r).alias("row"), F.lit(c).alias("column"), v.alias("value"))
+    grid = [cell(0, c, F.lit(h)) for c, h in enumerate(["key", "status", "priority"])]
+    for r in (1, 2):
+        grid += [
+            cell(r, 0, F.concat(key, F.lit(f"/{r}"))), cell(r, 1, F.col("o_orderstatus")),
+            cell(r, 2, F.col("o_orderpriority")), cell(r, 3, F.lit("beyond")),
+        ]
+    return rows.select(F.col("o_orderkey").alias("table_id"), F.explode(F.array(*grid)).alias("c")).select("table_id", "c.*")
+
+
+def found_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables per document, some too small or empty."""
+    k, i = F.col("doc_id"), F.col("i")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("i"))
+    return rows.select(
+        "doc_id", "i", ((k + i) % 5).alias("rows"), ((k + 2 * i) % 4).alias("columns"),
+        F.when(k % 13 != 0, (k + i) % 3).alias("data_rows"), (50 + (k * 3 + i) % 50).cast("double").alias("accuracy"),
+    )
+
+
+def method_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each table method returned per document; some failed, some documents have none."""
+    k = F.col("doc_id")
+    tries = F.array(
+        *[
+            F.struct(F.lit(m).alias("method"), ((k + i) % (i + 2) == 0).alias("failed"), (k % 4 + i).alias("table_count"))
+            for i, m in enumerate(["camelot", "pdfplumber", "tabula"])
+        ]
+    )
+    rows = table(spark, sf_dir, "documents").filter(k % 10 != 3)
+    return rows.select("doc_id", F.explode(tries).alias("t")).select("doc_id", "t.*")

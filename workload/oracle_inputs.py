@@ -108,7 +108,9 @@ SELECT o_orderkey * 2 + i AS ord,
        CASE WHEN m = 0 AND i = 0 THEN 'a/INV-' || g || '.pdf' WHEN m = 0 THEN 'b/INV_' || g || '.pdf'
             WHEN m = 1 AND i = 0 THEN 'a/INV-' || g || '.pdf' WHEN m = 1 THEN 'c/PO-' || g || '.pdf'
             WHEN m = 2 AND i = 0 THEN 'x/invoice-' || g || '.pdf' WHEN m = 2 THEN 'y/invoice_' || g || '_part1.pdf'
-            WHEN i = 0 THEN 'deal' || o_orderkey || '_part1_v1.pdf' ELSE 'deal' || o_orderkey || '-part-2_v2.pdf' END
+            WHEN o_orderkey % 8 = 3 AND i = 0 THEN 'deal' || o_orderkey || '_part1.pdf'
+            WHEN o_orderkey % 8 = 3 THEN 'deal' || o_orderkey || '-part-2.pdf'
+            WHEN i = 0 THEN 'Deal' || o_orderkey || '_v1.pdf' ELSE 'deal' || o_orderkey || '-v2.pdf' END
          AS path,
        'Vendor ' || (o_orderkey % 97) AS vendor, 'Client ' || (o_custkey // 2) AS customer
 FROM file_rows""",

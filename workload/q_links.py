@@ -94,11 +94,11 @@ WHERE h.ord <> g.first""",
         extra={
             "named": "SELECT ord, path, lower(regexp_extract(path, '[^/]*$')) AS name FROM files",
             "vhits": r"""
-SELECT ord, path, 'version' AS type, regexp_extract(name, '^(.+)[-_]v[0-9]+\b', 1) AS k FROM named
-WHERE regexp_matches(name, '^(.+)[-_]v[0-9]+\b')
+SELECT ord, path, 'version' AS type, regexp_extract(name, '^(.+)[-_]v[0-9]+', 1) AS k FROM named
+WHERE regexp_matches(name, '^(.+)[-_]v[0-9]+')
 UNION ALL
-SELECT ord, path, 'multi_part_document', regexp_extract(name, '^(.+)[-_]part[-_]?[0-9]+\b', 1) FROM named
-WHERE regexp_matches(name, '^(.+)[-_]part[-_]?[0-9]+\b')""",
+SELECT ord, path, 'multi_part_document', regexp_extract(name, '^(.+)[-_]part[-_]?[0-9]+', 1) FROM named
+WHERE regexp_matches(name, '^(.+)[-_]part[-_]?[0-9]+')""",
         },
     ),
 )
