@@ -9,18 +9,21 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+# Candidate shapes. Each starts with one character class, which lets the regex engine skip most of a
+# text; what they match too much is removed by parsing the (few) matches.
 DATE_PATTERN = (
-    r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b"
-    r"|\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\b"
-    rf"|\b(?:{MONTHS})[a-z]* [0-9]{{1,2}}, [0-9]{{4}}\b"
-    rf"|\b[0-9]{{1,2}} (?:{MONTHS})[a-z]* [0-9]{{4}}\b"
+    r"\b[0-9JFMASOND](?:[0-9]{3}-[0-9]{2}-[0-9]{2}"
+    r"|[0-9]?/[0-9]{1,2}/[0-9]{4}"
+    r"|[0-9]? (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* [0-9]{4}"
+    r"|(?:an|eb|ar|pr|ay|un|ul|ug|ep|ct|ov|ec)[a-z]* [0-9]{1,2}, [0-9]{4})\b"
 )
-MONEY_PATTERN = r"(?:USD|EUR|GBP|\$|€|£) ?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]{1,2})?"
+MONEY_CANDIDATE = r"[$€£UEG](?:SD|UR|BP)? ?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]{1,2})?"
+MONEY_START = r"^(?:[$€£]|USD|EUR|GBP)"
+MONEY_PATTERN = r"(?:[$€£]|USD|EUR|GBP) ?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]{1,2})?"
 COMPLIANCE_TERMS = ["GDPR", "SOX", "SOC2", "HIPAA"]
 CURRENCY_OF_SIGN = {"$": "USD", "€": "EUR", "£": "GBP"}
-DISCOUNT_PATTERN = r"(?i)([0-9]+(?:\.[0-9]+)?) ?%,? ?/?([0-9]+),? net ?([0-9]+)"
-NET_PATTERN = r"(?i)\bnet ?([0-9]+)"
+DISCOUNT_PATTERN = r"\b([0-9]+(?:\.[0-9]+)?) ?%,? ?/?([0-9]+),? [Nn][Ee][Tt] ?([0-9]+)"
+NET_PATTERN = r"\b[Nn][Ee][Tt] ?([0-9]+)"
 TAX_RATE_PATTERN = r"(?i)\b(?:tax|vat|gst)[^0-9%\n]{0,20}([0-9]+(?:\.[0-9]+)?) ?%"
 SHIPPING_PATTERN = r"(?im)^\s*shipping[^:\n]*: ?[^0-9\n]*([0-9]+(?:,[0-9]{3})*(?:\.[0-9]{1,2})?)"
 CREDIT_PATTERN = r"(?im)^\s*credit (?:note|adjustment)[^:\n]*: ?[^0-9\n]*([0-9]+(?:,[0-9]{3})*(?:\.[0-9]{1,2})?)"
@@ -132,10 +135,8 @@ def currency_of(token: Column) -> Column:
 
 def money_mentions(text: Column) -> Column:
     """All amounts with a currency, in order of appearance."""
-    return F.transform(
-        all_matches(text, MONEY_PATTERN),
-        lambda m: F.struct(currency_of(m).alias("currency"), to_amount(m).alias("amount")),
-    )
+    found = F.filter(all_matches(text, MONEY_CANDIDATE), lambda m: m.rlike(MONEY_START))
+    return F.transform(found, lambda m: F.struct(currency_of(m).alias("currency"), to_amount(m).alias("amount")))
 
 
 def icd10_codes(text: Column) -> Column:
