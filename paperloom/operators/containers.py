@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from paperloom.functions.paths import file_name, suffix
 from paperloom.operators.keys import keep_first_ids
@@ -37,8 +37,11 @@ MAX_MEMBER_BYTES = 1 << 30  # larger members become error rows: a binary value e
 ORDINAL_WIDTH = 10
 
 MEMBER_DDL = "container_id STRING, ordinal BIGINT, name STRING, content BINARY, error STRING"
-MESSAGE_DDL = (
-    "container_id STRING, kind STRING, ordinal BIGINT, name STRING, content BINARY, error STRING, "
+MESSAGE = [
+    "subject", "sender", "recipients", "cc", "date", "message_id", "body", "attachment_count", "inline_image_count"
+]
+PART_DDL = (
+    "container_id STRING, part STRING, ordinal BIGINT, name STRING, content BINARY, error STRING, "
     "subject STRING, sender STRING, recipients STRING, cc STRING, date STRING, message_id STRING, body STRING, "
     "attachment_count BIGINT, inline_image_count BIGINT"
 )
@@ -83,8 +86,6 @@ def _rank_in_name(df: DataFrame, keys: Sequence[str], ord_col: str) -> DataFrame
     Rows are ranked inside blocks of consecutive ordinals and shifted by the counts of earlier blocks;
     a block holds at most RANK_BLOCK rows because an ordinal is unique in its parent.
     """
-    from pyspark.sql import Window as W
-
     blocked = df.withColumn("_block", F.floor(F.col(ord_col) / RANK_BLOCK))
     counts = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
@@ -138,7 +139,7 @@ def unique_names(
 # --- codecs (C2, C3) -----------------------------------------------------------------------------
 
 
-def _archive_mapper(max_member_bytes: int) -> Callable:
+def _archive_mapper(max_member_bytes: int, carry: Sequence[str]) -> Callable:
     """Per-batch unpacker. It carries its imports so that executors need nothing but the standard library."""
 
     def members(batches: Iterator) -> Iterator:
@@ -168,37 +169,47 @@ def _archive_mapper(max_member_bytes: int) -> Callable:
                 return tar_members(data)
             raise ValueError("unsupported container: " + lowered.rsplit(".", 1)[-1])
 
-        def row(container: str, ordinal, name=None, content=None, error=None) -> pd.DataFrame:
-            return pd.DataFrame(
-                {"container_id": [container], "ordinal": [ordinal], "name": [name], "content": [content], "error": [error]}
-            ).astype({"ordinal": "Int64"})
+        def row(source, ordinal=None, name=None, content=None, error=None) -> pd.DataFrame:
+            values = {
+                "container_id": source["document_id"], "ordinal": ordinal, "name": name, "content": content, "error": error,
+                **{c: source[c] for c in carry},
+            }
+            return pd.DataFrame({k: [v] for k, v in values.items()}).astype({"ordinal": "Int64"})
 
         for batch in batches:
-            for container, path, data in zip(batch["document_id"], batch["path"], batch["content"]):
+            for source in batch.to_dict("records"):
                 try:
-                    for ordinal, (name, size, read) in enumerate(unpack(path, data)):
+                    for ordinal, (name, size, read) in enumerate(unpack(source["path"], source["content"])):
                         try:
                             if size > max_member_bytes:
                                 raise ValueError(f"member of {size} bytes is over the limit of {max_member_bytes}")
-                            yield row(container, ordinal, name, read())
+                            yield row(source, ordinal, name, read())
                         except Exception as e:  # one bad member must not lose the others
-                            yield row(container, ordinal, name, None, f"{type(e).__name__}: {e}")
+                            yield row(source, ordinal, name, None, f"{type(e).__name__}: {e}")
                 except Exception as e:  # unreadable container
-                    yield row(container, None, None, None, f"{type(e).__name__}: {e}")
+                    yield row(source, error=f"{type(e).__name__}: {e}")
 
     return members
 
 
-def explode_archives(df: DataFrame, max_member_bytes: int = MAX_MEMBER_BYTES) -> DataFrame:
+def _carried(df: DataFrame, ddl: str, carry: Sequence[str]) -> T.StructType:
+    return T.StructType([*T.StructType.fromDDL(ddl).fields, *[df.schema[c] for c in carry]])
+
+
+def explode_archives(
+    df: DataFrame, max_member_bytes: int = MAX_MEMBER_BYTES, carry: Sequence[str] = ()
+) -> DataFrame:
     """Members of ZIP and TAR archives, one row each (C2). Input: document_id, path, content.
 
     Directories and non-files are left out. A member that cannot be read keeps its name and an error;
-    an archive that cannot be opened gives one row with an error and no name.
+    an archive that cannot be opened gives one row with an error and no name. Columns in `carry` are
+    repeated on every member, so members need no join back to their container.
     """
-    return df.select("document_id", "path", "content").mapInPandas(_archive_mapper(max_member_bytes), MEMBER_DDL)
+    taken = df.select(*dict.fromkeys(["document_id", "path", "content", *carry]))
+    return taken.mapInPandas(_archive_mapper(max_member_bytes, list(carry)), _carried(df, MEMBER_DDL, carry))
 
 
-def _email_mapper() -> Callable:
+def _email_mapper(carry: Sequence[str]) -> Callable:
     def parts(batches: Iterator) -> Iterator:
         import email
         import os
@@ -207,9 +218,9 @@ def _email_mapper() -> Callable:
         import pandas as pd
 
         columns = (
-            "container_id kind ordinal name content error subject sender recipients cc date message_id body "
+            "container_id part ordinal name content error subject sender recipients cc date message_id body "
             "attachment_count inline_image_count"
-        ).split()
+        ).split() + list(carry)
         forbidden = str.maketrans({c: "_" for c in '/\\:*?"<>|\x00'})
 
         def frame(**values) -> pd.DataFrame:
@@ -234,9 +245,10 @@ def _email_mapper() -> Callable:
             return ""
 
         for batch in batches:
-            for container, data in zip(batch["document_id"], batch["content"]):
+            for source in batch.to_dict("records"):
+                own = {"container_id": source["document_id"], **{c: source[c] for c in carry}}
                 try:
-                    message = email.message_from_bytes(data, policy=policy.default)
+                    message = email.message_from_bytes(source["content"], policy=policy.default)
                     taken, images, ordinal = set(), 0, 0
                     for part in message.walk():
                         if part.get_content_maintype() == "multipart":
@@ -246,43 +258,41 @@ def _email_mapper() -> Callable:
                         try:
                             payload = part.get_payload(decode=True)
                         except Exception as e:
-                            yield frame(container_id=container, kind="error", name=given, error=f"{type(e).__name__}: {e}")
+                            yield frame(**own, part="error", name=given, error=f"{type(e).__name__}: {e}")
                             continue
                         if not payload:
                             continue
                         if given:
                             unique = next_free(given.translate(forbidden).strip(), taken)
                             taken.add(unique)
-                            yield frame(container_id=container, kind="attachment", ordinal=ordinal, name=unique, content=payload)
+                            yield frame(**own, part="attachment", ordinal=ordinal, name=unique, content=payload)
                             ordinal += 1
                         elif inline and part.get_content_type().startswith("image/"):
                             images += 1
                     header = lambda name: str(message.get(name, ""))
                     yield frame(
-                        container_id=container, kind="message", subject=header("subject"), sender=header("from"),
+                        **own, part="message", subject=header("subject"), sender=header("from"),
                         recipients=header("to"), cc=header("cc"), date=header("date"), message_id=header("message-id"),
                         body=body_of(message), attachment_count=ordinal, inline_image_count=images,
                     )
                 except Exception as e:
-                    yield frame(container_id=container, kind="error", error=f"{type(e).__name__}: {e}")
+                    yield frame(**own, part="error", error=f"{type(e).__name__}: {e}")
 
     return parts
 
 
-def email_parts(df: DataFrame) -> DataFrame:
-    """Tagged rows `message`, `attachment`, `error` of e-mails (C3). Input: document_id, path, content."""
-    return df.select("document_id", "path", "content").mapInPandas(_email_mapper(), MESSAGE_DDL)
+def email_parts(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Rows with `part` = `message`, `attachment`, `error` of e-mails (C3). Input: document_id, content."""
+    taken = df.select(*dict.fromkeys(["document_id", "content", *carry]))
+    return taken.mapInPandas(_email_mapper(list(carry)), _carried(df, PART_DDL, carry))
 
 
 def explode_emails(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(messages, attachments): headers and body per e-mail; one row per named part with cleaned, unique
     names. Inline images without a name are only counted."""
     parts = email_parts(df)
-    messages = parts.filter("kind = 'message'").select(
-        "container_id", "subject", "sender", "recipients", "cc", "date", "message_id", "body", "attachment_count",
-        "inline_image_count",
-    )
-    attachments = parts.filter("kind = 'attachment'").select("container_id", "ordinal", "name", "content")
+    messages = parts.filter("part = 'message'").select("container_id", *MESSAGE)
+    attachments = parts.filter("part = 'attachment'").select("container_id", "ordinal", "name", "content")
     return messages, attachments
 
 
@@ -337,28 +347,34 @@ def _roots(files: DataFrame) -> DataFrame:
     )
 
 
-def _children(parents: DataFrame, members: DataFrame) -> DataFrame:
+CARRIED = ["root_id", "path", "depth", "position", "kind"]
+
+
+def _children(members: DataFrame) -> DataFrame:
     """Member rows as nodes of the next level; ids derive from the root and the ordinal path."""
-    p = parents.select(
-        F.col("document_id").alias("container_id"), "root_id", F.col("path").alias("_path"), "depth",
-        F.col("position").alias("_position"),
-    )
-    position = F.concat_ws("/", F.nullif(F.col("_position"), F.lit("")), _ordinal(F.col("ordinal")))
-    return (
-        members.join(p, "container_id")
-        .withColumn("position", position)
-        .select(
-            F.substring(F.sha2(F.concat_ws(":", "root_id", "position"), 256), 1, 32).alias("document_id"),
-            "root_id",
-            F.col("container_id").alias("parent_id"),
-            F.concat_ws("/", "_path", "name").alias("path"),
-            (F.col("depth") + 1).alias("depth"),
-            "position",
-            "content",
-        )
+    position = F.concat_ws("/", F.nullif("position", F.lit("")), _ordinal(F.col("ordinal")))
+    return members.withColumn("position", position).select(
+        F.substring(F.sha2(F.concat_ws(":", "root_id", "position"), 256), 1, 32).alias("document_id"),
+        "root_id",
+        F.col("container_id").alias("parent_id"),
+        F.concat_ws("/", "path", "name").alias("path"),
+        (F.col("depth") + 1).alias("depth"),
+        "position",
+        "content",
     )
 
 
+def _unpack(containers: DataFrame, max_member_bytes: int) -> DataFrame:
+    """All members, messages and errors of one level's containers, with the container's own columns."""
+    mail = F.lower("path").endswith(".eml")
+    taken = containers.select("document_id", "content", *CARRIED)
+    archived = drop_or_error(explode_archives(taken.filter(~mail), max_member_bytes, CARRIED))
+    part = F.when(F.col("error").isNull(), "attachment").otherwise("error")
+    mailed = email_parts(taken.filter(mail), CARRIED)
+    both = archived.withColumn("part", part).unionByName(mailed, allowMissingColumns=True)
+    return both.withColumnRenamed("kind", "container_type")
+
+
 def decompose(
     files: DataFrame, max_depth: int = MAX_DEPTH, max_member_bytes: int = MAX_MEMBER_BYTES
 ) -> dict[str, DataFrame]:
@@ -368,70 +384,49 @@ def decompose(
     `messages`. Levels 0..max_depth are unpacked; what lies deeper is kept as it is with the note
     `max_depth_reached`. Inside one root equal contents are kept once, the shallowest first and then in
     archive order; equal files under different roots are all kept. A container that cannot be opened
-    gives an error row and stays as a document. Each level is written to the shared checkpoint folder.
+    gives an error row and stays as a document. Each level is written twice to the shared checkpoint
+    folder, deduplicated and unpacked; the loop runs max_depth + 2 times at most.
     """
-    frontier = cut(_roots(files))
-    seen = None
+    note = lambda text: F.lit(text).cast("string").alias("note")
+    frontier, seen = _roots(files), None
     documents, lineage, errors, messages = [], [], [], []
     for depth in range(max_depth + 2):
         if depth > max_depth:
-            noted = frontier.withColumn("note", F.lit(MAX_DEPTH_NOTE))
-            lineage.append(_lineage(noted.withColumn("file_hash", F.lit(None).cast("string")).withColumn("kind", F.lit(None).cast("string"))))
-            documents.append(noted.select(*NODE, "note"))
+            deep = frontier.withColumns({"note": F.lit(MAX_DEPTH_NOTE), "file_hash": note(None), "kind": note(None)})
+            lineage.append(_lineage(deep))
+            documents.append(deep.select(*NODE, "note"))
             break
-        hashed = frontier.withColumn("file_hash", content_hash(F.col("content")))
+        fresh = dedup_by_hash(frontier.withColumn("file_hash", content_hash(F.col("content"))))
         if seen is not None:
-            hashed = hashed.join(seen, ["root_id", "file_hash"], "left_anti")
-        level = cut(dedup_by_hash(hashed).withColumn("kind", container_type(F.col("path"))))
-        new_hashes = level.select("root_id", "file_hash")
-        seen = new_hashes if seen is None else seen.unionByName(new_hashes)
+            fresh = fresh.join(seen, ["root_id", "file_hash"], "left_anti")
+        level = cut(fresh.withColumn("kind", container_type(F.col("path"))))
+        hashes = level.select("root_id", "file_hash")
+        seen = hashes if seen is None else seen.unionByName(hashes)
         lineage.append(_lineage(level.withColumn("note", F.lit(None).cast("string"))))
-        documents.append(level.filter("kind IS NULL").select(*NODE, F.lit(None).cast("string").alias("note")))
+        documents.append(level.filter("kind IS NULL").select(*NODE, note(None)))
 
         containers = level.filter("kind IS NOT NULL")
         if containers.isEmpty():
             break
-        mails = F.lower("path").endswith(".eml")
-        archive_rows = drop_or_error(explode_archives(containers.filter(~mails), max_member_bytes))
-        mail_rows = email_parts(containers.filter(mails))
-        members = cut(
-            archive_rows.withColumn("kind", F.when(F.col("error").isNull(), "attachment").otherwise("error"))
-            .unionByName(mail_rows, allowMissingColumns=True)
-        )
-        messages.append(
-            members.filter("kind = 'message'").select(
-                "container_id", "subject", "sender", "recipients", "cc", "date", "message_id", "body",
-                "attachment_count", "inline_image_count",
-            )
-        )
-        failed = members.filter("kind = 'error'")
-        where = level.select(
-            F.col("document_id").alias("container_id"), F.col("path").alias("_path"), F.col("kind").alias("container_type"), "depth"
-        )
-        errors.append(
-            failed.join(where, "container_id").select(
-                F.concat_ws("/", "_path", "name").alias("path"), "error", "container_type", "depth"
-            )
-        )
+        members = cut(_unpack(containers, max_member_bytes))
+        messages.append(members.filter("part = 'message'").select("container_id", *MESSAGE))
+        failed = members.filter("part = 'error'")
+        errors.append(failed.select(F.concat_ws("/", "path", "name").alias("path"), "error", "container_type", "depth"))
         broken = failed.filter("name IS NULL").select(F.col("container_id").alias("document_id"))
         kept = containers.join(broken, "document_id", "left_semi")
-        documents.append(kept.select(*NODE, F.lit("container_unreadable").alias("note")))
-        found = members.filter("kind = 'attachment'").select("container_id", "ordinal", "name", "content")
-        frontier = cut(_children(level, found))
+        documents.append(kept.select(*NODE, note("container_unreadable")))
+        frontier = _children(members.filter("part = 'attachment'"))
         if frontier.isEmpty():
             break
     union = lambda parts: reduce(DataFrame.unionByName, parts)
-    spark = files.sparkSession
-    no_errors = spark.createDataFrame([], "path STRING, error STRING, container_type STRING, depth INT")
+    empty = lambda ddl: files.sparkSession.createDataFrame([], ddl)
+    message_ddl = T.StructType([f for f in T.StructType.fromDDL(PART_DDL).fields if f.name in ("container_id", *MESSAGE)])
     return {
         "documents": union(documents),
         "lineage": union(lineage),
-        "errors": union(errors) if errors else no_errors,
-        "messages": union(messages) if messages else spark.createDataFrame([], MESSAGE_DDL).select(
-            "container_id", "subject", "sender", "recipients", "cc", "date", "message_id", "body", "attachment_count",
-            "inline_image_count",
-        ),
-    }
+        "errors": union(errors) if errors else empty("path STRING, error STRING, container_type STRING, depth INT"),
+        "messages": union(messages) if messages else empty(message_ddl),
+    }
 
 
 def drop_or_error(members: DataFrame) -> DataFrame:

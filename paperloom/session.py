@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder; survives the loss of any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` as a table into the shared checkpoint folder and go on from there.
+
+    The result no longer depends on executors or on the plan before it, and, unlike a raw checkpoint,
+    later steps read only the columns they use.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/paperloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
