@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 # Candidate shapes. Each starts with one character class, which lets the regex engine skip most of a
 # text; what they match too much is removed by parsing the (few) matches.
@@ -49,22 +49,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 LABEL_LINE = r"(?m)^ *([A-Za-z][A-Za-z #/]*[A-Za-z#])\.?(?: *\([^)\n]*\))? *: *([^\n]*[^\n ])"
 
 
-def with_labels(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add `_labels` (lower case) and `_values`: all `Label: value` lines of the text, in order.
+def fields(text: Column) -> Column:
+    """The text with all its `Label: value` lines: struct of text, labels (lower case) and values.
 
-    The text is read once per document; fields are then looked up in these short arrays.
+    Bind it with `let` and the text is scanned once; fields are then looked up in the short arrays.
     """
-    t = F.col(text)
-    return df.withColumns(
-        {"_labels": F.transform(all_matches(t, LABEL_LINE, 1), F.lower), "_values": all_matches(t, LABEL_LINE, 2)}
+    return F.struct(
+        text.alias("text"),
+        F.transform(all_matches(text, LABEL_LINE, 1), lambda label: F.lower(label)).alias("labels"),
+        all_matches(text, LABEL_LINE, 2).alias("values"),
     )
 
 
-def labelled(*names: str, value: str | None = None) -> Column:
+def labelled(f: Column, *names: str, value: str | None = None) -> Column:
     """Value of the first of `names` that labels a line, cut to its leading `value` match if given."""
-    found = F.coalesce(
-        *[F.get(F.col("_values"), (F.array_position("_labels", n) - 1).cast("int")) for n in names]
-    )
+    found = F.coalesce(*[F.get(f["values"], (F.array_position(f["labels"], n) - 1).cast("int")) for n in names])
     return found if value is None else blank_to_null(F.regexp_extract(found, f"^(?:{value})", 0))
 
 

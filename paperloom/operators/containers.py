@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from paperloom.functions.paths import file_name, suffix
 from paperloom.operators.keys import keep_first_ids
@@ -139,15 +140,19 @@ def unique_names(
 # --- codecs (C2, C3) -----------------------------------------------------------------------------
 
 
-def _archive_mapper(max_member_bytes: int, carry: Sequence[str]) -> Callable:
+FLUSH_BYTES, FLUSH_ROWS = 32 << 20, 2_000  # members are handed on in batches of about this size
+
+
+def _archive_mapper(max_member_bytes: int, carry: Sequence[str], schema) -> Callable:
     """Per-batch unpacker. It carries its imports so that executors need nothing but the standard library."""
+    flush_bytes, flush_rows = FLUSH_BYTES, FLUSH_ROWS
 
     def members(batches: Iterator) -> Iterator:
         import io
         import tarfile
         import zipfile
 
-        import pandas as pd
+        import pyarrow as pa
 
         def zip_members(data: bytes) -> Iterator:
             with zipfile.ZipFile(io.BytesIO(data)) as zf:
@@ -169,25 +174,32 @@ def _archive_mapper(max_member_bytes: int, carry: Sequence[str]) -> Callable:
                 return tar_members(data)
             raise ValueError("unsupported container: " + lowered.rsplit(".", 1)[-1])
 
-        def row(source, ordinal=None, name=None, content=None, error=None) -> pd.DataFrame:
-            values = {
-                "container_id": source["document_id"], "ordinal": ordinal, "name": name, "content": content, "error": error,
-                **{c: source[c] for c in carry},
-            }
-            return pd.DataFrame({k: [v] for k, v in values.items()}).astype({"ordinal": "Int64"})
+        waiting, size_waiting = [], 0
+
+        def results(source: dict) -> Iterator:
+            own = {"container_id": source["document_id"], **{c: source[c] for c in carry}}
+            try:
+                for ordinal, (name, size, read) in enumerate(unpack(source["path"], source["content"])):
+                    found = {**own, "ordinal": ordinal, "name": name}
+                    try:
+                        if size > max_member_bytes:
+                            raise ValueError(f"member of {size} bytes is over the limit of {max_member_bytes}")
+                        yield {**found, "content": read()}
+                    except Exception as e:  # one bad member must not lose the others
+                        yield {**found, "error": f"{type(e).__name__}: {e}"}
+            except Exception as e:  # unreadable container
+                yield {**own, "error": f"{type(e).__name__}: {e}"}
 
         for batch in batches:
-            for source in batch.to_dict("records"):
-                try:
-                    for ordinal, (name, size, read) in enumerate(unpack(source["path"], source["content"])):
-                        try:
-                            if size > max_member_bytes:
-                                raise ValueError(f"member of {size} bytes is over the limit of {max_member_bytes}")
-                            yield row(source, ordinal, name, read())
-                        except Exception as e:  # one bad member must not lose the others
-                            yield row(source, ordinal, name, None, f"{type(e).__name__}: {e}")
-                except Exception as e:  # unreadable container
-                    yield row(source, error=f"{type(e).__name__}: {e}")
+            for source in batch.to_pylist():
+                for found in results(source):
+                    waiting.append(found)
+                    size_waiting += len(found.get("content") or b"")
+                    if size_waiting >= flush_bytes or len(waiting) >= flush_rows:
+                        yield pa.RecordBatch.from_pylist(waiting, schema=schema)
+                        waiting, size_waiting = [], 0
+        if waiting:
+            yield pa.RecordBatch.from_pylist(waiting, schema=schema)
 
     return members
 
@@ -206,27 +218,22 @@ def explode_archives(
     repeated on every member, so members need no join back to their container.
     """
     taken = df.select(*dict.fromkeys(["document_id", "path", "content", *carry]))
-    return taken.mapInPandas(_archive_mapper(max_member_bytes, list(carry)), _carried(df, MEMBER_DDL, carry))
+    out = _carried(df, MEMBER_DDL, carry)
+    return taken.mapInArrow(_archive_mapper(max_member_bytes, list(carry), to_arrow_schema(out)), out)
 
 
-def _email_mapper(carry: Sequence[str]) -> Callable:
+def _email_mapper(carry: Sequence[str], schema) -> Callable:
+    flush_bytes, flush_rows = FLUSH_BYTES, FLUSH_ROWS
+
     def parts(batches: Iterator) -> Iterator:
         import email
         import os
         from email import policy
 
-        import pandas as pd
+        import pyarrow as pa
 
-        columns = (
-            "container_id part ordinal name content error subject sender recipients cc date message_id body "
-            "attachment_count inline_image_count"
-        ).split() + list(carry)
         forbidden = str.maketrans({c: "_" for c in '/\\:*?"<>|\x00'})
 
-        def frame(**values) -> pd.DataFrame:
-            out = pd.DataFrame({c: [values.get(c)] for c in columns})
-            return out.astype({"ordinal": "Int64", "attachment_count": "Int64", "inline_image_count": "Int64"})
-
         def next_free(name: str, taken: set) -> str:
             stem, ext = os.path.splitext(name)
             k, unique = 0, name
@@ -244,39 +251,51 @@ def _email_mapper(carry: Sequence[str]) -> Callable:
                         return payload.decode("utf-8", errors="ignore")
             return ""
 
+        def results(source: dict) -> Iterator:
+            own = {"container_id": source["document_id"], **{c: source[c] for c in carry}}
+            try:
+                message = email.message_from_bytes(source["content"], policy=policy.default)
+                taken, images, ordinal = set(), 0, 0
+                for part in message.walk():
+                    if part.get_content_maintype() == "multipart":
+                        continue
+                    given = part.get_filename()
+                    inline = "inline" in str(part.get("Content-Disposition", ""))
+                    try:
+                        payload = part.get_payload(decode=True)
+                    except Exception as e:
+                        yield {**own, "part": "error", "name": given, "error": f"{type(e).__name__}: {e}"}
+                        continue
+                    if not payload:
+                        continue
+                    if given:
+                        unique = next_free(given.translate(forbidden).strip(), taken)
+                        taken.add(unique)
+                        yield {**own, "part": "attachment", "ordinal": ordinal, "name": unique, "content": payload}
+                        ordinal += 1
+                    elif inline and part.get_content_type().startswith("image/"):
+                        images += 1
+                header = lambda name: str(message.get(name, ""))
+                yield {
+                    **own, "part": "message", "subject": header("subject"), "sender": header("from"),
+                    "recipients": header("to"), "cc": header("cc"), "date": header("date"),
+                    "message_id": header("message-id"), "body": body_of(message), "attachment_count": ordinal,
+                    "inline_image_count": images,
+                }
+            except Exception as e:
+                yield {**own, "part": "error", "error": f"{type(e).__name__}: {e}"}
+
+        waiting, size_waiting = [], 0
         for batch in batches:
-            for source in batch.to_dict("records"):
-                own = {"container_id": source["document_id"], **{c: source[c] for c in carry}}
-                try:
-                    message = email.message_from_bytes(source["content"], policy=policy.default)
-                    taken, images, ordinal = set(), 0, 0
-                    for part in message.walk():
-                        if part.get_content_maintype() == "multipart":
-                            continue
-                        given = part.get_filename()
-                        inline = "inline" in str(part.get("Content-Disposition", ""))
-                        try:
-                            payload = part.get_payload(decode=True)
-                        except Exception as e:
-                            yield frame(**own, part="error", name=given, error=f"{type(e).__name__}: {e}")
-                            continue
-                        if not payload:
-                            continue
-                        if given:
-                            unique = next_free(given.translate(forbidden).strip(), taken)
-                            taken.add(unique)
-                            yield frame(**own, part="attachment", ordinal=ordinal, name=unique, content=payload)
-                            ordinal += 1
-                        elif inline and part.get_content_type().startswith("image/"):
-                            images += 1
-                    header = lambda name: str(message.get(name, ""))
-                    yield frame(
-                        **own, part="message", subject=header("subject"), sender=header("from"),
-                        recipients=header("to"), cc=header("cc"), date=header("date"), message_id=header("message-id"),
-                        body=body_of(message), attachment_count=ordinal, inline_image_count=images,
-                    )
-                except Exception as e:
-                    yield frame(**own, part="error", error=f"{type(e).__name__}: {e}")
+            for source in batch.to_pylist():
+                for found in results(source):
+                    waiting.append(found)
+                    size_waiting += len(found.get("content") or b"") + len(found.get("body") or "")
+                    if size_waiting >= flush_bytes or len(waiting) >= flush_rows:
+                        yield pa.RecordBatch.from_pylist(waiting, schema=schema)
+                        waiting, size_waiting = [], 0
+        if waiting:
+            yield pa.RecordBatch.from_pylist(waiting, schema=schema)
 
     return parts
 
@@ -284,7 +303,8 @@ def _email_mapper(carry: Sequence[str]) -> Callable:
 def email_parts(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Rows with `part` = `message`, `attachment`, `error` of e-mails (C3). Input: document_id, content."""
     taken = df.select(*dict.fromkeys(["document_id", "content", *carry]))
-    return taken.mapInPandas(_email_mapper(list(carry)), _carried(df, PART_DDL, carry))
+    out = _carried(df, PART_DDL, carry)
+    return taken.mapInArrow(_email_mapper(list(carry), to_arrow_schema(out)), out)
 
 
 def explode_emails(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ All operators are projections over one text column: no shuffle, no Python in the
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,13 +28,14 @@ PENALTY_TYPES = ["penalty", "liquidated_damages"]
 RENEWAL_TYPES = ["renewal", "auto-renewal"]
 
 
-def _typed(df: DataFrame, result_type: str, into: str, **fields: Column) -> DataFrame:
-    """Assemble a full result struct; fields that no rule fills are null of their declared type."""
-    cols = [
-        (fields[f.name].cast(f.dataType) if f.name in fields else F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in schemas.struct_type(result_type).fields
-    ]
-    return df.withColumn(into, F.struct(*cols))
+def _typed(result_type: str, **fields: Column) -> Column:
+    """A full result struct; fields that no rule fills are null of their declared type."""
+    return F.struct(
+        *[
+            (fields[f.name] if f.name in fields else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schemas.struct_type(result_type).fields
+        ]
+    )
 
 
 def _record(dtype_path: tuple[str, str], **values: Column) -> Column:
@@ -44,8 +46,8 @@ def _record(dtype_path: tuple[str, str], **values: Column) -> Column:
     )
 
 
-def _path(df: DataFrame) -> dict[str, Column]:
-    return {"document_path": F.col("path")} if "path" in df.columns else {}
+def _path(df: DataFrame) -> Column | None:
+    return F.col("path") if "path" in df.columns else None
 
 
 # --- invoices (X8, X9) -------------------------------------------------------------------------
@@ -80,19 +82,24 @@ def extract_line_items(df: DataFrame, text: str = "text", *keep: str) -> DataFra
 
 def extract_invoice(df: DataFrame, text: str = "text", into: str = "invoice") -> DataFrame:
     """Invoice header, parties, totals, terms and line items."""
-    t, get = F.col(text), tx.labelled
+    return df.withColumn(into, invoice_of(F.col(text), _path(df)))
+
+
+def invoice_of(text: Column, path: Column | None = None) -> Column:
+    read = F.struct(tx.fields(text).alias("f"), tx.payment_terms(text).alias("terms"))
+    return tx.let(read, lambda r: _invoice(r["f"], r["terms"], path))
+
+
+def _invoice(f: Column, terms: Column, path: Column | None) -> Column:
+    get = partial(tx.labelled, f)
     total = get("total", "total amount", "amount due")
-    terms = F.col("_terms")
     discount = F.when(
         terms["percentage"].isNotNull(),
         F.struct(terms["percentage"].alias("percentage"), terms["days"].cast("double").alias("days")),
     )
-    read = tx.with_labels(df, text).withColumn("_terms", tx.payment_terms(t))
     return _typed(
-        read,
         "invoice",
-        into,
-        **_path(df),
+        document_path=F.lit(None) if path is None else path,
         document_type=F.lit("invoice"),
         metadata=_record(
             ("invoice", "metadata"),
@@ -114,7 +121,7 @@ def extract_invoice(df: DataFrame, text: str = "text", into: str = "invoice") ->
             address=get("customer address"),
             tax_id=get("customer tax id"),
         ),
-        line_items=line_items(t),
+        line_items=line_items(f["text"]),
         financial=_record(
             ("invoice", "financial"),
             subtotal=tx.to_amount(get("subtotal")),
@@ -136,7 +143,7 @@ def extract_invoice(df: DataFrame, text: str = "text", into: str = "invoice") ->
             ),
             early_payment_discount=discount,
         ),
-    ).drop("_labels", "_values", "_terms")
+    )
 
 
 def _leading_currency(amount: Column) -> Column:
@@ -147,8 +154,16 @@ def _leading_currency(amount: Column) -> Column:
 
 
 def extract_agreement(df: DataFrame, text: str = "text", into: str = "agreement") -> DataFrame:
-    """Agreement header, parties, key terms, obligations, renewal terms and signatures."""
-    t, get = F.col(text), tx.labelled
+    """Agreement header, parties, key terms, obligations, penalties, renewal terms and signatures."""
+    return df.withColumn(into, agreement_of(F.col(text), _path(df)))
+
+
+def agreement_of(text: Column, path: Column | None = None) -> Column:
+    return tx.let(tx.fields(text), lambda f: _agreement(f, path))
+
+
+def _agreement(f: Column, path: Column | None) -> Column:
+    t, get = f["text"], partial(tx.labelled, f)
     party_line = r"(?m)^Party \(([^)\n]+)\): ([^\n]+)$"
     duty_line = r"(?m)^Obligation \(([^)\n]+)\): ([^\n]+?)(?: by ([^\n]+))?$"
     penalty_line = r"(?i)[^.\n]*\bpenalt(?:y|ies)\b[^.\n]*"
@@ -194,10 +209,8 @@ def extract_agreement(df: DataFrame, text: str = "text", into: str = "agreement"
         ),
     )
     return _typed(
-        tx.with_labels(df, text),
         "agreement",
-        into,
-        **_path(df),
+        document_path=F.lit(None) if path is None else path,
         document_type=F.lit("agreement"),
         metadata=_record(
             ("agreement", "metadata"),
@@ -229,7 +242,7 @@ def extract_agreement(df: DataFrame, text: str = "text", into: str = "agreement"
             none.alias("renewal_terms_change"),
         ),
         signatures=signatures,
-    ).drop("_labels", "_values")
+    )
 
 
 NOTICE_PATTERN = r"(?i)notice of ([0-9]+ (?:day|week|month)s?)|([0-9]+ (?:day|week|month)s?)(?:'| of)? notice"
@@ -325,14 +338,21 @@ MRZ_LINES = r"(?m)^(P[A-Z<][A-Z<]{3}[A-Z0-9<]{39})\n([A-Z0-9<]{44})$"
 
 def extract_kyc(df: DataFrame, text: str = "text", into: str = "kyc") -> DataFrame:
     """Identity fields, address and the machine-readable zone if there is one."""
-    t, get = F.col(text), tx.labelled
-    zone = parse_mrz(F.regexp_extract(F.col("_zone"), MRZ_LINES, 1), F.regexp_extract(F.col("_zone"), MRZ_LINES, 2))
+    return df.withColumn(into, kyc_of(F.col(text), _path(df)))
+
+
+def kyc_of(text: Column, path: Column | None = None) -> Column:
+    read = F.struct(tx.fields(text).alias("f"), F.regexp_extract(text, MRZ_LINES, 0).alias("zone"))
+    return tx.let(read, lambda r: _kyc(r["f"], r["zone"], path))
+
+
+def _kyc(f: Column, lines: Column, path: Column | None) -> Column:
+    get = partial(tx.labelled, f)
+    zone = parse_mrz(F.regexp_extract(lines, MRZ_LINES, 1), F.regexp_extract(lines, MRZ_LINES, 2))
     full = get("full name", "name")
     return _typed(
-        tx.with_labels(df, text).withColumn("_zone", F.regexp_extract(t, MRZ_LINES, 0)),
         "kyc",
-        into,
-        **_path(df),
+        document_path=F.lit(None) if path is None else path,
         document_type=F.lit("kyc"),
         metadata=_record(
             ("kyc", "metadata"),
@@ -362,7 +382,7 @@ def extract_kyc(df: DataFrame, text: str = "text", into: str = "kyc") -> DataFra
             billing_period=get("billing period"),
             amount_due=tx.to_amount(get("amount due")),
         ),
-    ).drop("_labels", "_values", "_zone")
+    )
 
 
 # --- receipts (X16) ------------------------------------------------------------------------------
@@ -370,7 +390,15 @@ def extract_kyc(df: DataFrame, text: str = "text", into: str = "kyc") -> DataFra
 
 def extract_receipt(df: DataFrame, text: str = "text", into: str = "receipt") -> DataFrame:
     """Store, transaction, items, totals, payment, promotion and loyalty fields."""
-    t, get = F.col(text), tx.labelled
+    return df.withColumn(into, receipt_of(F.col(text)))
+
+
+def receipt_of(text: Column) -> Column:
+    return tx.let(tx.fields(text), _receipt)
+
+
+def _receipt(f: Column) -> Column:
+    t, get = f["text"], partial(tx.labelled, f)
     total = get("total")
     items = F.transform(
         line_items(t),
@@ -384,9 +412,7 @@ def extract_receipt(df: DataFrame, text: str = "text", into: str = "receipt") ->
         ),
     )
     return _typed(
-        tx.with_labels(df, text),
         "receipt",
-        into,
         store=_record(
             ("receipt", "store"),
             name=get("store"),
@@ -424,7 +450,7 @@ def extract_receipt(df: DataFrame, text: str = "text", into: str = "receipt") ->
             points_redeemed=get("points redeemed", value="[0-9]+").try_cast("double"),
             points_balance=get("points balance", value="[0-9]+").try_cast("double"),
         ),
-    ).drop("_labels", "_values")
+    )
 
 
 def receipt_time(raw: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_validation", "q_links", "q_classify", "q_extract"]
+MODULES = ["q_validation", "q_links", "q_classify", "q_extract", "q_containers", "q_streams"]
 
 
 def load_all() -> None:

@@ -471,3 +471,89 @@ def method_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "documents").filter(k % 10 != 3)
     return rows.select("doc_id", F.explode(tries).alias("t")).select("doc_id", "t.*")
+
+
+# --- containers ------------------------------------------------------------------------------------
+
+
+def lineage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A three-level tree over the documents: source -> box of ten -> document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    box = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 10).cast("string"))
+    node = lambda kind, key: F.concat(F.lit(f"{kind}:"), key)
+    nothing = F.lit(None).cast("string")
+    leaves = docs.select(
+        node("doc", F.col("doc_id").cast("string")).alias("document_id"), node("src", F.col("source")).alias("root_id"),
+        node("box", box).alias("parent_id"), F.lit("document").alias("container_type"), F.lit(2).alias("extraction_depth"),
+        F.sha2("text", 256).alias("file_hash"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"),
+    )
+    boxes = docs.select(box.alias("b"), "source").distinct().select(
+        node("box", F.col("b")).alias("document_id"), node("src", F.col("source")).alias("root_id"),
+        node("src", F.col("source")).alias("parent_id"), F.lit("archive").alias("container_type"),
+        F.lit(1).alias("extraction_depth"), nothing.alias("file_hash"),
+        F.concat(F.substring_index("b", "/", -1), F.lit(".zip")).alias("file_name"),
+    )
+    sources = docs.select("source").distinct().select(
+        node("src", F.col("source")).alias("document_id"), node("src", F.col("source")).alias("root_id"),
+        nothing.alias("parent_id"), F.lit("archive").alias("container_type"), F.lit(0).alias("extraction_depth"),
+        nothing.alias("file_hash"), F.concat(F.col("source"), F.lit(".tar")).alias("file_name"),
+    )
+    return leaves.unionByName(boxes).unionByName(sources)
+
+
+def member_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of e-mail attachments, many repeated inside one message and some with forbidden characters."""
+    i = F.col("i")
+    return table(spark, sf_dir, "orders").select(
+        F.floor(F.col("o_orderkey") / 50).cast("string").alias("parent_id"), (F.col("o_orderkey") % 50).alias("i")
+    ).select(
+        "parent_id", i.alias("ordinal"),
+        F.when(i % 3 == 0, F.concat(F.lit("scan"), (i % 4).cast("string"), F.lit(".pdf")))
+        .when(i % 3 == 1, F.concat(F.lit(" in:voice/"), (i % 2).cast("string"), F.lit(".pdf ")))
+        .otherwise(F.lit("readme")).alias("name"),
+    )
+
+
+def zipped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A real ZIP file per document, made inside the partitions: the text, a copy of it, a nested ZIP
+    with the language, and a junk member."""
+
+    def build(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        def packed(members):
+            buf = io.BytesIO()
+            with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+                for name, data in members:
+                    zf.writestr(name, data)
+            return buf.getvalue()
+
+        for batch in batches:
+            out = []
+            for doc_id, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"]):
+                inner = packed([("lang.txt", f"{doc_id} {lang}"), ("again.txt", text)])
+                members = [("text.txt", text), ("copy.txt", text), ("inner.zip", inner), ("__MACOSX/text.txt", "junk")]
+                out.append((f"box/{doc_id}.zip", packed(members)))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return docs.mapInPandas(build, "path STRING, content BINARY")
+
+
+def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An e-mail per conversation turn: the turn as body and two attachments of the same name."""
+    key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    part = lambda *lines: F.concat(F.lit("--=edge=\n"), *[F.lit(x) if isinstance(x, str) else x for x in lines])
+    attachment = lambda text: part(
+        'Content-Type: application/octet-stream\nContent-Disposition: attachment; filename="no:te.txt"\n\n', text, "\n"
+    )
+    raw = F.concat(
+        F.lit("Subject: turn "), key, F.lit("\nFrom: "), F.col("role"), F.lit("@example.org\nTo: desk@example.org\nMessage-ID: <"), key,
+        F.lit('@example.org>\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="=edge="\n\n'),
+        part("Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n", F.col("text"), "\n"),
+        attachment(F.concat(F.lit("first "), key)), attachment(F.concat(F.lit("second "), key)), F.lit("--=edge=--\n"),
+    )
+    return table(spark, sf_dir, "conversations").select(key.alias("document_id"), raw.cast("binary").alias("content"))
