@@ -416,9 +416,9 @@ def decompose(
             lineage.append(_lineage(deep))
             documents.append(deep.select(*NODE, "note"))
             break
-        fresh = dedup_by_hash(frontier.withColumn("file_hash", content_hash(F.col("content"))))
-        if seen is not None:
-            fresh = fresh.join(seen, ["root_id", "file_hash"], "left_anti")
+        fresh = frontier.withColumn("file_hash", content_hash(F.col("content")))
+        if seen is not None:  # a root is alone at level 0: files are read once and not shuffled
+            fresh = dedup_by_hash(fresh).join(seen, ["root_id", "file_hash"], "left_anti")
         level = cut(fresh.withColumn("kind", container_type(F.col("path"))))
         hashes = level.select("root_id", "file_hash")
         seen = hashes if seen is None else seen.unionByName(hashes)
