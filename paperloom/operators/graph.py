@@ -21,22 +21,28 @@ def edge_degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("path").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def _with_minimum(directed: DataFrame, hot_rows: int) -> DataFrame:
-    """Edges (u, v) with the least id `m` among u and its neighbours; hot u are split."""
-    minima = directed.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.least(F.min("v"), F.first("u")).alias("m"))
+def _minima(directed: DataFrame) -> DataFrame:
+    """Per node u its number of edges and the least id `m` among u and its neighbours."""
+    return directed.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.least(F.min("v"), F.col("u")).alias("m"))
+
+
+def _pointed(directed: DataFrame, minima: DataFrame, hot_rows: int) -> DataFrame:
+    """Every edge (u, v) with the minimum of u; a u with very many edges is split over tasks."""
     return join_groups(directed, minima, ["u"], F.col("v"), hot_rows=hot_rows)
 
 
 def _large_star(edges: DataFrame, hot_rows: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_minimum(both, hot_rows).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    pointed = _pointed(both, _minima(both), hot_rows).filter(F.col("v") > F.col("u"))
+    return pointed.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame, hot_rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    joined = _with_minimum(down, hot_rows)
-    own = down.groupBy("u").agg(F.min("v").alias("v"))
-    return joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own)
+    minima = _minima(down)
+    pointed = _pointed(down, minima, hot_rows).filter(F.col("v") != F.col("m"))
+    own = minima.select("u", F.col("m").alias("v"))
+    return pointed.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).distinct()
 
 
 def connected(edges: DataFrame, hot_rows: int = HOT_ROWS, max_rounds: int = 64) -> DataFrame:
@@ -54,7 +60,7 @@ def connected(edges: DataFrame, hot_rows: int = HOT_ROWS, max_rounds: int = 64)
     )
     fingerprint = _fingerprint(current)
     for _ in range(max_rounds):
-        current = cut(_small_star(_large_star(current, hot_rows).distinct(), hot_rows).distinct())
+        current = cut(_small_star(cut(_large_star(current, hot_rows)), hot_rows))
         after = _fingerprint(current)
         if after == fingerprint:
             break

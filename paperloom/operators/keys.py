@@ -39,9 +39,14 @@ def keep_first_ids(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def hot_keys(groups: DataFrame, keys: Sequence[str], n: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The largest groups, at most HOT_KEYS of them: a list small enough to broadcast by definition."""
+    """The largest groups, at most HOT_KEYS of them: a list small enough to broadcast by definition.
+
+    The second filter is always true. It only mentions every column, so that the aggregation below is
+    the same as the one `groups` itself runs and Spark reuses its shuffle instead of repeating it.
+    """
     return (
         groups.filter(F.col(n) >= hot_rows)
+        .filter(F.xxhash64(*groups.columns) % 2 >= -1)
         .orderBy(F.col(n).desc(), *keys)
         .limit(HOT_KEYS)
         .select(*keys, F.lit(True).alias("_hot"))

@@ -38,7 +38,8 @@ EVIDENCE_ENTITIES = 5
 DETECTORS = ("filename_pattern", "entity_matching")
 
 # Our own choices where only an intent is documented.
-REFERENCE_PATTERN = r"\b(?:INV|PO|AGR)-[0-9]+(?:-[0-9]+)*"
+REFERENCE_CANDIDATE = r"\b[IPA](?:NV|O|GR)-[0-9]+(?:-[0-9]+)*"  # one character class first: fast to scan
+REFERENCE_START = r"^(?:INV|PO|AGR)-"
 AMOUNT_CONFIDENCE = 0.8
 PERIOD_CONFIDENCE = 0.5
 TEMPORAL_DAYS = 30
@@ -328,14 +329,9 @@ def link_reference(
 
     `n_targets` counts all other holders; they share `group_key`, so none is lost.
     """
-    mentions = df.select(
-        "ord",
-        "path",
-        F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(REFERENCE_PATTERN), F.lit(0)))).alias(
-            "group_key"
-        ),
-        F.col(own_id).alias("_own"),
-    )
+    found = F.regexp_extract_all(F.col(text), F.lit(REFERENCE_CANDIDATE), F.lit(0))
+    ids = F.array_distinct(F.filter(found, lambda m: m.rlike(REFERENCE_START)))
+    mentions = df.select("ord", "path", F.explode(ids).alias("group_key"), F.col(own_id).alias("_own"))
     holders = _side_stats(df.filter(F.col(own_id).isNotNull()).withColumnRenamed(own_id, "group_key"), "holder")
     sized = holders.join(mentions.groupBy("group_key").agg(F.count(F.lit(1)).alias("n")), "group_key")
     joined = join_groups(mentions, sized, ["group_key"], F.col("ord"), hot_rows=hot_rows)
@@ -370,10 +366,11 @@ def temporal_confidence(days_apart: Column, days: int) -> Column:
 def link_temporal(df: DataFrame, block: str, date: str, days: int = TEMPORAL_DAYS) -> DataFrame:
     """Documents of one block at most `days` apart, as links between its calendar days.
 
-    Rows are first reduced to (block, day) cells. A cell is then matched with the `days` cells after
-    it by an equi-join on (block, day): at most days+1 output rows per cell, whatever the number of
-    documents, and no key larger than one cell. `n_pairs` documents pairs stand behind each row;
-    source and target are the cells' first documents (first and last within one day).
+    Rows are first reduced to (block, day) cells. A cell then meets the later cells of its own and the
+    next bin of `days` days in an equi-join on (block, bin). A bin holds at most `days` cells, so no key
+    grows with the number of documents and a cell has at most `days` partners. `n_pairs` document pairs
+    stand behind each row; source and target are the cells' first documents (first and last within one
+    day).
     """
     cells = (
         df.filter(F.col(block).isNotNull() & F.col(date).isNotNull())
@@ -383,22 +380,25 @@ def link_temporal(df: DataFrame, block: str, date: str, days: int = TEMPORAL_DAY
             F.min(F.struct("ord", "path")).alias("first"),
             F.max(F.struct("ord", "path")).alias("last"),
         )
+        .withColumn("bin", F.floor(F.unix_date("day") / days))
     )
     earlier = cells.select(
-        "block",
-        F.col("day").alias("day_a"),
-        F.col("n").alias("n_a"),
-        F.col("first").alias("first_a"),
-        F.explode(F.sequence(F.lit(1), F.lit(days))).alias("gap"),
-    ).withColumn("day", F.date_add("day_a", F.col("gap")))
-    across = earlier.join(cells, ["block", "day"]).select(
-        "block",
-        "day_a",
-        F.col("day").alias("day_b"),
-        F.col("gap").alias("days_apart"),
-        (F.col("n_a") * F.col("n")).alias("n_pairs"),
-        F.col("first_a.path").alias("source"),
-        F.col("first.path").alias("target"),
+        "block", "bin", F.col("day").alias("day_a"), F.col("n").alias("n_a"), F.col("first").alias("first_a")
+    )
+    later = cells.select("block", "day", "n", "first", F.explode(F.array("bin", F.col("bin") - 1)).alias("bin"))
+    gap = F.datediff("day", "day_a")
+    across = (
+        earlier.join(later, ["block", "bin"])
+        .filter(gap.between(1, days))
+        .select(
+            "block",
+            "day_a",
+            F.col("day").alias("day_b"),
+            gap.alias("days_apart"),
+            (F.col("n_a") * F.col("n")).alias("n_pairs"),
+            F.col("first_a.path").alias("source"),
+            F.col("first.path").alias("target"),
+        )
     )
     within = cells.filter(F.col("n") > 1).select(
         "block",

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from paperloom.sources.corpus import spread
+
 MONEY = "decimal(18,2)"
 
 
@@ -199,7 +201,7 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array(F.concat(F.lit("Deal"), text, F.lit("_v1.pdf")), F.concat(F.lit("deal"), text, F.lit("-v2.pdf"))))
     )
     return (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
         .select("o_orderkey", "o_custkey", F.posexplode(names).alias("i", "path"))
         .select(
             (key * 2 + F.col("i")).alias("ord"),
@@ -218,7 +220,7 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     stems = F.array(*[F.lit(s) for s in STEMS])
     suffixes = F.array(*[F.lit(s) for s in SUFFIXES])
     hints = F.array(*[F.lit(h) for h in HINTS])
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(
         "o_orderkey",
         F.concat(
             F.lit("in/"),
@@ -264,7 +266,10 @@ def _line(label: str, *values: Column) -> Column:
 
 def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rendered invoice per lineitem row: two items, charges, terms, dates in four spellings."""
-    rows = table(spark, sf_dir, "lineitem").select(
+    raw = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"
+    )
+    rows = spread(raw).select(
         F.col("l_orderkey").alias("k"),
         F.col("l_linenumber").alias("n"),
         F.col("l_suppkey").alias("s"),
@@ -338,7 +343,7 @@ def agreement_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def identity_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rendered passport per customer, zone included."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))
     k = F.col("c_custkey")
     surname = F.concat(F.lit("NAME"), F.translate((k % 1000).cast("string"), "0123456789", "ABCDEFGHIJ"))
     given = F.concat(F.lit("GIVEN"), F.translate(F.col("c_nationkey").cast("string"), "0123456789", "KLMNOPQRST"))
@@ -372,7 +377,8 @@ def identity_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def receipt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rendered till receipt per order."""
-    rows = table(spark, sf_dir, "orders").select(
+    raw = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    rows = spread(raw).select(
         F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("m"), F.col("o_orderdate").cast("date").alias("d"),
         F.round(F.col("o_totalprice") * 100).cast("bigint").alias("c"),
     )
@@ -406,7 +412,7 @@ def medical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Diagnosis: E"), F.lpad((k % 90 + 10).cast("string"), 2, "0"), F.lit(".9 and I10.\nProcedures: "),
         code(k % 2500), F.lit(", "), code((k + 7) % 2500), F.lit("; repeated "), code(k % 2500), F.lit("."),
     )
-    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), body.alias("text"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(k.alias("doc_id"), body.alias("text"))
 
 
 def medical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -539,7 +545,7 @@ def zipped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append((f"box/{doc_id}.zip", packed(members)))
             yield pd.DataFrame(out, columns=["path", "content"])
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return docs.mapInPandas(build, "path STRING, content BINARY")
 
 
