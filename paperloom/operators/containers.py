@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from paperloom.functions.paths import file_name, suffix
-from paperloom.operators.keys import keep_first_ids
+from paperloom.operators.keys import HOT_ROWS, join_skewed, keep_first_ids
 from paperloom.session import cut
 
 # Container suffixes in matching order, junk names, forbidden characters, depth.
@@ -222,6 +222,24 @@ def explode_archives(
     return taken.mapInArrow(_archive_mapper(max_member_bytes, list(carry), to_arrow_schema(out)), out)
 
 
+def register_unpack(spark: SparkSession, name: str = "unpack", max_member_bytes: int = MAX_MEMBER_BYTES) -> None:
+    """The archive unpacker as a table function for SQL (U2):
+    `SELECT f.path, m.* FROM files f, LATERAL unpack(f.path, f.content) m`."""
+    mapper = _archive_mapper(max_member_bytes, [], to_arrow_schema(T.StructType.fromDDL(MEMBER_DDL)))
+
+    class Unpack:
+        def eval(self, path: str, content: bytes):
+            import pyarrow as pa
+
+            one = pa.RecordBatch.from_pylist([{"document_id": path, "path": path, "content": bytes(content)}])
+            for batch in mapper(iter([one])):
+                for m in batch.to_pylist():
+                    yield m["ordinal"], m["name"], m["content"], m["error"]
+
+    ddl = "ordinal BIGINT, name STRING, content BINARY, error STRING"
+    spark.udtf.register(name, F.udtf(Unpack, returnType=ddl))
+
+
 def _email_mapper(carry: Sequence[str], schema) -> Callable:
     flush_bytes, flush_rows = FLUSH_BYTES, FLUSH_ROWS
 
@@ -331,20 +349,18 @@ def dedup_by_hash(
 
 
 def dedup_and_replicate(
-    df: DataFrame, compute: Callable[[DataFrame], DataFrame], id_col: str = "document_id", hot_rows: int | None = None
+    df: DataFrame, compute: Callable[[DataFrame], DataFrame], id_col: str = "document_id", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Run `compute` once per distinct content and hand its result to every copy.
 
     `compute` gets one row per hash and must keep `file_hash`; all copies are joined back on it, with
     heavily copied hashes split over tasks.
     """
-    from paperloom.operators.keys import HOT_ROWS, join_skewed
-
     unique = keep_first_ids(df, ["file_hash"], [F.col(id_col)], id_col)
     results = compute(unique)
     added = [c for c in results.columns if c not in df.columns]
     narrow = results.select("file_hash", *added)
-    return join_skewed(df, narrow, ["file_hash"], F.col(id_col), "left", hot_rows or HOT_ROWS)
+    return join_skewed(df, narrow, ["file_hash"], F.col(id_col), "left", hot_rows)
 
 
 # --- recursive decomposition (C8, C11, C16) --------------------------------------------------------
@@ -489,34 +505,39 @@ def children_counts(lineage: DataFrame) -> DataFrame:
     )
 
 
-def lineage_chain(lineage: DataFrame, ids: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+def _chains(lineage: DataFrame, wanted: DataFrame, step: Column, max_depth: int, hot_rows: int) -> DataFrame:
+    """Per wanted node the list of `step` values from the root down to it. Levels are written out, as
+    each one reads its predecessor twice (to count hot parents and to join)."""
+    up = lineage.select(F.col("document_id").alias("_next"), F.col("parent_id").alias("_above"), step.alias("_step"))
+    chain = wanted.select("document_id", F.array(step).alias("chain"), F.col("parent_id").alias("_next"))
+    for _ in range(max_depth + 1):
+        joined = join_skewed(chain, up, ["_next"], F.col("document_id"), "left", hot_rows)
+        longer = F.when(F.col("_step").isNotNull(), F.concat(F.array("_step"), "chain")).otherwise(F.col("chain"))
+        chain = cut(joined.select("document_id", longer.alias("chain"), F.col("_above").alias("_next")))
+        if chain.filter("_next IS NOT NULL").isEmpty():
+            break
+    return chain.select("document_id", "chain", F.size("chain").alias("length"))
+
+
+def lineage_chain(
+    lineage: DataFrame, ids: DataFrame | None = None, max_depth: int = MAX_DEPTH, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Root -> node chain and its length (C13); it starts where a parent is absent.
 
     A node lies at most max_depth + 1 levels deep, so the chain takes that many joins on the unique
-    id, of which each can broadcast or shuffle as the sizes ask for.
+    id. A parent with very many children is split over tasks.
     """
     wanted = lineage if ids is None else lineage.join(ids.select("document_id").distinct(), "document_id", "left_semi")
-    up = lineage.select(F.col("document_id").alias("_next"), F.col("parent_id").alias("_above"))
-    chain = wanted.select(
-        "document_id", F.array("document_id").alias("chain"), F.col("parent_id").alias("_next")
-    )
-    for _ in range(max_depth + 1):
-        chain = chain.join(up.withColumn("_found", F.lit(True)), "_next", "left").select(
-            "document_id",
-            F.when(F.col("_found"), F.concat(F.array("_next"), "chain")).otherwise(F.col("chain")).alias("chain"),
-            F.col("_above").alias("_next"),
-        )
-    return chain.select("document_id", "chain", F.size("chain").alias("length"))
+    return _chains(lineage, wanted, F.col("document_id"), max_depth, hot_rows)
 
 
-def document_tree(lineage: DataFrame, names: str = "metadata.file_name", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Flat list and tree of a package: every node with its path of names from the root, in tree order (C14)."""
-    name = lineage.select("document_id", F.col(names).alias("name"))
-    steps = lineage_chain(lineage, max_depth=max_depth).select("document_id", "length", F.posexplode("chain").alias("i", "_step"))
-    named = steps.join(name.withColumnRenamed("document_id", "_step"), "_step")
-    return named.groupBy("document_id", "length").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "name"))), lambda s: s["name"]), "/").alias("tree_path")
-    ).withColumnRenamed("length", "level")
+def document_tree(
+    lineage: DataFrame, names: str = "metadata.file_name", max_depth: int = MAX_DEPTH, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Flat list and tree of a package: every node with its path of names from the root (C14). Sorting
+    by `tree_path` prints the tree."""
+    chains = _chains(lineage, lineage, F.coalesce(F.col(names), F.lit("")), max_depth, hot_rows)
+    return chains.select("document_id", F.array_join("chain", "/").alias("tree_path"), F.col("length").alias("level"))
 
 
 def preprocess_summary(documents: DataFrame, errors: DataFrame, roots: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom import schemas
 from paperloom.functions import text as tx
+from paperloom.operators.keys import join_skewed
 
 NUMBER = r"[A-Za-z0-9][A-Za-z0-9/_-]*"
 
@@ -535,7 +536,7 @@ def medical_code_counts(df: DataFrame, codes: DataFrame, doc: str = "doc_id", te
     """ICD-10 and CPT codes per document with counts and the code table's description.
 
     Mentions are counted inside each document's row first, so a code that fills a third of the texts
-    shuffles one row per document at most; `codes` (system, code, description) joins on its unique key.
+    shuffles one row per document at most, and the join to `codes` (system, code, description) is salted.
     """
     system = lambda name, c: F.transform(c, lambda x: F.struct(F.lit(name).alias("system"), x.alias("code")))
     found = F.concat(system("ICD-10", tx.icd10_codes(F.col(text))), system("CPT", tx.cpt_codes(F.col(text))))
@@ -548,4 +549,5 @@ def medical_code_counts(df: DataFrame, codes: DataFrame, doc: str = "doc_id", te
             )
         ).alias("e"),
     )
-    return counted.select(doc, "e.c.system", "e.c.code", "e.mentions").join(codes, ["system", "code"], "left")
+    mentions = counted.select(doc, "e.c.system", "e.c.code", "e.mentions")
+    return join_skewed(mentions, codes, ["system", "code"], F.col(doc), "left")

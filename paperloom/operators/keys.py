@@ -89,13 +89,15 @@ def join_skewed(
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join of a fact side (`left`, possibly skewed) with a smaller side (`right`).
 
     Hot keys are found by a map-side-combined count of the left side; only the right rows of those
-    keys are repeated. Left rows with a null key are kept by `how="left"` as in any outer join.
+    keys are repeated. Left rows with a null key are kept by `how="left"` as in any outer join. When
+    `left` is costly, `counted` names a cheaper DataFrame with the same key columns to count instead.
     """
-    groups = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    groups = (left if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = F.broadcast(hot_keys(groups, keys, "_n", hot_rows))
     salted_left = left.join(hot, list(keys), "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))

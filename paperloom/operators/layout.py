@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from paperloom.operators.keys import first_per_key
+from paperloom.operators.keys import first_per_key, join_skewed
 
 # Fixed values
 EMBEDDED_TEXT_ABOVE = 100
@@ -62,12 +62,13 @@ def ocr_blocks(tokens: DataFrame, doc: str = "doc_id") -> DataFrame:
 def grid_to_records(cells: DataFrame, table: Sequence[str] = ("table_id",)) -> DataFrame:
     """Cell grid to (row, header, value) records (X4): row 0 is the header, cells beyond it are dropped.
 
-    The header row is joined to the cells by (table, column); a record is left as rows of fields, see
+    The header row is joined to the cells by (table, column), a very long table in parts; a record is left as rows of fields, see
     `records_as_maps` for one map per row.
     """
     keys = [*table, "column"]
     headers = cells.filter(F.col("row") == 0).select(*keys, F.col("value").alias("header"))
-    return cells.filter(F.col("row") > 0).join(headers, keys).select(*table, "row", "column", "header", "value")
+    body = cells.filter(F.col("row") > 0)
+    return join_skewed(body, headers, keys, F.col("row")).select(*table, "row", "column", "header", "value")
 
 
 def records_as_maps(records: DataFrame, table: Sequence[str] = ("table_id",)) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.functions.paths import last_segment
-from paperloom.operators.keys import HOT_ROWS, join_groups
+from paperloom.operators.keys import HOT_ROWS, join_groups, join_skewed
 
 # File-name patterns, link types, confidences and thresholds.
 FILENAME_RULES = [
@@ -44,13 +44,14 @@ AMOUNT_CONFIDENCE = 0.8
 PERIOD_CONFIDENCE = 0.5
 TEMPORAL_DAYS = 30
 
+COUNT = "decimal(38,0)"
 MEMBER = ["type", "group_key", "ord", "path", "confidence", "evidence"]
 GROUP = ["type", "group_key"]
 
 
 def pairs_in(n: Column) -> Column:
-    """Number of unordered pairs among n members."""
-    return (n * (n - 1) / 2).cast("bigint")
+    """Number of unordered pairs among n members; decimal, as a big group's count leaves 64 bits."""
+    return (n.cast("decimal(19,0)") * (n - 1).cast("decimal(18,0)") / 2).cast(COUNT)
 
 
 def _members(df: DataFrame, type_: Column, key: Column, confidence: float, evidence: Column) -> DataFrame:
@@ -194,7 +195,7 @@ def pairs_of(members: DataFrame, wanted: DataFrame) -> DataFrame:
         *GROUP, F.struct("ord", "path").alias("a")
     )
     other = members.select(*GROUP, F.struct("ord", "path").alias("b"), "confidence", "evidence")
-    pairs = other.join(asked, GROUP).filter(F.col("a.ord") != F.col("b.ord"))
+    pairs = join_skewed(other, asked, GROUP, F.col("b.ord")).filter(F.col("a.ord") != F.col("b.ord"))
     return (
         pairs.select(
             F.least("a", "b").alias("s"), F.greatest("a", "b").alias("t"), *GROUP, "confidence", "evidence"
@@ -260,7 +261,7 @@ def entity_pair_counts(df: DataFrame, entities: str = "entities") -> DataFrame:
         F.col("group_key").alias("entity"), entity_signature(F.col("entities")).alias("signature")
     )
     per_signature = members.groupBy("entity", "signature").agg(F.count(F.lit(1)).alias("n"))
-    full = F.when(F.col("signature").isNotNull(), pairs_in(F.col("n"))).otherwise(F.lit(0).cast("bigint"))
+    full = F.when(F.col("signature").isNotNull(), pairs_in(F.col("n"))).otherwise(F.lit(0).cast(COUNT))
     totals = per_signature.groupBy("entity").agg(F.sum("n").alias("n_docs"), F.sum(full).alias("n_pairs_full"))
     return totals.select(
         "entity",
@@ -318,7 +319,7 @@ def link_invoice_orders(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         F.lit(FILENAME_CONFIDENCE).alias("confidence"),
         F.concat(F.lit("Filename pattern match: "), F.col("group_key")).alias("evidence"),
         "group_key",
-        (F.col("n_invoice") * F.col("n_order")).alias("n_pairs"),
+        (F.col("n_invoice").cast("decimal(19,0)") * F.col("n_order").cast("decimal(18,0)")).alias("n_pairs"),
     )
 
 
@@ -395,7 +396,7 @@ def link_temporal(df: DataFrame, block: str, date: str, days: int = TEMPORAL_DAY
             "day_a",
             F.col("day").alias("day_b"),
             gap.alias("days_apart"),
-            (F.col("n_a") * F.col("n")).alias("n_pairs"),
+            (F.col("n_a").cast("decimal(19,0)") * F.col("n").cast("decimal(18,0)")).alias("n_pairs"),
             F.col("first_a.path").alias("source"),
             F.col("first.path").alias("target"),
         )

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paperloom.operators.keys import HOT_ROWS, join_groups
+from paperloom.operators.keys import HOT_ROWS, join_groups, join_skewed
 
 TYPE = "semantic_similarity"
 
@@ -46,8 +46,12 @@ def link_semantic(
     return scored.filter(F.col("similarity") >= minimum).withColumn("type", F.lit(TYPE))
 
 
-def score_edges(edges: DataFrame, vectors: DataFrame, doc: str = "path", vector: str = "embedding") -> DataFrame:
-    """Cosine along the edges another detector found (source, target)."""
+def score_edges(
+    edges: DataFrame, vectors: DataFrame, doc: str = "path", vector: str = "embedding", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Cosine along the edges another detector found (source, target); a source with very many edges,
+    as the first document of a big group has, is split over tasks."""
     side = lambda name: vectors.select(F.col(doc).alias(name), F.col(vector).alias(f"_{name}"))
-    joined = edges.join(side("source"), "source").join(side("target"), "target")
+    with_source = join_skewed(edges, side("source"), ["source"], F.col("target"), hot_rows=hot_rows)
+    joined = join_skewed(with_source, side("target"), ["target"], F.col("source"), hot_rows=hot_rows, counted=edges)
     return joined.withColumn("similarity", cosine(F.col("_source"), F.col("_target"))).drop("_source", "_target")

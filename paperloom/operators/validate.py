@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from paperloom import schemas
 
@@ -270,6 +270,12 @@ def combine_types(
     return joined.select(*cols), merged
 
 
+def register_validator(spark: SparkSession, name: str, argument: str, returns: str, expression: str) -> None:
+    """A user rule as a SQL function, e.g. `register_validator(spark, "tax_id_ok", "x STRING", "BOOLEAN",
+    "x RLIKE '^[0-9]{9}$'")` (U1). Catalyst inlines it, so it costs what the expression costs."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({argument}) RETURNS {returns} RETURN {expression}")
+
+
 def apply_validator(df: DataFrame, name: str, valid: Column, formatted: Column) -> DataFrame:
     """Attach a user check as `<name>_valid` and `<name>_formatted`; both are ordinary columns, so a
     SQL function or a `pandas_udf` result fits as well as a built-in expression."""

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from paperloom.operators import classify as kl
 from paperloom.operators import link, scoring
+from paperloom.operators.keys import join_skewed
 
 # Fixed values
 TTL_HOURS = 168
@@ -89,7 +90,8 @@ def link_batches(store: str, edges: str, hot_rows: int = link.HOT_ROWS) -> Calla
         new.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
         new = spark.read.parquet(f"{store}/batch={batch_id}")
         stored = spark.read.parquet(store).filter(F.col("batch") <= batch_id)
-        known = stored.join(new.select(*link.GROUP).distinct(), link.GROUP, "left_semi")
+        wanted = new.select(*link.GROUP).distinct()
+        known = join_skewed(stored, wanted, link.GROUP, F.col("ord"), "left_semi", hot_rows)
         stats = link.group_stats(known)
         joined = link.join_groups(new, stats, link.GROUP, F.col("ord"), hot_rows=hot_rows)
         found = joined.filter(F.col("ord") != F.col("first.ord")).select(

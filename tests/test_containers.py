@@ -172,3 +172,20 @@ def test_replication_runs_once_per_content(spark):
     df = spark.createDataFrame([("1", "h"), ("2", "h"), ("3", "g")], "document_id STRING, file_hash STRING")
     out = c.dedup_and_replicate(df, lambda d: d.withColumn("made_from", F.col("document_id")), hot_rows=2)
     assert sorted((r["document_id"], r["made_from"]) for r in out.collect()) == [("1", "1"), ("2", "1"), ("3", "3")]
+
+
+def test_unpack_as_a_table_function(spark):
+    c.register_unpack(spark)
+    files(spark, [("x.zip", zip_bytes([("a", b"1"), ("b", b"2")])), ("y.zip", b"no")]).createOrReplaceTempView("packed")
+    rows = spark.sql("SELECT p.path, m.name, m.error FROM packed p, LATERAL unpack(p.path, p.content) m").collect()
+    assert sorted((r["path"], r["name"] or "") for r in rows) == [("x.zip", "a"), ("x.zip", "b"), ("y.zip", "")]
+    assert [r["error"] is not None for r in rows if r["path"] == "y.zip"] == [True]
+
+
+def test_chain_with_a_hot_parent(spark):
+    rows = [("r", None, "root")] + [(f"c{i}", "r", f"n{i}") for i in range(30)] + [("lost", "gone", "lost")]
+    df = spark.createDataFrame(rows, "document_id STRING, parent_id STRING, file_name STRING")
+    for hot in (3, 10**6):
+        got = {r["document_id"]: r["chain"] for r in c.lineage_chain(df, hot_rows=hot).collect()}
+        assert got["c7"] == ["r", "c7"] and got["r"] == ["r"] and got["lost"] == ["lost"] and len(got) == 32
+    assert {r["tree_path"] for r in c.document_tree(df, "file_name").collect()} >= {"root", "root/n7", "lost"}

@@ -247,3 +247,18 @@ def test_contract_choice(spark):
     po = spark.createDataFrame([("PO-1",)], "po_number STRING")
     assert [r["path"] for r in matching.matched_invoices(inv, po).collect()] == ["p1"]
     assert [r["path"] for r in matching.unmatched_invoices(inv, po).collect()] == ["p2"]
+
+
+def test_similarity_along_edges_and_to_the_group(spark):
+    from paperloom.operators import semantic
+
+    vectors = spark.createDataFrame([("a", "g", [1.0, 0.0]), ("b", "g", [1.0, 1.0]), ("c", "g", [0.0, 0.0])], "path STRING, label STRING, embedding ARRAY<FLOAT>")
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "a")], "source STRING, target STRING")
+    for hot in (1, 10**6):
+        got = {r["target"]: r["similarity"] for r in semantic.score_edges(edges, vectors, hot_rows=hot).collect()}
+        assert round(got["b"], 6) == 0.707107 and got["c"] is None and got["a"] == 1.0
+    near = {r["path"] for r in semantic.link_semantic(vectors, "label", "path", 0.9).collect()}
+    assert near == {"b"} or near == {"a", "b"}
+    mean = [2 / 3, 1 / 3]
+    cos_a = mean[0] / (mean[0] ** 2 + mean[1] ** 2) ** 0.5
+    assert ("a" in near) == (cos_a >= 0.9)

@@ -47,6 +47,10 @@ FROM pair_hits GROUP BY s, t, source, target""",
 }
 
 
+def _bigint(c):
+    return F.col(c).cast("bigint").alias(c)
+
+
 def _members(spark, sf_dir):
     return link.link_filename(inputs.file_names(spark, sf_dir))
 
@@ -79,7 +83,7 @@ FROM name_pairs GROUP BY ALL""",
     ),
 )
 def filename_pair_counts(spark, sf_dir):
-    return link.pair_counts(_members(spark, sf_dir)).select("type", "group_key", "n_pairs")
+    return link.pair_counts(_members(spark, sf_dir)).select("type", "group_key", _bigint("n_pairs"))
 
 
 @query(
@@ -131,7 +135,7 @@ WHERE regexp_matches(name, '^po[-_]?([0-9]+)')""",
 )
 def invoice_order_links(spark, sf_dir):
     edges = link.link_invoice_orders(inputs.file_names(spark, sf_dir))
-    return edges.select("source", "target", "group_key", "n_pairs")
+    return edges.select("source", "target", "group_key", _bigint("n_pairs"))
 
 
 def _letters(spark, sf_dir):
@@ -220,7 +224,8 @@ FROM (SELECT ord, vendor AS e FROM files UNION ALL SELECT ord, customer FROM fil
     ),
 )
 def entity_pair_counts(spark, sf_dir):
-    return link.entity_pair_counts(inputs.file_names(spark, sf_dir))
+    out = link.entity_pair_counts(inputs.file_names(spark, sf_dir))
+    return out.select("entity", "n_docs", _bigint("n_pairs_part"), _bigint("n_pairs_full"))
 
 
 @query(
@@ -247,7 +252,7 @@ def temporal_links(spark, sf_dir):
         F.col("day_b").cast("string").alias("day_b"),
         "days_apart",
         F.round("confidence", 6).alias("confidence"),
-        "n_pairs",
+        _bigint("n_pairs"),
     )
 
 
@@ -265,7 +270,7 @@ def period_links(spark, sf_dir):
     docs = inputs.invoices(spark, sf_dir).select(
         "ord", "path", F.col("vendor.name").alias("vendor"), F.col("metadata.invoice_date").alias("date")
     )
-    return link.pair_counts(link.link_period(docs, "vendor", "date")).drop("type")
+    return link.pair_counts(link.link_period(docs, "vendor", "date")).select("group_key", "n_docs", _bigint("n_pairs"))
 
 
 @query(
@@ -317,7 +322,8 @@ def relationships(spark, sf_dir):
     ),
 )
 def relationship_counts(spark, sf_dir):
-    return link.relationship_counts(inputs.file_names(spark, sf_dir))
+    out = link.relationship_counts(inputs.file_names(spark, sf_dir))
+    return out.select("detection_methods", _bigint("n_pairs"))
 
 
 @query(

@@ -433,13 +433,9 @@ FROM (SELECT c_custkey, lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || CASE W
 )
 def tax_id_validator(spark, sf_dir):
     """A user validator written as SQL functions, which Catalyst inlines into the projection."""
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION tax_id_ok(x STRING) RETURNS BOOLEAN RETURN x RLIKE '^[0-9]{2}-?[0-9]{7}$'"
-    )
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION tax_id_text(x STRING) RETURNS STRING "
-        "RETURN CASE WHEN tax_id_ok(x) THEN concat(left(replace(x, '-', ''), 2), '-', substr(replace(x, '-', ''), 3)) END"
-    )
+    validate.register_validator(spark, "tax_id_ok", "x STRING", "BOOLEAN", "x RLIKE '^[0-9]{2}-?[0-9]{7}$'")
+    text = "CASE WHEN tax_id_ok(x) THEN concat(left(replace(x, '-', ''), 2), '-', substr(replace(x, '-', ''), 3)) END"
+    validate.register_validator(spark, "tax_id_text", "x STRING", "STRING", text)
     key = F.col("c_custkey")
     raw = F.concat(
         F.lpad((key % 100).cast("string"), 2, "0"),
@@ -456,6 +452,6 @@ def tax_id_validator(spark, sf_dir):
 @query("known_types", oracle("SELECT t AS document_type FROM (SELECT DISTINCT document_type AS t FROM scored UNION SELECT unnest(['invoice', 'agreement', 'kyc', 'receipt'])) WHERE t IS NOT NULL ORDER BY 1", "scored"))
 def known_types(spark, sf_dir):
     """Sorted distinct types: those with a schema and those seen in results (O1)."""
-    seen = inputs.scored_results(spark, sf_dir).select("document_type")
-    named = seen.select(F.explode(F.array(*[F.lit(t) for t in schemas.known_types()])).alias("document_type")).distinct()
-    return seen.distinct().unionByName(named).filter("document_type IS NOT NULL").distinct().orderBy("document_type")
+    seen = inputs.scored_results(spark, sf_dir).select("document_type").distinct()
+    named = seen.select(F.explode(F.array(*[F.lit(t) for t in schemas.known_types()])).alias("document_type"))
+    return seen.unionByName(named).filter("document_type IS NOT NULL").distinct().orderBy("document_type")
