@@ -46,7 +46,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 # A line `Label: value`; a remark in brackets after the label is not part of its name.
-LABEL_LINE = r"(?m)^ *([A-Za-z][A-Za-z #/]*[A-Za-z#])\.?(?: *\([^)\n]*\))? *: *([^\n]*[^\n ])"
+LABEL_LINE = r"(?m)^ *([A-Za-z][A-Za-z #/]*[A-Za-z#])\.?(?: *\([^)\n]*\))? *: *([^\r\n]*[^\r\n ])"
 
 
 def fields(text: Column) -> Column:

@@ -242,7 +242,9 @@ def test_contract_choice(spark):
     )
     best = {r["path"]: r["agreement_id"] for r in matching.contract_asof(inv, agr, hot_rows=1).collect()}
     assert best == {"p1": "B", "p2": None}
-    assert {r["agreement_id"] for r in matching.match_contracts(inv, agr, hot_rows=1).collect()} == {"A", "B", "C"}
+    matched = matching.match_contracts(inv, agr, hot_rows=1).collect()
+    assert sorted((r["agreement_id"], r["n_invoices"], float(r["total"])) for r in matched) == [("A", 1, 10.0), ("B", 1, 10.0), ("C", 1, 10.0)]
+    assert {(r["path"], r["agreement_id"]) for r in matching.contracts_of(inv, agr, hot_rows=1).collect()} == {("p1", x) for x in "ABC"}
     assert {r["agreement_id"]: r["over_limit"] for r in matching.over_limit(inv, agr).collect()} == {"A": True, "B": False, "C": False}
     po = spark.createDataFrame([("PO-1",)], "po_number STRING")
     assert [r["path"] for r in matching.matched_invoices(inv, po).collect()] == ["p1"]

@@ -354,20 +354,22 @@ FROM (SELECT i.path AS source, a.path AS target, 2 AS det, 'explicit_reference'
              'References ' || a.agreement_id AS evidence
       FROM inv i JOIN agr a ON a.agreement_id IN ('AGR-' || i.supp_key || '-' || (i.order_key % 4), 'AGR-' || i.supp_key || '-0')
       UNION ALL
-      SELECT i.path, a.path, 5, 'invoice_for_contract', 0.8::DOUBLE, 'In force: ' || a.agreement_id
-      FROM inv i JOIN agr a ON a.vendor = i.vendor AND i.invoice_date BETWEEN a.effective_date AND a.expiry_date)
+      SELECT path, 'contracts/' || best || '.pdf', 5, 'invoice_for_contract', 0.8::DOUBLE, 'In force: ' || best
+      FROM (SELECT i.path, max_by(agreement_id, (effective_date, -CAST(split_part(agreement_id, '-', 3) AS INTEGER))) AS best
+            FROM inv i JOIN agr a ON a.vendor = i.vendor AND i.invoice_date BETWEEN a.effective_date AND a.expiry_date
+            GROUP BY i.path))
 GROUP BY source, target""",
         "inv",
         "agr",
     ),
 )
 def consolidated_links(spark, sf_dir):
-    """Two detectors with directed pairs: explicit references and contracts in force."""
+    """Two detectors with directed pairs: explicit references and the contract in force."""
     by_text = link.link_reference(_letters(spark, sf_dir)).select(
         "source", "target", "type", "confidence", "evidence", F.lit(2).alias("detector")
     )
-    matched = matching.match_contracts(inputs.invoices(spark, sf_dir), inputs.agreements(spark, sf_dir))
-    by_contract = matched.select(
+    matched = matching.contract_asof(inputs.invoices(spark, sf_dir), inputs.agreements(spark, sf_dir))
+    by_contract = matched.filter("agreement_id IS NOT NULL").select(
         F.col("path").alias("source"),
         F.concat(F.lit("contracts/"), F.col("agreement_id"), F.lit(".pdf")).alias("target"),
         F.lit("invoice_for_contract").alias("type"),
@@ -417,14 +419,37 @@ def document_clusters(spark, sf_dir):
     "contract_match",
     oracle(
         """
-SELECT i.path, i.vendor, CAST(i.invoice_date AS VARCHAR) AS invoice_date, a.agreement_id
-FROM inv i JOIN agr a ON a.vendor = i.vendor AND i.invoice_date BETWEEN a.effective_date AND a.expiry_date""",
+SELECT i.vendor, CAST(i.invoice_date AS VARCHAR) AS invoice_date, a.agreement_id, count(*) AS n_invoices,
+       CAST(sum(total_amount) AS DOUBLE) AS total
+FROM inv i JOIN agr a ON a.vendor = i.vendor AND i.invoice_date BETWEEN a.effective_date AND a.expiry_date
+GROUP BY ALL""",
         "inv",
         "agr",
     ),
 )
 def contract_match(spark, sf_dir):
     out = matching.match_contracts(inputs.invoices(spark, sf_dir), inputs.agreements(spark, sf_dir))
+    return out.select(
+        "vendor",
+        F.col("invoice_date").cast("string").alias("invoice_date"),
+        "agreement_id",
+        "n_invoices",
+        F.col("total").cast("double").alias("total"),
+    )
+
+
+@query(
+    "contracts_of_invoices",
+    oracle(
+        """
+SELECT i.path, i.vendor, CAST(i.invoice_date AS VARCHAR) AS invoice_date, a.agreement_id
+FROM inv i JOIN agr a ON a.vendor = i.vendor AND i.invoice_date BETWEEN a.effective_date AND a.expiry_date""",
+        "inv",
+        "agr",
+    ),
+)
+def contracts_of_invoices(spark, sf_dir):
+    out = matching.contracts_of(inputs.invoices(spark, sf_dir), inputs.agreements(spark, sf_dir))
     return out.select("path", "vendor", F.col("invoice_date").cast("string").alias("invoice_date"), "agreement_id")
 
 

@@ -54,6 +54,27 @@ def stream_metrics(spark, sf_dir):
     )
 
 
+@query(
+    "incremental_links",
+    oracle(
+        """
+SELECT 'a/' || g.first || '/INV-' || k || '.pdf' AS source, 'a/' || event_id || '/INV-' || k || '.pdf' AS target,
+       'Filename pattern match: ' || k AS evidence
+FROM (SELECT event_id, event_id // 3 AS k FROM events) JOIN (SELECT event_id // 3 AS k, min(event_id) AS first FROM events GROUP BY 1) g USING (k)
+WHERE event_id <> g.first"""
+    ),
+)
+def incremental_links(spark, sf_dir):
+    """Documents arrive as a stream; each micro-batch is linked with everything stored before."""
+    key = F.col("event_id")
+    path = F.concat(F.lit("a/"), key.cast("string"), F.lit("/INV-"), F.floor(key / 3).cast("string"), F.lit(".pdf"))
+    arriving = _events(spark, sf_dir).select(key.alias("ord"), path.alias("path"))
+    base = f"{checkpoint_dir(spark)}/paperloom-links-{uuid.uuid4().hex}"
+    job = arriving.writeStream.foreachBatch(jobs.link_batches(f"{base}/store", f"{base}/edges"))
+    job.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/edges").select("source", "target", "evidence")
+
+
 @query("stream_dedup", oracle("SELECT event_id, user_id, event_type FROM events"))
 def stream_dedup(spark, sf_dir):
     """Every event arrives again an hour later for two thirds of them; each is written once."""
