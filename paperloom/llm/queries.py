@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom.llm.bpe import encode_documents
 from paperloom.llm.chat import rotate_perspectives
+from paperloom.llm.packing import pack_mixture
 from paperloom.llm.registry import ORACLES, QUERIES, query, table
 from paperloom.llm.thresholds import judge_quality
 from paperloom.llm.url_rules import judge_urls
@@ -48,6 +49,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+@query("op3_packed_mixture")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_mixture(table(spark, sf_dir, "documents"), RANKS_50K, public_tokenizers.PATTERN)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 @query("op4_quality_thresholds")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rejected_by", "n_lines")
