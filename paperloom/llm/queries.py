@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,10 +12,14 @@ from paperloom.llm.chat import rotate_perspectives
 from paperloom.llm.packing import pack_mixture
 from paperloom.llm.registry import ORACLES, QUERIES, query, table
 from paperloom.llm.thresholds import judge_quality
+from paperloom.llm.token_files import count_document_tokens
 from paperloom.llm.url_rules import judge_urls
+from paperloom.session import checkpoint_dir
 
 __all__ = ["ORACLES", "QUERIES"]
 
+#: An id that the vocabulary leaves free.
+END_OF_DOCUMENT = 50256
 RANKS_50K = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 OP1 = r"""
@@ -70,6 +76,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_separator_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    counted = count_document_tokens(docs, folder, RANKS_50K, public_tokenizers.PATTERN, END_OF_DOCUMENT)
+    return counted.select("doc_id", "n_tokens")
+
+
 OP10 = r"""
 WITH u AS (
   SELECT page_id, coalesce(contains(url, '://'), false) AS has, substr(url, strpos(url, '://') + 3) AS rest FROM pages
