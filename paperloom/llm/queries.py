@@ -14,6 +14,7 @@ from paperloom.llm.registry import ORACLES, QUERIES, query, table
 from paperloom.llm.thresholds import judge_quality
 from paperloom.llm.token_files import count_document_tokens
 from paperloom.llm.url_rules import judge_urls
+from paperloom.llm.warc_salvage import read_archives, write_archives
 from paperloom.session import checkpoint_dir
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -76,6 +77,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_warc_salvage")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}"
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    records = read_archives(spark, folder, payloads=False).filter(F.col("gap").isNull())
+    return records.select(
+        F.col("record_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 @query("op8_separator_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
