@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom.llm.bpe import encode_documents
 from paperloom.llm.chat import rotate_perspectives
+from paperloom.llm.fingerprints import fingerprint_edits
 from paperloom.llm.packing import pack_mixture
 from paperloom.llm.registry import ORACLES, QUERIES, query, table
 from paperloom.llm.thresholds import judge_quality
@@ -91,6 +92,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_one_permutation")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 @query("op8_separator_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
