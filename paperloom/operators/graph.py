@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from paperloom.operators.keys import HOT_ROWS, join_groups
-from paperloom.session import cut
+from paperloom.session import cut, drop_cut
 
 
 def document_graph(docs: DataFrame, degrees: DataFrame, node: str = "path") -> DataFrame:
@@ -15,73 +15,60 @@ def document_graph(docs: DataFrame, degrees: DataFrame, node: str = "path") -> D
     )
 
 
-def edge_degrees(edges: DataFrame) -> DataFrame:
-    """Degree per endpoint of an edge table (each undirected pair once)."""
-    ends = edges.select(F.explode(F.array("source", "target")).alias("path"))
-    return ends.groupBy("path").agg(F.count(F.lit(1)).alias("degree"))
-
-
 def _minima(directed: DataFrame) -> DataFrame:
-    """Per node u its number of edges and the least id `m` among u and its neighbours."""
-    return directed.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.least(F.min("v"), F.col("u")).alias("m"))
-
+    """Per node u the least id `m` among u and its neighbours."""
+    return directed.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
-def _pointed(directed: DataFrame, minima: DataFrame, hot_rows: int) -> DataFrame:
-    """Every edge (u, v) with the minimum of u; a u with very many edges is split over tasks."""
-    return join_groups(directed, minima, ["u"], F.col("v"), hot_rows=hot_rows)
 
-
-def _large_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    pointed = _pointed(both, _minima(both), hot_rows).filter(F.col("v") > F.col("u"))
-    return pointed.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    pointed = both.join(_minima(both), "u").filter(F.col("v") > F.col("u"))
+    return pointed.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame, hot_rows: int) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    minima = _minima(down)
-    pointed = _pointed(down, minima, hot_rows).filter(F.col("v") != F.col("m"))
+def _small_star(edges: DataFrame) -> DataFrame:
+    minima = _minima(edges)
+    pointed = edges.join(minima, "u").filter(F.col("v") != F.col("m"))
     own = minima.select("u", F.col("m").alias("v"))
     return pointed.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).distinct()
 
 
-def connected(edges: DataFrame, hot_rows: int = HOT_ROWS, max_rounds: int = 64) -> DataFrame:
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u itself: then each v is the least node of its component."""
+    roles = edges.select("u", F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("v").alias("u"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    per_node = roles.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return per_node.filter(F.col("down") + F.col("up") > 1).isEmpty()
+
+
+def connected(edges: DataFrame) -> DataFrame:
     """Connected components of edges (source, target): one row (node, cluster) per linked node, the
     cluster named by its least node.
 
-    Alternating large-star / small-star rounds turn every component into a star around its least
-    node in a number of rounds that grows with the logarithm of the longest chain. Each round is
-    written to the shared checkpoint folder; the loop ends when a round changes nothing.
+    Alternating large-star / small-star rounds turn every component into a star around its least node
+    in a number of rounds that grows with the logarithm of the longest chain. Each round reads a table
+    in the shared checkpoint folder and writes the next; the loop ends when that table is a forest of
+    stars, which is checked, not guessed. Joins are plain ones, so that a node with very many edges is
+    split by AQE.
     """
     current = cut(
-        edges.select(F.col("source").alias("u"), F.col("target").alias("v"))
+        edges.select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v"))
         .filter(F.col("u") != F.col("v"))
         .distinct()
     )
-    fingerprint = _fingerprint(current)
-    for _ in range(max_rounds):
-        current = cut(_small_star(cut(_large_star(current, hot_rows)), hot_rows))
-        after = _fingerprint(current)
-        if after == fingerprint:
-            break
-        fingerprint = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    while not _is_star_forest(current):
+        after = cut(_small_star(_large_star(current)))
+        drop_cut(current)
+        current = after
     members = current.select(F.col("u").alias("node"), F.col("v").alias("cluster"))
     roots = members.select(F.col("cluster").alias("node"), "cluster").distinct()
     return members.unionByName(roots)
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-    ).first()
-    return row["n"], row["h"]
-
-
 def clusters(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, cluster) with the cluster's size."""
-    members = connected(edges, hot_rows)
+    members = connected(edges)
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     return join_groups(members, sizes, ["cluster"], F.col("node"), hot_rows=hot_rows).withColumnRenamed(
         "n", "cluster_size"

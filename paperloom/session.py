@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -54,3 +55,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/paperloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete a table that `cut` wrote, once no later step reads it."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if not folder.rsplit("/", 1)[-1].startswith("paperloom-"):
+            raise ValueError(f"not a table written by cut: {folder}")
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        with contextlib.suppress(Exception):  # left to the clean-up of the shared folder
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
