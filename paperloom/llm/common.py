@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +32,6 @@ def settle(df: DataFrame) -> DataFrame:
         conf.set(_CLEAN, before)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a settled table that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        with contextlib.suppress(Exception):  # left to the folder's own clean-up
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column in one array, and its n + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from paperloom.llm.bpe import encode_documents
 from paperloom.llm.chat import rotate_perspectives
 from paperloom.llm.fingerprints import fingerprint_edits
+from paperloom.llm.lsh_forest import near_duplicates
 from paperloom.llm.packing import pack_mixture
 from paperloom.llm.registry import ORACLES, QUERIES, query, table
 from paperloom.llm.thresholds import judge_quality
@@ -105,6 +106,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_tokens")
 
 
+@query("op9_lsh_forest")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP10 = r"""
 WITH u AS (
   SELECT page_id, coalesce(contains(url, '://'), false) AS has, substr(url, strpos(url, '://') + 3) AS rest FROM pages
