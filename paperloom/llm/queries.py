@@ -13,6 +13,7 @@ from paperloom.llm.fingerprints import fingerprint_edits
 from paperloom.llm.lsh_forest import near_duplicates
 from paperloom.llm.packing import pack_mixture
 from paperloom.llm.registry import ORACLES, QUERIES, query, table
+from paperloom.llm.suffix_dedup import remove_repeats
 from paperloom.llm.thresholds import judge_quality
 from paperloom.llm.token_files import count_document_tokens
 from paperloom.llm.url_rules import judge_urls
@@ -58,6 +59,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+@query("op2_bucket_pointers")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op3_packed_mixture")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_mixture(table(spark, sf_dir, "documents"), RANKS_50K, public_tokenizers.PATTERN)
