@@ -350,3 +350,15 @@ def near_duplicates(
     )
 
 
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each component the document of the least key stays.
+
+    Of rows that repeat a key one stays. Rows with a null key cannot be told apart and all stay.
+    """
+    judged = settle(near_duplicates(docs, key, text, percent).filter("kept").groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
+    kept = docs.join(judged.select(key), key, "left_semi")
+    if (judged.agg(F.max("_n")).first()[0] or 1) > 1:
+        kept = kept.dropDuplicates([key])
+    return kept.select(docs.columns).unionByName(docs.filter(F.col(key).isNull()))

@@ -461,25 +461,32 @@ def _whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[i
 
 
 def remove_repeats(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    length: int = 50,
-    carry: list[str] | None = None,
-    chars: bool = False,
-    hot: int = HOT,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, chars: bool = False, hot: int = HOT
 ) -> DataFrame:
-    """One row per row of `docs`: the columns `carry` (default: the key), n_bytes, n_removed, spans
-    (removed runs, byte places) and kept (the remaining bytes).
+    """One row per row of `docs`: key, n_bytes, n_removed, spans (removed runs, byte places) and kept
+    (the remaining bytes).
 
     Keys are integers; a null key ranks after all others. Rows of one key do not repeat each other, so
     repeated rows lose the same bytes. Null text is empty; texts under `length` bytes lose nothing.
     With `chars` a character stays whole where only a part of it would go, and `kept` is text. An
-    empty table gives no rows. Columns of `docs` that are not carried are not read.
+    empty table gives no rows. Other columns of `docs`, whatever their names, are not read.
     """
+    return _cut(docs, key, text, length, [key], chars, hot).select("carried.*", "n_bytes", "n_removed", "spans", "kept")
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
+    """The rows and columns of `docs`, texts without their repeats (see `remove_repeats`, with `chars`)."""
+    others = [c for c in docs.columns if c != text]
+    cut = _cut(docs, key, text, length, others, True, HOT)
+    return cut.select(*[F.col("kept").alias(text) if c == text else F.col(f"carried.`{c}`") for c in docs.columns])
+
+
+def _cut(
+    docs: DataFrame, key: str, text: str, length: int, carry: list[str], chars: bool, hot: int
+) -> DataFrame:
+    """Rows (carried, n_bytes, n_removed, spans, kept); `carried` has the columns `carry`."""
     if length < Q + Q // 2 or length > 1000:
         raise ValueError(f"length must be from {Q + Q // 2} to 1000")
-    carry = [key] if carry is None else carry
     chunks = settle(text_chunks(docs, key, text, carry))
     size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     density = 2 / (length - Q + 2)
@@ -517,7 +524,9 @@ def remove_repeats(
             tables.append(
                 pa.table(
                     {
-                        **{c: rest.column(f"c_{c}") for c in carry},
+                        "carried": pa.StructArray.from_arrays(
+                            [rest.column(f"c_{c}").combine_chunks() for c in carry], carry
+                        ),
                         "n_bytes": pa.array(np.diff(offsets)),
                         "n_removed": pa.array(removed, pa.int64()),
                         "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
@@ -527,13 +536,13 @@ def remove_repeats(
             )
         return pa.concat_tables(tables)
 
-    columns = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
+    columns = ", ".join(f"`{c}`: {k}" for c, k in kinds.items())
     return (
         chunks.groupBy("chunk")
         .cogroup(runs.groupBy("chunk"))
         .applyInArrow(
             remove,
-            f"{columns}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, "
+            f"carried struct<{columns}>, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, "
             f"kept {'string' if chars else 'binary'}",
         )
     )

@@ -27,7 +27,7 @@ _SYMBOLS = re.compile(r"[#*$%&|<>]").findall
 
 #: Strata with the most labels stand alone, all others are one stratum together: bounds the table of cutoffs.
 STRATA = 64
-OTHER = "(other)"
+OTHER, NO_STRATUM = "(other)", "(null)"
 
 
 @dataclass(frozen=True)
@@ -110,9 +110,8 @@ def document_statistics(docs: DataFrame, key: str, text: str, stratum: str) -> D
                     ["key", "stratum", *STATISTICS],
                 )
 
-    rows = docs.select(
-        F.col(key).alias("key"), F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text")
-    )
+    group = F.coalesce(F.col(stratum).cast("string"), F.lit(NO_STRATUM))
+    rows = docs.select(F.col(key).alias("key"), group.alias("stratum"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(run, f"key {kind}, stratum string, " + ", ".join(f"{c} long" for c in STATISTICS))
 
@@ -176,6 +175,38 @@ def choose_cutoffs(
     return chosen
 
 
+def certified_cutoffs(
+    stats: DataFrame,
+    labels: DataFrame,
+    key: str,
+    rules: Sequence[QualityRule],
+    risk: float,
+    level: float,
+) -> tuple[dict[str, dict[str, int]], list[str]]:
+    """Cutoffs by stratum and rule, and the strata that stand alone."""
+    clean = (
+        labels.filter(F.col(key).isNotNull())
+        .groupBy(F.col(key).alias("key"))
+        .agg(F.min("quality").alias("_quality"), F.max("toxic").alias("_toxic"))
+        .filter((F.col("_quality") == 1) & (F.coalesce("_toxic", F.lit(0)) == 0))
+    )
+    holdout = stats.filter(~F.col("base_failed")).join(clean, "key", "left_semi")
+    sizes = holdout.groupBy("stratum").count().orderBy(F.desc("count"), "stratum")
+    largest = [r["stratum"] for r in sizes.limit(STRATA).collect()]
+    return choose_cutoffs(holdout.withColumn("_stratum", _group(largest)), rules, risk, level), largest
+
+
+def _group(largest: list[str]) -> Column:
+    return F.when(F.col("stratum").isin(largest), F.col("stratum")).otherwise(OTHER) if largest else F.lit(OTHER)
+
+
+def _statistics(docs: DataFrame, key: str, text: str, stratum: str) -> DataFrame:
+    found = document_statistics(docs, key, text, stratum)
+    few = F.col("n_words") < MIN_WORDS
+    repetitive = 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
+    return settle(found.withColumn("base_failed", few | repetitive))
+
+
 def judge_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -193,28 +224,11 @@ def judge_quality(
     rules. A null stratum is a stratum of its own. Repeated rows give repeated rows. Without labels no
     cutoff is certified and only the base rules reject. Only the named columns of `docs` are read.
     """
-    stats = settle(document_statistics(docs, key, text, stratum)).withColumn(
-        "base_failed",
-        (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-    )
-    clean = (
-        labels.filter(F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("key"))
-        .agg(F.min("quality").alias("_quality"), F.max("toxic").alias("_toxic"))
-        .filter((F.col("_quality") == 1) & (F.coalesce("_toxic", F.lit(0)) == 0))
-    )
-    holdout = stats.filter(~F.col("base_failed")).join(clean, "key", "left_semi")
-    holdout = holdout.withColumn("stratum", F.coalesce("stratum", F.lit("(null)")))
-    largest = [
-        r["stratum"]
-        for r in holdout.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(STRATA).collect()
-    ]
-    own = F.coalesce("stratum", F.lit("(null)"))
-    group = F.when(own.isin(largest), own).otherwise(OTHER) if largest else F.lit(OTHER)
-    chosen = choose_cutoffs(holdout.withColumn("_stratum", group), rules, risk, level)
+    stats = _statistics(docs, key, text, stratum)
+    chosen, largest = certified_cutoffs(stats, labels, key, rules, risk, level)
+    by_name = {r.name: r for r in rules}
     rejections = [
-        F.when((group == s) & exceeds(by_name[name], cutoff), F.lit(name))
-        for by_name in [{r.name: r for r in rules}]
+        F.when((_group(largest) == s) & exceeds(by_name[name], cutoff), F.lit(name))
         for s, cutoffs in sorted(chosen.items())
         for name, cutoff in cutoffs.items()
     ]
@@ -225,3 +239,43 @@ def judge_quality(
         .withColumnRenamed("key", key)
         .drop("stratum")
     )
+
+
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    stratum: str = "lang",
+    rules: Sequence[QualityRule] = RULES,
+    risk: float = 0.01,
+    level: float = 0.05,
+) -> DataFrame:
+    """The rows and columns of `docs` that `judge_quality` keeps.
+
+    Cutoffs are chosen on all documents first; then each text is judged again where it is, so that no
+    text is shuffled and rows need no key.
+    """
+    chosen, largest = certified_cutoffs(_statistics(docs, key, text, stratum), labels, key, rules, risk, level)
+
+    def good(values: tuple[int, ...], group: str | None) -> bool:
+        of = dict(zip(STATISTICS, values, strict=True))
+        if of["n_words"] < MIN_WORDS or 100 * of["n_repeat_words"] > MAX_REPEAT_PERCENT * of["n_words"]:
+            return False
+        group = NO_STRATUM if group is None else group
+        limits = chosen.get(group if group in largest else OTHER, {})
+        return not any(
+            r.name in limits and 1000 * of[r.numerator] > limits[r.name] * of[r.denominator] for r in rules
+        )
+
+    at, by = docs.columns.index(text), docs.columns.index(stratum)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text, 8 << 20):
+                groups = batch.column(by).cast(pa.string()).to_pylist()
+                texts = batch.column(at).to_pylist()
+                mask = [good(text_statistics(t or ""), g) for t, g in zip(texts, groups, strict=True)]
+                yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from paperloom.llm import suffix_dedup
-from paperloom.llm.suffix_dedup import Q, filed, refine, remove_repeats
+from paperloom.llm.suffix_dedup import Q, filed, refine, remove_repeats, without_repeats
 
 SCHEMA = "doc_id long, text string, n_bytes string, spans string, chunk string"
 
@@ -115,10 +115,14 @@ def test_whole_characters(spark):
     assert got[1] == shared and got[2] == "aê"
 
 
-def test_carried_columns(spark):
-    rows = [(1, "t" * 60, "n", "s", "c"), (2, "t" * 60, None, "s2", "c2")]
-    got = remove_repeats(spark.createDataFrame(rows, SCHEMA).drop("n_bytes", "spans"), carry=["chunk", "doc_id"])
-    assert sorted((r["chunk"], r["doc_id"], r["n_removed"]) for r in got.collect()) == [("c", 1, 0), ("c2", 2, 60)]
+def test_documents_keep_their_columns(spark):
+    rows = [(1, "t" * 60, "n", "s", "c"), (2, "u" + "t" * 60, None, "s2", "c2"), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = without_repeats(df)
+    assert got.schema.simpleString() == df.schema.simpleString()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(1, "t" * 60, "n", "s", "c"), (2, "u", None, "s2", "c2"), (None, "", None, None, None)], key=str
+    )
 
 
 def test_empty_table(spark):
