@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from paperloom.functions.paths import file_name, suffix
-from paperloom.operators.keys import HOT_ROWS, join_skewed, keep_first_ids
+from paperloom.operators.keys import HOT_ROWS, first_per_key, join_skewed, keep_first_ids
 from paperloom.session import cut
 
 # Container suffixes in matching order, junk names, forbidden characters, depth.
@@ -34,19 +34,23 @@ FORBIDDEN = '/\\:*?"<>|\x00'
 MAX_DEPTH = 3
 MAX_DEPTH_NOTE = "max_depth_reached"
 
-MAX_MEMBER_BYTES = 1 << 30  # larger members become error rows: a binary value ends at 2 GiB
+CHUNK_BYTES = 1 << 28  # larger members arrive in several rows: a binary value ends at 2 GiB
 ORDINAL_WIDTH = 10
 
-MEMBER_DDL = "container_id STRING, ordinal BIGINT, name STRING, content BINARY, error STRING"
+MEMBER_DDL = (
+    "container_id STRING, ordinal BIGINT, name STRING, chunk INT, content BINARY, file_size BIGINT, file_hash STRING, "
+    "error STRING"
+)
 MESSAGE = [
     "subject", "sender", "recipients", "cc", "date", "message_id", "body", "attachment_count", "inline_image_count"
 ]
 PART_DDL = (
-    "container_id STRING, part STRING, ordinal BIGINT, name STRING, content BINARY, error STRING, "
+    "container_id STRING, part STRING, ordinal BIGINT, name STRING, chunk INT, content BINARY, file_size BIGINT, "
+    "file_hash STRING, error STRING, "
     "subject STRING, sender STRING, recipients STRING, cc STRING, date STRING, message_id STRING, body STRING, "
     "attachment_count BIGINT, inline_image_count BIGINT"
 )
-NODE = ["document_id", "root_id", "parent_id", "path", "depth", "position", "content"]
+NODE = ["document_id", "root_id", "parent_id", "path", "depth", "position", "chunk", "content", "file_size", "file_hash"]
 
 
 # --- small column operators --------------------------------------------------------------------
@@ -101,40 +105,70 @@ def _rank_in_name(df: DataFrame, keys: Sequence[str], ord_col: str) -> DataFrame
 
 
 def unique_names(
-    df: DataFrame, parent: str = "parent_id", name: str = "name", ord_col: str = "ordinal", max_rounds: int = 1000
+    df: DataFrame, parent: str = "parent_id", name: str = "name", ord_col: str = "ordinal"
 ) -> DataFrame:
     """Cleaned names made unique per parent in order of arrival: the k-th repeat of `a.txt` takes the
     next free name of `a_1.txt`, `a_2.txt`, ... (C7). Adds `unique_name`; `name` stays as it was.
 
-    First every repeat moves on by its rank, which settles all names unless a made name meets a given
-    one. Then, in rounds, whoever holds a contested name later than someone else moves on by one. That
-    ends in the same names as taking members one after another.
+    A made name can only meet names of its own family, those that differ in a tail of `_<number>`. In a
+    family of one name, however often, or without repeats, the number is the rank among equal names,
+    and no task sees a whole name. Other families are named one member after another, in a stream of
+    sorted rows; every name remembers the last number it took, so that no number is tried twice.
     """
-    clean = clean_name(F.col(name))
-    base = df.withColumn("_clean", clean)
-    ranked = _rank_in_name(base, [parent, "_clean"], ord_col).withColumnRenamed("_rank", "_k")
-    stem_ = F.regexp_replace("_clean", r"(?s)^(.*[^.].*)\.[^.]*$", "$1")
-    candidate = F.when(F.col("_k") == 0, F.col("_clean")).otherwise(
-        F.concat(stem_, F.lit("_"), F.col("_k").cast("string"), F.substring("_clean", F.length(stem_) + 1, F.length("_clean")))
+    stem = F.regexp_replace("_clean", r"(?s)^(.*[^.].*)\.[^.]*$", "$1")
+    family = F.struct(
+        F.regexp_replace("_stem", r"(_[0-9]+)+$", "").alias("stem"), F.substr("_clean", F.length("_stem") + 1).alias("ext")
     )
-    current = ranked.withColumn("unique_name", candidate)
-    made = current.filter("_k > 0").select(parent, "unique_name")
-    given = current.filter("_k = 0").select(parent, "unique_name")
-    if made.join(given, [parent, "unique_name"], "left_semi").isEmpty():
-        return current.drop("_clean", "_k")
-    for _ in range(max_rounds):
-        holders = current.groupBy(parent, "unique_name").agg(F.min(ord_col).alias("_holder"))
-        checked = cut(
-            current.join(holders, [parent, "unique_name"]).withColumn("_lost", F.col(ord_col) != F.col("_holder"))
-        )
-        if checked.filter("_lost").isEmpty():
-            return checked.select(*df.columns, "unique_name")
-        current = (
-            checked.withColumn("_k", F.col("_k") + F.col("_lost").cast("bigint"))
-            .drop("unique_name", "_holder", "_lost")
-            .withColumn("unique_name", candidate)
-        )
-    raise RuntimeError(f"member names did not settle in {max_rounds} rounds")
+    based = df.withColumn("_clean", clean_name(F.col(name))).withColumn("_stem", stem).withColumn("_family", family)
+    per_name = based.groupBy(F.col(parent).alias("_p"), F.col("_family").alias("_f"), "_clean").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    mixed = per_name.groupBy("_p", "_f").agg(
+        ((F.count(F.lit(1)) > 1) & (F.max("_n") > 1)).alias("_mixed")
+    )
+    tagged = based.join(
+        mixed.filter("_mixed"), F.col(parent).eqNullSafe(F.col("_p")) & (F.col("_family") == F.col("_f")), "left"
+    ).drop("_p", "_f")
+    ranked = _rank_in_name(tagged.filter("_mixed IS NULL"), [parent, "_clean"], ord_col)
+    numbered = F.when(F.col("_rank") == 0, F.col("_clean")).otherwise(
+        F.concat("_stem", F.lit("_"), F.col("_rank").cast("string"), F.col("_family.ext"))
+    )
+    simple = ranked.select(*[F.col(c) for c in df.columns], numbered.alias("unique_name"))
+
+    sorted_rows = (
+        tagged.filter("_mixed")
+        .select(*df.columns, "_clean", "_stem", F.to_json("_family").alias("_family"))
+        .repartition(parent, "_family")
+        .sortWithinPartitions(parent, "_family", ord_col)
+    )
+    out = T.StructType([*df.schema.fields, T.StructField("unique_name", T.StringType())])
+    return simple.unionByName(sorted_rows.mapInArrow(_naming(parent, df.columns), out))
+
+
+def _naming(parent: str, columns: Sequence[str]) -> Callable:
+    columns = list(columns)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        current, taken, last = None, set(), {}
+        for batch in batches:
+            given = [batch.column(batch.schema.names.index(c)).to_pylist() for c in (parent, "_family", "_clean", "_stem")]
+            found = []
+            for owner, family, clean, stem in zip(*given):
+                if (owner, family) != current:
+                    current, taken, last = (owner, family), set(), {}
+                unique, k = clean, last.get(clean, 0)
+                while unique in taken:
+                    k += 1
+                    unique = f"{stem}_{k}{clean[len(stem):]}"
+                last[clean] = k
+                taken.add(unique)
+                found.append(unique)
+            kept = [batch.column(batch.schema.names.index(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string())], [*columns, "unique_name"])
+
+    return run
 
 
 # --- codecs (C2, C3) -----------------------------------------------------------------------------
@@ -143,194 +177,216 @@ def unique_names(
 FLUSH_BYTES, FLUSH_ROWS = 32 << 20, 2_000  # members are handed on in batches of about this size
 
 
-def _archive_mapper(max_member_bytes: int, carry: Sequence[str], schema) -> Callable:
-    """Per-batch unpacker. It carries its imports so that executors need nothing but the standard library."""
+def _flushed(rows: Callable, schema) -> Callable:
+    """A `mapInArrow` function that hands on the rows `rows(source)` makes of each source row, in batches
+    of bounded size, whatever the size of a source."""
     flush_bytes, flush_rows = FLUSH_BYTES, FLUSH_ROWS
 
-    def members(batches: Iterator) -> Iterator:
-        import io
-        import tarfile
-        import zipfile
-
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def zip_members(data: bytes) -> Iterator:
-            with zipfile.ZipFile(io.BytesIO(data)) as zf:
-                for info in zf.infolist():
-                    if not info.is_dir():
-                        yield info.filename, info.file_size, lambda info=info: zf.read(info)
-
-        def tar_members(data: bytes) -> Iterator:
-            with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as tf:
-                for info in tf.getmembers():
-                    if info.isfile():
-                        yield info.name, info.size, lambda info=info: tf.extractfile(info).read()
-
-        def unpack(path: str, data: bytes) -> Iterator:
-            lowered = path.lower()
-            if lowered.endswith(".zip"):
-                return zip_members(data)
-            if lowered.endswith((".tar", ".gz", ".tgz")):
-                return tar_members(data)
-            raise ValueError("unsupported container: " + lowered.rsplit(".", 1)[-1])
-
-        waiting, size_waiting = [], 0
-
-        def results(source: dict) -> Iterator:
-            own = {"container_id": source["document_id"], **{c: source[c] for c in carry}}
-            try:
-                for ordinal, (name, size, read) in enumerate(unpack(source["path"], source["content"])):
-                    found = {**own, "ordinal": ordinal, "name": name}
-                    try:
-                        if size > max_member_bytes:
-                            raise ValueError(f"member of {size} bytes is over the limit of {max_member_bytes}")
-                        yield {**found, "content": read()}
-                    except Exception as e:  # one bad member must not lose the others
-                        yield {**found, "error": f"{type(e).__name__}: {e}"}
-            except Exception as e:  # unreadable container
-                yield {**own, "error": f"{type(e).__name__}: {e}"}
-
+        waiting, held = [], 0
         for batch in batches:
             for source in batch.to_pylist():
-                for found in results(source):
-                    waiting.append(found)
-                    size_waiting += len(found.get("content") or b"")
-                    if size_waiting >= flush_bytes or len(waiting) >= flush_rows:
+                for row in rows(source):
+                    waiting.append(row)
+                    held += len(row.get("content") or b"") + len(row.get("body") or "")
+                    if held >= flush_bytes or len(waiting) >= flush_rows:
                         yield pa.RecordBatch.from_pylist(waiting, schema=schema)
-                        waiting, size_waiting = [], 0
+                        waiting, held = [], 0
         if waiting:
             yield pa.RecordBatch.from_pylist(waiting, schema=schema)
 
-    return members
+    return run
+
+
+def _archive_rows(chunk_bytes: int, carry: Sequence[str]) -> Callable:
+    """Member rows of one archive. It carries its imports: executors need nothing but the standard library."""
+    carry = list(carry)
+
+    def pieces(opened) -> Iterator:
+        while piece := opened.read(chunk_bytes):
+            yield piece
+
+    def zip_members(data: bytes) -> Iterator:
+        import io
+        import zipfile
+
+        with zipfile.ZipFile(io.BytesIO(data)) as zf:
+            for info in zf.infolist():
+                if not info.is_dir():
+                    yield info.filename, lambda info=info: zf.open(info)
+
+    def tar_members(data: bytes) -> Iterator:
+        import io
+        import tarfile
+
+        with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as tf:
+            for info in tf.getmembers():
+                if info.isfile():
+                    yield info.name, lambda info=info: tf.extractfile(info)
+
+    def unpack(path: str, data: bytes) -> Iterator:
+        lowered = path.lower()
+        if lowered.endswith(".zip"):
+            return zip_members(data)
+        if lowered.endswith((".tar", ".gz", ".tgz")):
+            return tar_members(data)
+        raise ValueError("unsupported container: " + lowered.rsplit(".", 1)[-1])
+
+    def rows(source: dict) -> Iterator:
+        import hashlib
+
+        own = {"container_id": source["document_id"], **{c: source[c] for c in carry}}
+        try:
+            for ordinal, (name, open_member) in enumerate(unpack(source["path"], source["content"])):
+                found = {**own, "ordinal": ordinal, "name": name}
+                try:
+                    # read once for hash and size; only a member of several chunks is read again
+                    digest, size, first = hashlib.sha256(), 0, b""
+                    for number, piece in enumerate(pieces(open_member())):
+                        first = piece if number == 0 else b""
+                        size += len(piece)
+                        digest.update(piece)
+                    facts = {**found, "file_size": size, "file_hash": digest.hexdigest()}
+                except Exception as e:  # one bad member must not lose the others
+                    yield {**found, "error": f"{type(e).__name__}: {e}"}
+                    continue
+                if size <= chunk_bytes:
+                    yield {**facts, "chunk": 0, "content": first}
+                    continue
+                for number, piece in enumerate(pieces(open_member())):
+                    yield {**facts, "chunk": number, "content": piece}
+        except Exception as e:  # unreadable container
+            yield {**own, "error": f"{type(e).__name__}: {e}"}
+
+    return rows
 
 
 def _carried(df: DataFrame, ddl: str, carry: Sequence[str]) -> T.StructType:
     return T.StructType([*T.StructType.fromDDL(ddl).fields, *[df.schema[c] for c in carry]])
 
 
-def explode_archives(
-    df: DataFrame, max_member_bytes: int = MAX_MEMBER_BYTES, carry: Sequence[str] = ()
-) -> DataFrame:
-    """Members of ZIP and TAR archives, one row each (C2). Input: document_id, path, content.
+def explode_archives(df: DataFrame, chunk_bytes: int = CHUNK_BYTES, carry: Sequence[str] = ()) -> DataFrame:
+    """Members of ZIP and TAR archives (C2). Input: document_id, path, content.
 
-    Directories and non-files are left out. A member that cannot be read keeps its name and an error;
-    an archive that cannot be opened gives one row with an error and no name. Columns in `carry` are
-    repeated on every member, so members need no join back to their container.
+    A member is one row; above `chunk_bytes` it is several rows, `chunk` 0, 1, ..., each with the hash
+    and size of the whole member. Directories and non-files are left out. A member that cannot be read
+    keeps its name and an error; an archive that cannot be opened gives one row with an error and no
+    name. Columns in `carry` are repeated on every row, so members need no join back to their container.
     """
     taken = df.select(*dict.fromkeys(["document_id", "path", "content", *carry]))
     out = _carried(df, MEMBER_DDL, carry)
-    return taken.mapInArrow(_archive_mapper(max_member_bytes, list(carry), to_arrow_schema(out)), out)
+    return taken.mapInArrow(_flushed(_archive_rows(chunk_bytes, carry), to_arrow_schema(out)), out)
 
 
-def register_unpack(spark: SparkSession, name: str = "unpack", max_member_bytes: int = MAX_MEMBER_BYTES) -> None:
+def register_unpack(spark: SparkSession, name: str = "unpack", chunk_bytes: int = CHUNK_BYTES) -> None:
     """The archive unpacker as a table function for SQL (U2):
     `SELECT f.path, m.* FROM files f, LATERAL unpack(f.path, f.content) m`."""
-    mapper = _archive_mapper(max_member_bytes, [], to_arrow_schema(T.StructType.fromDDL(MEMBER_DDL)))
+    rows = _archive_rows(chunk_bytes, [])
 
     class Unpack:
         def eval(self, path: str, content: bytes):
-            import pyarrow as pa
+            for m in rows({"document_id": path, "path": path, "content": bytes(content)}):
+                yield m.get("ordinal"), m.get("name"), m.get("chunk"), m.get("content"), m.get("error")
 
-            one = pa.RecordBatch.from_pylist([{"document_id": path, "path": path, "content": bytes(content)}])
-            for batch in mapper(iter([one])):
-                for m in batch.to_pylist():
-                    yield m["ordinal"], m["name"], m["content"], m["error"]
-
-    ddl = "ordinal BIGINT, name STRING, content BINARY, error STRING"
+    ddl = "ordinal BIGINT, name STRING, chunk INT, content BINARY, error STRING"
     spark.udtf.register(name, F.udtf(Unpack, returnType=ddl))
 
 
-def _email_mapper(carry: Sequence[str], schema) -> Callable:
-    flush_bytes, flush_rows = FLUSH_BYTES, FLUSH_ROWS
+def _email_rows(chunk_bytes: int, carry: Sequence[str]) -> Callable:
+    """Part rows of one e-mail: a walk types its parts, then attachments are named and cut into chunks."""
+    carry = list(carry)
+    forbidden = str.maketrans({c: "_" for c in FORBIDDEN})
 
-    def parts(batches: Iterator) -> Iterator:
-        import email
-        import os
-        from email import policy
+    def kind_of(part, payload) -> str:
+        if part.get_filename():
+            return "attachment"
+        inline = "inline" in str(part.get("Content-Disposition", ""))
+        return "image" if inline and part.get_content_maintype() == "image" else "text"
 
-        import pyarrow as pa
+    def typed_parts(message) -> Iterator:
+        """(kind, part, payload or exception) of every leaf with a payload."""
+        for part in message.walk():
+            if part.get_content_maintype() == "multipart":
+                continue
+            try:
+                payload = part.get_payload(decode=True)
+            except Exception as e:
+                yield "error", part, e
+                continue
+            if payload:
+                yield kind_of(part, payload), part, payload
 
-        forbidden = str.maketrans({c: "_" for c in '/\\:*?"<>|\x00'})
+    def named(names: list[str]) -> list[str]:
+        import os
 
-        def next_free(name: str, taken: set) -> str:
+        taken, last, out = set(), {}, []
+        for name in names:
             stem, ext = os.path.splitext(name)
-            k, unique = 0, name
+            unique, k = name, last.get(name, 0)
             while unique in taken:
                 k += 1
                 unique = f"{stem}_{k}{ext}"
-            return unique
-
-        def body_of(message) -> str:
-            texts = message.walk() if message.is_multipart() else [message]
-            for part in texts:
-                if not message.is_multipart() or part.get_content_type() == "text/plain":
-                    payload = part.get_payload(decode=True)
-                    if payload:
-                        return payload.decode("utf-8", errors="ignore")
-            return ""
-
-        def results(source: dict) -> Iterator:
-            own = {"container_id": source["document_id"], **{c: source[c] for c in carry}}
-            try:
-                message = email.message_from_bytes(source["content"], policy=policy.default)
-                taken, images, ordinal = set(), 0, 0
-                for part in message.walk():
-                    if part.get_content_maintype() == "multipart":
-                        continue
-                    given = part.get_filename()
-                    inline = "inline" in str(part.get("Content-Disposition", ""))
-                    try:
-                        payload = part.get_payload(decode=True)
-                    except Exception as e:
-                        yield {**own, "part": "error", "name": given, "error": f"{type(e).__name__}: {e}"}
-                        continue
-                    if not payload:
-                        continue
-                    if given:
-                        unique = next_free(given.translate(forbidden).strip(), taken)
-                        taken.add(unique)
-                        yield {**own, "part": "attachment", "ordinal": ordinal, "name": unique, "content": payload}
-                        ordinal += 1
-                    elif inline and part.get_content_type().startswith("image/"):
-                        images += 1
-                header = lambda name: str(message.get(name, ""))
-                yield {
-                    **own, "part": "message", "subject": header("subject"), "sender": header("from"),
-                    "recipients": header("to"), "cc": header("cc"), "date": header("date"),
-                    "message_id": header("message-id"), "body": body_of(message), "attachment_count": ordinal,
-                    "inline_image_count": images,
-                }
-            except Exception as e:
-                yield {**own, "part": "error", "error": f"{type(e).__name__}: {e}"}
-
-        waiting, size_waiting = [], 0
-        for batch in batches:
-            for source in batch.to_pylist():
-                for found in results(source):
-                    waiting.append(found)
-                    size_waiting += len(found.get("content") or b"") + len(found.get("body") or "")
-                    if size_waiting >= flush_bytes or len(waiting) >= flush_rows:
-                        yield pa.RecordBatch.from_pylist(waiting, schema=schema)
-                        waiting, size_waiting = [], 0
-        if waiting:
-            yield pa.RecordBatch.from_pylist(waiting, schema=schema)
-
-    return parts
-
+            last[name] = k
+            taken.add(unique)
+            out.append(unique)
+        return out
+
+    def body_of(message) -> str:
+        if not message.is_multipart():
+            payload = message.get_payload(decode=True)
+            return payload.decode("utf-8", errors="ignore") if payload else ""
+        plain = (p.get_payload(decode=True) for p in message.walk() if p.get_content_type() == "text/plain")
+        return next((p.decode("utf-8", errors="ignore") for p in plain if p), "")
+
+    def rows(source: dict) -> Iterator:
+        import email
+        import hashlib
+        from email import policy
 
-def email_parts(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+        own = {"container_id": source["document_id"], **{c: source[c] for c in carry}}
+        try:
+            message = email.message_from_bytes(source["content"], policy=policy.default)
+            parts = list(typed_parts(message))
+            for kind, part, e in parts:
+                if kind == "error":
+                    yield {**own, "part": "error", "name": part.get_filename(), "error": f"{type(e).__name__}: {e}"}
+            files = [(part.get_filename(), payload) for kind, part, payload in parts if kind == "attachment"]
+            names = named([name.translate(forbidden).strip() for name, _ in files])
+            for ordinal, (name, (_, payload)) in enumerate(zip(names, files)):
+                facts = {"file_size": len(payload), "file_hash": hashlib.sha256(payload).hexdigest()}
+                for number, at in enumerate(range(0, len(payload), chunk_bytes)):
+                    yield {
+                        **own, **facts, "part": "attachment", "ordinal": ordinal, "name": name, "chunk": number,
+                        "content": payload[at : at + chunk_bytes],
+                    }
+            header = lambda name: str(message.get(name, ""))
+            yield {
+                **own, "part": "message", "subject": header("subject"), "sender": header("from"),
+                "recipients": header("to"), "cc": header("cc"), "date": header("date"),
+                "message_id": header("message-id"), "body": body_of(message), "attachment_count": len(files),
+                "inline_image_count": sum(kind == "image" for kind, _, _ in parts),
+            }
+        except Exception as e:
+            yield {**own, "part": "error", "error": f"{type(e).__name__}: {e}"}
+
+    return rows
+
+
+def email_parts(df: DataFrame, carry: Sequence[str] = (), chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows with `part` = `message`, `attachment`, `error` of e-mails (C3). Input: document_id, content."""
     taken = df.select(*dict.fromkeys(["document_id", "content", *carry]))
     out = _carried(df, PART_DDL, carry)
-    return taken.mapInArrow(_email_mapper(list(carry), to_arrow_schema(out)), out)
+    return taken.mapInArrow(_flushed(_email_rows(chunk_bytes, carry), to_arrow_schema(out)), out)
 
 
 def explode_emails(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(messages, attachments): headers and body per e-mail; one row per named part with cleaned, unique
-    names. Inline images without a name are only counted."""
+    """(messages, attachments): headers and body per e-mail; a row per chunk of each named part with
+    cleaned, unique names. Inline images without a name are only counted."""
     parts = email_parts(df)
     messages = parts.filter("part = 'message'").select("container_id", *MESSAGE)
-    attachments = parts.filter("part = 'attachment'").select("container_id", "ordinal", "name", "content")
+    attachments = parts.filter("part = 'attachment'").select("container_id", "ordinal", "name", "chunk", "content")
     return messages, attachments
 
 
@@ -349,7 +405,7 @@ def dedup_by_hash(
 
 
 def dedup_and_replicate(
-    df: DataFrame, compute: Callable[[DataFrame], DataFrame], id_col: str = "document_id", hot_rows: int = HOT_ROWS
+    df: DataFrame, compute: Callable[[DataFrame], DataFrame], id_col: str = "document_id", hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Run `compute` once per distinct content and hand its result to every copy.
 
@@ -367,7 +423,11 @@ def dedup_and_replicate(
 
 
 def _ordinal(c: Column) -> Column:
-    return F.lpad(c.cast("string"), ORDINAL_WIDTH, "0")
+    """Ordinals as text that sorts like numbers; one too long for the width is kept whole behind a `z`."""
+    text = c.cast("string")
+    return F.when(F.length(text) <= ORDINAL_WIDTH, F.lpad(text, ORDINAL_WIDTH, "0")).otherwise(
+        F.concat(F.lit("z"), F.lpad(text, 2 * ORDINAL_WIDTH, "0"))
+    )
 
 
 def _roots(files: DataFrame) -> DataFrame:
@@ -379,7 +439,10 @@ def _roots(files: DataFrame) -> DataFrame:
         "path",
         F.lit(0).alias("depth"),
         F.lit("").alias("position"),
+        F.lit(0).alias("chunk"),
         "content",
+        F.octet_length("content").cast("bigint").alias("file_size"),
+        content_hash(F.col("content")).alias("file_hash"),
     )
 
 
@@ -396,47 +459,60 @@ def _children(members: DataFrame) -> DataFrame:
         F.concat_ws("/", "path", "name").alias("path"),
         (F.col("depth") + 1).alias("depth"),
         "position",
+        "chunk",
         "content",
+        "file_size",
+        "file_hash",
     )
 
 
-def _unpack(containers: DataFrame, max_member_bytes: int) -> DataFrame:
+def _unpack(containers: DataFrame, chunk_bytes: int) -> DataFrame:
     """All members, messages and errors of one level's containers, with the container's own columns."""
     mail = F.lower("path").endswith(".eml")
     taken = containers.select("document_id", "content", *CARRIED)
-    archived = drop_or_error(explode_archives(taken.filter(~mail), max_member_bytes, CARRIED))
+    archived = drop_or_error(explode_archives(taken.filter(~mail), chunk_bytes, CARRIED))
     part = F.when(F.col("error").isNull(), "attachment").otherwise("error")
-    mailed = email_parts(taken.filter(mail), CARRIED)
+    mailed = email_parts(taken.filter(mail), CARRIED, chunk_bytes)
     both = archived.withColumn("part", part).unionByName(mailed, allowMissingColumns=True)
     return both.withColumnRenamed("kind", "container_type")
 
 
-def decompose(
-    files: DataFrame, max_depth: int = MAX_DEPTH, max_member_bytes: int = MAX_MEMBER_BYTES
-) -> dict[str, DataFrame]:
+CHUNKED_NOTE = "container_in_chunks"
+
+
+def decompose(files: DataFrame, max_depth: int = MAX_DEPTH, chunk_bytes: int = CHUNK_BYTES) -> dict[str, DataFrame]:
     """Unpack nested containers level by level (C8). Input: path, content.
 
     Returns `documents` (what is left to process, with bytes), `lineage` (C11), `errors` (C16) and
     `messages`. Levels 0..max_depth are unpacked; what lies deeper is kept as it is with the note
     `max_depth_reached`. Inside one root equal contents are kept once, the shallowest first and then in
     archive order; equal files under different roots are all kept. A container that cannot be opened
-    gives an error row and stays as a document. Each level is written twice to the shared checkpoint
-    folder, deduplicated and unpacked; the loop runs max_depth + 2 times at most.
+    gives an error row and stays as a document. A file above `chunk_bytes` is several document rows
+    (`chunk` 0, 1, ...), each with hash and size of the whole; a container inside a container that is so
+    large cannot be opened in one task and stays as a document with an error.
+
+    Hashes and sizes are made where members are unpacked. Copies are found on narrow rows, and a level's
+    contents are shuffled once, to the ids that stay. Each level is written to the shared checkpoint
+    folder; the loop runs max_depth + 2 times at most.
     """
     note = lambda text: F.lit(text).cast("string").alias("note")
     frontier, seen = _roots(files), None
     documents, lineage, errors, messages = [], [], [], []
     for depth in range(max_depth + 2):
         if depth > max_depth:
-            deep = frontier.withColumns({"note": F.lit(MAX_DEPTH_NOTE), "file_hash": note(None), "kind": note(None)})
+            deep = frontier.withColumns({"note": F.lit(MAX_DEPTH_NOTE), "kind": note(None)})
             lineage.append(_lineage(deep))
             documents.append(deep.select(*NODE, "note"))
             break
-        fresh = frontier.withColumn("file_hash", content_hash(F.col("content")))
-        if seen is not None:  # a root is alone at level 0: files are read once and not shuffled
-            fresh = dedup_by_hash(fresh).join(seen, ["root_id", "file_hash"], "left_anti")
+        if seen is None:  # a root is alone at level 0: files are read once and not shuffled
+            fresh = frontier
+        else:
+            narrow = frontier.filter("chunk = 0").select("root_id", "file_hash", "position", "document_id")
+            first = first_per_key(narrow, ["root_id", "file_hash"], [F.col("position")])
+            winners = first.join(seen, ["root_id", "file_hash"], "left_anti")
+            fresh = frontier.join(winners.select("document_id"), "document_id", "left_semi")
         level = cut(fresh.withColumn("kind", container_type(F.col("path"))))
-        hashes = level.select("root_id", "file_hash")
+        hashes = level.filter("chunk = 0").select("root_id", "file_hash")
         seen = hashes if seen is None else seen.unionByName(hashes)
         lineage.append(_lineage(level.withColumn("note", F.lit(None).cast("string"))))
         documents.append(level.filter("kind IS NULL").select(*NODE, note(None)))
@@ -444,7 +520,18 @@ def decompose(
         containers = level.filter("kind IS NOT NULL")
         if containers.isEmpty():
             break
-        members = cut(_unpack(containers, max_member_bytes))
+        in_chunks = (F.col("depth") > 0) & (F.col("file_size") > chunk_bytes)
+        documents.append(containers.filter(in_chunks).select(*NODE, note(CHUNKED_NOTE)))
+        errors.append(
+            containers.filter(in_chunks & (F.col("chunk") == 0)).select(
+                "path",
+                F.concat(F.lit("container of "), F.col("file_size").cast("string"), F.lit(" bytes arrived in chunks")).alias("error"),
+                F.col("kind").alias("container_type"),
+                "depth",
+            )
+        )
+        containers = containers.filter(~in_chunks)
+        members = cut(_unpack(containers, chunk_bytes))
         messages.append(members.filter("part = 'message'").select("container_id", *MESSAGE))
         failed = members.filter("part = 'error'")
         errors.append(failed.select(F.concat_ws("/", "path", "name").alias("path"), "error", "container_type", "depth"))
@@ -471,8 +558,8 @@ def drop_or_error(members: DataFrame) -> DataFrame:
 
 
 def _lineage(level: DataFrame) -> DataFrame:
-    """Lineage rows of one level (C11)."""
-    return level.select(
+    """Lineage rows of one level, one per file (C11)."""
+    return level.filter("chunk = 0").select(
         "document_id",
         "root_id",
         F.col("path").alias("original_path"),
@@ -481,7 +568,7 @@ def _lineage(level: DataFrame) -> DataFrame:
         F.col("depth").alias("extraction_depth"),
         "file_hash",
         F.struct(
-            F.octet_length("content").cast("bigint").alias("file_size"),
+            "file_size",
             file_name(F.col("path")).alias("file_name"),
             F.lower(suffix(F.col("path"))).alias("extension"),
             F.col("note").alias("note"),
@@ -505,45 +592,57 @@ def children_counts(lineage: DataFrame) -> DataFrame:
     )
 
 
-def _chains(lineage: DataFrame, wanted: DataFrame, step: Column, max_depth: int, hot_rows: int) -> DataFrame:
-    """Per wanted node the list of `step` values from the root down to it. Levels are written out, as
-    each one reads its predecessor twice (to count hot parents and to join)."""
-    up = lineage.select(F.col("document_id").alias("_next"), F.col("parent_id").alias("_above"), step.alias("_step"))
-    chain = wanted.select("document_id", F.array(step).alias("chain"), F.col("parent_id").alias("_next"))
-    for _ in range(max_depth + 1):
-        joined = join_skewed(chain, up, ["_next"], F.col("document_id"), "left", hot_rows)
-        longer = F.when(F.col("_step").isNotNull(), F.concat(F.array("_step"), "chain")).otherwise(F.col("chain"))
-        chain = cut(joined.select("document_id", longer.alias("chain"), F.col("_above").alias("_next")))
-        if chain.filter("_next IS NOT NULL").isEmpty():
-            break
-    return chain.select("document_id", "chain", F.size("chain").alias("length"))
-
-
-def lineage_chain(
-    lineage: DataFrame, ids: DataFrame | None = None, max_depth: int = MAX_DEPTH, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Root -> node chain and its length (C13); it starts where a parent is absent.
+def _chains(lineage: DataFrame, wanted: DataFrame, step: Column) -> DataFrame:
+    """Per wanted node the list of `step` values from the root down to it.
 
-    A node lies at most max_depth + 1 levels deep, so the chain takes that many joins on the unique
-    id. A parent with very many children is split over tasks.
+    One join on the unique id per level, until no chain has a parent left to look up; finished chains
+    leave the loop. A chain that meets one of its own nodes again is a cycle and raises.
     """
+    up = lineage.select(F.col("document_id").alias("_next"), F.col("parent_id").alias("_above"), step.alias("_step"))
+    open_chains = wanted.select(
+        "document_id", F.array(step).alias("chain"), F.array("document_id").alias("_ids"), F.col("parent_id").alias("_next")
+    )
+    done = open_chains.filter("_next IS NULL").select("document_id", "chain")
+    open_chains = open_chains.filter("_next IS NOT NULL")
+    while True:
+        known = open_chains.join(up, "_next", "left")
+        there = F.col("_step").isNotNull()
+        level = cut(
+            known.select(
+                "document_id",
+                F.when(there, F.concat(F.array("_step"), "chain")).otherwise(F.col("chain")).alias("chain"),
+                F.concat(F.array("_next"), "_ids").alias("_ids"),
+                F.col("_above").alias("_next"),
+            )
+        )
+        done = done.unionByName(level.filter("_next IS NULL").select("document_id", "chain"))
+        open_chains = level.filter("_next IS NOT NULL")
+        left = open_chains.agg(
+            F.count(F.lit(1)).alias("n"), F.first(F.when(F.array_contains("_ids", F.col("_next")), F.col("document_id")), True).alias("loop")
+        ).first()
+        if left["loop"] is not None:
+            raise ValueError(f"the parents of {left['loop']} form a cycle")
+        if not left["n"]:
+            return done.withColumn("length", F.size("chain"))
+
+
+def lineage_chain(lineage: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Root -> node chain and its length (C13), however deep; it starts where a parent is absent."""
     wanted = lineage if ids is None else lineage.join(ids.select("document_id").distinct(), "document_id", "left_semi")
-    return _chains(lineage, wanted, F.col("document_id"), max_depth, hot_rows)
+    return _chains(lineage, wanted, F.col("document_id"))
 
 
-def document_tree(
-    lineage: DataFrame, names: str = "metadata.file_name", max_depth: int = MAX_DEPTH, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def document_tree(lineage: DataFrame, names: str = "metadata.file_name") -> DataFrame:
     """Flat list and tree of a package: every node with its path of names from the root (C14). Sorting
     by `tree_path` prints the tree."""
-    chains = _chains(lineage, lineage, F.coalesce(F.col(names), F.lit("")), max_depth, hot_rows)
+    chains = _chains(lineage, lineage, F.coalesce(F.col(names), F.lit("")))
     return chains.select("document_id", F.array_join("chain", "/").alias("tree_path"), F.col("length").alias("level"))
 
 
 def preprocess_summary(documents: DataFrame, errors: DataFrame, roots: DataFrame) -> DataFrame:
     """total_extracted, original_count, error_count in one row."""
     tagged = (
-        documents.select(F.lit("d").alias("t"))
+        documents.filter("chunk = 0").select(F.lit("d").alias("t"))
         .unionByName(errors.select(F.lit("e").alias("t")))
         .unionByName(roots.select(F.lit("r").alias("t")))
     )

@@ -66,7 +66,7 @@ def connected(edges: DataFrame) -> DataFrame:
     return members.unionByName(roots)
 
 
-def clusters(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def clusters(edges: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """(node, cluster) with the cluster's size."""
     members = connected(edges)
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))

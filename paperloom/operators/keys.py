@@ -1,7 +1,9 @@
 """Grouping helpers that hold up when one key owns a large share of the rows.
 
-Everything here pre-aggregates before it shuffles. No function sorts, lists or ranks one key's
-rows inside one task, and none drops rows.
+Everything here pre-aggregates before it shuffles. No function sorts, lists or ranks one key's rows
+inside one task, and none drops rows. Joins are plain joins by default: Spark splits a skewed partition
+of either side at run time (`spark.sql.adaptive.skewJoin`), from sizes it has measured anyway. Salting by
+key counts is there for callers that know a key to be hot and where a side is cheap to count.
 """
 
 from __future__ import annotations
@@ -10,9 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-HOT_ROWS = 1_000_000  # a key with this many rows is worth salting
-HOT_KEYS = 4_096  # length of the salted-key list; beyond it AQE's skew split takes over
-SALTS = 64
+HOT_ROWS: int | None = None  # rows of a key from which it is salted; None leaves skew to AQE
+HOT_KEYS = 4_096  # length of the list of salted keys; AQE splits what lies beyond
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -38,19 +39,23 @@ def keep_first_ids(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return df.join(winners.select(F.col("_w._id").alias(id_col)), id_col, "left_semi").select(df.columns)
 
 
-def hot_keys(groups: DataFrame, keys: Sequence[str], n: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The largest groups, at most HOT_KEYS of them: a list small enough to broadcast by definition.
+def hot_keys(groups: DataFrame, keys: Sequence[str], hot_rows: int, n: str = "n") -> DataFrame:
+    """The largest groups with their number of salts, one per `hot_rows` rows; at most HOT_KEYS of them,
+    a list small enough to broadcast by definition."""
+    salts = F.ceil(F.col(n) / hot_rows).cast("int").alias("_salts")
+    return groups.filter(F.col(n) >= hot_rows).orderBy(F.col(n).desc(), *keys).limit(HOT_KEYS).select(*keys, salts)
 
-    The second filter is always true. It only mentions every column, so that the aggregation below is
-    the same as the one `groups` itself runs and Spark reuses its shuffle instead of repeating it.
-    """
-    return (
-        groups.filter(F.col(n) >= hot_rows)
-        .filter(F.xxhash64(*groups.columns) % 2 >= -1)
-        .orderBy(F.col(n).desc(), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
+
+def _salted_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Column, how: str, hot: DataFrame
+) -> DataFrame:
+    """Rows of a hot key are dealt to its salts by the hash of `spread`; the right rows of that key are
+    repeated once per salt; all other keys have salt 0. The result is that of the plain join."""
+    hot = F.broadcast(hot)
+    of = F.coalesce("_salts", F.lit(1))
+    salted = left.join(hot, list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), of).cast("int"))
+    repeated = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), of - 1)))
+    return salted.drop("_salts").join(repeated.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
 
 
 def join_groups(
@@ -60,25 +65,13 @@ def join_groups(
     spread: Column,
     n: str = "n",
     how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Give every row its group's statistics, splitting hot groups over `salts` tasks.
-
-    `groups` has one row per key and a row count `n`. Rows of a hot key are salted by the hash of
-    `spread` and that key's one statistics row is repeated once per salt; all other keys use salt 0.
-    Result rows are the same with or without salting.
-    """
-    hot = F.broadcast(hot_keys(groups, keys, n, hot_rows))
-    salted_rows = rows.join(hot, list(keys), "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    )
-    salted_groups = groups.join(hot, list(keys), "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-    )
-    joined = salted_rows.drop("_hot").join(salted_groups.drop("_hot"), [*keys, "_salt"], how)
-    return joined.drop("_salt")
+    """Give every row its group's statistics; `groups` has one row per key and a row count `n`, so that
+    salting (`hot_rows`) needs no count of its own."""
+    if hot_rows is None:
+        return rows.join(groups, list(keys), how)
+    return _salted_join(rows, groups, keys, spread, how, hot_keys(groups, keys, hot_rows, n))
 
 
 def join_skewed(
@@ -87,23 +80,15 @@ def join_skewed(
     keys: Sequence[str],
     spread: Column,
     how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    hot_rows: int | None = HOT_ROWS,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi-join of a fact side (`left`, possibly skewed) with a smaller side (`right`).
+    """Equi-join in which keys of the left side may be hot. Null keys match nothing.
 
-    Hot keys are found by a map-side-combined count of the left side; only the right rows of those
-    keys are repeated. Left rows with a null key are kept by `how="left"` as in any outer join. When
-    `left` is costly, `counted` names a cheaper DataFrame with the same key columns to count instead.
+    With `hot_rows`, keys of that many rows are salted. They are counted on `counted`, a DataFrame with
+    the same keys that is cheap to read, or on `left` itself, which is then evaluated twice.
     """
+    if hot_rows is None:
+        return left.join(right, list(keys), how)
     groups = (left if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(hot_keys(groups, keys, "_n", hot_rows))
-    salted_left = left.join(hot, list(keys), "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    )
-    salted_right = right.join(hot, list(keys), "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-    )
-    return salted_left.drop("_hot").join(salted_right.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
+    return _salted_join(left, right, keys, spread, how, hot_keys(groups, keys, hot_rows, "_n"))

@@ -164,7 +164,7 @@ def group_stats(members: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     return members.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), first).filter(F.col("n") > 1)
 
 
-def spanning_edges(members: DataFrame, by: str = "path", hot_rows: int = HOT_ROWS) -> DataFrame:
+def spanning_edges(members: DataFrame, by: str = "path", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """First member -> every other member, with the number of documents the group holds. `by` picks
     what names a document in source and target (`path` or the shorter `ord`)."""
     joined = join_groups(members, group_stats(members), GROUP, F.col("ord"), hot_rows=hot_rows)
@@ -226,7 +226,7 @@ def entity_members(df: DataFrame, entities: str = "entities") -> DataFrame:
     )
 
 
-def link_entities(df: DataFrame, entities: str = "entities", hot_rows: int = HOT_ROWS) -> DataFrame:
+def link_entities(df: DataFrame, entities: str = "entities", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Spanning edges per shared entity, scored on the two documents' whole lists, kept above 0.3."""
     members = entity_members(df, entities)
     stats = group_stats(members, ["entities"])
@@ -282,7 +282,7 @@ def _side_stats(side: DataFrame, name: str) -> DataFrame:
     )
 
 
-def link_invoice_orders(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def link_invoice_orders(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """INV-n <-> PO-n (J2): every invoice to the first order of its number, every further order to the
     first invoice. `n_pairs` is the number of relationships the whole key stands for."""
     name = F.lower(last_segment(F.col("path")))
@@ -324,7 +324,7 @@ def link_invoice_orders(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def link_reference(
-    df: DataFrame, text: str = "text", own_id: str = "own_id", hot_rows: int = HOT_ROWS
+    df: DataFrame, text: str = "text", own_id: str = "own_id", hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """A text that names another document's id (J3): document -> first other holder of that id.
 
@@ -473,7 +473,7 @@ def map_relationships(
     df: DataFrame,
     detectors: Sequence[str] = DETECTORS,
     minimum: float = CONFIDENCE_THRESHOLD,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Detect, drop weak hits, consolidate (G8). Needs `ord`, `path`, `entities`.
 
@@ -593,7 +593,7 @@ def relationship_counts(df: DataFrame, detectors: Sequence[str] = DETECTORS) ->
     )
 
 
-def relationship_degrees(df: DataFrame, detectors: Sequence[str] = DETECTORS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def relationship_degrees(df: DataFrame, detectors: Sequence[str] = DETECTORS, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Number of distinct related documents of every document, by the same counting."""
     sets = _key_sets(df, detectors).select("ord", "path", "key_set", F.size("subset").alias("size"))
     groups = sets.groupBy("key_set").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)

@@ -29,7 +29,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def group_similarity(df: DataFrame, group: str, doc: str, vector: str = "embedding", hot_rows: int = HOT_ROWS) -> DataFrame:
+def group_similarity(df: DataFrame, group: str, doc: str, vector: str = "embedding", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Cosine of every document to the mean vector of its group. Means are summed map-side in the JVM."""
     as_vector = array_to_vector(F.col(vector).cast("array<double>"))
     means = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(as_vector).alias("_mean"))
@@ -39,7 +39,7 @@ def group_similarity(df: DataFrame, group: str, doc: str, vector: str = "embeddi
 
 
 def link_semantic(
-    df: DataFrame, group: str, doc: str, minimum: float, vector: str = "embedding", hot_rows: int = HOT_ROWS
+    df: DataFrame, group: str, doc: str, minimum: float, vector: str = "embedding", hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Documents at least `minimum` similar to their group's mean."""
     scored = group_similarity(df, group, doc, vector, hot_rows)
@@ -47,7 +47,7 @@ def link_semantic(
 
 
 def score_edges(
-    edges: DataFrame, vectors: DataFrame, doc: str = "path", vector: str = "embedding", hot_rows: int = HOT_ROWS
+    edges: DataFrame, vectors: DataFrame, doc: str = "path", vector: str = "embedding", hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Cosine along the edges another detector found (source, target); a source with very many edges,
     as the first document of a big group has, is split over tasks."""

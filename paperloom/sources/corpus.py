@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from paperloom.functions.paths import suffix
-
 # The default file patterns of a corpus scan.
 DEFAULT_GLOBS = ["*.pdf", "*.png", "*.jpg", "*.docx"]
 
@@ -19,33 +17,10 @@ def _glob(globs: Sequence[str] | None) -> str:
     return wanted[0] if len(wanted) == 1 else "{" + ",".join(wanted) + "}"
 
 
-def read_corpus(
-    spark: SparkSession,
-    path: str,
-    globs: Sequence[str] | None = None,
-    recursive: bool = True,
-    max_bytes: int | None = None,
-) -> DataFrame:
-    """Files as rows: path, modificationTime, length, content.
-
-    `content` is only read if it is used. Files above `max_bytes` keep their row with null content and
-    an error in `read_error`, so nothing disappears.
-    """
+def read_corpus(spark: SparkSession, path: str, globs: Sequence[str] | None = None, recursive: bool = True) -> DataFrame:
+    """Files as rows: path, modificationTime, length, content (S1, S2). `content` is only read if it is used."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", _glob(globs))
-    df = reader.option("recursiveFileLookup", str(recursive).lower()).load(path)
-    if max_bytes is None:
-        return df
-    too_big = F.col("length") > max_bytes
-    return df.withColumn("read_error", F.when(too_big, F.concat(F.lit("file of "), F.col("length").cast("string"), F.lit(" bytes is over the limit")))).withColumn(
-        "content", F.when(~too_big, F.col("content"))
-    )
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores (few or unsplittable files) before costly
-    per-row work. Large inputs already have enough splits and pass through untouched."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return reader.option("recursiveFileLookup", str(recursive).lower()).load(path)
 
 
 def read_text_docs(spark: SparkSession, path: str, globs: Sequence[str] = ("*.txt",), recursive: bool = True) -> DataFrame:
@@ -124,7 +99,3 @@ def stream_corpus(spark: SparkSession, path: str, globs: Sequence[str] | None =
     """Watch a folder: new files arrive as rows of a stream."""
     reader = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("pathGlobFilter", _glob(globs))
     return reader.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(path)
-
-
-def with_suffix(df: DataFrame) -> DataFrame:
-    return df.withColumn("extension", F.lower(suffix(F.col("path"))))

@@ -76,7 +76,7 @@ def failure_bursts(
     )
 
 
-def link_batches(store: str, edges: str, hot_rows: int = link.HOT_ROWS) -> Callable[[DataFrame, int], None]:
+def link_batches(store: str, edges: str, hot_rows: int | None = link.HOT_ROWS) -> Callable[[DataFrame, int], None]:
     """A `foreachBatch` function that links each micro-batch with all documents seen so far.
 
     File-name members go to `store`, relationships to `edges`, one folder per batch that is overwritten

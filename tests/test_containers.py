@@ -1,10 +1,12 @@
 """Container bytes are built here with the standard library."""
 
+import hashlib
 import io
 import tarfile
 import zipfile
 from email.message import EmailMessage
 
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import containers as c
@@ -75,10 +77,22 @@ def test_archives_keep_good_members_and_report_bad_ones(spark):
     assert tuple(summary) == (6, 5, 3)
 
 
-def test_member_over_the_limit_is_an_error_row(spark):
-    got = c.decompose(files(spark, [("x.zip", zip_bytes([("big", b"x" * 100), ("small", b"y")]))]), max_member_bytes=50)
-    assert names(got["documents"]) == ["x.zip/small"]
-    assert names(got["errors"]) == ["x.zip/big"]
+def test_large_members_arrive_in_chunks(spark):
+    big = bytes(range(256)) * 3
+    inner = zip_bytes([("deep", b"z" * 90)])
+    rows = [("x.zip", zip_bytes([("big", big), ("small", b"y"), ("copy", big), ("in.zip", inner)])), ("m.eml", mail_bytes())]
+    got = c.decompose(files(spark, rows), chunk_bytes=100)
+    docs = got["documents"].orderBy("path", "chunk").collect()
+    parts = [bytes(r["content"]) for r in docs if r["path"] == "x.zip/big"]
+    assert [len(p) for p in parts] == [100] * 7 + [68] and b"".join(parts) == big
+    assert {(r["file_size"], r["file_hash"]) for r in docs if r["path"] == "x.zip/big"} == {(768, hashlib.sha256(big).hexdigest())}
+    assert {r["path"] for r in docs} == {"x.zip/big", "x.zip/small", "x.zip/in.zip", "m.eml/a_b.pdf", "m.eml/a_b_1.pdf", "m.eml/a_b_1_1.pdf"}
+    assert b"".join(bytes(r["content"]) for r in docs if r["path"] == "x.zip/in.zip") == inner
+    assert [(r["path"], r["error"]) for r in got["errors"].collect()] == [
+        ("x.zip/in.zip", f"container of {len(inner)} bytes arrived in chunks")
+    ]
+    assert got["lineage"].count() == 8
+    assert c.preprocess_summary(got["documents"], got["errors"], files(spark, rows)).first()["total_extracted"] == 6
 
 
 def test_email_parts(spark):
@@ -182,10 +196,29 @@ def test_unpack_as_a_table_function(spark):
     assert [r["error"] is not None for r in rows if r["path"] == "y.zip"] == [True]
 
 
-def test_chain_with_a_hot_parent(spark):
+def test_chain_with_a_wide_parent(spark):
     rows = [("r", None, "root")] + [(f"c{i}", "r", f"n{i}") for i in range(30)] + [("lost", "gone", "lost")]
     df = spark.createDataFrame(rows, "document_id STRING, parent_id STRING, file_name STRING")
-    for hot in (3, 10**6):
-        got = {r["document_id"]: r["chain"] for r in c.lineage_chain(df, hot_rows=hot).collect()}
-        assert got["c7"] == ["r", "c7"] and got["r"] == ["r"] and got["lost"] == ["lost"] and len(got) == 32
+    got = {r["document_id"]: r["chain"] for r in c.lineage_chain(df).collect()}
+    assert got["c7"] == ["r", "c7"] and got["r"] == ["r"] and got["lost"] == ["lost"] and len(got) == 32
     assert {r["tree_path"] for r in c.document_tree(df, "file_name").collect()} >= {"root", "root/n7", "lost"}
+
+
+def test_deep_chains_are_whole_and_cycles_raise(spark):
+    rows = [(str(i), str(i - 1) if i else None, f"n{i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "document_id STRING, parent_id STRING, file_name STRING")
+    got = {r["document_id"]: (r["chain"], r["length"]) for r in c.lineage_chain(df).collect()}
+    assert got["11"] == ([str(i) for i in range(12)], 12)
+    only = c.lineage_chain(df, spark.createDataFrame([("8",)], "document_id STRING")).collect()
+    assert [r["length"] for r in only] == [9]
+    assert max(r["level"] for r in c.document_tree(df, "file_name").collect()) == 12
+    loop = spark.createDataFrame([("a", "b", ""), ("b", "c", ""), ("c", "a", ""), ("d", None, "")], df.schema)
+    with pytest.raises(ValueError, match="cycle"):
+        c.lineage_chain(loop)
+
+
+def test_many_taken_numbers(spark):
+    given = [f"a_{i}.txt" for i in range(1, 1500)] + ["a.txt"] * 40 + ["a_3.txt", "a_3_1.txt", "a_3.txt"] + ["b"] * 3 + ["b_1"]
+    df = spark.createDataFrame([("p", i, n) for i, n in enumerate(given)], "parent_id STRING, ordinal BIGINT, name STRING")
+    got = {r["ordinal"]: r["unique_name"] for r in c.unique_names(df).collect()}
+    assert [got[i] for i in range(len(given))] == sequential_names(given)

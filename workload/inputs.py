@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from paperloom.sources.corpus import spread
-
 MONEY = "decimal(18,2)"
 
 
@@ -16,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a test table that is a single file: costly text is rendered per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _pad(key: Column, width: int = 8) -> Column:
     """Zero-pad without ever cutting a longer key."""
     text = key.cast("string")
@@ -482,35 +486,50 @@ def method_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- containers ------------------------------------------------------------------------------------
 
 
+LINEAGE_LEVELS = 7  # between a source and its documents
+
+
 def lineage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A three-level tree over the documents: source -> box of ten -> document."""
+    """A tree of nine levels over the documents: source -> seven levels of halving boxes -> document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    box = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 10).cast("string"))
-    node = lambda kind, key: F.concat(F.lit(f"{kind}:"), key)
     nothing = F.lit(None).cast("string")
+    source = F.concat(F.lit("src:"), "source")
+
+    def box(level: Column) -> Column:
+        number = F.floor(F.col("doc_id") / F.pow(F.lit(2), level)).cast("string")
+        return F.concat(F.lit("box"), level.cast("string"), F.lit(":"), "source", F.lit("/"), number)
+
     leaves = docs.select(
-        node("doc", F.col("doc_id").cast("string")).alias("document_id"), node("src", F.col("source")).alias("root_id"),
-        node("box", box).alias("parent_id"), F.lit("document").alias("container_type"), F.lit(2).alias("extraction_depth"),
-        F.sha2("text", 256).alias("file_hash"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"),
-    )
-    boxes = docs.select(box.alias("b"), "source").distinct().select(
-        node("box", F.col("b")).alias("document_id"), node("src", F.col("source")).alias("root_id"),
-        node("src", F.col("source")).alias("parent_id"), F.lit("archive").alias("container_type"),
-        F.lit(1).alias("extraction_depth"), nothing.alias("file_hash"),
-        F.concat(F.substring_index("b", "/", -1), F.lit(".zip")).alias("file_name"),
+        F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("document_id"), source.alias("root_id"),
+        box(F.lit(1)).alias("parent_id"), F.lit("document").alias("container_type"),
+        F.lit(LINEAGE_LEVELS + 1).alias("extraction_depth"), F.sha2("text", 256).alias("file_hash"),
+        F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"),
     )
+    level = F.col("level")
+    boxes = docs.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.lit(LINEAGE_LEVELS))).alias("level")).select(
+        box(level).alias("document_id"), source.alias("root_id"),
+        F.when(level == LINEAGE_LEVELS, source).otherwise(box(level + 1)).alias("parent_id"),
+        F.lit("archive").alias("container_type"), (LINEAGE_LEVELS + 1 - level).alias("extraction_depth"), nothing.alias("file_hash"),
+        F.concat(F.substring_index(box(level), "/", -1), F.lit(".zip")).alias("file_name"),
+    ).distinct()
     sources = docs.select("source").distinct().select(
-        node("src", F.col("source")).alias("document_id"), node("src", F.col("source")).alias("root_id"),
-        nothing.alias("parent_id"), F.lit("archive").alias("container_type"), F.lit(0).alias("extraction_depth"),
-        nothing.alias("file_hash"), F.concat(F.col("source"), F.lit(".tar")).alias("file_name"),
+        source.alias("document_id"), source.alias("root_id"), nothing.alias("parent_id"), F.lit("archive").alias("container_type"),
+        F.lit(0).alias("extraction_depth"), nothing.alias("file_hash"), F.concat(F.col("source"), F.lit(".tar")).alias("file_name"),
     )
     return leaves.unionByName(boxes).unionByName(sources)
 
 
 def member_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of e-mail attachments, many repeated inside one message and some with forbidden characters."""
-    i = F.col("i")
-    return table(spark, sf_dir, "orders").select(
+    """Names of e-mail attachments, many repeated inside one message and some with forbidden characters;
+    and one message whose repeats meet a taken number for every order."""
+    i, key = F.col("i"), F.col("o_orderkey")
+    taken = table(spark, sf_dir, "orders").select(
+        F.lit("numbered").alias("parent_id"), key.alias("ordinal"), F.concat(F.lit("n_"), key.cast("string"), F.lit(".pdf")).alias("name")
+    )
+    repeats = table(spark, sf_dir, "orders").filter(key % 10 == 0).select(
+        F.lit("numbered").alias("parent_id"), (key + 1_000_000_000).alias("ordinal"), F.lit("n.pdf").alias("name")
+    )
+    small = table(spark, sf_dir, "orders").select(
         F.floor(F.col("o_orderkey") / 50).cast("string").alias("parent_id"), (F.col("o_orderkey") % 50).alias("i")
     ).select(
         "parent_id", i.alias("ordinal"),
@@ -518,6 +537,7 @@ def member_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(i % 3 == 1, F.concat(F.lit(" in:voice/"), (i % 2).cast("string"), F.lit(".pdf ")))
         .otherwise(F.lit("readme")).alias("name"),
     )
+    return small.unionByName(taken).unionByName(repeats)
 
 
 def zipped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,12 @@ from workload.registry import query
 
 TREE = {
     "nodes": """
-SELECT 'doc:' || doc_id AS document_id, 'src:' || source AS root_id, 'box:' || source || '/' || (doc_id // 10) AS parent_id,
+SELECT 'doc:' || doc_id AS document_id, 'src:' || source AS root_id, 'box1:' || source || '/' || (doc_id // 2) AS parent_id,
        doc_id || '.txt' AS name, sha256(text) AS file_hash FROM documents
 UNION ALL
-SELECT DISTINCT 'box:' || source || '/' || (doc_id // 10), 'src:' || source, 'src:' || source, (doc_id // 10) || '.zip', NULL FROM documents
+SELECT DISTINCT 'box' || lv || ':' || source || '/' || (doc_id // (1 << lv)), 'src:' || source,
+       CASE WHEN lv = 7 THEN 'src:' || source ELSE 'box' || (lv + 1) || ':' || source || '/' || (doc_id // (1 << (lv + 1))) END,
+       (doc_id // (1 << lv)) || '.zip', NULL FROM documents, range(1, 8) AS t(lv)
 UNION ALL
 SELECT DISTINCT 'src:' || source, 'src:' || source, NULL, source || '.tar', NULL FROM documents""",
     "walk": """
@@ -99,7 +101,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY parent_id, clean ORDER BY ordina
         SELECT CAST(o_orderkey // 50 AS VARCHAR) AS parent_id, o_orderkey % 50 AS ordinal,
                CASE o_orderkey % 50 % 3 WHEN 0 THEN 'scan' || (o_orderkey % 50 % 4) || '.pdf'
                     WHEN 1 THEN 'in_voice_' || (o_orderkey % 50 % 2) || '.pdf' ELSE 'readme' END AS clean
-        FROM orders))"""
+        FROM orders))
+UNION ALL
+SELECT 'numbered', o_orderkey, 'n_' || o_orderkey || '.pdf' FROM orders
+UNION ALL
+SELECT 'numbered', ordinal, CASE WHEN k = 0 THEN 'n.pdf' ELSE 'n_' || n || '.pdf' END
+FROM (SELECT 1000000000 + o_orderkey AS ordinal, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders WHERE o_orderkey % 10 = 0)
+LEFT JOIN (SELECT n, row_number() OVER (ORDER BY n) AS rk FROM range(1, 10000000) AS r(n)
+           WHERE n NOT IN (SELECT o_orderkey FROM orders)) ON rk = k"""
     ),
 )
 def unique_names(spark, sf_dir):
@@ -181,7 +190,7 @@ UNION ALL SELECT conv_id || '-' || turn, 1, 'no_te_1.txt', 'second ' || conv_id
 )
 def email_attachments(spark, sf_dir):
     _, attachments = c.explode_emails(inputs.mails(spark, sf_dir))
-    return attachments.withColumn("content", F.col("content").cast("string"))
+    return attachments.select("container_id", "ordinal", "name", F.col("content").cast("string").alias("content"))
 
 
 # --- sources -----------------------------------------------------------------------------------

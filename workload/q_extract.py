@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
 from paperloom.operators import extract, layout
-from paperloom.sources.corpus import spread
 from workload import inputs
 from workload.oracle_inputs import oracle
 from workload.registry import query
@@ -192,7 +191,7 @@ FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[
 )
 def custom_rules(spark, sf_dir):
     """Global and per-type rules over the real texts, with the language in the role of the type."""
-    docs = spread(inputs.table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("document_type")))
+    docs = inputs.spread(inputs.table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("document_type")))
     out = extract.apply_rules(docs, RULES)
     shown = lambda n: F.coalesce(F.array_join(F.array_sort(F.split(F.col("custom_extractions")[n], "; ")), "; "), F.lit(""))
     return out.select("doc_id", *[shown(n).alias(n) for n in ("email", "number", "license")])
