@@ -17,16 +17,20 @@ DATE_PATTERN = (
     r"|[0-9]? (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* [0-9]{4}"
     r"|(?:an|eb|ar|pr|ay|un|ul|ug|ep|ct|ov|ec)[a-z]* [0-9]{1,2}, [0-9]{4})\b"
 )
-MONEY_CANDIDATE = r"[$€£UEG](?:SD|UR|BP)? ?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]{1,2})?"
+MONEY_CANDIDATE = r"[$€£UEG](?:SD|UR|BP)? ?[0-9](?:[0-9.,]*[0-9])?"
 MONEY_START = r"^(?:[$€£]|USD|EUR|GBP)"
-MONEY_PATTERN = r"(?:[$€£]|USD|EUR|GBP) ?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]{1,2})?"
+MONEY_PATTERN = r"(?:[$€£]|USD|EUR|GBP) ?[0-9](?:[0-9.,]*[0-9])?"
 COMPLIANCE_TERMS = ["GDPR", "SOX", "SOC2", "HIPAA"]
 CURRENCY_OF_SIGN = {"$": "USD", "€": "EUR", "£": "GBP"}
 DISCOUNT_PATTERN = r"\b([0-9]+(?:\.[0-9]+)?) ?%,? ?/?([0-9]+),? [Nn][Ee][Tt] ?([0-9]+)"
 NET_PATTERN = r"\b[Nn][Ee][Tt] ?([0-9]+)"
 TAX_RATE_PATTERN = r"(?i)\b(?:tax|vat|gst)[^0-9%\n]{0,20}([0-9]+(?:\.[0-9]+)?) ?%"
-SHIPPING_PATTERN = r"(?im)^\s*shipping[^:\n]*: ?[^0-9\n]*([0-9]+(?:,[0-9]{3})*(?:\.[0-9]{1,2})?)"
-CREDIT_PATTERN = r"(?im)^\s*credit (?:note|adjustment)[^:\n]*: ?[^0-9\n]*([0-9]+(?:,[0-9]{3})*(?:\.[0-9]{1,2})?)"
+SHIPPING_PATTERN = r"(?im)^\s*shipping[^:\n]*: ?[^0-9\n]*([0-9](?:[0-9.,]*[0-9])?)"
+CREDIT_PATTERN = r"(?im)^\s*credit (?:note|adjustment)[^:\n]*: ?[^0-9\n]*([0-9](?:[0-9.,]*[0-9])?)"
+# Shapes of a number without sign and currency. `1.234` alone may be either and is no amount.
+POINT_DECIMAL = r"^(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)(?:\.[0-9]{1,2})?$|^(?:0|[0-9]{4,})\.[0-9]+$|^[0-9]+\.[0-9]{4,}$"
+COMMA_DECIMAL = r"^(?:[0-9]+|[0-9]{1,3}(?:\.[0-9]{3})+),[0-9]{1,2}$|^[0-9]{1,3}(?:\.[0-9]{3}){2,}$"
+AMOUNT_SHAPE = r"^(\(?-?)([0-9](?:[0-9.,]*[0-9])?)(-?\)?)[.,]?$"
 ICD10_PATTERN = r"\b[A-TV-Z][0-9][0-9A-Z](?:\.[0-9A-Z]{1,4})?\b"
 CPT_PATTERN = r"\b[0-9]{5}\b"
 
@@ -68,8 +72,20 @@ def labelled(f: Column, *names: str, value: str | None = None) -> Column:
 
 
 def to_amount(text: Column) -> Column:
-    """Digits, thousands separators and currency signs to DECIMAL(18,2); null if that is not a number."""
-    return F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("decimal(18,2)")
+    """An amount of money as DECIMAL(18,2), by its shape: `1,234.50` and `1.234,50`, `(20.00)`, `-20.00`
+    and `20.00-` (all three negative), with currency names or signs around it. Null for anything else,
+    and where the shape leaves open what a separator means (`1.234`)."""
+
+    def parsed(bare: Column) -> Column:
+        before, number, after = (F.regexp_extract(bare, AMOUNT_SHAPE, i) for i in (1, 2, 3))
+        sign = F.concat(before, after)
+        value = F.when(number.rlike(POINT_DECIMAL), F.replace(number, F.lit(","), F.lit(""))).when(
+            number.rlike(COMMA_DECIMAL), F.translate(number, ",.", ".")
+        )
+        amount = value.try_cast("decimal(18,2)")
+        return F.when(sign == "", amount).when(sign.isin("-", "()"), (-amount).cast("decimal(18,2)"))
+
+    return let(F.regexp_replace(text, r"[^0-9.,()\-]", ""), parsed)
 
 
 def to_date(text: Column) -> Column:

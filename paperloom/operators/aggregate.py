@@ -76,16 +76,17 @@ def best_fields(df: DataFrame, minimum: float = PARTIAL_MIN_CONFIDENCE, doc: str
 def merge_partial(
     df: DataFrame, fields: list[str], minimum: float = PARTIAL_MIN_CONFIDENCE, doc: str = "doc_id"
 ) -> DataFrame:
-    """One map of merged fields per document; `partial` when one of `fields` found no usable value."""
-    best = best_fields(df, minimum, doc).filter(F.col("field").isin(fields))
-    merged = best.groupBy(doc).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields")
-    )
-    everyone = df.select(doc).distinct()
-    full = everyone.join(merged, doc, "left").withColumn(
-        "fields", F.coalesce("fields", F.create_map().cast("map<string,string>"))
-    )
-    return full.withColumn("partial", F.size("fields") < len(fields))
+    """One map of merged fields per document; `partial` when one of `fields` found no usable value.
+
+    One aggregation: per named field the value of the best (confidence, then earliest attempt).
+    """
+    usable = (F.col("confidence") >= minimum) & F.col("value").isNotNull()
+    rank = F.struct("confidence", -F.col("attempt"))
+    best = [F.max_by("value", F.when((F.col("field") == f) & usable, rank)).alias(f"_{i}") for i, f in enumerate(sorted(fields))]
+    merged = df.groupBy(doc).agg(*best)
+    entries = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{i}").alias("value")) for i, f in enumerate(sorted(fields))])
+    found = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    return merged.select(doc, found.alias("fields")).withColumn("partial", F.size("fields") < len(fields))
 
 
 def confidence_histogram(df: DataFrame, confidence: str = "confidence", buckets: int = 10) -> DataFrame:

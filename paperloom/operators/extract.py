@@ -5,10 +5,10 @@ All operators are projections over one text column: no shuffle, no Python in the
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
-from functools import partial
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from paperloom import schemas
 from paperloom.functions import text as tx
@@ -25,19 +25,45 @@ CLAUSE_RULES = {
     "penalty": r"(?i)\bpenalt(?:y|ies)\b",
     "liquidated_damages": r"(?i)\bliquidated damages\b",
 }
+PENALTY_CONDITION = r"(?i)\b(?:appl(?:y|ies) (?:to|for|if|when)|payable (?:on|for|if|in case of)|in case of|if) ([^.\n]+?)(?: and count\b[^.\n]*)?$"
 PENALTY_TYPES = ["penalty", "liquidated_damages"]
 RENEWAL_TYPES = ["renewal", "auto-renewal"]
 
 
 def _typed(result_type: str, **fields: Column) -> Column:
-    """A full result struct; fields that no rule fills are null of their declared type."""
-    return F.struct(
+    """A full result struct; fields that no rule fills are null of their declared type. Its
+    `metadata.confidence` is the share of the type's required fields that were found."""
+    struct = F.struct(
         *[
             (fields[f.name] if f.name in fields else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in schemas.struct_type(result_type).fields
         ]
     )
 
+    def scored(r: Column) -> Column:
+        found = [c(r).cast("int") for c in _required(result_type)]
+        share = reduce(lambda a, b: a + b, found) / len(found)
+        meta = schemas.struct_type(result_type)["metadata"].dataType
+        values = [(share if f.name == "confidence" else r["metadata"][f.name]).alias(f.name) for f in meta.fields]
+        return r.withField("metadata", F.struct(*values).cast(meta))
+
+    return tx.let(struct, scored)
+
+
+def _required(result_type: str) -> list[Callable[[Column], Column]]:
+    """Tests for the required fields: named leaves are not null, required lists are not empty."""
+    struct = schemas.struct_type(result_type)
+    tests: list[Callable[[Column], Column]] = []
+    for path, kind, names in schemas.CONSTRAINTS[result_type]:
+        if kind != "required" or "[]" in path:
+            continue
+        for name in names:
+            if path:
+                tests.append(lambda r, p=path, n=name: r[p][n].isNotNull())
+            elif isinstance(struct[name].dataType, T.ArrayType):
+                tests.append(lambda r, n=name: F.coalesce(F.size(r[n]) > 0, F.lit(False)))
+    return tests
+
 
 def _record(dtype_path: tuple[str, str], **values: Column) -> Column:
     """Nested struct of a type with the given fields set, the others null."""
@@ -54,19 +80,28 @@ def _path(df: DataFrame) -> Column | None:
 # --- invoices (X8, X9) -------------------------------------------------------------------------
 
 
+# `n, description, quantity, unit price, amount[, tax rate]` between bars, tabs or runs of blanks.
+_BLANK_CELL = r" {2,}[^ \t\n|]+(?: [^ \t\n|]+)*"
+LINE_ROW = (
+    r"(?m)^ *[0-9]+(?: *(?:\|[^|\n]*){4,5}|(?:\t[^\t\n]*){4,5}|(?:" + _BLANK_CELL + r"){4,5} *)$"
+)
+
+
 def line_items(text: Column) -> Column:
-    """All `n | description | quantity | unit price | amount` rows, in text order."""
-    rows = tx.all_matches(text, r"(?m)^ *[0-9]+ *\|[^|\n]*\|[^|\n]*\|[^|\n]*\|[^|\n]*$")
+    """All rows of numbered items, in text order (X9): cells between `|`, tabs, or two blanks and more."""
+    rows = tx.all_matches(text, LINE_ROW)
 
     def item(row: Column) -> Column:
-        cell = F.transform(F.split(row, r"\|"), lambda c: F.trim(c))
+        bars = F.when(row.contains("|"), F.split(row, r"\|")).when(row.contains("\t"), F.split(row, r"\t"))
+        cell = F.transform(F.coalesce(bars, F.split(F.trim(row), r" {2,}")), lambda c: F.trim(c))
+        rate = F.regexp_extract(F.get(cell, F.lit(5)), r"^([0-9]+(?:\.[0-9]+)?) ?%$", 1)
         return F.struct(
             cell[0].alias("item_number"),
             cell[1].alias("description"),
             cell[2].try_cast("double").alias("quantity"),
             tx.to_amount(cell[3]).alias("unit_price"),
             tx.to_amount(cell[4]).alias("amount"),
-            F.lit(None).cast("double").alias("tax_rate"),
+            rate.try_cast("double").alias("tax_rate"),
         )
 
     return F.transform(rows, item)
@@ -165,7 +200,8 @@ def agreement_of(text: Column, path: Column | None = None) -> Column:
 
 def _agreement(f: Column, path: Column | None) -> Column:
     t, get = f["text"], partial(tx.labelled, f)
-    party_line = r"(?m)^Party \(([^)\n]+)\): ([^\n]+)$"
+    # `Party (role): name[; address][, represented by person[, title]]`
+    party_line = r"(?m)^Party \(([^)\n]+)\): ([^;\n]+?)(?:; ([^\n]+?))?(?:, represented by ([^,\n]+)(?:, ([^\n]+))?)?$"
     duty_line = r"(?m)^Obligation \(([^)\n]+)\): ([^\n]+?)(?: by ([^\n]+))?$"
     penalty_line = r"(?i)[^.\n]*\bpenalt(?:y|ies)\b[^.\n]*"
     sign_line = r"(?m)^Signed for ([^:\n]+): ([^,\n]+), ([^,\n]+), ([^\n]+)$"
@@ -175,9 +211,9 @@ def _agreement(f: Column, path: Column | None) -> Column:
         lambda line: F.struct(
             F.regexp_extract(line, party_line, 1).alias("role"),
             F.regexp_extract(line, party_line, 2).alias("name"),
-            none.alias("address"),
-            none.alias("representative"),
-            none.alias("title"),
+            tx.blank_to_null(F.regexp_extract(line, party_line, 3)).alias("address"),
+            tx.blank_to_null(F.regexp_extract(line, party_line, 4)).alias("representative"),
+            tx.blank_to_null(F.regexp_extract(line, party_line, 5)).alias("title"),
         ),
     )
     obligations = F.transform(
@@ -192,7 +228,7 @@ def _agreement(f: Column, path: Column | None) -> Column:
     penalties = F.transform(
         tx.all_matches(t, penalty_line),
         lambda line: F.struct(
-            none.alias("condition"),
+            tx.blank_to_null(F.trim(F.regexp_extract(line, PENALTY_CONDITION, 1))).alias("condition"),
             F.trim(line).alias("penalty"),
             tx.blank_to_null(
                 F.regexp_extract(line, r"([0-9]+(?:\.[0-9]+)? ?%|" + tx.MONEY_PATTERN + ")", 1)
@@ -238,8 +274,8 @@ def _agreement(f: Column, path: Column | None) -> Column:
         penalties=penalties,
         renewal_terms=F.struct(
             t.rlike(CLAUSE_RULES["auto-renewal"]).alias("auto_renewal"),
-            none.alias("renewal_period"),
-            tx.blank_to_null(F.regexp_extract(t, NOTICE_PATTERN, 1)).alias("renewal_notice_period"),
+            tx.blank_to_null(F.regexp_extract(t, RENEWAL_PERIOD, 1)).alias("renewal_period"),
+            notice_period(t).alias("renewal_notice_period"),
             none.alias("renewal_terms_change"),
         ),
         signatures=signatures,
@@ -247,6 +283,15 @@ def _agreement(f: Column, path: Column | None) -> Column:
 
 
 NOTICE_PATTERN = r"(?i)notice of ([0-9]+ (?:day|week|month)s?)|([0-9]+ (?:day|week|month)s?)(?:'| of)? notice"
+RENEWAL_PERIOD = r"(?i)\b(?:renew(?:s|ed)?(?: automatically)?|extended) for (?:a |an |one )?(?:further |additional |successive )?([0-9]+ (?:day|week|month|year)s?|(?:day|week|month|year)\b)"
+
+
+def notice_period(text: Column) -> Column:
+    """`notice of 30 days` and `2 months notice` as the named period, null without one."""
+    return F.coalesce(
+        tx.blank_to_null(F.regexp_extract(text, NOTICE_PATTERN, 1)),
+        tx.blank_to_null(F.regexp_extract(text, NOTICE_PATTERN, 2)),
+    )
 
 
 def paragraphs(text: Column) -> Column:
@@ -279,16 +324,7 @@ def renewal_terms(df: DataFrame, text: str = "text", into: str = "renewal") -> D
     """
     wanted = "|".join(f"(?:{CLAUSE_RULES[t]})" for t in RENEWAL_TYPES)
     clauses = F.filter(paragraphs(F.col(text)), lambda p: p.rlike(wanted))
-    notice = F.filter(
-        F.transform(
-            clauses,
-            lambda p: F.coalesce(
-                tx.blank_to_null(F.regexp_extract(p, NOTICE_PATTERN, 1)),
-                tx.blank_to_null(F.regexp_extract(p, NOTICE_PATTERN, 2)),
-            ),
-        ),
-        lambda n: n.isNotNull(),
-    )
+    notice = F.array_compact(F.transform(clauses, notice_period))
     return df.withColumn(
         into,
         F.struct(
@@ -369,14 +405,21 @@ def _kyc(f: Column, lines: Column, path: Column | None) -> Column:
             ("kyc", "personal_info"),
             full_name=full,
             first_name=tx.blank_to_null(F.substring_index(full, " ", 1)),
+            middle_name=tx.blank_to_null(F.regexp_extract(full, r"^[^ ]+ +(.+) +[^ ]+$", 1)),
             last_name=F.when(full.contains(" "), F.substring_index(full, " ", -1)),
             date_of_birth=tx.to_date(get("date of birth")),
             place_of_birth=get("place of birth"),
             nationality=get("nationality"),
             gender=get("sex", "gender", value="M|F|X|Other"),
         ),
-        address=_record(("kyc", "address"), full_address=get("address")),
+        address=_address(get("address")),
         verification=_record(("kyc", "verification"), mrz_data=zone),
+        additional_info=_record(
+            ("kyc", "additional_info"),
+            document_holder_signature=F.lower(get("holder signature", "signature")).isin("yes", "present", "signed"),
+            endorsements=_listed(get("endorsements", "endorsement")),
+            restrictions=_listed(get("restrictions", "restriction")),
+        ),
         utility_bill_specific=_record(
             ("kyc", "utility_bill_specific"),
             utility_type=F.lower(get("utility type", "utility")),
@@ -386,6 +429,35 @@ def _kyc(f: Column, lines: Column, path: Column | None) -> Column:
     )
 
 
+def _listed(value: Column) -> Column:
+    """`A, B; C` as a list; `none` and nothing as an empty one."""
+    parts = F.transform(F.split(value, "[,;]"), lambda p: F.trim(p))
+    return F.filter(parts, lambda p: (p != "") & (F.lower(p) != "none"))
+
+
+def _address(full: Column) -> Column:
+    """`street, city[, state] [postal code][, country]` taken apart at its commas; parts that are not
+    there stay null."""
+    parts = F.transform(F.split(full, ","), lambda p: F.trim(p))
+    code = r"\b([A-Z]{0,2}[0-9][0-9A-Z]*(?:[ -][0-9][0-9A-Z]*)?)$"
+    last = F.size(parts) - 1
+    country = F.when((last >= 2) & ~F.get(parts, last).rlike(r"[0-9]"), F.get(parts, last))
+    region = F.get(parts, F.when(country.isNotNull(), last - 1).otherwise(last))
+    region = F.when(F.size(parts) - country.isNotNull().cast("int") >= 3, region)
+    city = F.get(parts, F.lit(1))
+    postal = F.coalesce(tx.blank_to_null(F.regexp_extract(region, code, 1)), tx.blank_to_null(F.regexp_extract(city, code, 1)))
+    bare = lambda c: tx.blank_to_null(F.trim(F.regexp_replace(c, code, "")))
+    return _record(
+        ("kyc", "address"),
+        full_address=full,
+        street=tx.blank_to_null(F.get(parts, F.lit(0))),
+        city=bare(city),
+        state=bare(region),
+        postal_code=postal,
+        country=country,
+    )
+
+
 # --- receipts (X16) ------------------------------------------------------------------------------
 
 
@@ -409,7 +481,28 @@ def _receipt(f: Column) -> Column:
             i["quantity"].alias("quantity"),
             i["unit_price"].alias("unit_price"),
             i["amount"].alias("amount"),
-            F.lit(None).cast("decimal(18,2)").alias("discount"),
+            tx.to_amount(tx.blank_to_null(F.regexp_extract(i["description"], r"(?i)\bless ([^ )\]]+)", 1))).alias("discount"),
+        ),
+    )
+    tax_line = r"(?m)^ *([A-Za-z]+) \(([0-9]+(?:\.[0-9]+)?) ?%\) *: *([^\r\n]*[^\r\n ])"
+    taxes = F.filter(
+        F.transform(
+            tx.all_matches(t, tax_line),
+            lambda line: F.struct(
+                F.regexp_extract(line, tax_line, 1).alias("type"),
+                F.regexp_extract(line, tax_line, 2).try_cast("double").alias("rate"),
+                tx.to_amount(F.regexp_extract(line, tax_line, 3)).alias("amount"),
+            ),
+        ),
+        lambda x: x["amount"].isNotNull(),
+    )
+    offer = r"(?m)^ *(?:Promotion|Coupon)(?: \(([^)\n]+)\))? *: *([^\r\n]*?)(?:, *(-?[^ ,\r\n]*[0-9][^ ,\r\n]*))?$"
+    promotions = F.transform(
+        tx.all_matches(t, offer),
+        lambda line: F.struct(
+            tx.blank_to_null(F.regexp_extract(line, offer, 1)).alias("code"),
+            F.regexp_extract(line, offer, 2).alias("description"),
+            F.abs(tx.to_amount(tx.blank_to_null(F.regexp_extract(line, offer, 3)))).alias("discount"),
         ),
     )
     return _typed(
@@ -434,9 +527,11 @@ def _receipt(f: Column) -> Column:
             ("receipt", "totals"),
             subtotal=tx.to_amount(get("subtotal")),
             tax=tx.to_amount(get("tax")),
+            tax_breakdown=taxes,
             total=tx.to_amount(total),
             currency=_leading_currency(total),
         ),
+        promotions=promotions,
         payment=_record(
             ("receipt", "payment"),
             method=F.lower(get("paid by", value="[A-Za-z_]+")),
@@ -525,29 +620,22 @@ def extend_type(
 
 
 def finalize(df: DataFrame, stamp: Column | None = None) -> DataFrame:
-    """Default currency and extraction timestamp."""
-    filled = F.coalesce(F.col("financial.currency"), F.lit(schemas.DEFAULT_CURRENCY))
-    return df.withColumn("financial", F.col("financial").withField("currency", filled)).withColumn(
-        "extraction_timestamp", F.current_timestamp() if stamp is None else stamp
-    )
+    """Default currency, of invoices (`financial`) and receipts (`totals`), and extraction timestamp."""
+    for amounts in ("financial", "totals"):
+        if amounts in df.columns:
+            filled = F.coalesce(F.col(f"{amounts}.currency"), F.lit(schemas.DEFAULT_CURRENCY))
+            df = df.withColumn(amounts, F.col(amounts).withField("currency", filled))
+    return df.withColumn("extraction_timestamp", F.current_timestamp() if stamp is None else stamp)
 
 
 def medical_code_counts(df: DataFrame, codes: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """ICD-10 and CPT codes per document with counts and the code table's description.
 
-    Mentions are counted inside each document's row first, so a code that fills a third of the texts
-    shuffles one row per document at most, and the join to `codes` (system, code, description) is salted.
+    Mentions become rows and are counted by (document, system, code), map-side first, so neither a long
+    text nor a frequent code is a burden of its own.
     """
     system = lambda name, c: F.transform(c, lambda x: F.struct(F.lit(name).alias("system"), x.alias("code")))
     found = F.concat(system("ICD-10", tx.icd10_codes(F.col(text))), system("CPT", tx.cpt_codes(F.col(text))))
-    counted = df.select(doc, found.alias("found")).select(
-        doc,
-        F.explode(
-            F.transform(
-                F.array_distinct("found"),
-                lambda c: F.struct(c.alias("c"), F.size(F.filter("found", lambda x: x == c)).alias("mentions")),
-            )
-        ).alias("e"),
-    )
-    mentions = counted.select(doc, "e.c.system", "e.c.code", "e.mentions")
-    return join_skewed(mentions, codes, ["system", "code"], F.col(doc), "left")
+    mentions = df.select(doc, F.explode(found).alias("c")).groupBy(doc, "c.system", "c.code")
+    counted = mentions.agg(F.count(F.lit(1)).cast("int").alias("mentions"))
+    return join_skewed(counted, codes, ["system", "code"], F.col(doc), "left")

@@ -18,18 +18,15 @@ FAILED = "failed"
 def rollup_pages(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Whole text per document: pages in order, each followed by a newline (X1). The result is one text
     value per document, so a group is no larger than the row it becomes."""
-    ordered = F.array_sort(F.collect_list(F.struct("page_number", "text")))
-    joined = F.concat(F.array_join(F.transform("_pages", lambda p: p["text"]), "\n", ""), F.lit("\n"))
+    numbered = pages.withColumns({"_text": F.coalesce("text", F.lit("")), "_images": F.coalesce("has_images", F.lit(False))})
     return (
-        pages.groupBy(doc)
+        numbered.groupBy(doc)
         .agg(
-            ordered.alias("_pages"),
             F.count(F.lit(1)).alias("page_count"),
-            F.bool_or(F.coalesce("has_images", F.lit(False))).alias("has_images"),
+            F.bool_or("_images").alias("has_images"),
+            F.concat(F.expr("listagg(_text, '\n') WITHIN GROUP (ORDER BY page_number, _text)"), F.lit("\n")).alias("text"),
         )
-        .withColumn("text", joined)
         .withColumn("has_embedded_text", F.length(F.regexp_replace("text", r"^\s+|\s+$", "")) > EMBEDDED_TEXT_ABOVE)
-        .drop("_pages")
     )
 
 
@@ -72,11 +69,14 @@ def grid_to_records(cells: DataFrame, table: Sequence[str] = ("table_id",)) -> D
 
 
 def records_as_maps(records: DataFrame, table: Sequence[str] = ("table_id",)) -> DataFrame:
-    """One map header -> value per table row; of repeated headers the last column wins."""
-    last = records.groupBy(*table, "row", "header").agg(F.max_by("value", "column").alias("value"))
-    return last.groupBy(*table, "row").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("header", "value")))).alias("record")
-    )
+    """One map header -> value per table row; of repeated headers the last column wins. A row is one
+    group, as long as the table is wide."""
+    cells = F.array_sort(F.collect_list(F.struct("header", "column", "value")))
+    rows = records.filter(F.col("header").isNotNull()).groupBy(*table, "row").agg(cells.alias("_cells"))
+    following = lambda i: F.get("_cells", i + 1)["header"]
+    last = F.filter("_cells", lambda c, i: ~c["header"].eqNullSafe(following(i)))
+    record = F.map_from_entries(F.transform(last, lambda c: F.struct(c["header"], c["value"])))
+    return rows.select(*table, "row", record.alias("record"))
 
 
 def valid_tables(tables: DataFrame) -> DataFrame:
