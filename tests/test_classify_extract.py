@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import paths, text as tx
@@ -198,3 +199,30 @@ def test_parallel_branches_keep_unrouted_rows(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "handler STRING, v INT")
     run = pipeline.parallel({"a": lambda d: d.withColumn("twice", F.col("v") * 2)}, after=lambda d: d.orderBy("v"))
     assert [(r["v"], r["twice"]) for r in run(df).collect()] == [(1, 2), (2, None), (3, None)]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("EUR 1.234,50", "1234.50"),
+        ("$1,234.50", "1234.50"),
+        ("1.234.567", "1234567.00"),
+        ("1,234", "1234.00"),
+        ("12,5", "12.50"),
+        ("(20.00)", "-20.00"),
+        ("5.00-", "-5.00"),
+        ("-5.00 USD", "-5.00"),
+        ("USD 7.", "7.00"),
+        ("0.125", "0.13"),
+        ("1.234", None),
+        ("1,23,4", None),
+        ("(-5.00)", None),
+        ("5.00 (net 30)", None),
+        ("none", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_amount_shapes(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t STRING").select(tx.to_amount(F.col("t"))).first()[0]
+    assert (None if got is None else str(got)) == want

@@ -285,8 +285,15 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c, q = F.col("k"), F.col("c"), F.col("q")
     text = lambda name: F.col(name).cast("string")
     sign = F.when(k % 3 == 0, "$").when(k % 3 == 1, "EUR ").otherwise("£")
-    shown = lambda cents: F.concat(sign, F.format_number(_cents(cents), 2))
+    plain = lambda cents: F.format_number(_cents(cents), 2)
+    spelled = lambda cents: F.when(k % 5 == 1, F.translate(plain(cents), ",.", ".,")).otherwise(plain(cents))
+    shown = lambda cents: F.concat(sign, spelled(cents))
     tax = F.floor(c * 7 / 100)
+    # items between bars, tabs or blanks, half of them with a tax rate
+    gap = F.when(k % 4 == 2, "\t").when(k % 4 == 3, "  ").otherwise(" | ")
+    row = lambda *cells: F.concat_ws(
+        "", *[x for cell in cells for x in (gap, cell)][1:], F.when(k % 2 == 0, F.concat(gap, F.lit("7%")))
+    )
     body = _lines(
         "INVOICE",
         _line("Invoice Number", F.lit("INV-"), text("k"), F.lit("-"), text("n"), F.lit("-"), text("s")),
@@ -295,17 +302,17 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 != 0, _line("PO Number", F.lit("PO-"), text("k"))),
         _line("Vendor", F.lit("Supplier#"), _pad(F.col("s"), 9)),
         _line("Vendor Tax ID", F.lit("12-"), _pad(F.col("s"), 7)),
-        _line("Bill To", F.lit("Customer of order "), text("k")),
+        F.when(k % 11 != 0, _line("Bill To", F.lit("Customer of order "), text("k"))),
         "",
         "No | Description | Quantity | Unit Price | Amount",
-        F.concat(F.lit("1 | Part "), text("p"), F.lit(" | "), text("q"), F.lit(" | "),
-                 F.format_number(_cents(F.floor(c / q)), 2), F.lit(" | "), F.format_number(_cents(c), 2)),
-        "2 | Handling | 1 | 12.50 | 12.50",
+        row(F.lit("1"), F.concat(F.lit("Part "), text("p")), text("q"), plain(F.floor(c / q)), plain(c)),
+        row(*[F.lit(x) for x in ("2", "Handling", "1", "12.50", "12.50")]),
         "",
         _line("Subtotal", shown(c + 1250)),
         _line("Tax (7%)", shown(tax)),
         _line("Shipping and handling", shown(k % 90 * 100)),
         F.when(k % 6 == 0, _line("Credit note", shown(F.lit(500)))),
+        F.when(k % 9 == 0, F.lit("Discount: (3.00)")).when(k % 9 == 1, F.lit("Discount: 3.00-")),
         _line("Total", shown(c + 1250 + tax + k % 90 * 100)),
         F.when(k % 4 == 0, "Payment Terms: 2% 10 net 30").when(k % 4 == 1, "Payment Terms: Net 45"),
         F.when(k % 7 == 0, "Data is handled under GDPR and sox rules, see GDPR notice."),
@@ -318,7 +325,10 @@ def agreement_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = agreements(spark, sf_dir)
     k = F.col("ord")
     meta = lambda name: F.col(f"metadata.{name}")
-    parties = F.array_join(F.transform("parties", lambda p: F.concat(F.lit("Party ("), p["role"], F.lit("): "), p["name"])), "\n")
+    home = F.concat(F.lit("; "), k.cast("string"), F.lit(" Dock Road, represented by R. Agent, Director"))
+    details = lambda p: F.when(p["role"] == "vendor", home).otherwise("")
+    party = lambda p: F.concat(F.lit("Party ("), p["role"], F.lit("): "), p["name"], details(p))
+    parties = F.array_join(F.transform("parties", party), "\n")
     vendor = F.col("parties")[0]["name"]
     header = _lines(
         _line("Agreement Type", meta("agreement_type")),
@@ -336,7 +346,7 @@ def agreement_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         header,
         F.when(k % 2 == 0, F.concat(F.lit("A penalty of "), (k % 10).cast("string"), F.lit("% applies to late delivery."))),
         F.when(k % 3 == 0, F.lit("Liquidated damages are payable on breach and count as a penalty.")),
-        F.when(k % 5 == 0, F.concat(F.lit("This agreement renews automatically after a notice of "), (30 + k % 60).cast("string"), F.lit(" days.")))
+        F.when(k % 5 == 0, F.concat(F.lit("This agreement renews automatically for 12 months after a notice of "), (30 + k % 60).cast("string"), F.lit(" days.")))
         .when(k % 5 == 1, F.lit("Renewal needs 2 months notice.")),
         F.when(k % 4 == 0, "Either side may terminate for cause. Neither side is liable for delay."),
         F.when(k % 6 == 0, F.concat(F.lit("The service keeps 99.9% uptime under SOC2. Service credits of 5% apply. Faults escalate to desk "), k.cast("string"), F.lit("."))),
@@ -371,7 +381,10 @@ def identity_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         _line("Sex", sex),
         "Nationality: Utopian",
         "Issuing Country: Utopia",
-        _line("Address", (k % 200).cast("string"), F.lit(" Long Street, Port")),
+        _line("Address", (k % 200).cast("string"), F.lit(" Long Street, Port"), F.when(k % 2 == 0, ", UT 12345, Utopia").otherwise("")),
+        F.when(k % 3 == 0, "Endorsements: crew; diplomat"),
+        "Restrictions: none",
+        F.when(k % 5 == 0, "Holder Signature: present"),
         "",
         line1,
         line2,
@@ -396,7 +409,11 @@ def receipt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Time: "), (k % 12 + 1).cast("string"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"),
                  F.when(k % 2 == 0, " PM").otherwise(" AM")),
         _line("Cashier", F.lit("C"), (k % 9).cast("string")),
-        F.concat(F.lit("1 | Goods [SKU"), (k % 300).cast("string"), F.lit("] | 2 | "), money(F.floor(c / 2)), F.lit(" | "), money(c)),
+        F.concat(F.lit("1 | Goods [SKU"), (k % 300).cast("string"), F.when(k % 4 == 0, "] less 0.50").otherwise("]"),
+                 F.lit(" | 2 | "), money(F.floor(c / 2)), F.lit(" | "), money(c)),
+        F.when(k % 3 == 0, "State (6%): 6.00"),
+        F.when(k % 3 == 0, "City (4.5%): 4,50"),
+        F.when(k % 5 == 0, "Promotion (SAVE5): spring offer, -5.00").when(k % 5 == 1, "Coupon: a bag for free"),
         _line("Subtotal", money(c)),
         _line("Tax (10%)", money(F.floor(c / 10))),
         _line("Total", F.lit("$"), money(c + F.floor(c / 10))),

@@ -35,24 +35,26 @@ def _texts(spark, sf_dir):
         f"""
 SELECT {ID} AS invoice_number, CAST(d AS VARCHAR) AS invoice_date, CAST(d + 30 AS VARCHAR) AS due_date,
        CASE WHEN k % 5 <> 0 THEN 'PO-' || k END AS po_number, 'Supplier#' || lpad(CAST(s AS VARCHAR), 9, '0') AS vendor,
-       '12-' || lpad(CAST(s AS VARCHAR), 7, '0') AS tax_id, 'Customer of order ' || k AS customer,
+       '12-' || lpad(CAST(s AS VARCHAR), 7, '0') AS tax_id, CASE WHEN k % 11 <> 0 THEN 'Customer of order ' || k END AS customer,
        (c + 1250) / 100.0::DOUBLE AS subtotal, (c * 7 // 100) / 100.0::DOUBLE AS tax, (k % 90)::DOUBLE AS shipping,
        (c + 1250 + c * 7 // 100 + k % 90 * 100) / 100.0::DOUBLE AS total_amount, cur AS currency,
        CASE k % 4 WHEN 0 THEN '2% 10 net 30' WHEN 1 THEN 'Net 45' END AS terms,
        CASE WHEN k % 4 = 0 THEN 2.0::DOUBLE END AS discount_percentage, CASE WHEN k % 4 = 0 THEN 10.0::DOUBLE END AS discount_days,
-       2 AS n_items, (c + 1250) / 100.0::DOUBLE AS items_total
+       2 AS n_items, (c + 1250) / 100.0::DOUBLE AS items_total, CASE WHEN k % 9 < 2 THEN -3.0::DOUBLE END AS discount,
+       CASE WHEN k % 11 <> 0 THEN 1.0::DOUBLE ELSE 5 / 6.0::DOUBLE END AS confidence
 FROM li""",
         extra=LINE,
     ),
 )
 def invoice_fields(spark, sf_dir):
     out = extract.extract_invoice(_texts(spark, sf_dir)).select("invoice.*")
-    money = {c: _num(F.col(f"financial.{c}")) for c in ("subtotal", "tax", "shipping", "total_amount")}
+    money = {c: _num(F.col(f"financial.{c}")) for c in ("subtotal", "tax", "shipping", "total_amount", "discount")}
     return out.select(
         "metadata.invoice_number",
         F.col("metadata.invoice_date").cast("string").alias("invoice_date"),
         F.col("metadata.due_date").cast("string").alias("due_date"),
         "metadata.po_number",
+        "metadata.confidence",
         F.col("vendor.name").alias("vendor"),
         "vendor.tax_id",
         F.col("customer.name").alias("customer"),
@@ -71,14 +73,14 @@ def invoice_fields(spark, sf_dir):
     oracle(
         f"""
 SELECT {ID} AS id, 1 AS position, '1' AS item_number, 'Part ' || p AS description, q::DOUBLE AS quantity,
-       (c // q) / 100.0::DOUBLE AS unit_price, c / 100.0::DOUBLE AS amount FROM li
-UNION ALL SELECT {ID}, 2, '2', 'Handling', 1.0, 12.5, 12.5 FROM li""",
+       (c // q) / 100.0::DOUBLE AS unit_price, c / 100.0::DOUBLE AS amount, CASE WHEN k % 2 = 0 THEN 7.0::DOUBLE END AS tax_rate FROM li
+UNION ALL SELECT {ID}, 2, '2', 'Handling', 1.0, 12.5, 12.5, CASE WHEN k % 2 = 0 THEN 7.0 END FROM li""",
         extra=LINE,
     ),
 )
 def line_items(spark, sf_dir):
     out = extract.extract_line_items(_texts(spark, sf_dir), "text", "id")
-    return out.select("id", "position", "item_number", "description", "quantity", _num(F.col("unit_price")).alias("unit_price"), _num(F.col("amount")).alias("amount"))
+    return out.select("id", "position", "item_number", "description", "quantity", _num(F.col("unit_price")).alias("unit_price"), _num(F.col("amount")).alias("amount"), "tax_rate")
 
 
 @query(
@@ -145,8 +147,8 @@ def compliance(spark, sf_dir):
     oracle(
         f"""
 SELECT {ID} AS id, CASE WHEN k % 5 <> 0 THEN 'PO-' || k END AS po_reference,
-       CASE WHEN k % 4 = 0 THEN '2% 10 net 30' END AS early_payment_discount, (k % 90) || '.00' AS shipping_charges,
-       CASE WHEN k % 6 = 0 THEN '5.00' END AS credit_adjustments FROM li""",
+       CASE WHEN k % 4 = 0 THEN '2% 10 net 30' END AS early_payment_discount, (k % 90) || CASE WHEN k % 5 = 1 THEN ',00' ELSE '.00' END AS shipping_charges,
+       CASE WHEN k % 6 = 0 THEN CASE WHEN k % 5 = 1 THEN '5,00' ELSE '5.00' END END AS credit_adjustments FROM li""",
         extra=LINE,
     ),
 )
@@ -156,6 +158,17 @@ def extended_fields(spark, sf_dir):
     return out.select("id", *[F.col("custom_extractions")[n].alias(n) for n in names])
 
 
+@query(
+    "finalized_receipts",
+    oracle("SELECT o_orderkey AS k, 'USD' AS currency FROM orders"),
+)
+def finalized_receipts(spark, sf_dir):
+    """Receipts whose total names no currency get the default."""
+    texts = inputs.receipt_texts(spark, sf_dir).withColumn("text", F.replace("text", F.lit("$"), F.lit("")))
+    out = extract.finalize(extract.extract_receipt(texts).select("k", "receipt.*"))
+    return out.select("k", "totals.currency")
+
+
 @query(
     "finalized_invoices",
     oracle("SELECT path, coalesce(currency, 'USD') AS currency, '2024-01-31' AS stamped FROM inv", "inv"),
@@ -209,7 +222,11 @@ SELECT path, agreement_type, agreement_id, CAST(effective_date AS VARCHAR) AS ef
        365 * (1 + ord % 3) AS term_days,
        CASE WHEN single_party THEN 'vendor=' || vendor ELSE 'vendor=' || vendor || ';client=' || client END AS parties,
        'supply of lot ' || ord AS scope, 'deliver lot ' || ord || '|the fifth of each month' AS obligation,
-       'Agent of ' || vendor || '|' || CAST(effective_date AS VARCHAR) AS signature, ord % 5 = 0 AS auto_renewal
+       'Agent of ' || vendor || '|' || CAST(effective_date AS VARCHAR) AS signature, ord % 5 = 0 AS auto_renewal,
+       CASE WHEN ord % 5 = 0 THEN '12 months' END AS renewal_period,
+       CASE ord % 5 WHEN 0 THEN (30 + ord % 60) || ' days' WHEN 1 THEN '2 months' END AS renewal_notice_period,
+       CASE WHEN ord % 2 = 0 THEN 'late delivery' WHEN ord % 3 = 0 THEN 'breach' END AS penalty_condition,
+       ord || ' Dock Road|R. Agent|Director' AS vendor_contact
 FROM agr""",
         "agr",
     ),
@@ -229,6 +246,10 @@ def agreement_fields(spark, sf_dir):
         F.concat_ws("|", F.col("obligations")[0]["obligation"], F.col("obligations")[0]["deadline"]).alias("obligation"),
         F.concat_ws("|", F.col("signatures")[0]["signatory"], F.col("signatures")[0]["date"].cast("string")).alias("signature"),
         "renewal_terms.auto_renewal",
+        "renewal_terms.renewal_period",
+        "renewal_terms.renewal_notice_period",
+        F.get("penalties", F.lit(0))["condition"].alias("penalty_condition"),
+        F.concat_ws("|", *[F.col("parties")[0][c] for c in ("address", "representative", "title")]).alias("vendor_contact"),
     )
 
 
@@ -301,7 +322,12 @@ FROM customer"""
 SELECT number AS document_id, 'passport' AS document_subtype, CAST(expires AS VARCHAR) AS expiry_date,
        upper(given[1]) || lower(given[2:]) || ' B ' || upper(surname[1]) || lower(surname[2:]) AS full_name,
        upper(surname[1]) || lower(surname[2:]) AS last_name, CAST(born AS VARCHAR) AS date_of_birth, sex AS gender,
-       'Utopia' AS issuing_country, (k % 200) || ' Long Street, Port' AS full_address, number AS zone_number
+       'Utopia' AS issuing_country, number AS zone_number, 'B' AS middle_name,
+       (k % 200) || ' Long Street, Port' || CASE WHEN k % 2 = 0 THEN ', UT 12345, Utopia' ELSE '' END AS full_address,
+       (k % 200) || ' Long Street' AS street, 'Port' AS city, CASE WHEN k % 2 = 0 THEN 'UT' END AS state,
+       CASE WHEN k % 2 = 0 THEN '12345' END AS postal_code, CASE WHEN k % 2 = 0 THEN 'Utopia' END AS country,
+       CASE WHEN k % 3 = 0 THEN 'crew|diplomat' ELSE '' END AS endorsements, 0 AS n_restrictions,
+       CASE WHEN k % 5 = 0 THEN true END AS signed, 1.0::DOUBLE AS confidence
 FROM person""",
         extra=PERSON,
     ),
@@ -317,8 +343,13 @@ def kyc_fields(spark, sf_dir):
         F.col("personal_info.date_of_birth").cast("string").alias("date_of_birth"),
         "personal_info.gender",
         "metadata.issuing_country",
-        "address.full_address",
         F.col("verification.mrz_data.document_number").alias("zone_number"),
+        "personal_info.middle_name",
+        *[f"address.{c}" for c in ("full_address", "street", "city", "state", "postal_code", "country")],
+        F.coalesce(F.array_join("additional_info.endorsements", "|"), F.lit("")).alias("endorsements"),
+        F.size("additional_info.restrictions").alias("n_restrictions"),
+        F.col("additional_info.document_holder_signature").alias("signed"),
+        "metadata.confidence",
     )
 
 
@@ -349,7 +380,9 @@ SELECT 'R-' || k AS receipt_number, 'Shop ' || (k % 50) AS store, 'S' || (k % 50
        'C' || (k % 9) AS cashier, 'SKU' || (k % 300) AS sku, c / 100.0::DOUBLE AS subtotal, (c // 10) / 100.0::DOUBLE AS tax,
        (c + c // 10) / 100.0::DOUBLE AS total, 'USD' AS currency, CASE WHEN k % 2 = 0 THEN 'credit' ELSE 'cash' END AS method,
        CASE WHEN k % 2 = 0 THEN lpad(CAST(k % 10000 AS VARCHAR), 4, '0') END AS card_last_four, 'M' || m AS member_id,
-       (k % 77)::DOUBLE AS points_earned
+       (k % 77)::DOUBLE AS points_earned, CASE WHEN k % 3 = 0 THEN 'State 6.0 6.0;City 4.5 4.5;' ELSE '' END || 'Tax 10.0 ' || (c // 10) / 100.0::DOUBLE AS tax_breakdown,
+       CASE k % 5 WHEN 0 THEN 'SAVE5/spring offer/5.0' WHEN 1 THEN 'a bag for free' END AS promotion,
+       CASE WHEN k % 4 = 0 THEN 0.5::DOUBLE END AS line_discount, 1.0::DOUBLE AS confidence
 FROM (SELECT o_orderkey AS k, o_custkey AS m, CAST(o_orderdate AS DATE) AS d, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders)"""
     ),
 )
@@ -369,7 +402,15 @@ def receipt_fields(spark, sf_dir):
         "payment.card_last_four",
         "loyalty.member_id",
         "loyalty.points_earned",
-    )
+        F.array_join(
+            F.transform("totals.tax_breakdown", lambda x: F.concat_ws(" ", x["type"], x["rate"].cast("string"), _num(x["amount"]).cast("string"))), ";"
+        ).alias("tax_breakdown"),
+        F.array_join(
+            F.transform("promotions", lambda p: F.concat_ws("/", p["code"], p["description"], _num(p["discount"]).cast("string"))), ";"
+        ).alias("_offers"),
+        _num(F.col("line_items")[0]["discount"]).alias("line_discount"),
+        "metadata.confidence",
+    ).withColumn("promotion", F.nullif("_offers", F.lit(""))).drop("_offers")
 
 
 @query(
