@@ -38,7 +38,8 @@ REGION = 2048
 CLUSTER_SHINGLES = 4_000_000
 BLOCK_ROWS = 4096
 #: Shingles a confirming task holds at a time.
-BUCKET_SHINGLES = 2_000_000
+BUCKET_SHINGLES = 500_000
+BITMAP_WORDS = 1 << 19
 
 _XOR = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _MUL = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)) | np.uint64(1)
@@ -270,6 +271,17 @@ def _tree_blocks(members: DataFrame, block_rows: int) -> DataFrame:
     return ordered.select("cluster", "node").mapInArrow(run, f"node {kind}, block string")
 
 
+def _likely(docs: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """Rows of `docs` whose key's hash is set in a bitmap of the members' keys: all members, and few others
+    while the bitmap is sparse. The bitmap is BITMAP_WORDS rows of 64 bits at most, which is why it can
+    be broadcast at any size of the corpus; a full one keeps all rows and is still right."""
+    word = lambda k: F.pmod(F.shiftright(F.xxhash64(k), 6), F.lit(BITMAP_WORDS))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(k), F.lit(64)).cast("int"))
+    bitmap = members.groupBy(word("node").alias("_word")).agg(F.bit_or(bit("node")).alias("_bits"))
+    there = F.col("_bits").bitwiseAND(bit(key)) != 0
+    return docs.withColumn("_word", word(key)).join(F.broadcast(bitmap), "_word").filter(there).drop("_word", "_bits")
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -315,9 +327,10 @@ def near_duplicates(
         blocks = members.select(
             F.col("key").alias("node"), F.concat(F.lit("c"), F.col("cluster").cast("string")).alias("block")
         )
-    buckets = parts_for((total[0] or 0) * (TREES if oversize else 1), BUCKET_SHINGLES, 6)
+    buckets = parts_for((total[0] or 0) * (TREES if oversize else 1), BUCKET_SHINGLES, 64)
+    rows = docs.select(F.col(key).alias("node"), F.col(text).alias("text"))
     texts = (
-        docs.select(F.col(key).alias("node"), F.col(text).alias("text"))
+        _likely(rows, "node", members.select(F.col("key").alias("node")))
         .join(blocks, "node")
         .withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)))
     )
