@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from paperloom.operators.classify import UNKNOWN_TYPE
 from paperloom.operators.keys import first_per_key
 
 # Fixed values
 SUCCESS_ABOVE = 0.7
-UNKNOWN_TYPE = "unknown"
 EXPIRY_WINDOW_DAYS = 90
 PARTIAL_MIN_CONFIDENCE = 0.3
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paperloom.functions.paths import file_name, stem, suffix
+from paperloom.functions.paths import stem, suffix
 
 CLASSIFICATION = "struct<type:string,confidence:double,method:string,features:array<string>>"
 
@@ -41,6 +42,7 @@ ALIASES = {"po": "purchase_order", "license": "drivers_license", "id": "id_card"
 FILENAME_CONFIDENCE, HINT_CONFIDENCE, DEFAULT_CONFIDENCE = 0.8, 0.7, 0.5
 GATE_BELOW = 0.7
 GATE_HANDLER = "custom"
+UNKNOWN_TYPE = "unknown"
 SAMPLE_CHARS, SAMPLE_MIN_CHARS = 3000, 20
 MIME_HANDLERS = {
     "application/pdf": "handle_pdf",
@@ -129,24 +131,26 @@ def classify_extension(path: Column) -> Column:
     return F.when(kind.isNotNull(), _result(kind, 1.0, "extension", F.array(F.concat(F.lit("extension:"), ext))))
 
 
-def _first_keyword(text: Column, confidence: float, method: str, prefix: str) -> Column:
+def _first_keyword(
+    text: Column, confidence: float, method: str, prefix: str, keywords: Mapping[str, Sequence[str]]
+) -> Column:
     """First keyword contained in `text`, in list order; plain substrings, not words."""
     hits = [
         F.when(text.contains(word), _result(kind, confidence, method, F.array(F.lit(f"{prefix}:{word}"))))
-        for kind, words in KEYWORDS.items()
+        for kind, words in keywords.items()
         for word in words
     ]
     return F.coalesce(*hits)
 
 
-def classify_filename(path: Column) -> Column:
+def classify_filename(path: Column, keywords: Mapping[str, Sequence[str]] = KEYWORDS) -> Column:
     """Keyword in the lower-cased file stem (K2)."""
-    return _first_keyword(F.lower(stem(path)), FILENAME_CONFIDENCE, "filename_keyword", "filename")
+    return _first_keyword(F.lower(stem(path)), FILENAME_CONFIDENCE, "filename_keyword", "filename", keywords)
 
 
-def classify_hint(hint: Column) -> Column:
+def classify_hint(hint: Column, keywords: Mapping[str, Sequence[str]] = KEYWORDS) -> Column:
     """Keyword in the lower-cased content hint (K3)."""
-    return _first_keyword(F.lower(hint), HINT_CONFIDENCE, "content_hint", "hint")
+    return _first_keyword(F.lower(hint), HINT_CONFIDENCE, "content_hint", "hint", keywords)
 
 
 def default_class() -> Column:
@@ -155,15 +159,20 @@ def default_class() -> Column:
 
 
 def classify(
-    df: DataFrame, path: str = "path", hint: str | None = None, model: str | None = None, into: str = "classification"
+    df: DataFrame,
+    path: str = "path",
+    hint: str | None = None,
+    model: str | None = None,
+    into: str = "classification",
+    keywords: Mapping[str, Sequence[str]] = KEYWORDS,
 ) -> DataFrame:
     """Extension, then a model answer if one is at hand, then file name, hint, default (K5)."""
     steps = [classify_extension(F.col(path))]
     if model:
         steps.append(F.col(model))
-    steps.append(classify_filename(F.col(path)))
+    steps.append(classify_filename(F.col(path), keywords))
     if hint:
-        steps.append(classify_hint(F.col(hint)))
+        steps.append(classify_hint(F.col(hint), keywords))
     steps.append(default_class())
     return df.withColumn(into, F.coalesce(*[s.cast(CLASSIFICATION) for s in steps]))
 
@@ -209,6 +218,42 @@ def gate(kind: Column, confidence: Column, below: float = GATE_BELOW) -> Column:
     return F.when(confidence < below, F.lit(GATE_HANDLER)).otherwise(kind)
 
 
+@dataclass(frozen=True)
+class Routing:
+    """How types are told by name and which handler takes them; the same for batches and streams."""
+
+    routes: Mapping[str, str] = field(default_factory=lambda: dict(ROUTES))
+    aliases: Mapping[str, str] = field(default_factory=lambda: dict(ALIASES))
+    keywords: Mapping[str, Sequence[str]] = field(default_factory=lambda: dict(KEYWORDS))
+    below: float = GATE_BELOW
+
+    def register(self, kind: str, handler: str | None = None, keywords: Sequence[str] = ()) -> Routing:
+        """With a custom type: its own handler, and keywords that are tried before the built-in ones."""
+        own = {kind: list(keywords)} if keywords else {}
+        return replace(self, routes={**self.routes, kind: handler or kind}, keywords={**own, **self.keywords})
+
+
+def classify_and_route(
+    df: DataFrame, hint: str | None = None, model: str | None = None, routing: Routing | None = None
+) -> DataFrame:
+    """document_type, confidence and handler per document (K5, K7, K8).
+
+    Weak classes go to the custom handler. A type that no handler takes counts as unknown: it has no
+    handler and no confidence, so it is never a success.
+    """
+    routing = routing or Routing()
+    c = F.col("classification")
+    handler = gate(route(c["type"], routing.routes, routing.aliases), c["confidence"], routing.below)
+    classified = classify(df, hint=hint, model=model, keywords=routing.keywords).withColumn("handler", handler)
+    taken = F.col("handler").isNotNull()
+    return classified.withColumns(
+        {
+            "document_type": F.when(taken, c["type"]).otherwise(F.lit(UNKNOWN_TYPE)),
+            "confidence": F.when(taken, c["confidence"]),
+        }
+    )
+
+
 def content_sample(text: Column) -> Column:
     """What a classifier gets to see: the first 3000 characters, if 20 remain after trimming.
 
@@ -260,9 +305,3 @@ def extraction_status(df: DataFrame, primary: str, fallback: str, error: str) ->
         .withColumn("status", F.when(~ok & ~use_ocr, "partial_failure"))
         .withColumn("primary_error", F.when(~ok, F.col(error)))
     )
-
-
-def file_facts(df: DataFrame, path: str = "path") -> DataFrame:
-    """Name, stem and suffix of every path."""
-    p = F.col(path)
-    return df.withColumns({"file_name": file_name(p), "file_stem": stem(p), "extension": F.lower(suffix(p))})

@@ -46,18 +46,25 @@ def items_sum(items: Column) -> Column:
 
 
 def validate_invoice(
-    df: DataFrame, items_total: Column | None = None, items_count: Column | None = None, into: str = "validation"
+    df: DataFrame,
+    items_total: Column | None = None,
+    items_count: Column | None = None,
+    into: str = "validation",
+    inside: str | None = None,
 ) -> DataFrame:
     """Number present; line items add up to a non-zero declared subtotal; due date not before date.
 
     Line items are read from the `line_items` array unless their total and count are given as
     columns, which is how a corpus with a separate line table uses it (the total is then a plain
-    map-side-combined sum and no array is ever built).
+    map-side-combined sum and no array is ever built). `inside` names the struct that holds the invoice in
+    a table of several types; rows without one get no report.
     """
-    total = items_sum(F.col("line_items")) if items_total is None else items_total.cast(MONEY)
-    count = F.coalesce(F.size("line_items"), F.lit(0)) if items_count is None else items_count
-    declared = F.col("financial.subtotal").cast(MONEY)
-    number, issued, due = (F.col(f"metadata.{c}") for c in ("invoice_number", "invoice_date", "due_date"))
+    at = "" if inside is None else f"{inside}."
+    items = F.col(f"{at}line_items")
+    total = items_sum(items) if items_total is None else items_total.cast(MONEY)
+    count = F.coalesce(F.size(items), F.lit(0)) if items_count is None else items_count
+    declared = F.col(f"{at}financial.subtotal").cast(MONEY)
+    number, issued, due = (F.col(f"{at}metadata.{c}") for c in ("invoice_number", "invoice_date", "due_date"))
     errors = [
         F.when(number.isNull() | (number == ""), MISSING_NUMBER),
         F.when(due < issued, DUE_BEFORE_INVOICE),
@@ -70,7 +77,8 @@ def validate_invoice(
         plain_number(declared),
         F.lit(")"),
     )
-    return df.withColumn(into, report(errors, [F.when(mismatch, message)]))
+    found = report(errors, [F.when(mismatch, message)])
+    return df.withColumn(into, found if inside is None else F.when(F.col(inside).isNotNull(), found))
 
 
 def validate_agreement(df: DataFrame, into: str = "validation") -> DataFrame:

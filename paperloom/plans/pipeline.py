@@ -46,17 +46,6 @@ def parallel(
     return run
 
 
-def classify_and_route(df: DataFrame, hint: str | None = None, model: str | None = None) -> DataFrame:
-    """document_type, confidence and handler per document; weak classes go to the custom handler."""
-    classified = kl.classify(df, hint=hint, model=model)
-    c = F.col("classification")
-    return (
-        classified.withColumn("document_type", c["type"])
-        .withColumn("confidence", c["confidence"])
-        .withColumn("handler", kl.gate(kl.route(c["type"]), c["confidence"]))
-    )
-
-
 def extract_all(
     df: DataFrame, extractors: Mapping[str, Callable[[Column, Column], Column]] = EXTRACTORS, on: str = "handler"
 ) -> DataFrame:
@@ -66,17 +55,35 @@ def extract_all(
     return df.withColumns({name: F.when(F.col(on) == name, fn(text, path)) for name, fn in extractors.items()})
 
 
+def results_of(
+    df: DataFrame,
+    hint: str | None = None,
+    model: str | None = None,
+    routing: kl.Routing | None = None,
+    extractors: Mapping[str, Callable[[Column, Column], Column]] = EXTRACTORS,
+) -> DataFrame:
+    """Documents (path, text) classified, routed and extracted: projections only, for batches and streams."""
+    return extract_all(kl.classify_and_route(df, hint, model, routing), extractors)
+
+
 def process_batch(
-    df: DataFrame, hint: str | None = None, model: str | None = None, detectors: Sequence[str] = link.DETECTORS
+    df: DataFrame,
+    hint: str | None = None,
+    model: str | None = None,
+    detectors: Sequence[str] = link.DETECTORS,
+    routing: kl.Routing | None = None,
+    extractors: Mapping[str, Callable[[Column, Column], Column]] = EXTRACTORS,
 ) -> dict[str, DataFrame]:
     """Documents (path, text, ord) to results, summary, status and relationships.
 
-    Everything is lazy; only the summary, status and relationships shuffle.
+    `routing` holds routes, aliases, keywords and threshold, custom types included; a type whose handler
+    has an extractor is extracted. The results are written once to the shared checkpoint folder, and
+    the rest is derived from them, so each text is read once.
     """
-    routed = classify_and_route(df, hint, model)
-    results = extract_all(routed)
+    results = cut(results_of(df, hint, model, routing, extractors))
     entities = link.entity_list(F.col("handler"), F.col("invoice.vendor.name"), F.col("invoice.customer.name"))
-    linked = results.select("ord", "path", entities.alias("entities"))
+    columns = [c for c in ("text", "own_id", "block", "date") if c in results.columns]
+    linked = results.select("ord", "path", *columns, entities.alias("entities"))
     return {
         "documents": results,
         "summary": aggregate.summarize(results),

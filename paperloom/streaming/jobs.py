@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paperloom.operators import classify as kl
-from paperloom.operators import link, scoring
-from paperloom.operators.keys import join_skewed
+from paperloom.operators import link, scoring, validate
+from paperloom.plans import pipeline
+from paperloom.session import cut, drop_cut
 
 # Fixed values
 TTL_HOURS = 168
@@ -19,18 +21,36 @@ FAILURE_WINDOW = "60 seconds"
 FAILURE_SLIDE = "10 seconds"
 
 
-def classify_stream(files: DataFrame) -> DataFrame:
-    """Classify and route every arriving file (R1); stateless, so it needs no watermark."""
-    classified = kl.classify(files)
-    c = F.col("classification")
-    return classified.withColumn("document_type", kl.gate(c["type"], c["confidence"])).withColumn(
-        "handler", kl.route(F.col("document_type"))
-    )
+def classify_stream(files: DataFrame, routing: kl.Routing | None = None) -> DataFrame:
+    """Classify and route every arriving file (R1), as a batch does; stateless, so it needs no watermark."""
+    return kl.classify_and_route(files, routing=routing)
+
+
+def process_stream(docs: DataFrame, routing: kl.Routing | None = None) -> DataFrame:
+    """Classify, route, extract, validate and score every arriving text (R1): path, text to results with
+    the invoice's report, completeness and quality. Projections only, the same as in a batch."""
+    results = validate.validate_invoice(pipeline.results_of(docs, routing=routing), inside="invoice")
+    found = F.coalesce(*[F.col(f"{name}.metadata.confidence") for name in pipeline.EXTRACTORS])
+    consistent = F.when(F.col("validation.is_valid"), 1.0).when(F.col("validation").isNull(), 1.0).otherwise(0.0)
+    return scoring.quality(results.withColumns({"completeness": found, "consistency": consistent}))
+
+
+REDELIVERY_SALTS = 16
 
 
-def drop_redelivered(stream: DataFrame, ts: str = "ts", key: str = "sha256", ttl_hours: int = TTL_HOURS) -> DataFrame:
-    """Each content once within the TTL (R2). State is bounded: a key is forgotten after the TTL."""
-    return stream.withWatermark(ts, f"{ttl_hours} hours").dropDuplicatesWithinWatermark([key])
+def drop_redelivered(
+    stream: DataFrame, ts: str = "ts", key: str = "sha256", ttl_hours: int = TTL_HOURS, salts: int = REDELIVERY_SALTS
+) -> DataFrame:
+    """Each content once within the TTL (R2). State is bounded: a key is forgotten after the TTL.
+
+    Copies are first dropped per (key, salt), the salt drawn from the arrival time, so that a content that
+    arrives very often is spread over tasks; what is left, at most `salts` rows per key, then meets in one.
+    """
+    marked = stream.withWatermark(ts, f"{ttl_hours} hours").withColumn(
+        "_salt", F.pmod(F.xxhash64(F.col(ts)), F.lit(salts))
+    )
+    thinned = marked.dropDuplicatesWithinWatermark([key, "_salt"])
+    return thinned.dropDuplicatesWithinWatermark([key]).drop("_salt")
 
 
 def minute_metrics(
@@ -76,32 +96,94 @@ def failure_bursts(
     )
 
 
-def link_batches(store: str, edges: str, hot_rows: int | None = link.HOT_ROWS) -> Callable[[DataFrame, int], None]:
+STORE_BUCKETS = 64
+Members = Callable[[DataFrame], DataFrame]
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(*link.GROUP), F.lit(STORE_BUCKETS))
+
+
+def link_batches(
+    store: str, edges: str, detectors: Sequence[Members] = (link.link_filename,)
+) -> Callable[[DataFrame, int], None]:
     """A `foreachBatch` function that links each micro-batch with all documents seen so far.
 
-    File-name members go to `store`, relationships to `edges`, one folder per batch that is overwritten
-    when a batch is replayed; a replay therefore changes nothing. Stored members are first cut down to
-    the batch's keys and reduced to one row per key.
+    Each detector turns documents into group members. The store holds, per batch, one row per key that
+    the batch touched: its first document so far and the number of the batch's members; it is laid
+    out in buckets of the key, so a batch reads only the buckets of its own keys, and only their narrow
+    rows. Members of a batch are linked with the key's first document. When a batch brings a document that
+    comes before it, that one becomes the first, and an edge joins the two, so documents may arrive in
+    any order. Both outputs have a folder per batch that is overwritten when a batch is replayed.
+    `current_links` reads the relationships as they stand.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = link.link_filename(batch)
-        new.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        new = spark.read.parquet(f"{store}/batch={batch_id}")
-        stored = spark.read.parquet(store).filter(F.col("batch") <= batch_id)
-        wanted = new.select(*link.GROUP).distinct()
-        known = join_skewed(stored, wanted, link.GROUP, F.col("ord"), "left_semi", hot_rows)
-        stats = link.group_stats(known)
-        joined = link.join_groups(new, stats, link.GROUP, F.col("ord"), hot_rows=hot_rows)
-        found = joined.filter(F.col("ord") != F.col("first.ord")).select(
-            F.col("first.path").alias("source"), F.col("path").alias("target"), "type", "confidence", "evidence", "group_key"
+        found = [detector(batch) for detector in detectors]
+        members = cut(reduce(DataFrame.unionByName, found).withColumn("bucket", _bucket()))
+        doc = F.struct("ord", "path")
+        fresh = members.groupBy(*link.GROUP, "bucket").agg(F.min(doc).alias("new_first"), F.count(F.lit(1)).alias("n"))
+        before = fresh.select(*link.GROUP, "bucket", F.lit(None).cast(members.select(doc.alias("d")).schema["d"].dataType).alias("old_first"))
+        earlier = [d for d in _batches(spark, store) if d < batch_id]
+        if earlier:
+            touched = [r["bucket"] for r in members.select("bucket").distinct().collect()]  # at most STORE_BUCKETS
+            known = spark.read.parquet(store).filter(F.col("batch").isin(earlier) & F.col("bucket").isin(touched))
+            firsts = known.groupBy(*link.GROUP).agg(F.min("first").alias("old_first"))
+            before = fresh.select(*link.GROUP, "bucket").join(firsts, link.GROUP, "left")
+        state = cut(
+            fresh.join(before.drop("bucket"), link.GROUP).withColumn("first", F.least("new_first", "old_first"))
+        )
+        state.select(*link.GROUP, "first", "n", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{store}/batch={batch_id}"
+        )
+        joined = members.join(state.select(*link.GROUP, "first", "old_first"), link.GROUP)
+        arrived = joined.filter(F.col("ord") != F.col("first.ord")).select(
+            "first", doc.alias("other"), *link.GROUP, "confidence", "evidence"
         )
-        found.write.mode("overwrite").parquet(f"{edges}/batch={batch_id}")
+        # the old first document is not among the batch's members; it gets their common evidence
+        common = members.groupBy(*link.GROUP).agg(F.min("confidence").alias("confidence"), F.min("evidence").alias("evidence"))
+        replaced = (
+            state.filter(F.col("old_first.ord") != F.col("first.ord"))
+            .join(common, link.GROUP)
+            .select("first", F.col("old_first").alias("other"), *link.GROUP, "confidence", "evidence")
+        )
+        out = arrived.unionByName(replaced).select(
+            F.col("first.path").alias("source"), F.col("other.path").alias("target"), "type", "confidence", "evidence", "group_key",
+            F.col("first.ord").alias("source_ord"), F.col("other.ord").alias("target_ord"),
+        )
+        out.write.mode("overwrite").parquet(f"{edges}/batch={batch_id}")
+        drop_cut(members)
+        drop_cut(state)
 
     return run
 
 
+def _batches(spark: SparkSession, store: str) -> list[int]:
+    """Numbers of the batches in a store, by its folders."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(path)]
+    return [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
+
+
+def current_links(spark: SparkSession, store: str, edges: str) -> DataFrame:
+    """All relationships of `link_batches` so far, from each key's first document to every other one: what
+    `link.spanning_edges` finds in all documents at once, whatever order they came in."""
+    firsts = spark.read.parquet(store).groupBy(*link.GROUP).agg(F.min("first").alias("first"))
+    found = spark.read.parquet(edges)
+    end = lambda side: F.struct(F.col(f"{side}_ord").alias("ord"), F.col(side).alias("path")).alias("doc")
+    ends = found.select(*link.GROUP, "confidence", "evidence", F.explode(F.array(end("source"), end("target"))).alias("doc"))
+    once = ends.groupBy(*link.GROUP, "doc").agg(F.min("confidence").alias("confidence"), F.min("evidence").alias("evidence"))
+    return (
+        once.join(firsts, link.GROUP)
+        .filter(F.col("doc.ord") != F.col("first.ord"))
+        .select(F.col("first.path").alias("source"), F.col("doc.path").alias("target"), "type", "confidence", "evidence", "group_key")
+    )
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Process everything that is there now into Parquet files and return them as a table."""
     query: StreamingQuery = (

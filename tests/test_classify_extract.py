@@ -195,6 +195,19 @@ def test_whole_batch(spark):
     assert len(reports) == 2 and all(r["validation"]["is_valid"] for r in reports)
 
 
+def test_unrouted_documents_fail_and_custom_types_are_reached(spark):
+    rows = [(0, "x.zip", ""), (1, "receipt_1.jpg", "Receipt No: R-1\nTotal: $5"), (2, "page.pdf", "")]
+    df = spark.createDataFrame(rows, "ord BIGINT, path STRING, text STRING")
+    out = pipeline.process_batch(df, routing=k.Routing().register("receipt", keywords=["receipt"]))
+    docs = {r["ord"]: r for r in out["documents"].collect()}
+    assert (docs[0]["document_type"], docs[0]["handler"], docs[0]["confidence"]) == ("unknown", None, None)
+    assert docs[1]["receipt"]["transaction"]["receipt_number"] == "R-1" and docs[1]["invoice"] is None
+    assert (docs[2]["document_type"], docs[2]["handler"]) == ("document", "custom")
+    assert tuple(out["status"].first()) == (3, 1, 2)
+    plain = pipeline.process_batch(df)["documents"].filter("ord = 1").first()
+    assert plain["handler"] == "invoice" and plain["receipt"] is None
+
+
 def test_parallel_branches_keep_unrouted_rows(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "handler STRING, v INT")
     run = pipeline.parallel({"a": lambda d: d.withColumn("twice", F.col("v") * 2)}, after=lambda d: d.orderBy("v"))

@@ -119,16 +119,26 @@ def test_failure_bursts_need_five_in_a_minute(spark):
 def test_linking_batches_is_complete_and_repeatable(spark, tmp_path):
     store, edges = str(tmp_path / "store"), str(tmp_path / "edges")
     run = jobs.link_batches(store, edges)
-    docs = [(0, "a/INV-1.pdf"), (1, "b/INV-1.pdf"), (2, "c/INV-1.pdf"), (3, "INV-2.pdf")]
+    docs = [(5, "a/INV-1.pdf"), (1, "b/INV-1.pdf"), (2, "c/INV-1.pdf"), (3, "INV-2.pdf"), (0, "d/INV-1.pdf"), (9, "INV-2.pdf")]
     frame = lambda rows: spark.createDataFrame(rows, "ord BIGINT, path STRING")
-    run(frame(docs[:2]), 0)
-    run(frame(docs[2:]), 1)
-    run(frame(docs[2:]), 1)  # replay
-    got = sorted((r["source"], r["target"]) for r in spark.read.parquet(edges).collect())
+    run(frame(docs[:1]), 0)
+    run(frame(docs[1:4]), 1)  # an earlier document than the stored one arrives late
+    run(frame(docs[1:4]), 1)  # replay
+    run(frame(docs[4:]), 2)
+    found = {(r["source_ord"], r["target_ord"]) for r in spark.read.parquet(edges).collect()}
+    assert found == {(1, 2), (1, 5), (0, 1), (3, 9)}
+    got = sorted((r["source"], r["target"]) for r in jobs.current_links(spark, store, edges).collect())
     whole = sorted((r["source"], r["target"]) for r in link.spanning_edges(link.link_filename(frame(docs))).collect())
     assert got == whole
 
 
+def test_a_hot_content_is_thinned_before_it_meets(spark, tmp_path):
+    t = lambda s: datetime.datetime(2024, 1, 1, 0, s // 60, s % 60)
+    stream = parquet_stream(spark, tmp_path, [[(t(i), "hot") for i in range(200)], [(t(i), "hot") for i in range(200, 300)]], "ts TIMESTAMP, sha256 STRING")
+    out = jobs.run_available(jobs.drop_redelivered(stream), str(tmp_path / "o"), str(tmp_path / "s"))
+    assert out.columns == ["ts", "sha256"] and [r["sha256"] for r in out.collect()] == ["hot"]
+
+
 def test_decompose_feeds_from_a_corpus_scan(spark, tmp_path):
     import zipfile
 

@@ -600,3 +600,24 @@ def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
         attachment(F.concat(F.lit("first "), key)), attachment(F.concat(F.lit("second "), key)), F.lit("--=edge=--\n"),
     )
     return table(spark, sf_dir, "conversations").select(key.alias("document_id"), raw.cast("binary").alias("content"))
+
+
+def batch_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixed batch of texts with telling names: invoices, receipts, agreements, passports, archives that
+    nothing extracts, and pages without a type."""
+    of = lambda name, key, ext="pdf": F.concat(F.lit(f"in/{name}_"), key, F.lit(f".{ext}"))
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    invoice_key = F.concat_ws("-", F.col("k").cast("string"), F.col("n").cast("string"), F.col("s").cast("string"))
+    parts = [
+        invoice_texts(spark, sf_dir).select(of("invoice", invoice_key).alias("path"), "text"),
+        receipt_texts(spark, sf_dir).select(of("receipt", F.col("k").cast("string")).alias("path"), "text"),
+        agreement_texts(spark, sf_dir).select(of("contract", F.col("ord").cast("string")).alias("path"), "text"),
+        identity_texts(spark, sf_dir).select(of("passport", F.col("c_custkey").cast("string")).alias("path"), "text"),
+        orders.filter(k % 7 == 0).select(of("box", k.cast("string"), "zip").alias("path"), F.lit("").alias("text")),
+        orders.filter(k % 5 == 0).select(of("page", k.cast("string")).alias("path"), F.lit("who knows").alias("text")),
+    ]
+    united = parts[0]
+    for part in parts[1:]:
+        united = united.unionByName(part)
+    return united.select(F.xxhash64("path").alias("ord"), "path", "text")

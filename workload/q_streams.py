@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from paperloom.operators import classify as kl
-from paperloom.operators import extract, semantic
+from paperloom.operators import extract, link, semantic
 from paperloom.plans import insights as ins
 from paperloom.plans import pipeline
 from paperloom.session import checkpoint_dir
@@ -58,21 +58,30 @@ def stream_metrics(spark, sf_dir):
     "incremental_links",
     oracle(
         """
-SELECT 'a/' || g.first || '/INV-' || k || '.pdf' AS source, 'a/' || event_id || '/INV-' || k || '.pdf' AS target,
-       'Filename pattern match: ' || k AS evidence
-FROM (SELECT event_id, event_id // 3 AS k FROM events) JOIN (SELECT event_id // 3 AS k, min(event_id) AS first FROM events GROUP BY 1) g USING (k)
-WHERE event_id <> g.first"""
+WITH docs AS (SELECT event_id, 'a/' || event_id || '/INV-' || (event_id // 3) || '.pdf' AS path FROM events),
+keyed AS (SELECT event_id, path, 'invoice_for_po' AS type, 'Filename pattern match: ' || (event_id // 3) AS evidence FROM docs
+          UNION ALL SELECT event_id, path, 'matching_amount', 'Matching amount: ' || (event_id // 40) || '.00 USD' FROM docs),
+firsts AS (SELECT type, evidence, min(event_id) AS first, arg_min(path, event_id) AS source FROM keyed GROUP BY ALL)
+SELECT source, path AS target, type, evidence FROM keyed JOIN firsts USING (type, evidence) WHERE event_id <> first"""
     ),
 )
 def incremental_links(spark, sf_dir):
-    """Documents arrive as a stream; each micro-batch is linked with everything stored before."""
+    """Documents arrive in five micro-batches in no order; each is linked with everything stored before,
+    by two detectors, and the relationships at the end are those of all documents at once."""
     key = F.col("event_id")
     path = F.concat(F.lit("a/"), key.cast("string"), F.lit("/INV-"), F.floor(key / 3).cast("string"), F.lit(".pdf"))
-    arriving = _events(spark, sf_dir).select(key.alias("ord"), path.alias("path"))
+    docs = inputs.table(spark, sf_dir, "events").select(
+        key.alias("ord"), path.alias("path"), F.floor(key / 40).alias("amount"), F.pmod(F.xxhash64(key), F.lit(5)).alias("part")
+    )
     base = f"{checkpoint_dir(spark)}/paperloom-links-{uuid.uuid4().hex}"
-    job = arriving.writeStream.foreachBatch(jobs.link_batches(f"{base}/store", f"{base}/edges"))
-    job.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/edges").select("source", "target", "evidence")
+    docs.repartition(5, "part").write.partitionBy("part").parquet(f"{base}/in")
+    arriving = spark.readStream.schema("ord BIGINT, path STRING, amount BIGINT").option("maxFilesPerTrigger", 1)
+    arriving = arriving.option("recursiveFileLookup", "true").parquet(f"{base}/in")
+    detectors = [link.link_filename, lambda d: link.link_amount(d, F.col("amount"), F.lit("USD"))]
+    job = arriving.writeStream.foreachBatch(jobs.link_batches(f"{base}/store", f"{base}/edges", detectors))
+    ended = job.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    ended.awaitTermination()
+    return jobs.current_links(spark, f"{base}/store", f"{base}/edges").select("source", "target", "type", "evidence")
 
 
 @query("stream_dedup", oracle("SELECT event_id, user_id, event_type FROM events"))
@@ -127,8 +136,8 @@ def quality_alerts(spark, sf_dir):
     "stream_classified",
     oracle(
         """
-SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'invoice' ELSE 'custom' END AS document_type,
-       CASE WHEN event_type = 'purchase' THEN 'invoice' END AS handler FROM events"""
+SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'invoice' ELSE 'document' END AS document_type,
+       CASE WHEN event_type = 'purchase' THEN 'invoice' ELSE 'custom' END AS handler FROM events"""
     ),
 )
 def stream_classified(spark, sf_dir):
@@ -208,7 +217,7 @@ GROUP BY handler""",
 )
 def mixed_batch(spark, sf_dir):
     """Classify, gate, extract per type and unite, then count what was found."""
-    results = pipeline.extract_all(pipeline.classify_and_route(_mixed(spark, sf_dir)))
+    results = pipeline.results_of(_mixed(spark, sf_dir))
     return results.groupBy("handler").agg(
         F.count(F.lit(1)).alias("documents"),
         F.count("agreement.metadata.agreement_id").alias("agreements"),
@@ -244,3 +253,108 @@ def listed_routes(spark, sf_dir):
     kind = F.when(key % 3 == 0, "invoice").when(key % 3 == 1, "nda").otherwise("visa")
     seen = inputs.table(spark, sf_dir, "orders").select(kind.alias("document_type"))
     return seen.filter(F.col("document_type").isin(kl.route_types())).distinct().orderBy("document_type")
+
+
+# --- whole batches (T1-T3) -------------------------------------------------------------------------
+
+ROUTING = kl.Routing().register("receipt", keywords=["receipt"])
+
+
+BATCH = {
+    "batch": """
+SELECT 'invoice' AS document_type, 'invoice' AS handler, 0.8::DOUBLE AS confidence, 'INV-' || l_orderkey || '-' || l_linenumber || '-' || l_suppkey AS ref,
+       (CAST(round(l_extendedprice * 100) AS BIGINT) + 1250 + CAST(round(l_extendedprice * 100) AS BIGINT) * 7 // 100 + l_orderkey % 90 * 100) / 100.0::DOUBLE AS amount FROM lineitem
+UNION ALL SELECT 'receipt', 'receipt', 0.8, 'R-' || o_orderkey,
+       (CAST(round(o_totalprice * 100) AS BIGINT) + CAST(round(o_totalprice * 100) AS BIGINT) // 10) / 100.0 FROM orders
+UNION ALL SELECT 'agreement', 'agreement', 0.8, agreement_id, NULL FROM agr
+UNION ALL SELECT 'kyc', 'kyc', 0.8, 'P' || lpad(CAST(c_custkey AS VARCHAR), 8, '0'), NULL FROM customer
+UNION ALL SELECT 'unknown', NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT 'document', 'custom', 0.5, NULL, NULL FROM orders WHERE o_orderkey % 5 = 0"""
+}
+
+
+@query(
+    "batch_results",
+    oracle(
+        "SELECT document_type, handler, confidence, ref, amount FROM batch",
+        "agr",
+        extra=BATCH,
+    ),
+)
+def batch_results(spark, sf_dir):
+    """All four types, one of them registered by the caller, beside documents that nothing takes."""
+    docs = pipeline.process_batch(inputs.batch_documents(spark, sf_dir), routing=ROUTING)["documents"]
+    ref = F.coalesce(
+        "invoice.metadata.invoice_number", "receipt.transaction.receipt_number", "agreement.metadata.agreement_id", "kyc.metadata.document_id"
+    )
+    amount = F.coalesce("invoice.financial.total_amount", "receipt.totals.total").cast("double")
+    return docs.select("document_type", "handler", "confidence", ref.alias("ref"), amount.alias("amount"))
+
+
+@query(
+    "batch_run_status",
+    oracle(
+        """
+SELECT count(*) AS processed, count(*) FILTER (coalesce(confidence, 0) > 0.7) AS successful,
+       count(*) FILTER (coalesce(confidence, 0) <= 0.7) AS failed FROM batch""",
+        "agr",
+        extra=BATCH,
+    ),
+)
+def batch_run_status(spark, sf_dir):
+    return pipeline.process_batch(inputs.batch_documents(spark, sf_dir), routing=ROUTING)["status"]
+
+
+@query(
+    "batch_run_summary",
+    oracle(
+        """
+SELECT document_type, grouping(document_type) = 1 AS is_total, count(*) AS total_documents,
+       count(*) FILTER (coalesce(confidence, 0) > 0.7) AS successful_extractions FROM batch GROUP BY ROLLUP (document_type)""",
+        "agr",
+        extra=BATCH,
+    ),
+)
+def batch_run_summary(spark, sf_dir):
+    return pipeline.process_batch(inputs.batch_documents(spark, sf_dir), routing=ROUTING)["summary"]
+
+
+@query(
+    "parallel_branches",
+    oracle(
+        "SELECT handler, ref FROM batch",
+        "agr",
+        extra=BATCH,
+    ),
+)
+def parallel_branches(spark, sf_dir):
+    """A branch per handler, each with an extractor of its own; rows of no branch pass through."""
+    branch = lambda extractor, ref: lambda df: extractor(df, into="r").select("handler", F.col(f"r.{ref}").alias("ref"))
+    run = pipeline.parallel(
+        {
+            "invoice": branch(extract.extract_invoice, "metadata.invoice_number"),
+            "receipt": branch(extract.extract_receipt, "transaction.receipt_number"),
+            "agreement": branch(extract.extract_agreement, "metadata.agreement_id"),
+            "kyc": branch(extract.extract_kyc, "metadata.document_id"),
+        },
+        before=lambda df: kl.classify_and_route(df, routing=ROUTING),
+    )
+    return run(inputs.batch_documents(spark, sf_dir)).select("handler", "ref")
+
+
+@query(
+    "stream_processed",
+    oracle(
+        """
+SELECT 'R-' || o_orderkey AS ref, 'invoice' AS handler, round(0.3 * (3 / 6.0) + 0.3 * 0 + 0.4 * 0.8, 6) AS quality FROM orders"""
+    ),
+)
+def stream_processed(spark, sf_dir):
+    """Receipts read as invoices by the built-in routes, in a stream: extracted, validated (they lack an
+    invoice number) and scored as in a batch."""
+    base = f"{checkpoint_dir(spark)}/paperloom-texts-{uuid.uuid4().hex}"
+    texts = inputs.receipt_texts(spark, sf_dir).select(F.concat(F.lit("in/receipt_"), F.col("k").cast("string"), F.lit(".pdf")).alias("path"), "text")
+    texts.write.parquet(f"{base}/in")
+    arriving = spark.readStream.schema("path STRING, text STRING").parquet(f"{base}/in")
+    out = _run(spark, jobs.process_stream(arriving).select("path", "handler", "quality"))
+    return out.select(F.concat(F.lit("R-"), F.regexp_extract("path", "([0-9]+)", 1)).alias("ref"), "handler", "quality")
