@@ -37,11 +37,11 @@ from paperloom.llm.shingles import _BYTE, _powers
 from paperloom.session import drop_cut
 
 Q = 20
-CHUNK_BYTES = 16 << 20
-SEGMENT = 1 << 20
+CHUNK_BYTES = 8 << 20
+SEGMENT = 1 << 18
 #: Buckets that a counting task holds, and bytes of text that a refining task holds, at a time.
-BUCKETS_EACH = 1 << 20
-CONTEXT_BYTES_EACH = 8 << 20
+BUCKETS_EACH = 1 << 19
+CONTEXT_BYTES_EACH = 4 << 20
 #: Buckets with more occurrences are dealt out string by string.
 HOT = 4096
 NUMBER_BYTES = 5
