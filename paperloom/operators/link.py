@@ -18,6 +18,7 @@ in linear size. Three views are taken from it:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,7 +36,8 @@ REFERENCE_CONFIDENCE = 0.95
 ENTITY_MIN_SCORE = 0.3
 CONFIDENCE_THRESHOLD = 0.6
 EVIDENCE_ENTITIES = 5
-DETECTORS = ("filename_pattern", "entity_matching")
+DETECTORS = ("filename_pattern", "explicit_reference", "entity_matching", "temporal_correlation")
+GROUP_DETECTORS = ("filename_pattern", "entity_matching")
 
 # Our own choices where only an intent is documented.
 REFERENCE_CANDIDATE = r"\b[IPA](?:NV|O|GR)-[0-9]+(?:-[0-9]+)*"  # one character class first: fast to scan
@@ -43,6 +45,14 @@ REFERENCE_START = r"^(?:INV|PO|AGR)-"
 AMOUNT_CONFIDENCE = 0.8
 PERIOD_CONFIDENCE = 0.5
 TEMPORAL_DAYS = 30
+MAX_ENTITIES = 8  # longer entity lists are refused: a list has up to 2**n subsets
+# Columns that a detector needs beside `ord` and `path`.
+NEEDS = {
+    "filename_pattern": [],
+    "explicit_reference": ["text", "own_id"],
+    "entity_matching": ["entities"],
+    "temporal_correlation": ["block", "date"],
+}
 
 COUNT = "decimal(38,0)"
 MEMBER = ["type", "group_key", "ord", "path", "confidence", "evidence"]
@@ -215,20 +225,37 @@ def pairs_of(members: DataFrame, wanted: DataFrame) -> DataFrame:
 # --- entity links (J4) -------------------------------------------------------------------------
 
 
-def entity_members(df: DataFrame, entities: str = "entities") -> DataFrame:
-    """One row per document and distinct entity; the whole list stays with the row."""
-    return df.select(
-        "ord",
-        "path",
-        F.col(entities).alias("entities"),
-        F.lit("shared_entities").alias("type"),
-        F.explode(F.array_distinct(entities)).alias("group_key"),
+def entity_keys(entities: Column, minimum: float, inclusive: bool = True) -> Column:
+    """Keys such that two documents share one exactly if their overlap score reaches `minimum` (or, not
+    `inclusive`, exceeds it).
+
+    A pair whose longer list has m entities needs r(m) common ones. A list of n entities gives every
+    subset of its distinct entities with at least r(n) members. Two lists with a common subset of size r
+    are both short enough for r to suffice, and a pair that reaches the score has such a subset.
+    """
+    enough = lambda r, n: r / n >= minimum - 1e-12 if inclusive else r / n > minimum + 1e-12
+    least = [next(r for r in range(1, n + 1) if r == n or enough(r, n)) for n in range(1, MAX_ENTITIES + 1)]
+    unique = F.array_sort(F.array_distinct(entities))
+    subsets = F.aggregate(
+        unique,
+        F.array(F.array().cast("array<string>")),
+        lambda acc, e: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(e)))),
+    )
+    needed = F.element_at(F.array(*[F.lit(r) for r in least]), F.size(entities))
+    keys = F.transform(F.filter(subsets, lambda x: F.size(x) >= needed), lambda x: F.concat(F.lit("entities:"), F.to_json(x)))
+    too_long = F.raise_error(F.lit(f"a document has more than {MAX_ENTITIES} entities")).cast("array<string>")
+    return (
+        F.when(F.size(entities) > MAX_ENTITIES, too_long)
+        .when(F.size(entities) > 0, keys)
+        .otherwise(F.array().cast("array<string>"))
     )
 
 
 def link_entities(df: DataFrame, entities: str = "entities", hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Spanning edges per shared entity, scored on the two documents' whole lists, kept above 0.3."""
-    members = entity_members(df, entities)
+    """Documents whose overlap score exceeds 0.3 (J4), as spanning edges: from the first document of every
+    group that shares enough entities to each other one. Every two members of a group are related."""
+    listed = df.select("ord", "path", F.col(entities).alias("entities"), F.lit("shared_entities").alias("type"))
+    members = listed.withColumn("group_key", F.explode(entity_keys(F.col("entities"), ENTITY_MIN_SCORE, False)))
     stats = group_stats(members, ["entities"])
     joined = join_groups(members, stats, GROUP, F.col("ord"), hot_rows=hot_rows)
     mine, theirs = F.col("entities"), F.col("first.entities")
@@ -241,8 +268,7 @@ def link_entities(df: DataFrame, entities: str = "entities", hot_rows: int | Non
         overlap_score(theirs, mine).alias("confidence"),
         entity_evidence(theirs, mine).alias("evidence"),
     )
-    kept = edges.filter(F.col("confidence") > ENTITY_MIN_SCORE)
-    return kept.dropDuplicates(["source_ord", "target_ord"]).drop("source_ord", "target_ord")
+    return edges.dropDuplicates(["source_ord", "target_ord"]).drop("source_ord", "target_ord")
 
 
 def entity_signature(entities: Column) -> Column:
@@ -251,14 +277,21 @@ def entity_signature(entities: Column) -> Column:
     return F.when((F.size(entities) > 0) & (F.size(unique) == F.size(entities)), F.array_sort(unique))
 
 
+def _at_most_two(entities: Column) -> Column:
+    """Counting without pairs needs short lists; longer ones are refused, not miscounted."""
+    error = F.raise_error(F.lit("relationships of more than two entities can be listed, not counted"))
+    return F.when(F.size(entities) > 2, error.cast("array<string>")).otherwise(entities)
+
+
 def entity_pair_counts(df: DataFrame, entities: str = "entities") -> DataFrame:
     """Per entity: documents, pairs that share only part of their lists, pairs with equal lists.
 
     For lists of at most two entities a pair either has equal lists (score 1) or shares exactly one
-    entity (score 0.5), so both numbers follow from group sizes and no pair is formed.
+    entity (score 0.5), so both numbers follow from group sizes and no pair is formed. Longer lists raise.
     """
-    members = entity_members(df, entities).select(
-        F.col("group_key").alias("entity"), entity_signature(F.col("entities")).alias("signature")
+    listed = df.select(_at_most_two(F.col(entities)).alias("entities"))
+    members = listed.select(
+        F.explode(F.array_distinct("entities")).alias("entity"), entity_signature(F.col("entities")).alias("signature")
     )
     per_signature = members.groupBy("entity", "signature").agg(F.count(F.lit(1)).alias("n"))
     full = F.when(F.col("signature").isNotNull(), pairs_in(F.col("n"))).otherwise(F.lit(0).cast(COUNT))
@@ -455,32 +488,77 @@ def _relationship_keys(df: DataFrame, detectors: Sequence[str], minimum: float)
     """Per document: its file-name keys, its entities and the keys under which partners are found."""
     none = F.array().cast("array<struct<rule:int,type:string,key:string>>")
     names = filename_keys(F.col("path")) if "filename_pattern" in detectors and minimum <= FILENAME_CONFIDENCE else none
-    no_entities = F.array().cast("array<string>")
-    use_entities = "entity_matching" in detectors
-    keyed = df.select(
-        "ord", "path", names.alias("names"), (F.col("entities") if use_entities else no_entities).alias("entities")
-    )
+    entities = F.col("entities") if "entity_matching" in detectors else F.array().cast("array<string>")
+    keyed = df.select("ord", "path", names.alias("names"), entities.alias("entities"))
     by_name = F.transform("names", lambda h: F.concat_ws(":", F.lit("name"), h["rule"].cast("string"), h["key"]))
-    if minimum > 0.5:  # only equal lists can reach the threshold
-        signature = entity_signature(F.col("entities"))
-        by_entity = F.when(signature.isNotNull(), F.array(F.concat(F.lit("entities:"), F.to_json(signature))))
+    if minimum > ENTITY_MIN_SCORE:
+        by_entity = entity_keys(F.col("entities"), minimum)
     else:
-        by_entity = F.transform(F.array_distinct("entities"), lambda e: F.concat(F.lit("entity:"), e))
-    return keyed.withColumn("keys", F.concat(by_name, F.coalesce(by_entity, no_entities)))
+        by_entity = entity_keys(F.col("entities"), ENTITY_MIN_SCORE, False)
+    return keyed.withColumn("keys", F.concat(by_name, by_entity))
+
+
+def _usable(df: DataFrame, detectors: Sequence[str] | None) -> list[str]:
+    """The named detectors, or all that find their columns; unknown names and missing columns raise."""
+    missing = {d: [c for c in needs if c not in df.columns] for d, needs in NEEDS.items()}
+    if detectors is None:
+        return [d for d in DETECTORS if not missing[d]]
+    for d in detectors:
+        if d not in NEEDS:
+            raise ValueError(f"unknown detector: {d}; there are {', '.join(DETECTORS)}")
+        if missing[d]:
+            raise ValueError(f"{d} needs {', '.join(missing[d])}")
+    return list(detectors)
+
+
+def _hit(detector: Column, type_: Column, evidence: Column, confidence: Column) -> Column:
+    return F.struct(
+        detector.cast("int").alias("detector"), type_.alias("type"), evidence.alias("evidence"), confidence.alias("confidence")
+    )
 
 
 def map_relationships(
     df: DataFrame,
-    detectors: Sequence[str] = DETECTORS,
+    detectors: Sequence[str] | None = None,
     minimum: float = CONFIDENCE_THRESHOLD,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Detect, drop weak hits, consolidate (G8). Needs `ord`, `path`, `entities`.
+    """Detect, drop weak hits, consolidate (G8). Needs `ord`, `path` and the columns of its detectors:
+    `entities` for entity_matching, `text` and `own_id` for explicit_reference, `block` and `date` for
+    temporal_correlation. Without `detectors`, all run that find their columns.
 
-    Returns the consolidated relationship from each group's first document to every other member.
+    File names and entities give the relationship from each group's first document to every other member.
     Both documents' keys are at hand on the joined row, so a row carries *all* evidence for its pair,
-    including hits from groups whose first document is another one.
+    including hits from groups whose first document is another one. References run from the document that
+    names to the one that is named; temporal hits link the first documents of two days (or the first and
+    last of one). Hits of one (source, target) become one row, in the order of the detectors.
     """
+    detectors = _usable(df, detectors)
+    parts = []
+    if set(detectors) & set(GROUP_DETECTORS):
+        parts.append(_group_hits(df, detectors, minimum, hot_rows))
+    rules = len(FILENAME_RULES)
+    single = lambda n: F.array(_hit(F.lit(n), F.col("type"), F.col("evidence"), F.col("confidence"))).alias("hits")
+    if "explicit_reference" in detectors:
+        named = threshold(link_reference(df.select("ord", "path", "text", "own_id"), hot_rows=hot_rows), minimum)
+        parts.append(named.select("source", "target", single(rules + 1)))
+    if "temporal_correlation" in detectors:
+        near = threshold(link_temporal(df.select("ord", "path", "block", "date"), "block", "date"), minimum)
+        parts.append(near.select("source", "target", single(rules + 3)))
+    found = reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:
+        found = found.groupBy("source", "target").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    best = F.aggregate(
+        F.slice("hits", 2, F.greatest(F.size("hits"), F.lit(1))),
+        F.col("hits")[0],
+        lambda acc, h: F.when(h["confidence"] > acc["confidence"], h).otherwise(acc),
+    )
+    scored = found.withColumn("_best", best)
+    return _merged(scored.withColumn("type", F.col("_best.type")).withColumn("confidence", F.col("_best.confidence")))
+
+
+def _group_hits(df: DataFrame, detectors: Sequence[str], minimum: float, hot_rows: int | None) -> DataFrame:
+    """(source, target, hits) of file names and entities, one row per pair."""
     keyed = _relationship_keys(df, detectors, minimum)
     members = keyed.select(
         "ord", "path", "names", "entities", F.lit("any").alias("type"), F.explode("keys").alias("group_key")
@@ -491,27 +569,14 @@ def map_relationships(
     )
     by_name = F.transform(
         F.array_intersect("first.names", "names"),
-        lambda h: F.struct(
-            h["rule"].alias("detector"),
-            h["type"].alias("type"),
-            F.concat(F.lit("Filename pattern match: "), h["key"]).alias("evidence"),
-            F.lit(FILENAME_CONFIDENCE).alias("confidence"),
+        lambda h: _hit(
+            h["rule"], h["type"], F.concat(F.lit("Filename pattern match: "), h["key"]), F.lit(FILENAME_CONFIDENCE)
         ),
     )
     score = overlap_score(F.col("first.entities"), F.col("entities"))
-    by_entity = F.array_compact(
-        F.array(
-            F.when(
-                (score > ENTITY_MIN_SCORE) & (score >= minimum),
-                F.struct(
-                    F.lit(len(FILENAME_RULES) + 1).alias("detector"),
-                    F.lit("shared_entities").alias("type"),
-                    entity_evidence(F.col("first.entities"), F.col("entities")).alias("evidence"),
-                    score.alias("confidence"),
-                ),
-            )
-        )
-    )
+    evidence = entity_evidence(F.col("first.entities"), F.col("entities"))
+    hit = _hit(F.lit(len(FILENAME_RULES) + 2), F.lit("shared_entities"), evidence, score)
+    by_entity = F.array_compact(F.array(F.when((score > ENTITY_MIN_SCORE) & (score >= minimum), hit)))
     edges = joined.select(
         F.col("first.ord").alias("source_ord"),
         F.col("ord").alias("target_ord"),
@@ -519,18 +584,16 @@ def map_relationships(
         F.col("path").alias("target"),
         F.concat(by_name, by_entity).alias("hits"),
     )
-    unique = edges.dropDuplicates(["source_ord", "target_ord"])
-    best = F.aggregate(
-        F.slice("hits", 2, len(FILENAME_RULES) + 1),
-        F.col("hits")[0],
-        lambda acc, h: F.when(h["confidence"] > acc["confidence"], h).otherwise(acc),
-    )
-    scored = unique.withColumn("_best", best)
-    return _merged(scored.withColumn("type", F.col("_best.type")).withColumn("confidence", F.col("_best.confidence")))
+    return edges.dropDuplicates(["source_ord", "target_ord"]).select("source", "target", "hits")
 
 
 def _key_sets(df: DataFrame, detectors: Sequence[str]) -> DataFrame:
-    """Every non-empty subset of a document's keys (at most four keys: three rules, one signature)."""
+    """Every non-empty subset of a document's keys (at most four keys: three rules, and one list of at most
+    two entities; longer lists raise)."""
+    if unknown := set(detectors) - set(GROUP_DETECTORS):
+        raise ValueError(f"relationships of {', '.join(sorted(unknown))} can be listed, not counted")
+    if "entity_matching" in detectors:
+        df = df.withColumn("entities", _at_most_two(F.col("entities")))
     keyed = _relationship_keys(df, detectors, CONFIDENCE_THRESHOLD)
     types = F.concat(
         F.transform("names", lambda h: h["type"]),
@@ -553,7 +616,7 @@ def _key_sets(df: DataFrame, detectors: Sequence[str]) -> DataFrame:
     )
 
 
-def relationship_counts(df: DataFrame, detectors: Sequence[str] = DETECTORS) -> DataFrame:
+def relationship_counts(df: DataFrame, detectors: Sequence[str] = GROUP_DETECTORS) -> DataFrame:
     """Exact number of consolidated relationships per list of detection methods.
 
     Counting documents per key subset gives, for each subset of rules, the pairs that agree on at
@@ -593,7 +656,7 @@ def relationship_counts(df: DataFrame, detectors: Sequence[str] = DETECTORS) ->
     )
 
 
-def relationship_degrees(df: DataFrame, detectors: Sequence[str] = DETECTORS, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def relationship_degrees(df: DataFrame, detectors: Sequence[str] = GROUP_DETECTORS, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Number of distinct related documents of every document, by the same counting."""
     sets = _key_sets(df, detectors).select("ord", "path", "key_set", F.size("subset").alias("size"))
     groups = sets.groupBy("key_set").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)

@@ -70,7 +70,7 @@ def process_batch(
     df: DataFrame,
     hint: str | None = None,
     model: str | None = None,
-    detectors: Sequence[str] = link.DETECTORS,
+    detectors: Sequence[str] | None = None,
     routing: kl.Routing | None = None,
     extractors: Mapping[str, Callable[[Column, Column], Column]] = EXTRACTORS,
 ) -> dict[str, DataFrame]:
@@ -82,8 +82,16 @@ def process_batch(
     """
     results = cut(results_of(df, hint, model, routing, extractors))
     entities = link.entity_list(F.col("handler"), F.col("invoice.vendor.name"), F.col("invoice.customer.name"))
-    columns = [c for c in ("text", "own_id", "block", "date") if c in results.columns]
-    linked = results.select("ord", "path", *columns, entities.alias("entities"))
+    numbers = [F.col(c) for c in ("invoice.metadata.invoice_number", "agreement.metadata.agreement_id")]
+    linked = results.select(
+        "ord",
+        "path",
+        "text",
+        F.coalesce(*numbers).alias("own_id"),
+        F.col("invoice.vendor.name").alias("block"),
+        F.col("invoice.metadata.invoice_date").alias("date"),
+        entities.alias("entities"),
+    )
     return {
         "documents": results,
         "summary": aggregate.summarize(results),

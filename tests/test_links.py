@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import graph, keys, link, matching
@@ -240,11 +241,11 @@ def test_contract_choice(spark):
         "SELECT named_struct('agreement_id', id, 'effective_date', CAST(e AS DATE), 'expiry_date', CAST(x AS DATE)) metadata, array(named_struct('name','V'), named_struct('name','V')) parties, cap "
         "FROM VALUES ('A','2024-01-01','2024-12-31', 9.00BD), ('B','2024-03-01','2024-05-01', 10.00BD), ('C','2024-03-01','2025-01-01', 11.00BD) AS t(id, e, x, cap)"
     )
-    best = {r["path"]: r["agreement_id"] for r in matching.contract_asof(inv, agr, hot_rows=1).collect()}
+    best = {r["path"]: r["agreement_id"] for r in matching.contract_asof(inv, agr).collect()}
     assert best == {"p1": "B", "p2": None}
-    matched = matching.match_contracts(inv, agr, hot_rows=1).collect()
+    matched = matching.match_contracts(inv, agr).collect()
     assert sorted((r["agreement_id"], r["n_invoices"], float(r["total"])) for r in matched) == [("A", 1, 10.0), ("B", 1, 10.0), ("C", 1, 10.0)]
-    assert {(r["path"], r["agreement_id"]) for r in matching.contracts_of(inv, agr, hot_rows=1).collect()} == {("p1", x) for x in "ABC"}
+    assert {(r["path"], r["agreement_id"]) for r in matching.contracts_of(inv, agr).collect()} == {("p1", x) for x in "ABC"}
     assert {r["agreement_id"]: r["over_limit"] for r in matching.over_limit(inv, agr).collect()} == {"A": True, "B": False, "C": False}
     po = spark.createDataFrame([("PO-1",)], "po_number STRING")
     assert [r["path"] for r in matching.matched_invoices(inv, po).collect()] == ["p1"]
@@ -264,3 +265,52 @@ def test_similarity_along_edges_and_to_the_group(spark):
     mean = [2 / 3, 1 / 3]
     cos_a = mean[0] / (mean[0] ** 2 + mean[1] ** 2) ** 0.5
     assert ("a" in near) == (cos_a >= 0.9)
+
+
+def test_entity_lists_of_any_length_equal_brute_force(spark):
+    rnd = random.Random(8)
+    rows = [(i, f"d{i}", [rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 5))]) for i in range(120)]
+    rows += [(200, "p", ["a", "x", "y", "z"]), (201, "q", ["a", "x", "y", "o"])]
+    df = spark.createDataFrame(rows, "ord BIGINT, path STRING, entities ARRAY<STRING>")
+
+    def score(a, b):
+        return len(set(a) & set(b)) / max(len(a), len(b)) if a and b else 0.0
+
+    def components(pairs):
+        parent = {r[1]: r[1] for r in rows}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for s, t in pairs:
+            parent[max(find(s), find(t))] = min(find(s), find(t))
+        return {r[1]: find(r[1]) for r in rows}
+
+    lists = {r[1]: r[2] for r in rows}
+    for minimum, edges in ((0.6, link.map_relationships(df, ["entity_matching"])), (0.3, link.link_entities(df))):
+        got = edges.collect()
+        ok = lambda a, b: score(a, b) >= 0.6 if minimum == 0.6 else score(a, b) > 0.3  # noqa: E731, B023
+        want = [(a[1], b[1]) for i, a in enumerate(rows) for b in rows[:i] if ok(a[2], b[2])]
+        for e in got:
+            assert ok(lists[e["source"]], lists[e["target"]])
+            assert abs(e["confidence"] - score(lists[e["source"]], lists[e["target"]])) < 1e-12
+        assert components(want) == components((e["source"], e["target"]) for e in got)
+    assert ("p", "q") in {(e["source"], e["target"]) for e in link.map_relationships(df, ["entity_matching"]).collect()}
+
+
+def test_detectors_are_checked(spark):
+    df = spark.createDataFrame([(0, "a", ["x"])], "ord BIGINT, path STRING, entities ARRAY<STRING>")
+    with pytest.raises(ValueError, match="unknown detector"):
+        link.map_relationships(df, ["filename"])
+    with pytest.raises(ValueError, match="needs text, own_id"):
+        link.map_relationships(df, ["explicit_reference"])
+    with pytest.raises(ValueError, match="listed, not counted"):
+        link.relationship_counts(df, ["temporal_correlation"])
+    long = spark.createDataFrame([(0, "a", list("abc"))], df.schema)
+    with pytest.raises(Exception, match="listed, not counted"):
+        link.relationship_degrees(long).collect()
+    longer = spark.createDataFrame([(0, "a", list("abcdefghi"))], df.schema)
+    with pytest.raises(Exception, match="more than 8 entities"):
+        link.map_relationships(longer).collect()

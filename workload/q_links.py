@@ -192,9 +192,10 @@ SELECT DISTINCT f.path AS source, m.path AS target,
        ((f.vendor = m.vendor)::INT + (f.customer = m.customer)::INT) / 2.0::DOUBLE AS confidence,
        'Common entities: ' || concat_ws(', ', CASE WHEN f.customer = m.customer THEN f.customer END,
                                               CASE WHEN f.vendor = m.vendor THEN f.vendor END) AS evidence
-FROM inv m JOIN (SELECT vendor AS e, min(ord) AS first FROM inv GROUP BY 1
-                 UNION ALL SELECT customer, min(ord) FROM inv GROUP BY 1) g ON g.e IN (m.vendor, m.customer)
-     JOIN inv f ON f.ord = g.first
+FROM (SELECT ord, min(ord) OVER (PARTITION BY vendor) AS first FROM inv
+      UNION SELECT ord, min(ord) OVER (PARTITION BY customer) FROM inv
+      UNION SELECT ord, min(ord) OVER (PARTITION BY vendor, customer) FROM inv) g
+     JOIN inv m ON m.ord = g.ord JOIN inv f ON f.ord = g.first
 WHERE m.ord <> g.first""",
         "inv",
     ),
@@ -207,20 +208,11 @@ def entity_links(spark, sf_dir):
     "entity_pair_counts",
     oracle(
         """
-SELECT e AS entity, any_value(n_docs) AS n_docs, count(*) FILTER (score = 0.5) AS n_pairs_part,
-       count(*) FILTER (score = 1.0) AS n_pairs_full
-FROM (SELECT a.e, a.n_docs,
-             ((fa.vendor = fb.vendor)::INT + (fa.customer = fb.customer)::INT) / 2.0::DOUBLE AS score
-      FROM ent a JOIN ent b ON a.e = b.e AND a.ord < b.ord
-           JOIN files fa ON fa.ord = a.ord JOIN files fb ON fb.ord = b.ord)
-GROUP BY e
-UNION ALL SELECT e, 1, 0, 0 FROM ent WHERE n_docs = 1""",
+SELECT e AS entity, CAST(sum(n) AS BIGINT) AS n_docs,
+       CAST((sum(n) * (sum(n) - 1) - sum(n * (n - 1))) // 2 AS BIGINT) AS n_pairs_part, CAST(sum(n * (n - 1)) // 2 AS BIGINT) AS n_pairs_full
+FROM (SELECT vendor AS e, n FROM cells UNION ALL SELECT customer, n FROM cells) GROUP BY e""",
         "files",
-        extra={
-            "ent": """
-SELECT ord, e, count(*) OVER (PARTITION BY e) AS n_docs
-FROM (SELECT ord, vendor AS e FROM files UNION ALL SELECT ord, customer FROM files)"""
-        },
+        extra={"cells": "SELECT vendor, customer, count(*) AS n FROM files GROUP BY 1, 2"},
     ),
 )
 def entity_pair_counts(spark, sf_dir):
@@ -313,6 +305,88 @@ def relationships(spark, sf_dir):
     return edges.withColumn("detection_methods", F.coalesce(F.array_join("detection_methods", " | "), F.lit("")))
 
 
+LISTS = {
+    "lists": """
+SELECT c_custkey AS ord, 'c/' || c_custkey AS path,
+       list_transform(range(0, 1 + c_custkey % 4), lambda i: 'E' || ((c_custkey // 4 * (i + 3) + i) % 41)) AS ents FROM customer""",
+    "subsets": """
+SELECT ord, path, ents, list_transform(list_filter(range(0, len(u)), lambda i: (mask >> i) & 1 = 1), lambda i: u[i + 1]) AS sub
+FROM (SELECT *, unnest(range(1, 1 << len(u))) AS mask FROM (SELECT *, list_sort(list_distinct(ents)) AS u FROM lists))""",
+    "keyed": "SELECT * FROM subsets WHERE len(sub) / len(ents) >= 0.6",
+    "firsts": "SELECT sub, min(ord) AS first FROM keyed GROUP BY sub",
+}
+
+
+@query(
+    "entity_lists",
+    oracle(
+        """
+SELECT DISTINCT f.path AS source, m.path AS target, len(list_intersect(f.ents, m.ents)) / greatest(len(f.ents), len(m.ents)) AS confidence,
+       'Common entities: ' || array_to_string(list_sort(list_intersect(f.ents, m.ents)), ', ') AS evidence
+FROM keyed m JOIN firsts USING (sub) JOIN lists f ON f.ord = first WHERE m.ord <> first""",
+        extra=LISTS,
+    ),
+)
+def entity_lists(spark, sf_dir):
+    """Relationships by entity lists of one to four names, some repeated."""
+    k = F.col("c_custkey")
+    name = lambda i: F.concat(F.lit("E"), ((F.floor(k / 4) * (i + 3) + i) % 41).cast("string"))
+    docs = inputs.table(spark, sf_dir, "customer").select(
+        k.alias("ord"), F.concat(F.lit("c/"), k.cast("string")).alias("path"),
+        F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), name).alias("entities"),
+    )
+    return link.map_relationships(docs, ["entity_matching"]).select("source", "target", "confidence", "evidence")
+
+
+FOUR = {
+    "docs": """
+SELECT o_orderkey AS ord, 'a/' || o_orderkey || '/INV-' || (o_orderkey // 3) || '.pdf' AS path, o_custkey AS cust,
+       CAST(o_orderdate AS DATE) AS day, o_orderkey // 3 AS k, o_custkey // 4 AS v FROM orders""",
+    "starts": """
+SELECT first AS s, ord AS t FROM (SELECT ord, min(ord) OVER (PARTITION BY k) AS first FROM docs) WHERE ord <> first
+UNION SELECT first, ord FROM (SELECT ord, min(ord) OVER (PARTITION BY v) AS first FROM docs) WHERE ord <> first""",
+    "cells": "SELECT cust, day, count(*) AS n, arg_min(path, ord) AS first, arg_max(path, ord) AS last FROM docs GROUP BY 1, 2",
+    "found": """
+SELECT a.path AS source, b.path AS target, 1 AS det, 'invoice_for_po' AS type, 0.9::DOUBLE AS confidence, 'Filename pattern match: ' || a.k AS evidence
+FROM starts JOIN docs a ON a.ord = s JOIN docs b ON b.ord = t WHERE a.k = b.k
+UNION ALL SELECT b.path, a.path, 4, 'explicit_reference', 0.95, 'References AGR-' || a.ord FROM docs a JOIN docs b ON b.ord = a.ord + 1
+UNION ALL SELECT a.path, b.path, 5, 'shared_entities', 1.0, 'Common entities: V' || a.v FROM starts JOIN docs a ON a.ord = s JOIN docs b ON b.ord = t WHERE a.v = b.v
+UNION ALL SELECT first, last, 6, 'temporal_proximity', 1.0, '0 days apart' FROM cells WHERE n > 1
+UNION ALL SELECT a.first, b.first, 6, 'temporal_proximity', 1 - 0.5 * (b.day - a.day) / 30, (b.day - a.day) || ' days apart'
+FROM cells a JOIN cells b ON a.cust = b.cust AND b.day - a.day BETWEEN 1 AND 24""",
+}
+
+
+@query(
+    "relationships_of_four",
+    oracle(
+        """
+SELECT source, target, arg_min(type, (-confidence, det)) AS type, round(max(confidence), 6) AS confidence,
+       string_agg(evidence, ' | ' ORDER BY det, type, evidence) AS evidence,
+       CASE WHEN count(*) > 1 THEN string_agg(type, ' | ' ORDER BY det, type, evidence) ELSE '' END AS detection_methods
+FROM found GROUP BY source, target""",
+        extra=FOUR,
+    ),
+)
+def relationships_of_four(spark, sf_dir):
+    """All four detectors over one table of documents."""
+    k = F.col("o_orderkey")
+    text = lambda n: n.cast("string")
+    docs = inputs.table(spark, sf_dir, "orders").select(
+        k.alias("ord"),
+        F.concat(F.lit("a/"), text(k), F.lit("/INV-"), text(F.floor(k / 3)), F.lit(".pdf")).alias("path"),
+        F.concat(F.lit("See also AGR-"), text(k - 1), F.lit(" for this one.")).alias("text"),
+        F.concat(F.lit("AGR-"), text(k)).alias("own_id"),
+        F.array(F.concat(F.lit("V"), text(F.floor(F.col("o_custkey") / 4)))).alias("entities"),
+        F.col("o_custkey").alias("block"),
+        F.col("o_orderdate").cast("date").alias("date"),
+    )
+    edges = link.map_relationships(docs)
+    return edges.withColumns(
+        {"detection_methods": F.coalesce(F.array_join("detection_methods", " | "), F.lit("")), "confidence": F.round("confidence", 6)}
+    )
+
+
 @query(
     "relationship_counts",
     oracle(
@@ -404,7 +478,7 @@ def document_clusters(spark, sf_dir):
     names = _members(spark, sf_dir).select("type", "group_key", "ord", "path")
     signature = link.entity_signature(F.col("entities"))
     entities = docs.select(
-        F.lit("shared_entities").alias("type"), F.array_join(signature, "|").alias("group_key"), "ord", "path"
+        F.lit("shared_entities").alias("type"), F.to_json(signature).alias("group_key"), "ord", "path"
     )
     members = names.unionByName(entities)
     edges = link.spanning_edges(members.withColumns({"confidence": F.lit(1.0), "evidence": F.lit("")}), by="ord")
