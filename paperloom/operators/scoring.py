@@ -71,3 +71,19 @@ def evaluate(predicted: DataFrame, truth: DataFrame, fields: Sequence[str], doc:
         F.sum(hit).alias("n_correct"),
         F.avg(hit).alias("accuracy"),
     )
+
+
+def schema_compliance(checked: DataFrame, by: str | None = None, valid: str = "validation.is_valid") -> DataFrame:
+    """Share of documents that comply with their schema, over all (null group) and per value of `by`."""
+    group = F.lit(None).cast("string") if by is None else F.col(by)
+    rows = checked.select(group.alias("group"), F.col(valid).alias("ok"))
+    return (
+        rows.rollup("group")
+        .agg(
+            F.grouping("group").cast("boolean").alias("is_total"),
+            F.count(F.lit(1)).alias("documents"),
+            F.count_if("ok").alias("compliant"),
+            F.avg(F.coalesce("ok", F.lit(False)).cast("int")).alias("schema_compliance"),
+        )
+        .filter(F.lit(by is not None) | F.col("is_total"))
+    )

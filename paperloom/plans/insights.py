@@ -71,8 +71,3 @@ def insight(name: str, invoices: DataFrame, agreements: DataFrame, orders: DataF
 def insights(names: list[str], invoices: DataFrame, agreements: DataFrame, orders: DataFrame, as_of: Column) -> DataFrame:
     """Several questions in one table."""
     return reduce(DataFrame.unionByName, [insight(n, invoices, agreements, orders, as_of) for n in names])
-
-
-def vendor_sources(invoices: DataFrame) -> DataFrame:
-    """Source documents of `total_by_vendor`: one row per vendor and document."""
-    return invoices.select(F.lit("total_by_vendor").alias("query"), F.col("vendor.name").alias("key"), "path")

@@ -1,4 +1,4 @@
-"""Result types per document type, their constraints, and the small lineage / edge types.
+"""Result types per document type and their constraints.
 
 Every document type is a Spark DDL string plus a list of constraints `(path, kind, argument)`.
 `[]` in a path means "each element of this array". V5 generates its checks from these two.
@@ -136,15 +136,6 @@ CONSTRAINTS = {
 
 DEFAULT_CURRENCY = "USD"
 
-LINEAGE_DDL = (
-    "document_id STRING, root_id STRING, original_path STRING, parent_id STRING, container_type STRING, "
-    "extraction_depth INT, file_hash STRING, "
-    "metadata STRUCT<file_size BIGINT, file_name STRING, extension STRING, note STRING>"
-)
-EDGE_DDL = (
-    "source STRING, target STRING, type STRING, confidence DOUBLE, evidence STRING, detection_methods ARRAY<STRING>"
-)
-
 
 def struct_type(document_type: str) -> T.StructType:
     """Spark type of one document type's result."""

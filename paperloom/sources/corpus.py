@@ -35,22 +35,31 @@ def read_text_docs(spark: SparkSession, path: str, globs: Sequence[str] = ("*.tx
 
 
 def read_json_docs(spark: SparkSession, path: str, schema: T.StructType | str | None = None, globs: Sequence[str] = ("*.json",)) -> DataFrame:
-    """JSON files as typed data (`schema`) or as VARIANT; malformed files give null data and an error."""
+    """JSON files as typed data (`schema`) or as VARIANT (S4). A file that is no JSON gives null data and
+    an error; one that does not fit the schema keeps the fields that do, and an error."""
     docs = read_text_docs(spark, path, globs)
-    parsed = F.try_parse_json("text")
-    data = parsed if schema is None else F.when(parsed.isNotNull(), F.from_json("text", _ddl(schema)))
-    return docs.withColumn("data", data).select(
-        "path", "data", F.coalesce("error", F.when(parsed.isNull(), F.lit("not valid JSON"))).alias("error")
-    )
+    variant = F.try_parse_json("text")
+    broken = F.when(variant.isNull(), F.lit("not valid JSON"))
+    if schema is None:
+        return docs.select("path", variant.alias("data"), F.coalesce("error", broken).alias("error"))
+    typed = _ddl(schema)
+    corrupt = "_corrupt_record"
+    wide = T.StructType([*typed.fields, T.StructField(corrupt, T.StringType())])
+    parsed = docs.withColumn("_p", F.when(variant.isNotNull(), F.from_json("text", wide, {"columnNameOfCorruptRecord": corrupt})))
+    misfit = F.when(F.col(f"_p.{corrupt}").isNotNull(), F.lit("does not fit the schema"))
+    data = F.when(F.col("_p").isNotNull(), F.struct(*[F.col("_p")[f.name].alias(f.name) for f in typed.fields]))
+    return parsed.select("path", data.alias("data"), F.coalesce("error", broken, misfit).alias("error"))
 
 
 def _ddl(schema: T.StructType | str) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
-def read_csv_docs(spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True) -> DataFrame:
+def read_csv_docs(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True, **options: str
+) -> DataFrame:
     """CSV files as rows and columns with the file they come from (S5). Give a schema on large inputs."""
-    reader = spark.read.option("header", str(header).lower()).option("recursiveFileLookup", "true")
+    reader = spark.read.options(**options).option("header", str(header).lower()).option("recursiveFileLookup", "true")
     reader = reader.option("pathGlobFilter", "*.csv")
     reader = reader.schema(schema) if schema is not None else reader
     return reader.csv(path).withColumn("path", F.input_file_name())

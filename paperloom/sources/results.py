@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -97,8 +96,3 @@ def parse_results(df: DataFrame, json: str = "json", *keep: str) -> DataFrame:
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Result files (one JSON document per line) as one table with a struct column per type."""
     return parse_results(spark.read.text(path).withColumnRenamed("value", "json"))
-
-
-def union_types(parts: list[DataFrame]) -> DataFrame:
-    """Per-type result tables as one; columns a type lacks are null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -586,6 +586,49 @@ def zipped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInPandas(build, "path STRING, content BINARY")
 
 
+def odd_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A container per document of one of four kinds: a broken ZIP, a RAR, a ZIP nested five deep, and a ZIP
+    that holds an e-mail with the document's language attached."""
+
+    def build(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        def packed(name, data):
+            buf = io.BytesIO()
+            with zipfile.ZipFile(buf, "w") as zf:
+                zf.writestr(name, data)
+            return buf.getvalue()
+
+        def mail(lang):
+            return (
+                "Subject: s\nFrom: a@example.org\nMIME-Version: 1.0\nContent-Type: application/octet-stream\n"
+                f'Content-Disposition: attachment; filename="lang.txt"\n\n{lang}'
+            ).encode()
+
+        for batch in batches:
+            out = []
+            for doc_id, lang in zip(batch["doc_id"], batch["lang"]):
+                kind = doc_id % 4
+                if kind == 0:
+                    out.append((f"odd/{doc_id}.zip", b"PK is not enough"))
+                elif kind == 1:
+                    out.append((f"odd/{doc_id}.rar", b"Rar!"))
+                elif kind == 2:
+                    data, name = f"core {doc_id}".encode(), "core.txt"
+                    for level in range(5):
+                        data, name = packed(name, data), f"z{level}.zip"
+                    out.append((f"odd/{doc_id}.zip", data))
+                else:
+                    out.append((f"odd/{doc_id}.zip", packed("m.eml", mail(lang))))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang"))
+    return docs.mapInPandas(build, "path STRING, content BINARY")
+
+
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An e-mail per conversation turn: the turn as body and two attachments of the same name."""
     key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from paperloom.operators import containers as c
+from paperloom.session import checkpoint_dir
 from paperloom.sources import corpus, results
+from paperloom.streaming import jobs
 from workload import inputs
 from workload.oracle_inputs import oracle
 from workload.registry import query
@@ -167,6 +171,61 @@ def preprocess_summary(spark, sf_dir):
     return c.preprocess_summary(got["documents"], got["errors"], inputs.table(spark, sf_dir, "documents"))
 
 
+ODD = {
+    "odd_docs": """
+SELECT CASE doc_id % 4 WHEN 0 THEN 'odd/' || doc_id || '.zip' WHEN 1 THEN 'odd/' || doc_id || '.rar'
+            WHEN 2 THEN 'odd/' || doc_id || '.zip/z3.zip/z2.zip/z1.zip/z0.zip' ELSE 'odd/' || doc_id || '.zip/m.eml/lang.txt' END AS path,
+       CASE doc_id % 4 WHEN 2 THEN 4 WHEN 3 THEN 2 ELSE 0 END AS depth,
+       CASE doc_id % 4 WHEN 2 THEN 'max_depth_reached' WHEN 3 THEN NULL ELSE 'container_unreadable' END AS note FROM documents"""
+}
+
+
+@query("odd_documents", oracle("SELECT path, depth, note FROM odd_docs", extra=ODD))
+def odd_documents(spark, sf_dir):
+    """Broken and unsupported containers stay as documents, nesting stops at its limit, mail in an archive is opened."""
+    return c.decompose(inputs.odd_containers(spark, sf_dir))["documents"].select("path", "depth", "note")
+
+
+@query(
+    "container_errors",
+    oracle(
+        """
+SELECT 'odd/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.zip' ELSE '.rar' END AS path, 'archive' AS container_type, 0 AS depth,
+       CASE doc_id % 4 WHEN 0 THEN 'BadZipFile: File is not a zip file' ELSE 'ValueError: unsupported container: rar' END AS error
+FROM documents WHERE doc_id % 4 < 2"""
+    ),
+)
+def container_errors(spark, sf_dir):
+    return c.decompose(inputs.odd_containers(spark, sf_dir))["errors"].select("path", "container_type", "depth", "error")
+
+
+@query(
+    "odd_summary",
+    oracle(
+        """
+SELECT count(*) AS total_extracted, count(*) AS original_count, count(*) FILTER (doc_id % 4 < 2) AS error_count FROM documents"""
+    ),
+)
+def odd_summary(spark, sf_dir):
+    got = c.decompose(inputs.odd_containers(spark, sf_dir))
+    return c.preprocess_summary(got["documents"], got["errors"], inputs.table(spark, sf_dir, "documents"))
+
+
+@query(
+    "unpack_in_sql",
+    oracle(
+        """
+SELECT 'box/' || doc_id || '.zip' AS path, unnest(['text.txt', 'copy.txt', 'inner.zip', '__MACOSX/text.txt']) AS name,
+       unnest([0, 1, 2, 3]) AS ordinal FROM documents"""
+    ),
+)
+def unpack_in_sql(spark, sf_dir):
+    """The unpacker as a table function of SQL."""
+    c.register_unpack(spark)
+    inputs.zipped_documents(spark, sf_dir).createOrReplaceTempView("packed_files")
+    return spark.sql("SELECT p.path, m.name, m.ordinal FROM packed_files p, LATERAL unpack(p.path, p.content) m WHERE m.error IS NULL")
+
+
 @query(
     "email_messages",
     oracle(
@@ -289,3 +348,128 @@ def selected_output(spark, sf_dir):
         F.col("`vendor.name`").alias("vendor"),
         F.col("`financial.total_amount`").cast("double").alias("total_amount"),
     )
+
+
+# --- files written from the tables, read back by the readers ------------------------------------
+
+
+def _folder(spark, name):
+    return f"{checkpoint_dir(spark)}/paperloom-files-{name}-{uuid.uuid4().hex}"
+
+
+def _key(column="path"):
+    return F.regexp_extract(column, "key=([0-9]+)", 1).cast("bigint").alias("key")
+
+
+def _text_files(spark, sf_dir):
+    """A folder with one text file per supplier; every seventh is not UTF-8."""
+    k = F.col("s_suppkey")
+    text = F.concat(F.lit("Supplier "), F.col("s_name"), F.lit("\nBalance "), k.cast("string"))
+    raw = F.when(k % 7 == 0, F.concat(F.unhex(F.lit("C328")), text.cast("binary"))).otherwise(text.cast("binary"))
+    folder = _folder(spark, "text")
+    rows = inputs.table(spark, sf_dir, "supplier").select(k.alias("key"), raw.cast("string").alias("value"))
+    rows.write.partitionBy("key").text(folder)
+    return folder
+
+
+SUPPLIER_TEXT = {
+    "texts": """
+SELECT s_suppkey AS key, 'Supplier ' || s_name || chr(10) || 'Balance ' || s_suppkey || chr(10) AS text, s_suppkey % 7 = 0 AS broken FROM supplier"""
+}
+
+
+@query(
+    "corpus_files",
+    oracle("SELECT key, octet_length(encode(text)) + CASE WHEN broken THEN 2 ELSE 0 END AS length FROM texts", extra=SUPPLIER_TEXT),
+)
+def corpus_files(spark, sf_dir):
+    """A recursive scan of a folder by pattern."""
+    return corpus.read_corpus(spark, _text_files(spark, sf_dir), ["*.txt"]).select(_key(), "length")
+
+
+@query(
+    "text_files",
+    oracle(
+        """
+SELECT key, CASE WHEN broken THEN '' ELSE text END AS text, CASE WHEN broken THEN 'invalid UTF-8' END AS error FROM texts""",
+        extra=SUPPLIER_TEXT,
+    ),
+)
+def text_files(spark, sf_dir):
+    return corpus.read_text_docs(spark, _text_files(spark, sf_dir)).select(_key(), "text", "error")
+
+
+@query(
+    "watched_files",
+    oracle("SELECT key, octet_length(encode(text)) + CASE WHEN broken THEN 2 ELSE 0 END AS length FROM texts", extra=SUPPLIER_TEXT),
+)
+def watched_files(spark, sf_dir):
+    """The same folder as a stream of arriving files."""
+    stream = corpus.stream_corpus(spark, _text_files(spark, sf_dir), ["*.txt"]).select("path", "length")
+    base = _folder(spark, "watch")
+    return jobs.run_available(stream, f"{base}/out", f"{base}/state").select(_key(), "length")
+
+
+@query(
+    "json_files",
+    oracle(
+        """
+SELECT s_suppkey AS key, CASE WHEN s_suppkey % 7 <> 0 THEN s_name END AS name,
+       CASE WHEN s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0 THEN s_suppkey END AS number,
+       CASE WHEN s_suppkey % 7 = 0 THEN 'not valid JSON' WHEN s_suppkey % 5 = 0 THEN 'does not fit the schema' END AS error FROM supplier"""
+    ),
+)
+def json_files(spark, sf_dir):
+    """One JSON file per supplier; some are cut off, some have text where a number belongs."""
+    k = F.col("s_suppkey")
+    number = F.when(k % 5 == 0, F.lit('"many"')).otherwise(k.cast("string"))
+    whole = F.concat(F.lit('{"name": "'), F.col("s_name"), F.lit('", "number": '), number, F.lit("}"))
+    rows = inputs.table(spark, sf_dir, "supplier").select(
+        k.alias("key"), F.when(k % 7 == 0, F.substr(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole).alias("value")
+    )
+    folder = _folder(spark, "json")
+    rows.write.partitionBy("key").text(folder)
+    docs = corpus.read_json_docs(spark, folder, "name STRING, number BIGINT", ["*.txt"])
+    return docs.select(_key(), "data.name", "data.number", "error")
+
+
+@query("csv_files", oracle("SELECT s_suppkey AS k, s_name || ', \"Ltd\"' AS name, s_nationkey AS nation FROM supplier"))
+def csv_files(spark, sf_dir):
+    """One CSV folder per nation, with quotes and commas inside values."""
+    folder = _folder(spark, "csv")
+    rows = inputs.table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("k"), F.concat("s_name", F.lit(', "Ltd"')).alias("name"), F.col("s_nationkey").alias("key")
+    )
+    rows.write.partitionBy("key").option("header", "true").option("escape", '"').csv(folder)
+    docs = corpus.read_csv_docs(spark, folder, "k BIGINT, name STRING", escape='"')
+    return docs.select("k", "name", _key().alias("nation"))
+
+
+@query("xml_files", oracle("SELECT s_suppkey AS k, s_name AS name, s_acctbal AS balance FROM supplier"))
+def xml_files(spark, sf_dir):
+    folder = _folder(spark, "xml")
+    rows = inputs.table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")
+    )
+    rows.write.option("rowTag", "supplier").option("rootTag", "suppliers").xml(folder)
+    return corpus.read_xml_docs(spark, folder, "supplier", "k BIGINT, name STRING, balance DOUBLE").select("k", "name", "balance")
+
+
+@query(
+    "written_results",
+    oracle(
+        """
+SELECT path, 'invoice' AS document_type, vendor, CAST(total_amount AS DOUBLE) AS total_amount FROM inv""",
+        "inv",
+    ),
+)
+def written_results(spark, sf_dir):
+    """Results written as JSON, read back as typed tables; as flat CSV, with the same rows."""
+    docs = inputs.invoices(spark, sf_dir).select("document_type", F.col("path").alias("document_path"), "metadata", "vendor", "financial")
+    folder, flat = _folder(spark, "results"), _folder(spark, "flat")
+    results.write_results(docs, folder)
+    results.write_results(docs, flat, "csv")
+    back = results.read_results(spark, folder).select("document_type", "invoice.*").drop("document_type")
+    lines = spark.read.option("header", "true").csv(flat).select(F.col("document_path").alias("path"), "document_type")
+    typed = back.select(F.col("document_path").alias("path"), F.col("vendor.name").alias("vendor"), F.col("financial.total_amount").cast("double").alias("total_amount"))
+    return lines.join(typed, "path").select("path", "document_type", "vendor", "total_amount")

@@ -158,6 +158,27 @@ def schema_violations(spark, sf_dir):
     return _report_columns(validate.validate_schema(_json_documents(spark, sf_dir), "agreement"), "path")
 
 
+@query(
+    "schema_compliance",
+    oracle(
+        """
+SELECT "group", grouping("group") = 1 AS is_total, count(*) AS documents,
+       count(*) FILTER (ok) AS compliant, round(avg(ok::INT), 6) AS schema_compliance
+FROM (SELECT CASE WHEN ord % 2 = 0 THEN 'even' ELSE 'odd' END AS "group",
+             NOT (ord % 11 = 0 OR ord % 13 = 0 OR (ord % 11 <> 0 AND ord % 5 <> 0 AND agreement_type IS NULL) OR ord % 4 = 0
+                       OR ord % 3 = 0 OR (ord % 11 <> 0 AND ord % 5 = 0) OR (ord % 11 <> 0 AND ord % 7 = 0) OR single_party) AS ok FROM agr)
+GROUP BY ROLLUP ("group")""",
+        "agr",
+    ),
+)
+def schema_compliance(spark, sf_dir):
+    checked = validate.validate_schema(_json_documents(spark, sf_dir), "agreement")
+    docs = checked.join(inputs.agreements(spark, sf_dir).select("path", (F.col("ord") % 2 == 0).alias("even")), "path")
+    named = docs.withColumn("parity", F.when(F.col("even"), "even").otherwise("odd"))
+    out = scoring.schema_compliance(named, "parity")
+    return out.withColumn("schema_compliance", F.round("schema_compliance", 6))
+
+
 @query(
     "combined_types",
     oracle(
@@ -363,17 +384,17 @@ def quality_score(spark, sf_dir):
     "field_confidence",
     oracle(
         """
-SELECT doc_id, round((2 * max(CASE WHEN field = 'number' THEN confidence END) +
+SELECT doc_id, attempt, round((2 * max(CASE WHEN field = 'number' THEN confidence END) +
                       max(CASE WHEN field = 'vendor' THEN confidence END) +
                       max(CASE WHEN field = 'total' THEN confidence END)) / 4, 6) AS confidence
-FROM attempt_fields WHERE attempt = 1 GROUP BY doc_id""",
+FROM attempt_fields GROUP BY doc_id, attempt""",
         "attempt_fields",
     ),
 )
 def field_confidence(spark, sf_dir):
-    first = inputs.attempt_fields(spark, sf_dir).filter("attempt = 1")
-    maps = first.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "confidence"))).alias("m"))
-    return maps.select("doc_id", F.round(scoring.confidence(F.col("m"), {"number": 2.0}), 6).alias("confidence"))
+    fields = inputs.attempt_fields(spark, sf_dir)
+    maps = fields.groupBy("doc_id", "attempt").agg(F.map_from_entries(F.collect_list(F.struct("field", "confidence"))).alias("m"))
+    return maps.select("doc_id", "attempt", F.round(scoring.confidence(F.col("m"), {"number": 2.0}), 6).alias("confidence"))
 
 
 @query(
