@@ -142,7 +142,7 @@ def documents_of(blocks: DataFrame) -> DataFrame:
     stitched = blocks.withColumns(
         {
             "_done": F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)),
-            "_last": F.coalesce(F.max(F.element_at("ends", -1)).over(before), F.lit(-1)),
+            "_last": F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(before), F.lit(-1)),
         }
     ).filter(F.size("ends") > 0)
     starts = F.concat(F.array(F.col("_last") + 1), F.transform(F.slice("ends", 1, F.size("ends") - 1), lambda e: e + 1))
