@@ -366,9 +366,9 @@ def link_reference(
     found = F.regexp_extract_all(F.col(text), F.lit(REFERENCE_CANDIDATE), F.lit(0))
     ids = F.array_distinct(F.filter(found, lambda m: m.rlike(REFERENCE_START)))
     mentions = df.select("ord", "path", F.explode(ids).alias("group_key"), F.col(own_id).alias("_own"))
-    holders = _side_stats(df.filter(F.col(own_id).isNotNull()).withColumnRenamed(own_id, "group_key"), "holder")
-    sized = holders.join(mentions.groupBy("group_key").agg(F.count(F.lit(1)).alias("n")), "group_key")
-    joined = join_groups(mentions, sized, ["group_key"], F.col("ord"), hot_rows=hot_rows)
+    own = df.select("ord", "path", F.col(own_id).alias("group_key")).filter(F.col("group_key").isNotNull())
+    holders = _side_stats(own, "holder")
+    joined = join_skewed(mentions, holders, ["group_key"], F.col("ord"), hot_rows=hot_rows)
     holds_it = F.coalesce(F.col("_own") == F.col("group_key"), F.lit(False))
     others = F.col("n_holder") - holds_it.cast("bigint")
     target = F.when(F.col("first_holder.ord") == F.col("ord"), F.col("last_holder.path")).otherwise(

@@ -18,6 +18,10 @@ DEFAULTS = {
 }
 
 
+#: Folders that `cut` wrote, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def get_session(app: str = "paperloom", master: str | None = None, **conf: str) -> SparkSession:
     """Build (or fetch) a session with the library defaults; dots in conf names are written `__`."""
     builder = SparkSession.builder.appName(app)
@@ -53,16 +57,30 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/paperloom-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_cut(df: DataFrame) -> None:
     """Delete a table that `cut` wrote, once no later step reads it."""
-    sc = df.sparkSession.sparkContext
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if not folder.rsplit("/", 1)[-1].startswith("paperloom-"):
             raise ValueError(f"not a table written by cut: {folder}")
-        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-        with contextlib.suppress(Exception):  # left to the clean-up of the shared folder
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete all tables that `cut` wrote in this application; call it once no result of it is read any
+    more. Returns how many there were."""
+    written = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for folder in written:
+        _delete(spark, folder)
+    return len(written)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    with contextlib.suppress(Exception):  # left to the clean-up of the shared folder
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

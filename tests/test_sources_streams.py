@@ -146,3 +146,19 @@ def test_decompose_feeds_from_a_corpus_scan(spark, tmp_path):
         zf.writestr("a.txt", "1")
     got = containers.decompose(corpus.read_corpus(spark, str(tmp_path), ["*.zip"]))
     assert [r["path"].split("/")[-1] for r in got["documents"].collect()] == ["a.txt"]
+
+
+def test_written_tables_can_be_removed(spark):
+    import os
+
+    from paperloom.session import clean_up, cut, drop_cut
+
+    df = cut(spark.range(3))
+    folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert os.path.isdir(folder) and df.count() == 3
+    drop_cut(df)
+    assert not os.path.exists(folder)
+    cut(spark.range(3))
+    assert clean_up(spark) >= 2 and clean_up(spark) == 0
+    with pytest.raises(ValueError, match="not a table written by cut"):
+        drop_cut(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
