@@ -5,12 +5,14 @@ import hashlib
 import zlib
 from collections import defaultdict
 
+import duckdb
 import public_tokenizers
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from paperloom.llm.queries import ORACLES, QUERIES
+from workload.check import TABLES, rows
 from tests.llm import test_fingerprints, test_lsh_forest, test_suffix_dedup, test_thresholds
 
 
@@ -43,6 +45,16 @@ def test_all_ten_are_registered():
     assert set(ORACLES) <= set(QUERIES)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql_twins(spark, sf, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = QUERIES[name](spark, sf)
+    cur = con.execute(ORACLES[name])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([d[0] for d in cur.description], cur.fetchall())
+
+
 def test_op2(spark, sf, docs):
     got = {r["doc_id"]: r for r in run(spark, sf, "op2_bucket_pointers")}
     for key, n, spans, kept in test_suffix_dedup.brute_force(docs):
