@@ -68,7 +68,7 @@ def sketch(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 sizes, sets, regions, low = [], [], [], []
                 for shingles in shingle_sets(batch.column("text")):
                     sizes.append(len(shingles))
@@ -271,15 +271,23 @@ def _tree_blocks(members: DataFrame, block_rows: int) -> DataFrame:
     return ordered.select("cluster", "node").mapInArrow(run, f"node {kind}, block string")
 
 
-def _likely(docs: DataFrame, key: str, members: DataFrame) -> DataFrame:
-    """Rows of `docs` whose key's hash is set in a bitmap of the members' keys: all members, and few others
-    while the bitmap is sparse. The bitmap is BITMAP_WORDS rows of 64 bits at most, which is why it can
-    be broadcast at any size of the corpus; a full one keeps all rows and is still right."""
+_WORD, _BITS, _MARK = "__near_word", "__near_bits", "__near_mark"
+
+
+def _marked(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """`docs` with a column _MARK: true for all rows whose key is in `ids` (one column), and for few others.
+
+    The ids go into a bitmap by their hash. It has BITMAP_WORDS rows of 64 bits at most, which is why it
+    can be broadcast at any size of the corpus. While it is sparse it tells most rows apart without a
+    shuffle; a full one marks all rows and is still right. Null keys are not marked.
+    """
     word = lambda k: F.pmod(F.shiftright(F.xxhash64(k), 6), F.lit(BITMAP_WORDS))
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(k), F.lit(64)).cast("int"))
-    bitmap = members.groupBy(word("node").alias("_word")).agg(F.bit_or(bit("node")).alias("_bits"))
-    there = F.col("_bits").bitwiseAND(bit(key)) != 0
-    return docs.withColumn("_word", word(key)).join(F.broadcast(bitmap), "_word").filter(there).drop("_word", "_bits")
+    own = F.col(ids.columns[0])
+    bitmap = ids.groupBy(word(own).alias(_WORD)).agg(F.bit_or(bit(own)).alias(_BITS))
+    there = F.col(key).isNotNull() & (F.coalesce(F.col(_BITS).bitwiseAND(bit(F.col(key))), F.lit(0)) != 0)
+    joined = docs.withColumn(_WORD, word(F.col(key))).join(F.broadcast(bitmap), _WORD, "left")
+    return joined.withColumn(_MARK, there).drop(_WORD, _BITS)
 
 
 def near_duplicates(
@@ -330,7 +338,8 @@ def near_duplicates(
     buckets = parts_for((total[0] or 0) * (TREES if oversize else 1), BUCKET_SHINGLES, 64)
     rows = docs.select(F.col(key).alias("node"), F.col(text).alias("text"))
     texts = (
-        _likely(rows, "node", members.select(F.col("key").alias("node")))
+        _marked(rows, "node", members.select("key"))
+        .filter(_MARK)
         .join(blocks, "node")
         .withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)))
     )
@@ -368,10 +377,15 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component the document of the least key stays.
 
-    Of rows that repeat a key one stays. Rows with a null key cannot be told apart and all stay.
+    Of rows that repeat a key one stays. Rows with a null key cannot be told apart and all stay. Only
+    rows that a bitmap of the dropped keys marks are joined with these; the others stay where they are.
     """
-    judged = settle(near_duplicates(docs, key, text, percent).filter("kept").groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
-    kept = docs.join(judged.select(key), key, "left_semi")
-    if (judged.agg(F.max("_n")).first()[0] or 1) > 1:
-        kept = kept.dropDuplicates([key])
-    return kept.select(docs.columns).unionByName(docs.filter(F.col(key).isNull()))
+    judged = settle(near_duplicates(docs, key, text, percent).select(F.col(key).alias("_id"), "kept").filter("_id IS NOT NULL"))
+    dropped = judged.filter(~F.col("kept")).select("_id").distinct()
+    marked = _marked(docs, key, dropped)
+    unsure = marked.filter(_MARK).join(dropped, F.col(key) == F.col("_id"), "left_anti")
+    kept = marked.filter(~F.col(_MARK)).unionByName(unsure).select(docs.columns)
+    repeated = judged.filter("kept").groupBy("_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.filter(F.col(key).isNull()))
