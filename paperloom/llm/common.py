@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from paperloom.session import cut
 
@@ -32,6 +33,14 @@ def settle(df: DataFrame) -> DataFrame:
         conf.set(_CLEAN, before)
 
 
+def give_back() -> None:
+    """Return memory that this worker no longer uses. Called at the start of a group: workers live on
+    through later groups and stages, and two of them share an executor with its JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column in one array, and its n + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -68,14 +77,5 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def whole_bytes(df: DataFrame, text: str) -> int:
-    """Bytes of a text column over all rows: sizes partitions and buckets to the data."""
-    return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-
-
 def parts_for(size: int, each: int, least: int = 1) -> int:
     return max(least, -(-size // each))
-
-
-def nonnull_text(text: str) -> Column:
-    return F.coalesce(F.col(text), F.lit(""))

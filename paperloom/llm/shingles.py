@@ -22,7 +22,7 @@ _POWERS: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         grown = []
         for base in (_FACTOR, _INVERSE):
             p = np.full(size, np.uint64(base), np.uint64)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from paperloom.llm.common import mix, parts_for, settle, slices, text_bytes
+from paperloom.llm.common import give_back, mix, parts_for, settle, slices, text_bytes
 from paperloom.llm.shingles import _BYTE, _powers
 from paperloom.session import drop_cut
 
@@ -41,7 +41,7 @@ CHUNK_BYTES = 8 << 20
 SEGMENT = 1 << 18
 #: Buckets that a counting task holds, and bytes of text that a refining task holds, at a time.
 BUCKETS_EACH = 1 << 19
-CONTEXT_BYTES_EACH = 4 << 20
+CONTEXT_BYTES_EACH = 2 << 20
 #: Buckets with more occurrences are dealt out string by string.
 HOT = 4096
 NUMBER_BYTES = 5
@@ -248,6 +248,7 @@ def shared_buckets(chunks: DataFrame, length: int, buckets: int, hot: int) -> Da
                 )
 
     def count(table: pa.Table) -> pa.Table:
+        give_back()
         lists = [_long(x.as_py()) for x in table.column("numbers")]
         number = np.concatenate(lists)
         times = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in table.column("times")])
@@ -311,6 +312,7 @@ def contexts(chunks: DataFrame, shared: DataFrame, length: int, buckets: int, ta
     """Rows (task, chunk, n, meta, data): stretches of text to refine, or (data null) repeats found here."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         out: dict[str, list] = {"task": [], "chunk": [], "n": [], "meta": [], "data": []}
         for row in _rows(left):
             flat, offsets, ranks = _opened(row)
@@ -381,15 +383,27 @@ def contexts(chunks: DataFrame, shared: DataFrame, length: int, buckets: int, ta
     )
 
 
+def _identifiers(text: np.ndarray, start: np.ndarray, offsets: list[int]) -> np.ndarray:
+    """Bucket of the q-gram at each offset (rows) of each string (columns); strings are in order of place."""
+    out = np.empty((len(offsets), len(start)), np.uint64)
+    for begin in range(0, len(text), SEGMENT):
+        a, b = np.searchsorted(start, (begin, begin + SEGMENT))
+        if a < b:
+            hashes = Bytes(text[begin : begin + SEGMENT + offsets[-1] + Q])
+            for row, offset in zip(out, offsets, strict=True):
+                row[a:b] = hashes.at(start[a:b] - begin + offset, Q)
+    return out
+
+
 def refine(text: np.ndarray, start: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
-    """Which of the strings at `start` also occur with a smaller rank: sort by bucket pointers of the
-    q-grams at later and later offsets."""
-    hashes = Bytes(text)
+    """Which of the strings at `start` (ascending) also occur with a smaller rank: sort by bucket pointers
+    and the buckets of the q-grams at later and later offsets."""
     offsets = [*range(0, length - Q, Q - Q // 4), length - Q]
+    buckets = _identifiers(text, start, offsets)
     left = np.arange(len(start))
     pointer = np.zeros(len(start), np.uint64)
-    for offset in offsets:
-        pointer = mix(pointer ^ hashes.at(start[left] + offset, Q))
+    for offset, bucket in zip(offsets, buckets, strict=True):
+        pointer = mix(pointer ^ bucket[left])
         order = np.argsort(pointer, kind="stable")
         left, pointer = left[order], pointer[order]
         head = np.flatnonzero(np.concatenate([[True], pointer[1:] != pointer[:-1]])) if len(left) else left
@@ -410,6 +424,7 @@ def repeats(sent: DataFrame, length: int) -> DataFrame:
     """Rows (chunk, n, runs): repeated stretches of a chunk's documents."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         out: dict[str, list] = {"chunk": [], "n": [], "runs": []}
         chunk, doc, rank, place, size, data = [], [], [], [], [], []
         for row in _rows(table):
@@ -499,6 +514,7 @@ def _cut(
     kinds = {f.name: f.dataType.simpleString() for f in docs.select(*carry).schema}
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         tables = []
         for row in _rows(left):
             flat, offsets, _ = _opened(row)
