@@ -1,9 +1,10 @@
 """Quality rules whose cutoffs are chosen on labelled documents with a bounded risk.
 
 Every rule has a statistic (larger is worse) and a grid of cutoffs. Documents labelled clean are the
-holdout. Per stratum and rule the strictest cutoff is taken for which an exact binomial test rejects
-"more than `risk / rules` of the clean documents lie above it". The level of each test is `level`
-divided by the number of all tests (strata x rules x cutoffs), so with probability 1 - level no stratum
+holdout. Per stratum and rule the cutoffs are tested from the laxest to the strictest; an exact binomial
+test must reject "more than `risk / rules` of the clean documents lie above it", and the first failure
+ends the sequence. Tests in a fixed sequence need no correction among themselves; the level of each is
+`level` divided by the number of sequences (strata x rules), so with probability 1 - level no stratum
 loses more than `risk` of its clean documents to the rules together. Where labels are too few to show
 that, a rule rejects nothing.
 """
@@ -102,7 +103,7 @@ def document_statistics(docs: DataFrame, key: str, text: str, stratum: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 found = [text_statistics(t or "") for t in batch.column("text").to_pylist()]
                 columns = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -151,7 +152,7 @@ def exceeds(rule: QualityRule, cutoff: Column | int) -> Column:
 
 
 def choose_cutoffs(
-    labelled: DataFrame, rules: Sequence[QualityRule] = RULES, risk: float = 0.01, level: float = 0.05
+    labelled: DataFrame, rules: Sequence[QualityRule] = RULES, risk: float = 0.02, level: float = 0.05
 ) -> dict[str, dict[str, int]]:
     """Cutoff per stratum and rule from clean documents (rows with `_stratum` and the statistics).
 
@@ -164,14 +165,15 @@ def choose_cutoffs(
         *[F.count_if(exceeds(r, c)).alias(names[r.name, c]) for r in rules for c in r.cutoffs],
     )
     rows = counts.collect()
-    tests = max(1, len(rows) * len(names))
+    sequences = max(1, len(rows) * len(rules))
     chosen: dict[str, dict[str, int]] = {}
     for row in rows:
         for rule in rules:
-            for cutoff in sorted(rule.cutoffs):
-                if certified(row[names[rule.name, cutoff]], row["clean"], risk / len(rules), level / tests):
-                    chosen.setdefault(row["_stratum"], {})[rule.name] = cutoff
+            for cutoff in sorted(rule.cutoffs, reverse=True):
+                above = row[names[rule.name, cutoff]]
+                if not certified(above, row["clean"], risk / len(rules), level / sequences):
                     break
+                chosen.setdefault(row["_stratum"], {})[rule.name] = cutoff
     return chosen
 
 
@@ -214,7 +216,7 @@ def judge_quality(
     text: str = "text",
     stratum: str = "lang",
     rules: Sequence[QualityRule] = RULES,
-    risk: float = 0.01,
+    risk: float = 0.02,
     level: float = 0.05,
 ) -> DataFrame:
     """One row per row of `docs`: key, statistics, base_failed, rejected_by (rule names), kept.
@@ -248,7 +250,7 @@ def keep_good(
     text: str = "text",
     stratum: str = "lang",
     rules: Sequence[QualityRule] = RULES,
-    risk: float = 0.01,
+    risk: float = 0.02,
     level: float = 0.05,
 ) -> DataFrame:
     """The rows and columns of `docs` that `judge_quality` keeps.
@@ -272,7 +274,7 @@ def keep_good(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text, 8 << 20):
+            for batch in slices(whole, text, 2 << 20):
                 groups = batch.column(by).cast(pa.string()).to_pylist()
                 texts = batch.column(at).to_pylist()
                 mask = [good(text_statistics(t or ""), g) for t, g in zip(texts, groups, strict=True)]

@@ -119,3 +119,21 @@ def test_conflicting_labels_are_not_clean(spark, conflict):
     labels = spark.createDataFrame([(7, 1, 0), conflict], LABELS)
     chosen, largest = T.certified_cutoffs(stats, labels, "doc_id", T.RULES, 0.01, 0.05)
     assert chosen == {} and largest == []
+
+
+def test_no_stratum_loses_more_than_its_risk():
+    """Simulated holdouts of rules that hardly tell clean from bad: the chosen cutoffs rarely cost more than
+    the risk in truth, and cutoffs beyond the first failure are not taken."""
+    rng = random.Random(10)
+    grid, n, risk, level = [10, 20, 30, 40], 1500, 0.04, 0.1
+    truth = {40: 0.001, 30: 0.005, 20: 0.011, 10: 0.0}  # 10 would pass, but lies behind 20
+    wrong = 0
+    for _ in range(300):
+        seen = {c: sum(rng.random() < p for _ in range(n)) for c, p in truth.items()}
+        chosen = None
+        for cutoff in sorted(grid, reverse=True):
+            if not certified(seen[cutoff], n, risk / 4, level / 4):
+                break
+            chosen = cutoff
+        wrong += chosen in (10, 20)
+    assert wrong / 300 < level / 4 + 0.03
