@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from paperloom.llm.fingerprints import BINS, LOW_BITS, fingerprint, fingerprint_edits, likeness
@@ -23,7 +24,8 @@ def jaccard(a, b):
 def check(spark, rows):
     df = spark.createDataFrame([(k, t, "x", "x", "x", "x") for k, t in rows], SCHEMA).repartition(5)
     got = fingerprint_edits(df).collect()
-    docs = sorted({(k, t or "") for k, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0))
+    signed = lambda t: (xxhash.xxh64(t.encode(), seed=42).intdigest() + 2**63) % 2**64
+    docs = sorted({(k, t or "") for k, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
     assert len(got) == len(docs)
     by = {(r["doc_id"], r["n_chars"]): r for r in got}
     prints = {}
