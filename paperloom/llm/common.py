@@ -34,8 +34,8 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def give_back() -> None:
-    """Return memory that this worker no longer uses. Called at the start of a group: workers live on
-    through later groups and stages, and two of them share an executor with its JVM."""
+    """Return memory that this worker no longer uses. Called at the start of a batch or group: workers live
+    on through later ones and later stages, and two of them share an executor with its JVM."""
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from paperloom.llm.common import mix, parts_for, settle, slices
+from paperloom.llm.common import give_back, mix, parts_for, settle, slices
 from paperloom.llm.shingles import shingle_sets
 from paperloom.operators.graph import connected
 
@@ -68,6 +68,7 @@ def sketch(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            give_back()
             for batch in slices(whole, "text", 1 << 20):
                 sizes, sets, regions, low = [], [], [], []
                 for shingles in shingle_sets(batch.column("text")):
@@ -232,6 +233,7 @@ def confirm(texts: DataFrame, percent: int) -> DataFrame:
     """Rows (node, root) from (bucket, block, node, text): links inside each block, as a star."""
 
     def run(batch: pa.Table) -> pa.Table:
+        give_back()
         order = batch.sort_by([("block", "ascending"), ("node", "ascending")]).combine_chunks()
         blocks, nodes = order.column("block").to_pylist(), order.column("node").to_pylist()
         column, out_node, out_root, begin = order.column("text"), [], [], 0

@@ -183,6 +183,7 @@ def text_chunks(docs: DataFrame, key: str, text: str, carry: list[str]) -> DataF
             return row
 
         for whole in batches:
+            give_back()
             for batch in slices(whole, "_text", CHUNK_BYTES // 4):
                 held.append(batch)
                 size += len(text_bytes(batch.column("_text"))[0])

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paperloom.llm.common import settle, slices
+from paperloom.llm.common import give_back, settle, slices
 
 _WORDS = re.compile("[^\x20\x09-\x0d]+").findall
 _WORD_IN = re.compile("[^\x20\x09-\x0d]").search
@@ -103,6 +103,7 @@ def document_statistics(docs: DataFrame, key: str, text: str, stratum: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            give_back()
             for batch in slices(whole, "text", 2 << 20):
                 found = [text_statistics(t or "") for t in batch.column("text").to_pylist()]
                 columns = zip(*found, strict=True)
@@ -274,6 +275,7 @@ def keep_good(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            give_back()
             for batch in slices(whole, text, 2 << 20):
                 groups = batch.column(by).cast(pa.string()).to_pylist()
                 texts = batch.column(at).to_pylist()
