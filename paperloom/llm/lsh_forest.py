@@ -4,15 +4,16 @@
    and, per tree, a key of the tree's first levels (`depth` functions, whole hashes). Equal sets go on
    as one.
 2. Forest. A tree is an order of all signatures: by its key, then by the signature's other bytes in the
-   tree's own rotation. Neighbours with the longest common prefix are candidates. A region is a run of
-   equal keys; where a region is dense (more than REGION rows) it is cut where neighbours have the
-   shortest common prefix, so the depth adapts to the region. Range partitioning by the whole order
-   spreads a dense region over tasks. Inside a region, rows whose signatures agree well enough are
-   joined; only a spanning star of each joined set leaves the task.
+   tree's own rotation. A region is a run of equal keys. Inside a region, rows whose signatures agree well
+   enough are joined; only a spanning star of each joined set leaves the task. All rows of a dense region
+   (more than REGION rows) are joined as they are. Range partitioning by the whole order spreads a dense
+   region over tasks; the parts of a region that lies over several tasks are joined by its key.
 3. Clusters. Connected candidates are a cluster, almost always a few documents.
 4. Confirmation. Each text of a cluster is shipped once to its cluster, and links are confirmed on full
-   shingle sets, whole cluster at a time. A cluster above CLUSTER_SHINGLES is dealt out in blocks along
-   every tree's order instead, and the blocks' links are joined.
+   shingle sets, whole cluster at a time. A cluster above CLUSTER_SHINGLES is confirmed in two passes: in
+   blocks along every tree's order, which joins most of what belongs together, and then in all pairs of
+   blocks that can hold a link between texts not joined yet. So each pair of a cluster is compared or
+   joined already, at any size of the cluster.
 
 How likely a link is to be missed by all trees follows from `depth`: (1 - s ** depth) ** TREES for
 similarity s, chosen to be below 1 in 50,000 at the threshold and vanishing above it.
@@ -143,47 +144,54 @@ def _region_edges(nodes: list, bits: np.ndarray, least: float) -> tuple[list, li
     return [a for a, _ in pairs], [b for _, b in pairs]
 
 
-def _shallowest(paths: np.ndarray) -> int:
-    """Where to cut a dense region: before the row in its second half that shares least with the row before."""
-    half = len(paths) // 2
-    differs = paths[half:] != paths[half - 1 : -1]
-    common = np.where(differs.any(1), differs.argmax(1), paths.shape[1])
-    return half + int(common.argmin())
-
-
 def candidate_edges(forest: DataFrame, agreeing: float, region_rows: int = REGION) -> DataFrame:
-    """Edges (source, target) between neighbours of the sorted order `forest` (from `in_tree_order`)."""
+    """Edges (source, target) between rows of one region of the sorted order `forest` (from `in_tree_order`).
+
+    A region of more than `region_rows` rows, and one that may go on in another task, is joined whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes: list = []
         regions, paths = np.zeros(0, np.int64), np.zeros((0, HASHES), np.uint8)
         trees = np.zeros(0, np.int64)
         kind = None
+        dense = None  # (region, first node) while the rows at hand go on with a region that is joined whole
+        first = True
 
         def regions_of(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal nodes, regions, paths, trees
-            sources, targets = [], []
-
-            def join(begin: int, end: int) -> None:
-                if end - begin > 1:
-                    bits = _turned_back(paths[begin:end], trees[begin:end])
-                    a, b = _region_edges(nodes[begin:end], bits, agreeing)
-                    sources.extend(a)
-                    targets.extend(b)
-
+            nonlocal nodes, regions, paths, trees, dense, first
+            sources, targets, shared = [], [], []
             begin = 0
             for end in [*(np.flatnonzero(regions[1:] != regions[:-1]) + 1).tolist(), len(nodes)]:
-                while end - begin > region_rows:
-                    cut = begin + _shallowest(paths[begin : begin + region_rows])
-                    join(begin, cut)
-                    begin = cut
-                if end == len(nodes) and not last:
+                if begin == end:
+                    break
+                region, at_end = int(regions[begin]), end == len(nodes)
+                if dense is not None and dense[0] != region:
+                    dense = None
+                if at_end and not last and dense is None and not first and end - begin <= region_rows:
                     break  # the region may go on
-                join(begin, end)
+                if dense is None and (first or at_end or end - begin > region_rows):
+                    dense = region, nodes[begin]
+                    if first or at_end:  # other tasks may hold more of it
+                        sources.append(nodes[begin]), targets.append(None), shared.append(region)
+                if dense is not None:
+                    more = [n for n in nodes[begin:end] if n != dense[1]]
+                    a, b = more, [dense[1]] * len(more)
+                elif end - begin > 1:
+                    a, b = _region_edges(nodes[begin:end], _turned_back(paths[begin:end], trees[begin:end]), agreeing)
+                else:
+                    a, b = [], []
+                sources.extend(a)
+                targets.extend(b)
+                shared.extend([None] * len(a))
+                first = False
                 begin = end
             nodes, regions, paths, trees = nodes[begin:], regions[begin:], paths[begin:], trees[begin:]
             if sources:
-                yield pa.RecordBatch.from_arrays([pa.array(sources, kind), pa.array(targets, kind)], ["source", "target"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sources, kind), pa.array(targets, kind), pa.array(shared, pa.int64())],
+                    ["source", "target", "region"],
+                )
 
         for batch in batches:
             kind = batch.column("node").type
@@ -197,33 +205,57 @@ def candidate_edges(forest: DataFrame, agreeing: float, region_rows: int = REGIO
 
     kind = forest.schema["node"].dataType.simpleString()
     rows = forest.select("node", "region", "path", F.col("_tree").cast("long").alias("_tree"))
-    return rows.mapInArrow(run, f"source {kind}, target {kind}")
+    edges = settle(rows.mapInArrow(run, f"source {kind}, target {kind}, region long"))
+    parts = edges.filter(F.col("region").isNotNull()).select("region", "source")
+    least = parts.groupBy("region").agg(F.min("source").alias("target"))
+    over_tasks = parts.join(least, "region").filter(F.col("source") != F.col("target")).select("source", "target")
+    return edges.filter(F.col("region").isNull()).select("source", "target").unionByName(over_tasks)
 
 
 def _confirmed(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """First member of each one's connected set, by exact similarity of shingle sets."""
+    """First member of each one's connected set, by exact similarity of shingle sets.
+
+    Shingles are put in order of rarity. Two sets at the threshold share one of the rarest of either: of the
+    larger, n, the first n - r + 1 for r the least overlap with any set; of the smaller, likewise with any
+    set of its size or more. Only sets that do are compared in full.
+    """
     sizes = np.array([len(s) for s in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    marked = np.zeros(ids.max() + 1, bool)
-
-    def related(i: int, others: np.ndarray) -> np.ndarray:
-        near = (sizes[others] * 100 >= percent * sizes[i]) & (sizes[i] * 100 >= percent * sizes[others])
-        out = np.zeros(len(others), bool)
-        asked = others[near]
-        if not len(asked):
-            return out
-        own = ids[starts[i] : starts[i] + sizes[i]]
+    _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rarity = np.empty(len(often), np.int64)
+    rarity[np.argsort(often, kind="stable")] = np.arange(len(often))
+    ids = rarity[ids]
+    for a, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+        ids[a : a + n].sort()
+    as_larger = sizes + (-percent * sizes) // 100 + 1
+    as_smaller = sizes + (-2 * percent * sizes) // (100 + percent) + 1
+    marked = np.zeros(len(often), bool)
+
+    def common(own: np.ndarray, others: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """How many of the first `counts` shingles of each other set are in `own`."""
+        if not len(others):
+            return np.zeros(0, np.int64)
         marked[own] = True
-        if len(asked) < 8:
-            common = np.array([marked[ids[starts[j] : starts[j] + sizes[j]]].sum() for j in asked])
+        if len(others) < 8:
+            found = np.array([marked[ids[a : a + n]].sum() for a, n in zip(starts[others], counts, strict=True)])
         else:
-            n = sizes[asked]
-            ends = np.cumsum(n)
-            places = np.arange(ends[-1]) + np.repeat(starts[asked] - (ends - n), n)
-            common = np.add.reduceat(marked[ids[places]], ends - n, dtype=np.int64)
+            ends = np.cumsum(counts)
+            places = np.arange(ends[-1]) + np.repeat(starts[others] - (ends - counts), counts)
+            found = np.add.reduceat(marked[ids[places]], ends - counts, dtype=np.int64)
         marked[own] = False
-        out[near] = 100 * common >= percent * (sizes[i] + sizes[asked] - common)
+        return found
+
+    def related(i: int, others: np.ndarray) -> np.ndarray:
+        n, own = sizes[i], ids[starts[i] : starts[i] + sizes[i]]
+        out = np.zeros(len(others), bool)
+        smaller = np.flatnonzero((sizes[others] <= n) & (sizes[others] * 100 >= percent * n))
+        larger = np.flatnonzero((sizes[others] > n) & (n * 100 >= percent * sizes[others]))
+        hit = common(own[: as_larger[i]], others[smaller], as_smaller[others[smaller]]) > 0
+        also = common(own[: as_smaller[i]], others[larger], as_larger[others[larger]]) > 0
+        at = np.concatenate([smaller[hit], larger[also]])
+        asked = others[at]
+        both = common(own, asked, sizes[asked])
+        out[at] = 100 * both >= percent * (n + sizes[asked] - both)
         return out
 
     return link_sets(len(sets), related)
@@ -253,24 +285,64 @@ def confirm(texts: DataFrame, percent: int) -> DataFrame:
     return texts.groupBy("bucket").applyInArrow(run, f"node {kind}, root {kind}")
 
 
-def _tree_blocks(members: DataFrame, block_rows: int) -> DataFrame:
-    """Rows (node, block): along every tree's order of a cluster, runs of at most `block_rows` rows."""
+def _blocks(ordered: DataFrame, block_rows: int) -> DataFrame:
+    """`ordered` (sorted inside its partitions; columns cluster and run) with a column block: runs of at most
+    `block_rows` rows, each of one cluster and run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, held, before = TaskContext.get().partitionId() << 32, -1, 0, None
         for batch in batches:
-            clusters, nodes = batch.column("cluster").to_pylist(), batch.column("node")
             out = []
-            for cluster in clusters:
-                if cluster != before or held == block_rows:
-                    block, held, before = block + 1, 0, cluster
+            for now in zip(batch.column("cluster").to_pylist(), batch.column("run").to_pylist(), strict=True):
+                if now != before or held == block_rows:
+                    block, held, before = block + 1, 0, now
                 held += 1
-                out.append(f"{part + block}")
-            yield pa.RecordBatch.from_arrays([nodes, pa.array(out, pa.string())], ["node", "block"])
+                out.append(part + block)
+            yield batch.append_column("block", pa.array(out, pa.int64()))
 
-    ordered = in_tree_order(members, "cluster")
-    kind = ordered.schema["node"].dataType.simpleString()
-    return ordered.select("cluster", "node").mapInArrow(run, f"node {kind}, block string")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema)
+    return ordered.mapInArrow(run, f"{ddl}, block long")
+
+
+def _tree_blocks(members: DataFrame, block_rows: int) -> DataFrame:
+    """Rows (node, block): blocks along every tree's order of a cluster."""
+    ordered = in_tree_order(members, "cluster").select("cluster", "node", F.lit(0).alias("run"))
+    return _blocks(ordered, block_rows).select("node", F.col("block").cast("string").alias("block"))
+
+
+def _pair_blocks(members: DataFrame, joined: DataFrame, percent: int, block_rows: int) -> tuple[DataFrame, int]:
+    """Rows (node, block), a block for each pair of blocks of a cluster that can hold a link between texts
+    which `joined` (node, root) has not joined; and the shingles in all of them.
+
+    Large joined sets have blocks of their own, so that pairs within one are passed over; all others are in
+    order of size, so that pairs of blocks too unlike in size are passed over.
+    """
+    known = members.select("cluster", F.col("key").alias("node"), "n_shingles").join(joined, "node", "left")
+    known = settle(known.withColumn("root", F.coalesce("root", "node")))
+    large = known.groupBy("root").count().filter(F.col("count") > block_rows).select("root", F.col("root").alias("run"))
+    order = ["cluster", "run", "n_shingles", "node"]
+    ordered = known.join(large, "root", "left").repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks = settle(_blocks(ordered.select("cluster", "node", "n_shingles", "root", "run"), block_rows))
+    outline = blocks.groupBy("cluster", "block").agg(
+        F.min("n_shingles").alias("least"),
+        F.max("n_shingles").alias("most"),
+        F.sum("n_shingles").alias("all"),
+        F.min("root").alias("low"),
+        F.max("root").alias("high"),
+    )
+    a, b = outline.alias("a"), outline.alias("b")
+    pairs = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.block") <= F.col("b.block")))
+    alike = (F.col("a.most") * 100 >= percent * F.col("b.least")) & (F.col("b.most") * 100 >= percent * F.col("a.least"))
+    joined_already = F.least("a.low", "b.low") == F.greatest("a.high", "b.high")
+    pairs = settle(
+        pairs.filter(alike & ~joined_already).select(
+            F.concat_ws("-", "a.block", "b.block").alias("pair"),
+            F.array_distinct(F.array("a.block", "b.block")).alias("_both"),
+            (F.col("a.all") + F.col("b.all")).alias("all"),
+        )
+    )
+    rows = blocks.select("node", "block").join(pairs.select("pair", F.explode("_both").alias("block")), "block")
+    return rows.select("node", F.col("pair").alias("block")), pairs.agg(F.sum("all")).first()[0] or 0
 
 
 _WORD, _BITS, _MARK = "__near_word", "__near_bits", "__near_mark"
@@ -292,6 +364,12 @@ def _marked(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return joined.withColumn(_MARK, there).drop(_WORD, _BITS)
 
 
+def _joined(stars: DataFrame) -> DataFrame:
+    """Stars (node, root) that share nodes as one star for each connected set."""
+    edges = stars.select(F.col("node").alias("source"), F.col("root").alias("target"))
+    return connected(edges).select("node", F.col("cluster").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -326,26 +404,28 @@ def near_duplicates(
     weights = members.groupBy("cluster").agg(F.sum("n_shingles").alias("_all"))
     total = weights.agg(F.sum("_all"), F.max("_all")).first()
     oversize = (total[1] or 0) > cluster_shingles
+    by_cluster = F.concat(F.lit("c"), F.col("cluster").cast("string")).alias("block")
     if oversize:
         large = weights.filter(F.col("_all") > cluster_shingles).select("cluster")
-        small = members.join(large, "cluster", "left_anti")
-        blocks = _tree_blocks(members.join(large, "cluster", "left_semi"), block_rows).unionByName(
-            small.select(F.col("key").alias("node"), F.concat(F.lit("c"), F.col("cluster").cast("string")).alias("block"))
+        oversized = settle(members.join(large, "cluster", "left_semi"))
+        blocks = _tree_blocks(oversized, block_rows).unionByName(
+            members.join(large, "cluster", "left_anti").select(F.col("key").alias("node"), by_cluster)
         )
         blocks = settle(blocks)
     else:
-        blocks = members.select(
-            F.col("key").alias("node"), F.concat(F.lit("c"), F.col("cluster").cast("string")).alias("block")
-        )
-    buckets = parts_for((total[0] or 0) * (TREES if oversize else 1), BUCKET_SHINGLES, 64)
+        blocks = members.select(F.col("key").alias("node"), by_cluster)
     rows = docs.select(F.col(key).alias("node"), F.col(text).alias("text"))
-    texts = (
-        _marked(rows, "node", members.select("key"))
-        .filter(_MARK)
-        .join(blocks, "node")
-        .withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)))
-    )
-    stars = settle(confirm(texts, percent))
+
+    def links(blocks: DataFrame, some: DataFrame, size: int) -> DataFrame:
+        buckets = parts_for(size, BUCKET_SHINGLES, 64)
+        texts = _marked(rows, "node", some.select("key")).filter(_MARK).join(blocks, "node")
+        return settle(confirm(texts.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets))), percent))
+
+    stars = links(blocks, members, (total[0] or 0) * (TREES if oversize else 1))
+    if oversize:
+        pairs, size = _pair_blocks(oversized, _joined(stars), percent, block_rows)
+        if size:
+            stars = stars.unionByName(links(pairs, oversized, size))
     shared = linkable.groupBy("key").agg(F.min("set_id").alias("_a"), F.max("set_id").alias("_b"))
     shared = shared.filter(F.col("_a") != F.col("_b")).select("key")
     repeated = not shared.isEmpty()
@@ -354,9 +434,7 @@ def near_duplicates(
         named = named.join(classes.withColumnRenamed("key", "root"), "set_id").select("node", "root")
         stars = stars.unionByName(named)
     if oversize or repeated:
-        stars = connected(stars.select(F.col("node").alias("source"), F.col("root").alias("target"))).select(
-            "node", F.col("cluster").alias("root")
-        )
+        stars = _joined(stars)
     else:
         stars = stars.groupBy("node").agg(F.min("root").alias("root"))
     roots = classes.select("set_id", F.col("key").alias("node")).join(stars, "node", "left")

@@ -4,7 +4,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from paperloom.llm import lsh_forest as L
 from paperloom.llm.lsh_forest import depth_for, link_sets, near_duplicates
 from paperloom.llm.shingles import shingle_sets
 
@@ -99,6 +101,59 @@ def test_dense_regions_and_large_clusters(spark):
     check(spark, corpus(3, 2, 80, 1), region_rows=16, cluster_shingles=2000, block_rows=16)
 
 
+def template(seed, texts, own, words=200):
+    """Texts alike just below the threshold of 85 %: a common template with `own` words of each text behind it,
+    and a few pairs of them that differ in one word more."""
+    rng = random.Random(seed)
+    base = prose(rng, words)
+    rows = [base + [f"o{i}x{j}" for j in range(own)] for i in range(texts)]
+    rows += [rows[i][:-1] + [f"p{i}"] for i in range(0, texts, 40)]
+    rng.shuffle(rows)
+    return list(enumerate(" ".join(r) for r in rows))
+
+
+def test_single_links_in_a_large_cluster(spark):
+    """Each pair is in few runs of neighbours, if any: only a comparison of all blocks finds them all."""
+    check(spark, template(5, 200, 20), cluster_shingles=2000, block_rows=8, region_rows=16)
+
+
+def test_tree_blocks_alone_do_not_decide(spark, monkeypatch):
+    """Links that no block along a tree holds are found by the pairs of blocks."""
+    monkeypatch.setattr(L, "_tree_blocks", lambda members, rows: members.select(F.col("key").alias("node"), F.col("key").cast("string").alias("block")))
+    check(spark, corpus(6, 2, 60, 2), cluster_shingles=2000, block_rows=16)
+
+
+def test_dense_regions_are_joined_whole(spark):
+    """All rows of one region, over several tasks and batches: one connected set, whatever their signatures."""
+    rows = [(i, [7] * L.TREES, random.Random(i).randbytes(L.HASHES)) for i in range(300)]
+    rows += [(1000 + i, [100 + i] * L.TREES, random.Random(i).randbytes(L.HASHES)) for i in range(40)]
+    df = spark.createDataFrame(rows, "key long, regions array<long>, low binary")
+    forest = L.in_tree_order(df)
+    edges = L.candidate_edges(forest, 60, 16).collect()
+    root = {i: i for i in range(2000)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in edges:
+        root[max(find(r["source"]), find(r["target"]))] = min(find(r["source"]), find(r["target"]))
+    assert {find(i) for i in range(300)} == {0}
+    assert all(find(1000 + i) == 1000 + i for i in range(40))
+
+
+def test_prefix_filter_is_exact():
+    rng = np.random.default_rng(4)
+    for percent in (50, 80, 85, 100):
+        pool = np.arange(1, 40, dtype=np.uint64)
+        sets = [np.sort(rng.choice(pool, rng.integers(1, 38), replace=False)) for _ in range(120)]
+        sets += [np.delete(s, 0) for s in sets if len(s) > 1]
+        known = [set(s.tolist()) for s in sets]
+        want = link_sets(len(sets), lambda i, others: np.array([100 * len(known[i] & known[j]) >= percent * len(known[i] | known[j]) for j in others], bool))  # noqa: B023
+        assert L._confirmed(sets, percent).tolist() == want.tolist()
+
+
 def test_odd_rows(spark):
     texts = [None, "", " \t\n", "one", "ONE", "one two", "one\x0btwo", "É é", "é é", "a b c d e", "A b c d e f"]
     rows = list(enumerate(texts)) + [(None, "a b c d e"), (None, None), (3, "one"), (20, "x " * 30_000), (21, "x " * 29_000)]
