@@ -100,13 +100,16 @@ def sketch(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
     return rows.mapInArrow(run, f"key {kind}, n_shingles long, set_id binary, regions array<long>, low binary")
 
 
-def in_tree_order(rows: DataFrame, *before: str) -> DataFrame:
-    """One row per tree (node, region, path and the columns `before`), sorted by those, region and path."""
+def in_tree_order(rows: DataFrame, *before: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per tree (node, region, path and the columns `before` and `carry`), sorted by `before`, region and
+    path."""
     levels = HASHES // TREES
-    trees = rows.select(*before, F.col("key").alias("node"), "low", F.posexplode("regions").alias("_tree", "region"))
+    trees = rows.select(
+        *before, *carry, F.col("key").alias("node"), "low", F.posexplode("regions").alias("_tree", "region")
+    )
     at = F.col("_tree") * levels
     path = F.concat(F.substr("low", at + 1, F.lit(HASHES)), F.substr("low", F.lit(1), at))
-    trees = trees.select(*before, "node", "region", path.alias("path"), "_tree")
+    trees = trees.select(*before, *carry, "node", "region", path.alias("path"), "_tree")
     order = [*before, "region", "path", "node"]
     return trees.repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -285,18 +288,20 @@ def confirm(texts: DataFrame, percent: int) -> DataFrame:
     return texts.groupBy("bucket").applyInArrow(run, f"node {kind}, root {kind}")
 
 
-def _blocks(ordered: DataFrame, block_rows: int) -> DataFrame:
-    """`ordered` (sorted inside its partitions; columns cluster and run) with a column block: runs of at most
-    `block_rows` rows, each of one cluster and run."""
+def _blocks(ordered: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
+    """`ordered` (sorted inside its partitions; columns cluster, run and n_shingles) with a column block: runs of at
+    most `block_rows` rows and `block_shingles` shingles (one row at least), each of one cluster and run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block, held, before = TaskContext.get().partitionId() << 32, -1, 0, None
+        part, block, held, filled, before = TaskContext.get().partitionId() << 32, -1, 0, 0, None
         for batch in batches:
             out = []
-            for now in zip(batch.column("cluster").to_pylist(), batch.column("run").to_pylist(), strict=True):
-                if now != before or held == block_rows:
-                    block, held, before = block + 1, 0, now
+            of = zip(batch.column("cluster").to_pylist(), batch.column("run").to_pylist(), strict=True)
+            for now, n in zip(of, batch.column("n_shingles").to_pylist(), strict=True):
+                if now != before or held == block_rows or filled + n > block_shingles:
+                    block, held, filled, before = block + 1, 0, 0, now
                 held += 1
+                filled += n
                 out.append(part + block)
             yield batch.append_column("block", pa.array(out, pa.int64()))
 
@@ -304,13 +309,16 @@ def _blocks(ordered: DataFrame, block_rows: int) -> DataFrame:
     return ordered.mapInArrow(run, f"{ddl}, block long")
 
 
-def _tree_blocks(members: DataFrame, block_rows: int) -> DataFrame:
+def _tree_blocks(members: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
     """Rows (node, block): blocks along every tree's order of a cluster."""
-    ordered = in_tree_order(members, "cluster").select("cluster", "node", F.lit(0).alias("run"))
-    return _blocks(ordered, block_rows).select("node", F.col("block").cast("string").alias("block"))
+    ordered = in_tree_order(members, "cluster", carry=("n_shingles",))
+    ordered = ordered.select("cluster", "node", "n_shingles", F.lit(0).alias("run"))
+    return _blocks(ordered, block_rows, block_shingles).select("node", F.col("block").cast("string").alias("block"))
 
 
-def _pair_blocks(members: DataFrame, joined: DataFrame, percent: int, block_rows: int) -> tuple[DataFrame, int]:
+def _pair_blocks(
+    members: DataFrame, joined: DataFrame, percent: int, block_rows: int, block_shingles: int
+) -> tuple[DataFrame, int]:
     """Rows (node, block), a block for each pair of blocks of a cluster that can hold a link between texts
     which `joined` (node, root) has not joined; and the shingles in all of them.
 
@@ -319,10 +327,12 @@ def _pair_blocks(members: DataFrame, joined: DataFrame, percent: int, block_rows
     """
     known = members.select("cluster", F.col("key").alias("node"), "n_shingles").join(joined, "node", "left")
     known = settle(known.withColumn("root", F.coalesce("root", "node")))
-    large = known.groupBy("root").count().filter(F.col("count") > block_rows).select("root", F.col("root").alias("run"))
+    sizes = known.groupBy("root").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_all"))
+    large = sizes.filter((F.col("_n") > block_rows) | (F.col("_all") > block_shingles))
+    large = large.select("root", F.col("root").alias("run"))
     order = ["cluster", "run", "n_shingles", "node"]
     ordered = known.join(large, "root", "left").repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = settle(_blocks(ordered.select("cluster", "node", "n_shingles", "root", "run"), block_rows))
+    blocks = settle(_blocks(ordered.select("cluster", "node", "n_shingles", "root", "run"), block_rows, block_shingles))
     outline = blocks.groupBy("cluster", "block").agg(
         F.min("n_shingles").alias("least"),
         F.max("n_shingles").alias("most"),
@@ -338,7 +348,7 @@ def _pair_blocks(members: DataFrame, joined: DataFrame, percent: int, block_rows
         pairs.filter(alike & ~joined_already).select(
             F.concat_ws("-", "a.block", "b.block").alias("pair"),
             F.array_distinct(F.array("a.block", "b.block")).alias("_both"),
-            (F.col("a.all") + F.col("b.all")).alias("all"),
+            (F.col("a.all") + F.when(F.col("a.block") < F.col("b.block"), F.col("b.all")).otherwise(0)).alias("all"),
         )
     )
     rows = blocks.select("node", "block").join(pairs.select("pair", F.explode("_both").alias("block")), "block")
@@ -404,11 +414,12 @@ def near_duplicates(
     weights = members.groupBy("cluster").agg(F.sum("n_shingles").alias("_all"))
     total = weights.agg(F.sum("_all"), F.max("_all")).first()
     oversize = (total[1] or 0) > cluster_shingles
+    block_shingles = cluster_shingles // 4  # a pair of blocks is half of what is confirmed whole
     by_cluster = F.concat(F.lit("c"), F.col("cluster").cast("string")).alias("block")
     if oversize:
         large = weights.filter(F.col("_all") > cluster_shingles).select("cluster")
         oversized = settle(members.join(large, "cluster", "left_semi"))
-        blocks = _tree_blocks(oversized, block_rows).unionByName(
+        blocks = _tree_blocks(oversized, block_rows, block_shingles).unionByName(
             members.join(large, "cluster", "left_anti").select(F.col("key").alias("node"), by_cluster)
         )
         blocks = settle(blocks)
@@ -423,7 +434,7 @@ def near_duplicates(
 
     stars = links(blocks, members, (total[0] or 0) * (TREES if oversize else 1))
     if oversize:
-        pairs, size = _pair_blocks(oversized, _joined(stars), percent, block_rows)
+        pairs, size = _pair_blocks(oversized, _joined(stars), percent, block_rows, block_shingles)
         if size:
             stars = stars.unionByName(links(pairs, oversized, size))
     shared = linkable.groupBy("key").agg(F.min("set_id").alias("_a"), F.max("set_id").alias("_b"))

@@ -103,23 +103,23 @@ def test_dense_regions_and_large_clusters(spark):
 
 def template(seed, texts, own, words=200):
     """Texts alike just below the threshold of 85 %: a common template with `own` words of each text behind it,
-    and a few pairs of them that differ in one word more."""
+    and a few that share so many of another one's own words that the two are just above."""
     rng = random.Random(seed)
     base = prose(rng, words)
     rows = [base + [f"o{i}x{j}" for j in range(own)] for i in range(texts)]
-    rows += [rows[i][:-1] + [f"p{i}"] for i in range(0, texts, 40)]
+    rows += [rows[i][:-16] + [f"p{i}x{j}" for j in range(16)] for i in range(0, texts, 10)]
     rng.shuffle(rows)
     return list(enumerate(" ".join(r) for r in rows))
 
 
 def test_single_links_in_a_large_cluster(spark):
-    """Each pair is in few runs of neighbours, if any: only a comparison of all blocks finds them all."""
-    check(spark, template(5, 200, 20), cluster_shingles=2000, block_rows=8, region_rows=16)
+    """Many pairs share no run of neighbours: only a comparison of all blocks finds them all."""
+    check(spark, template(5, 200, 20), cluster_shingles=2000, block_rows=4, region_rows=16)
 
 
 def test_tree_blocks_alone_do_not_decide(spark, monkeypatch):
     """Links that no block along a tree holds are found by the pairs of blocks."""
-    monkeypatch.setattr(L, "_tree_blocks", lambda members, rows: members.select(F.col("key").alias("node"), F.col("key").cast("string").alias("block")))
+    monkeypatch.setattr(L, "_tree_blocks", lambda members, *_: members.select(F.col("key").alias("node"), F.col("key").cast("string").alias("block")))
     check(spark, corpus(6, 2, 60, 2), cluster_shingles=2000, block_rows=16)
 
 
@@ -143,6 +143,23 @@ def test_dense_regions_are_joined_whole(spark):
     assert all(find(1000 + i) == 1000 + i for i in range(40))
 
 
+def test_blocks_are_bounded_by_shingles(spark):
+    """Long texts fill a block before its rows are many; one longer than a block has a block of its own."""
+    sizes = {i: 900 if i == 5 else 100 + i for i in range(60)}
+    rows = [(i, 1, n, [3] * L.TREES, bytes(L.HASHES)) for i, n in sizes.items()]
+    members = spark.createDataFrame(rows, "key long, cluster long, n_shingles long, regions array<long>, low binary")
+    joined = spark.createDataFrame([(i, 0) for i in range(0, 60, 2)], "node long, root long")
+    pairs, shingles = L._pair_blocks(members, joined, 10, 4096, 500)
+    held = defaultdict(list)
+    for r in pairs.collect():
+        held[r["block"]].append(sizes[r["node"]])
+    assert sum(map(sum, held.values())) == shingles
+    assert all(sum(x) <= 1000 or 900 in x and sum(x) <= 1400 for x in held.values())
+    for r in L._tree_blocks(members, 4096, 500).groupBy("block").agg(F.collect_list("node").alias("nodes")).collect():
+        assert sum(sizes[n] for n in r["nodes"]) <= 500 or r["nodes"] == [5]
+    assert 900 in [n for x in held.values() for n in x]
+
+
 def test_prefix_filter_is_exact():
     rng = np.random.default_rng(4)
     for percent in (50, 80, 85, 100):
