@@ -8,7 +8,9 @@ for members of under 16 MB; longer records are split into several members, as gz
 
 Reading. A record counts only if its member unpacks with the right checksum, its header and length fit
 and its digests agree. After a failed check the reader searches for the next gzip member or version line
-that opens a valid record, goes on there, and logs the bytes between as a quarantined gap.
+that opens a valid record, goes on there, and logs the bytes between as a quarantined gap. Of a member that
+unpacks only in part or with a wrong checksum, the records that their own digests confirm are kept and the
+member is logged as a gap; a member of one whole record is not, as its damage may be in the record's header.
 """
 
 from __future__ import annotations
@@ -153,11 +155,13 @@ class Gap:
 
 
 class Damage(Exception):
-    """A failed check; `short` if more bytes might mend it."""
+    """A failed check; `short` if more bytes might mend it. `found` are parts of a damaged member that can be
+    kept, and `stop` is where its unpacking ended."""
 
-    def __init__(self, reason: str, short: bool = False) -> None:
+    def __init__(self, reason: str, short: bool = False, content: bytes = b"", stop: int = 0) -> None:
         super().__init__(reason)
-        self.short = short
+        self.short, self.content, self.stop = short, content, stop
+        self.found: list[Record | Gap] = []
 
 
 def _record_at(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
@@ -198,25 +202,83 @@ def _agrees(digest: str | None, data: bytes, what: str) -> None:
 
 
 def _member_at(data: bytes, at: int, step: int = 1 << 16) -> tuple[int, bytes]:
-    """End and content of the gzip member at `at`; it is fed in steps, so that no tail is copied."""
-    machine, view, content = zlib.decompressobj(wbits=31), memoryview(data), []
+    """End and content of the gzip member at `at`; it is fed in steps, so that no tail is copied. The Damage of a
+    broken member has what could be unpacked."""
+    machine, view, content, begin = zlib.decompressobj(wbits=31), memoryview(data), [], at
     try:
         while not machine.eof and at < len(data):
             content.append(machine.decompress(view[at : at + step]))
             at = min(at + step, len(data))
     except zlib.error as e:
-        raise Damage(f"gzip: {e}") from e
+        stop, content = _before_error(view, begin, at, step)
+        if "incorrect data check" in str(e):  # the length field follows
+            stop = min(stop + 4, len(data))
+        raise Damage(f"gzip: {e}", content=content, stop=stop) from e
     if not machine.eof:
-        raise Damage("gzip: member without end")
+        raise Damage("gzip: member without end", content=b"".join(content), stop=at)
     return at - len(machine.unused_data), b"".join(content)
 
 
+def _before_error(view: memoryview, begin: int, good: int, step: int) -> tuple[int, bytes]:
+    """Where unpacking the member at `begin` fails and what comes before: the step that failed, from `good`
+    on, is fed again byte by byte, as the library keeps back a failed step's output."""
+    machine, content = zlib.decompressobj(wbits=31), []
+    for i in range(begin, good, step):
+        content.append(machine.decompress(view[i : i + step]))
+    at = good
+    try:
+        while at < min(good + step, len(view)):
+            content.append(machine.decompress(view[at : at + 1]))
+            at += 1
+    except zlib.error:
+        at += 1
+    return at, b"".join(content)
+
+
+def _own_digest(record: Record) -> bool:
+    h = record.headers
+    return h.get("warc-block-digest", "").startswith("sha1:") or (
+        h.get("warc-type") == RESPONSE and h.get("warc-payload-digest", "").startswith("sha1:")
+    )
+
+
+def _inside(parts: Iterator[Record | Gap], at: int, length: int, inner: int = 0) -> list[Record | Gap]:
+    """Parts of a member's content (from `inner` on) as parts of the file."""
+    return [
+        Gap(at, length, f"in member at {inner + part.offset}, {part.length} bytes: {part.reason}")
+        if isinstance(part, Gap)
+        else Record(at, length, part.headers, part.payload)
+        for part in parts
+    ]
+
+
+def _kept_of(damage: Damage, at: int) -> list[Record | Gap]:
+    """What a damaged member at `at` still gives: records confirmed by their digests, its gaps, and a gap that
+    tells the damage; nothing if there is no such record or the member is one whole record."""
+    if VERSION[:5] not in damage.content:
+        return []
+    parts = list(salvage(damage.content))
+    if len(parts) == 1:
+        return []
+    kept = [
+        Gap(x.offset, x.length, "no digest to check") if isinstance(x, Record) and not _own_digest(x) else x for x in parts
+    ]
+    if not any(isinstance(x, Record) for x in kept):
+        return []
+    length = damage.stop - at
+    return [*_inside(kept, at, length), Gap(at, length, f"{damage}; records kept by their digests")]
+
+
 def _unit_at(data: bytes, at: int) -> tuple[int, list[Record | Gap]]:
     """The valid record at `at`, or the records of the gzip members there; raises Damage."""
     if data[at : at + 3] != MAGIC:
         end, headers, payload = _record_at(data, at)
         return end, [Record(at, end - at, headers, payload)]
-    end, content = _member_at(data, at)
+    try:
+        end, content = _member_at(data, at)
+    except Damage as damage:
+        damage.found = _kept_of(damage, at)
+        raise
     while True:
         found, inner = [], 0
         try:
@@ -233,43 +295,46 @@ def _unit_at(data: bytes, at: int) -> tuple[int, list[Record | Gap]]:
                 if more and not _VERSION.match(more):
                     content += more
                     continue
-            if not found:
+            # keep whole records before the damage, and salvage what is behind it
+            found += _inside(salvage(content[inner:]), at, end - at, inner)
+            if not any(isinstance(part, Record) for part in found):
                 raise
-            # whole records stand before the damage: keep them, and salvage what is behind it
-            for part in salvage(content[inner:]):
-                found.append(
-                    Gap(at, end - at, f"in member at {inner + part.offset}, {part.length} bytes: {part.reason}")
-                    if isinstance(part, Gap)
-                    else Record(at, end - at, part.headers, part.payload)
-                )
             return end, found
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """Valid records of an archive in order, and the gaps of bytes that belong to none."""
     at, size = 0, len(data)
+    gap, reason = None, ""  # where an open gap begins
     while at < size:
-        if data[at : at + 2] == b"\r\n":  # more empty lines than the format asks for
+        if gap is None and data[at : at + 2] == b"\r\n":  # more empty lines than the format asks for
             at += 2
             continue
+        stop = None
         try:
-            at, found = _unit_at(data, at)
-            yield from found
-            continue
+            end, found = _unit_at(data, at)
         except Damage as damage:
-            reason = str(damage)
-        begin, found = at, []
-        for start in _START.finditer(data, at + 1):
-            try:
-                at, found = _unit_at(data, start.start())
-            except Damage:
-                continue
-            yield Gap(begin, start.start() - begin, reason)
+            found, stop, why = damage.found, damage.stop, str(damage)
+        if stop is None or found:
+            if gap is not None and gap < at:
+                yield Gap(gap, at - gap, reason)
+            gap = None
             yield from found
-            break
-        if not found:
-            yield Gap(begin, size - begin, reason)
-            return
+        if stop is None:
+            at = end
+            continue
+        if found:  # members that begin inside the damaged one may be whole; its plain records are found already
+            gap, reason = stop, why
+        elif gap is None:
+            gap, reason = at, why
+        inner = data.find(MAGIC, at + 1, gap) if at < gap else -1
+        if inner >= 0:
+            at = inner
+            continue
+        start = _START.search(data, max(at + 1, gap))
+        at = start.start() if start else size
+    if gap is not None and gap < size:
+        yield Gap(gap, size - gap, reason)
 
 
 RECORD_DDL = (

@@ -86,6 +86,36 @@ def test_damage_inside_a_member():
     assert ids(parts) == [0, 2] and len(gaps(parts)) == 1
 
 
+def test_damage_to_the_first_record_of_a_member():
+    a, b, c = (bytearray(member(i)[0]) for i in range(3))
+    a[-20] ^= 1
+    parts = list(salvage(gzip.compress(bytes(a + b + c)) + member(3)[1]))
+    assert ids(parts) == [1, 2, 3] and len(gaps(parts)) == 1
+
+
+def test_one_stream_with_a_wrong_checksum():
+    raw = [member(i, f"page {i}".encode() * 9)[0] for i in range(4)]
+    data = bytearray(gzip.compress(b"".join(raw), 0))  # stored: one flipped byte stays one
+    data[data.index(b"page 2page 2") + 3] ^= 1
+    parts = list(salvage(bytes(data) + member(4)[1]))
+    assert ids(parts) == [0, 1, 3, 4] and len(gaps(parts)) == 2
+
+
+@pytest.mark.parametrize("cut", [True, False])
+def test_one_stream_that_breaks_off(cut):
+    whole = gzip.compress(b"".join(member(i, random.Random(i).randbytes(3000))[0] for i in range(8)))
+    half = whole[: len(whole) // 2]
+    parts = list(salvage(half if cut else half + member(9)[1]))
+    assert ids(parts)[:3] == [0, 1, 2] and (cut or ids(parts)[-1] == 9)
+    assert gaps(parts)
+
+
+def test_empty_member_behind_damage():
+    data = b"garbage" + gzip.compress(b"") + member(1)[1] + member(2)[0]
+    parts = list(salvage(data))
+    assert ids(parts) == [1, 2] and gaps(parts) == [(0, 7)]
+
+
 def test_empty():
     assert list(salvage(b"")) == []
 
