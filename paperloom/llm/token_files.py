@@ -157,12 +157,19 @@ def documents_of(blocks: DataFrame) -> DataFrame:
 
 
 def sharded(docs: DataFrame, rows_per_file: int = 16384) -> DataFrame:
-    """Documents read from Parquet files, with the shard (input block, run of rows) and the position
-    that a rerun finds again: the file's row number."""
-    place = F.xxhash64(
-        "_metadata.file_path", "_metadata.file_block_start", F.floor(F.col("_metadata.row_index") / rows_per_file)
-    )
-    return docs.withColumns({"shard": F.concat(F.lit("s"), F.hex(place)), "position": F.col("_metadata.row_index")})
+    """Documents read from Parquet files, with their shard and the position that a rerun finds again: the
+    file's row number.
+
+    A shard is a run of rows and the input block that holds them, as RUN-START. The run depends on the file
+    and the row alone; a plan that cuts the file elsewhere gives other starts.
+    """
+    run = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows_per_file))
+    shard = F.concat(F.lit("s"), F.hex(run), F.lit("-"), F.col("_metadata.file_block_start").cast("string"))
+    return docs.withColumns({"shard": shard, "position": F.col("_metadata.row_index")})
+
+
+def _run() -> Column:
+    return F.substring_index("shard", "-", 1)
 
 
 def count_document_tokens(
@@ -180,6 +187,10 @@ def count_document_tokens(
 
     The end id is not counted. Null text has no tokens. Keys may be null or repeat: a document is known
     by its place. Other columns, whatever their names but `shard` and `position`, do no harm.
+
+    Documents and counts are joined by run and place in the run. Both hold for any cut of the input into
+    blocks: the blocks that the files were written by are told by the files, and put in order. A document
+    without a count, or a count without a document, is an error.
     """
     placed = sharded(docs, rows_per_file)
     write_token_files(placed, folder, rank_file, pattern, end_id, text=text)
@@ -188,9 +199,15 @@ def count_document_tokens(
         counted = documents_of(scan_separators(read_blocks(spark, folder), end_id))
     else:
         counted = spark.createDataFrame([], "shard string, path string, ordinal long, start long, n_tokens long")
-    order = Window.partitionBy("shard").orderBy("position")
-    owners = placed.select(F.col(key).alias("_key"), "shard", "position").withColumn(
-        "ordinal", (F.row_number().over(order) - 1).cast("long")
+    order = Window.partitionBy("_run").orderBy("position")
+    owners = placed.select(F.col(key).alias("_key"), _run().alias("_run"), "position").select(
+        "_key", "_run", F.row_number().over(order).alias("_place"), F.lit(True).alias("_owned")
+    )
+    block = F.substring_index("shard", "-", -1).cast("long")
+    counted = counted.withColumn("_run", _run()).withColumn(
+        "_place", F.row_number().over(Window.partitionBy("_run").orderBy(block, "ordinal"))
     )
-    joined = owners.join(counted, ["shard", "ordinal"])
-    return joined.select(F.col("_key").alias(key), "shard", "ordinal", "start", "n_tokens")
+    lost = F.col("n_tokens").isNull() | F.col("_owned").isNull()
+    n_tokens = F.when(lost, F.raise_error(F.lit("documents and counts differ")).cast("long")).otherwise(F.col("n_tokens"))
+    joined = owners.join(counted, ["_run", "_place"], "full")
+    return joined.select(F.col("_key").alias(key), "shard", "ordinal", "start", n_tokens.alias("n_tokens"))

@@ -3,6 +3,8 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from paperloom.llm.token_files import ID, count_document_tokens, documents_of, read_blocks, scan_separators, write_token_files
@@ -27,6 +29,25 @@ def test_every_document_is_counted(spark, tmp_path):
     assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == want
 
 
+def test_input_cut_elsewhere_between_writing_and_counting(spark, tmp_path):
+    """The table is planned twice; the second plan may cut its files into other blocks."""
+    rows = pa.table({"doc_id": pa.array(range(3000)), "text": ["w " * (i % 7) + str(i) for i in range(3000)]})
+    (tmp_path / "in").mkdir()
+    pq.write_table(rows, tmp_path / "in" / "a.parquet", row_group_size=100, compression="none")
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "9000")
+        docs = spark.read.parquet(str(tmp_path / "in"))
+        counts = count_document_tokens(docs, str(tmp_path / "tokens"), RANKS, PATTERN, END, rows_per_file=250)
+        spark.conf.set(name, "100m")
+        got = counts.collect()
+    finally:
+        spark.conf.set(name, before)
+    want = {i: len(text_ids(t, RANKS, PATTERN)) for i, t in enumerate(rows.column("text").to_pylist())}
+    assert len(got) == 3000 and {r["doc_id"]: r["n_tokens"] for r in got} == want
+
+
 def test_empty_table(spark, tmp_path):
     assert counted(spark, [], tmp_path) == []
 
