@@ -26,9 +26,9 @@ _WORDS = re.compile("[^\x20\x09-\x0d]+").findall
 _WORD_IN = re.compile("[^\x20\x09-\x0d]").search
 _SYMBOLS = re.compile(r"[#*$%&|<>]").findall
 
-#: Strata with the most labels stand alone, all others are one stratum together: bounds the table of cutoffs.
+#: Cutoffs of up to so many strata are constants of the plan; those of more are a joined table.
 STRATA = 64
-OTHER, NO_STRATUM = "(other)", "(null)"
+NO_STRATUM = "(null)"
 
 
 @dataclass(frozen=True)
@@ -157,25 +157,39 @@ def choose_cutoffs(
 ) -> dict[str, dict[str, int]]:
     """Cutoff per stratum and rule from clean documents (rows with `_stratum` and the statistics).
 
-    One aggregation counts, per stratum, the clean documents above every cutoff; only these counts, one
-    row for each of at most STRATA + 1 strata, reach the driver.
+    One aggregation counts, per stratum, the clean documents above every cutoff. Strata are tested where
+    their counts are; only cutoffs reach the driver, and strata that have one number at most the labels
+    over the labels that a certificate needs.
     """
     names = {(r.name, c): f"{r.name}_{c}" for r in rules for c in r.cutoffs}
     counts = labelled.groupBy("_stratum").agg(
         F.count(F.lit(1)).alias("clean"),
         *[F.count_if(exceeds(r, c)).alias(names[r.name, c]) for r in rules for c in r.cutoffs],
     )
-    rows = counts.collect()
-    sequences = max(1, len(rows) * len(rules))
+    counts = settle(counts)
+    sequences = max(1, counts.count() * len(rules))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            strata, found, cutoffs = [], [], []
+            for row in batch.to_pylist():
+                for rule in rules:
+                    passed = None
+                    for cutoff in sorted(rule.cutoffs, reverse=True):
+                        above = row[names[rule.name, cutoff]]
+                        if not certified(above, row["clean"], risk / len(rules), level / sequences):
+                            break
+                        passed = cutoff
+                    if passed is not None:
+                        strata.append(row["_stratum"]), found.append(rule.name), cutoffs.append(passed)
+            columns = [pa.array(strata, pa.string()), pa.array(found, pa.string()), pa.array(cutoffs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["stratum", "rule", "cutoff"])
+
     chosen: dict[str, dict[str, int]] = {}
-    for row in rows:
-        for rule in rules:
-            for cutoff in sorted(rule.cutoffs, reverse=True):
-                above = row[names[rule.name, cutoff]]
-                if not certified(above, row["clean"], risk / len(rules), level / sequences):
-                    break
-                chosen.setdefault(row["_stratum"], {})[rule.name] = cutoff
-    return chosen
+    for row in counts.mapInArrow(test, "stratum string, rule string, cutoff long").collect():
+        chosen.setdefault(row["stratum"], {})[row["rule"]] = row["cutoff"]
+    order = [r.name for r in rules]
+    return {s: {name: chosen[s][name] for name in order if name in chosen[s]} for s in sorted(chosen)}
 
 
 def certified_cutoffs(
@@ -186,7 +200,7 @@ def certified_cutoffs(
     risk: float,
     level: float,
 ) -> tuple[dict[str, dict[str, int]], list[str]]:
-    """Cutoffs by stratum and rule, and the strata that stand alone."""
+    """Cutoffs by stratum and rule, and the strata that have some."""
     clean = (
         labels.filter(F.col(key).isNotNull())
         .groupBy(F.col(key).alias("key"))
@@ -194,13 +208,28 @@ def certified_cutoffs(
         .filter((F.col("_quality") == 1) & (F.coalesce("_toxic", F.lit(0)) == 0))
     )
     holdout = stats.filter(~F.col("base_failed")).join(clean, "key", "left_semi")
-    sizes = holdout.groupBy("stratum").count().orderBy(F.desc("count"), "stratum")
-    largest = [r["stratum"] for r in sizes.limit(STRATA).collect()]
-    return choose_cutoffs(holdout.withColumn("_stratum", _group(largest)), rules, risk, level), largest
-
-
-def _group(largest: list[str]) -> Column:
-    return F.when(F.col("stratum").isin(largest), F.col("stratum")).otherwise(OTHER) if largest else F.lit(OTHER)
+    chosen = choose_cutoffs(holdout.withColumn("_stratum", F.col("stratum")), rules, risk, level)
+    return chosen, list(chosen)
+
+
+def _rejections(stats: DataFrame, chosen: dict[str, dict[str, int]], rules: Sequence[QualityRule]) -> DataFrame:
+    """`stats` with a column rejected_by: names of the rules whose cutoff of the row's own stratum it exceeds."""
+    if not chosen:
+        return stats.withColumn("rejected_by", F.array().cast("array<string>"))
+    if len(chosen) <= STRATA:
+        by_name = {r.name: r for r in rules}
+        rejections = [
+            F.when((F.col("stratum") == s) & exceeds(by_name[name], cutoff), F.lit(name))
+            for s, cutoffs in chosen.items()
+            for name, cutoff in cutoffs.items()
+        ]
+        return stats.withColumn("rejected_by", F.array_compact(F.array(*rejections)))
+    limits = [f"_limit{i}" for i in range(len(rules))]
+    rows = [(s, *[cutoffs.get(r.name) for r in rules]) for s, cutoffs in chosen.items()]
+    schema = ", ".join(["stratum string", *[f"{x} long" for x in limits]])
+    joined = stats.join(F.broadcast(stats.sparkSession.createDataFrame(rows, schema)), "stratum", "left")
+    rejections = [F.when(exceeds(r, F.col(x)), F.lit(r.name)) for r, x in zip(rules, limits, strict=True)]
+    return joined.withColumn("rejected_by", F.array_compact(F.array(*rejections))).drop(*limits)
 
 
 def _statistics(docs: DataFrame, key: str, text: str, stratum: str) -> DataFrame:
@@ -228,16 +257,10 @@ def judge_quality(
     cutoff is certified and only the base rules reject. Only the named columns of `docs` are read.
     """
     stats = _statistics(docs, key, text, stratum)
-    chosen, largest = certified_cutoffs(stats, labels, key, rules, risk, level)
-    by_name = {r.name: r for r in rules}
-    rejections = [
-        F.when((_group(largest) == s) & exceeds(by_name[name], cutoff), F.lit(name))
-        for s, cutoffs in sorted(chosen.items())
-        for name, cutoff in cutoffs.items()
-    ]
-    reasons = F.array_compact(F.array(*rejections)) if rejections else F.array().cast("array<string>")
+    chosen, _ = certified_cutoffs(stats, labels, key, rules, risk, level)
     return (
-        stats.withColumn("rejected_by", reasons)
+        _rejections(stats, chosen, rules)
+        .select(*stats.columns, "rejected_by")
         .withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
         .withColumnRenamed("key", key)
         .drop("stratum")
@@ -259,14 +282,13 @@ def keep_good(
     Cutoffs are chosen on all documents first; then each text is judged again where it is, so that no
     text is shuffled and rows need no key.
     """
-    chosen, largest = certified_cutoffs(_statistics(docs, key, text, stratum), labels, key, rules, risk, level)
+    chosen, _ = certified_cutoffs(_statistics(docs, key, text, stratum), labels, key, rules, risk, level)
 
     def good(values: tuple[int, ...], group: str | None) -> bool:
         of = dict(zip(STATISTICS, values, strict=True))
         if of["n_words"] < MIN_WORDS or 100 * of["n_repeat_words"] > MAX_REPEAT_PERCENT * of["n_words"]:
             return False
-        group = NO_STRATUM if group is None else group
-        limits = chosen.get(group if group in largest else OTHER, {})
+        limits = chosen.get(NO_STRATUM if group is None else group, {})
         return not any(
             r.name in limits and 1000 * of[r.numerator] > limits[r.name] * of[r.denominator] for r in rules
         )

@@ -107,6 +107,23 @@ def test_odd_rows_and_missing_labels(spark, monkeypatch):
         assert sorted(str(r["doc_id"]) for r in keep_good(*frames).collect()) == ["4", "4", "None"]
 
 
+@pytest.mark.parametrize("most", [1, 64])
+def test_each_stratum_stands_alone(spark, monkeypatch, most):
+    """A small language full of symbols loses nothing to cutoffs of the others, labelled or not, and each
+    labelled one has its own, at any number of strata."""
+    monkeypatch.setattr(T, "STRATA", most)
+    docs, labels = corpus()
+    odd = " ".join(f"w{i}#$%" for i in range(60))
+    docs += [(5000 + i, odd, ("xx", "yy")[i % 2], "", "", "") for i in range(10)]
+    labels += [(5000 + i, 1, 0) for i in range(0, 10, 2)]
+    frames = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, LABELS)
+    got = {r["doc_id"]: r for r in judge_quality(*frames, risk=0.05).collect()}
+    assert all(got[5000 + i]["kept"] for i in range(10))
+    assert all("symbols_per_word" in got[i]["rejected_by"] for i in range(0, 3000, 5))
+    kept = {r["doc_id"] for r in keep_good(*frames, risk=0.05).collect()}
+    assert kept == {i for i, r in got.items() if r["kept"]}
+
+
 def test_empty_tables(spark):
     frames = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], LABELS)
     assert judge_quality(*frames).collect() == [] and keep_good(*frames).collect() == []
