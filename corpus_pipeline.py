@@ -17,6 +17,7 @@ from paperloom.llm.packing import pack_mixture
 from paperloom.llm.registry import query
 from paperloom.llm.suffix_dedup import without_repeats
 from paperloom.llm.thresholds import keep_good
+from paperloom.llm.tokens import added_tokens
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -48,7 +49,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows that mirror the mixture of sources."""
     pieces = pack_mixture(
-        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, window=WINDOW
+        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, window=WINDOW,
+        added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")),
     )
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"

@@ -16,6 +16,7 @@ from paperloom.llm.registry import ORACLES, QUERIES, query, table
 from paperloom.llm.suffix_dedup import remove_repeats
 from paperloom.llm.thresholds import judge_quality
 from paperloom.llm.token_files import count_document_tokens
+from paperloom.llm.tokens import added_tokens
 from paperloom.llm.url_rules import judge_urls
 from paperloom.llm.warc_salvage import read_archives, write_archives
 from paperloom.session import checkpoint_dir
@@ -73,7 +74,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_packed_mixture")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack_mixture(table(spark, sf_dir, "documents"), RANKS_50K, public_tokenizers.PATTERN)
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = pack_mixture(table(spark, sf_dir, "documents"), RANKS_50K, public_tokenizers.PATTERN, added=added)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

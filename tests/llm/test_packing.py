@@ -76,6 +76,21 @@ def pieces_of(spark, rows, **more):
     return pack_mixture(df, RANKS, public_tokenizers.PATTERN, **more).collect()
 
 
+def test_added_tokens_as_the_library_at_its_defaults(spark):
+    from paperloom.llm.tokens import added_tokens
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(file)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y\n\n<|endoftext|><|endoftext|>", "<|endoftext|", "plain"]
+    got = pieces_of(spark, [(i, t, "a", "", "") for i, t in enumerate(texts)], added=added_tokens(file))
+    ids = defaultdict(dict)
+    for p in got:
+        ids[p["doc_id"]][p["start"]] = bytes(p["ids"])
+    for i, t in enumerate(texts):
+        want = [*library.encode(t, add_special_tokens=False).ids, 0]
+        assert b"".join(x for _, x in sorted(ids[i].items())) == b"".join(n.to_bytes(4, "little") for n in want)
+
+
 @pytest.mark.parametrize("targets", [None, {"a": 0.5, "b": 0.5}, {"zzz": 1.0}])
 def test_pieces(spark, reference, targets):
     texts = [None, "", "short", "the quick brown fox " * 900, "x" * 3000, "Été\n\nöß 123 " * 40, "the end<|endoftext|>"]
