@@ -76,6 +76,14 @@ def pieces_of(spark, rows, **more):
     return pack_mixture(df, RANKS, public_tokenizers.PATTERN, **more).collect()
 
 
+def test_small_source_with_a_target(spark):
+    """A source with less than 1 / window of all tokens gets its wanted share, not the last place."""
+    rows = [(i, "the quick brown fox " * 500, "big", "", "") for i in range(80)]
+    rows.append((1000, "a b c d e f g h", "small", "", ""))
+    got = pieces_of(spark, rows, targets={"big": 0.999, "small": 0.001})
+    assert min(p["sequence_id"] for p in got if p["doc_id"] == 1000) == 0
+
+
 def test_added_tokens_as_the_library_at_its_defaults(spark):
     from paperloom.llm.tokens import added_tokens
 
