@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom.llm.bpe import encode_documents
 from paperloom.llm.chat import rotate_perspectives
+from paperloom.llm.collocations import collocations
+from paperloom.llm.fill_in_middle import fill_in_middle, restore
 from paperloom.llm.fingerprints import fingerprint_edits
 from paperloom.llm.lsh_forest import near_duplicates
+from paperloom.llm.multi_index import simhash_components
 from paperloom.llm.packing import pack_mixture
 from paperloom.llm.registry import ORACLES, QUERIES, query, table
 from paperloom.llm.suffix_dedup import remove_repeats
@@ -154,3 +157,91 @@ FROM best
 @query("op10_url_automaton", OP10)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+OP11 = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM d
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS ws FROM p
+), s AS (
+  SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w
+), g AS (
+  SELECT lang, ws[i:i + k - 1] AS gram, count(*) AS f
+  FROM s, range(1, 6) AS r(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f) AS n FROM g WHERE len(gram) = 1 GROUP BY lang
+), c AS (
+  SELECT * FROM g WHERE len(gram) > 1 AND f >= 100
+), inside AS (
+  SELECT lang, part, max(f) AS longer
+  FROM (SELECT lang, f, unnest([gram[1:len(gram) - 1], gram[2:]]) AS part FROM c WHERE len(gram) > 2) GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM c LEFT JOIN inside i ON c.lang = i.lang AND c.gram = i.part
+  WHERE i.longer IS NULL OR 100 * i.longer < 100 * c.f
+), cuts AS (
+  SELECT lang, gram, f, unnest(range(1, len(gram))) AS k FROM kept
+), scored AS (
+  SELECT q.lang, q.gram, q.f, k, a.f AS l, b.f AS r, n,
+         (CAST(1000 AS HUGEINT) * q.f * n) // (CAST(a.f AS HUGEINT) * b.f) AS score
+  FROM cuts q JOIN g a ON a.lang = q.lang AND a.gram = q.gram[1:k]
+  JOIN g b ON b.lang = q.lang AND b.gram = q.gram[k + 1:] JOIN totals t ON t.lang = q.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1
+), named AS (
+  SELECT *, array_to_string(gram, ' ') AS phrase FROM best
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank, phrase,
+       CAST(f AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+       CAST(score AS BIGINT) AS score
+FROM named QUALIFY rank <= 2000
+"""
+
+
+@query("op11_count_transducers", OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_multi_index")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+OP13 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+         sha256('7:' || doc_id) AS d FROM documents
+), h AS (
+  SELECT *, len(units) AS n, CAST('0x' || d[1:8] AS BIGINT) AS h1, CAST('0x' || d[9:16] AS BIGINT) AS h2,
+         CAST('0x' || d[17:24] AS BIGINT) AS h3, CAST('0x' || d[25:32] AS BIGINT) AS h4 FROM t
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100
+              THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h
+), p AS (
+  SELECT *, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid,
+         array_to_string(units[b + 1:], '') AS suf FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query("op13_counted_regex", OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = restore(F.col("output"), F.col("form"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"),
+    )

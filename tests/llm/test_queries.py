@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from paperloom.llm.queries import ORACLES, QUERIES
 from workload.check import TABLES, rows
-from tests.llm import test_fingerprints, test_lsh_forest, test_suffix_dedup, test_thresholds
+from tests.llm import test_fingerprints, test_lsh_forest, test_multi_index, test_suffix_dedup, test_thresholds
 
 
 @pytest.fixture(scope="module")
@@ -40,8 +40,8 @@ def packed(numbers):
     return b"".join(i.to_bytes(4, "little") for i in numbers)
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == list(range(1, 11))
+def test_all_thirteen_are_registered():
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -143,3 +143,8 @@ def test_op9(spark, sf, docs):
     for key, text in docs:
         r = got[key]
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(test_lsh_forest.shingles(text)), want[key], want[key] == key)
+
+
+def test_op12(spark, sf, docs):
+    got = {r["doc_id"]: tuple(r)[1:] for r in run(spark, sf, "op12_multi_index")}
+    assert got == test_multi_index.brute_force(docs)
