@@ -40,7 +40,7 @@ UNKNOWN = "und"
 #: Words a shard counts at a time, words (of the corpus) a prefix range stands for, and ranges at most.
 SHARD_WORDS, RANGE_WORDS, MOST_RANGES = 1 << 20, 1 << 21, 1 << 16
 #: N-grams that wait to be united, distinct words a shard collects, bytes of text in a slice and in a step of it.
-WAITING, DISTINCT, SLICE, STEP = 1 << 21, 1 << 20, 1 << 24, 1 << 19
+WAITING, DISTINCT, SLICE, STEP = 1 << 20, 1 << 18, 1 << 22, 1 << 19
 #: Bitmaps hold 2 ** BITS bits whatever the corpus: 8 MB.
 BITS = 26
 SALTS = 64
@@ -172,10 +172,7 @@ def count_words(rows: DataFrame) -> DataFrame:
         yield flush()
 
     found = rows.mapInArrow(run, "lang string, label long, word string, n long")
-    word = F.when(F.min("word") == F.max("word"), F.min("word")).otherwise(
-        F.raise_error(F.lit("two words have one label")).cast("string")
-    )
-    return found.groupBy("lang", "label").agg(F.sum("n").alias("n"), word.alias("word"))
+    return found.groupBy("lang", "label", "word").agg(F.sum("n").alias("n"))
 
 
 def bitmap(marks: DataFrame) -> np.ndarray:
@@ -447,6 +444,8 @@ def collocations(
         raise ValueError(f"phrases have 2 to {LONGEST} words")
     rows = _rows(docs, text, lang)
     counted = settle(count_words(rows))
+    if not counted.groupBy("label").count().filter("count > 1").isEmpty():
+        raise ValueError("two words have one label")
     totals = settle(counted.groupBy("lang").agg(F.sum("n").alias("n")))
     vocabulary = settle(counted.filter(F.col("n") >= least))
     ranges, cells = ranges_of(vocabulary, range_words)
