@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from paperloom.functions.paths import file_name, suffix
-from paperloom.operators.keys import HOT_ROWS, first_per_key, join_skewed, keep_first_ids
+from paperloom.operators.keys import first_per_key, join_skewed, keep_first_ids
 from paperloom.session import cut
 
 # Container suffixes in matching order, junk names, forbidden characters, depth.
@@ -405,7 +405,7 @@ def dedup_by_hash(
 
 
 def dedup_and_replicate(
-    df: DataFrame, compute: Callable[[DataFrame], DataFrame], id_col: str = "document_id", hot_rows: int | None = HOT_ROWS
+    df: DataFrame, compute: Callable[[DataFrame], DataFrame], id_col: str = "document_id", hot_rows: int | None = None
 ) -> DataFrame:
     """Run `compute` once per distinct content and hand its result to every copy.
 

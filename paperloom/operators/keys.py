@@ -1,19 +1,25 @@
 """Grouping helpers that hold up when one key owns a large share of the rows.
 
 Everything here pre-aggregates before it shuffles. No function sorts, lists or ranks one key's rows
-inside one task, and none drops rows. Joins are plain joins by default: Spark splits a skewed partition
-of either side at run time (`spark.sql.adaptive.skewJoin`), from sizes it has measured anyway. Salting by
-key counts is there for callers that know a key to be hot and where a side is cheap to count.
+inside one task, and none drops rows. Spark splits a skewed partition of a sort-merge join at run time, but
+only where both inputs are plain shuffles. An aggregate by the same key is none, so a join of rows with the
+statistics of their group is salted here, from the counts that the aggregate holds anyway (`join_groups`);
+where the other side is an aggregate without such counts, its caller writes it out first (`cut`). All other
+joins are left to Spark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-HOT_ROWS: int | None = None  # rows of a key from which it is salted; None leaves skew to AQE
-HOT_KEYS = 4_096  # length of the list of salted keys; AQE splits what lies beyond
+HOT_ROWS: int | None = 100_000  # rows of a group from which it is dealt to several tasks; None never
+HOT_KEYS = 4_096  # length of the list of salted keys: a key beyond it has at most 1/4096 of all rows
+
+NULL_SALTS = 1_024
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -50,10 +56,12 @@ def _salted_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Column, how: str, hot: DataFrame
 ) -> DataFrame:
     """Rows of a hot key are dealt to its salts by the hash of `spread`; the right rows of that key are
-    repeated once per salt; all other keys have salt 0. The result is that of the plain join."""
+    repeated once per salt; all other keys have salt 0. Rows with a null key match nothing and are dealt
+    to NULL_SALTS. The result is that of the plain join."""
     hot = F.broadcast(hot)
     of = F.coalesce("_salts", F.lit(1))
-    salted = left.join(hot, list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), of).cast("int"))
+    dealt = F.when(reduce(or_, [F.col(k).isNull() for k in keys]), NULL_SALTS).otherwise(of)
+    salted = left.join(hot, list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), dealt).cast("int"))
     repeated = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), of - 1)))
     return salted.drop("_salts").join(repeated.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
 
@@ -67,8 +75,9 @@ def join_groups(
     how: str = "inner",
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Give every row its group's statistics; `groups` has one row per key and a row count `n`, so that
-    salting (`hot_rows`) needs no count of its own."""
+    """Give every row its group's statistics; `groups` has one row per key and the number `n` of the rows
+    of `rows` with that key. Groups of `hot_rows` rows and more are dealt to one salt per `hot_rows` rows;
+    the list of them, which is broadcast, has HOT_KEYS entries at most."""
     if hot_rows is None:
         return rows.join(groups, list(keys), how)
     return _salted_join(rows, groups, keys, spread, how, hot_keys(groups, keys, hot_rows, n))
@@ -80,10 +89,11 @@ def join_skewed(
     keys: Sequence[str],
     spread: Column,
     how: str = "inner",
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = None,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi-join in which keys of the left side may be hot. Null keys match nothing.
+    """Equi-join in which keys of the left side may be hot. Null keys match nothing. `right` must not be an
+    aggregate by the same keys, or Spark cannot split a hot one (write it out first, or use `join_groups`).
 
     With `hot_rows`, keys of that many rows are salted. They are counted on `counted`, a DataFrame with
     the same keys that is cheap to read, or on `left` itself, which is then evaluated twice.

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.functions.paths import last_segment
 from paperloom.operators.keys import HOT_ROWS, join_groups, join_skewed
+from paperloom.session import cut
 
 # File-name patterns, link types, confidences and thresholds.
 FILENAME_RULES = [
@@ -357,17 +358,20 @@ def link_invoice_orders(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataF
 
 
 def link_reference(
-    df: DataFrame, text: str = "text", own_id: str = "own_id", hot_rows: int | None = HOT_ROWS
+    df: DataFrame, text: str = "text", own_id: str = "own_id", hot_rows: int | None = None
 ) -> DataFrame:
     """A text that names another document's id (J3): document -> first other holder of that id.
 
-    `n_targets` counts all other holders; they share `group_key`, so none is lost.
+    `n_targets` counts all other holders; they share `group_key`, so none is lost. The holders are written
+    out, so that texts are read once; with `hot_rows` the mentions are counted and hot ids salted instead.
     """
     found = F.regexp_extract_all(F.col(text), F.lit(REFERENCE_CANDIDATE), F.lit(0))
     ids = F.array_distinct(F.filter(found, lambda m: m.rlike(REFERENCE_START)))
     mentions = df.select("ord", "path", F.explode(ids).alias("group_key"), F.col(own_id).alias("_own"))
     own = df.select("ord", "path", F.col(own_id).alias("group_key")).filter(F.col("group_key").isNotNull())
     holders = _side_stats(own, "holder")
+    if hot_rows is None:  # Spark splits an id that very many texts mention only if the other side is no aggregate
+        holders = cut(holders)
     joined = join_skewed(mentions, holders, ["group_key"], F.col("ord"), hot_rows=hot_rows)
     holds_it = F.coalesce(F.col("_own") == F.col("group_key"), F.lit(False))
     others = F.col("n_holder") - holds_it.cast("bigint")
@@ -540,7 +544,7 @@ def map_relationships(
     rules = len(FILENAME_RULES)
     single = lambda n: F.array(_hit(F.lit(n), F.col("type"), F.col("evidence"), F.col("confidence"))).alias("hits")
     if "explicit_reference" in detectors:
-        named = threshold(link_reference(df.select("ord", "path", "text", "own_id"), hot_rows=hot_rows), minimum)
+        named = threshold(link_reference(df.select("ord", "path", "text", "own_id")), minimum)
         parts.append(named.select("source", "target", single(rules + 1)))
     if "temporal_correlation" in detectors:
         near = threshold(link_temporal(df.select("ord", "path", "block", "date"), "block", "date"), minimum)

@@ -47,7 +47,7 @@ def link_semantic(
 
 
 def score_edges(
-    edges: DataFrame, vectors: DataFrame, doc: str = "path", vector: str = "embedding", hot_rows: int | None = HOT_ROWS
+    edges: DataFrame, vectors: DataFrame, doc: str = "path", vector: str = "embedding", hot_rows: int | None = None
 ) -> DataFrame:
     """Cosine along the edges another detector found (source, target); a source with very many edges,
     as the first document of a big group has, is split over tasks."""

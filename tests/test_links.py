@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators import graph, keys, link, matching
+from paperloom.operators import graph, keys, link, matching, semantic
 
 NAMES = ["a/INV-001.pdf", "b/INV_001.pdf", "c/PO-001.pdf", "d/inv-001.pdf", "e/INV001x.pdf", "x_part1.pdf", "x-part-2.pdf",
          "invoice-7.pdf", "f/invoice_7_part1.pdf", "g/INV-001_part3.pdf", "plain.pdf", "a/INV-002.pdf"]
@@ -314,3 +314,87 @@ def test_detectors_are_checked(spark):
     longer = spark.createDataFrame([(0, "a", list("abcdefghi"))], df.schema)
     with pytest.raises(Exception, match="more than 8 entities"):
         link.map_relationships(longer).collect()
+
+
+def tasks_of_hot_rows(joined, hot):
+    """In how many partitions the rows of a hot key are after the join, and the executed plan."""
+    where = joined.filter(hot).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    return len(where)
+
+
+def hot_members(spark, n=4000):
+    """80 % of the rows have one key."""
+    key = F.when(F.col("id") % 5 < 4, F.lit("hot")).otherwise(F.col("id").cast("string"))
+    return spark.range(n).select(
+        F.lit("t").alias("type"), key.alias("group_key"), F.col("id").alias("ord"), F.concat(F.lit("p"), F.col("id")).alias("path"),
+        F.lit(0.9).alias("confidence"), F.lit("e").alias("evidence"),
+    )
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Joins as at scale: by shuffle, and partitions above some kilobytes count as skewed."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_group_is_split(spark, shuffled):
+    """Joins of rows with their group's statistics deal a hot group to several tasks, and joins that are left
+    to Spark show its split in the final plan."""
+    members = hot_members(spark)
+    edges = link.spanning_edges(members, hot_rows=200)
+    assert edges.count() == 3199
+    assert tasks_of_hot_rows(edges, F.col("group_key") == "hot") > 4
+
+    hub = spark.range(1, 3000).select(F.lit(0).cast("long").alias("source"), F.col("id").alias("target"))
+    stars = hub.select(F.col("target").alias("u"), F.col("source").alias("v"))
+    both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    pointed = graph._with_minima(both, graph._minima(both), 200)
+    assert tasks_of_hot_rows(pointed, F.col("u") == 0) > 4
+    assert graph.connected(hub, hot_rows=50).filter("cluster = 0").count() == 3000
+
+    vectors = members.select("group_key", "path", F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    scored = semantic.group_similarity(vectors, "group_key", "path", hot_rows=200)
+    assert tasks_of_hot_rows(scored, F.col("group_key") == "hot") > 4
+
+    docs = members.select(F.concat("path", F.lit("-id")).alias("document_id"), F.col("group_key").alias("file_hash"))
+    results = spark.range(2000).select(F.col("id").cast("string").alias("file_hash"), F.lit("2024-01-02").cast("timestamp").alias("processed_at"))
+    new = matching.only_new(docs, results, F.lit("2024-01-03").cast("timestamp"))
+    assert "skew=true" in final_plan(new)
+    assert new.count() == 3200 + 400
+
+    texts = members.select("ord", "path", F.lit("see INV-7").alias("text"), F.concat(F.lit("INV-"), F.col("ord")).alias("own_id"))
+    assert "skew=true" in final_plan(link.link_reference(texts))
+
+
+def test_invoices_of_one_vendor_and_day_are_split(spark, shuffled):
+    vendor = F.when(F.col("id") % 5 == 0, F.lit(None).cast("string")).otherwise("v")
+    invoices = spark.range(3000).select(
+        F.concat(F.lit("i"), F.col("id")).alias("path"), F.struct(vendor.alias("name")).alias("vendor"),
+        F.struct(F.lit("2024-03-01").cast("date").alias("invoice_date")).alias("metadata"),
+    )
+    agreements = spark.sql(
+        "SELECT named_struct('agreement_id', 'a', 'effective_date', date'2024-01-01', 'expiry_date', date'2024-12-31') AS metadata,"
+        " array(named_struct('name', 'v')) AS parties"
+    )
+    found = matching.contract_asof(invoices, agreements, hot_rows=100)
+    assert found.filter("agreement_id = 'a'").count() == 2400 and found.count() == 3000
+    assert tasks_of_hot_rows(found, F.col("vendor") == "v") > 4
+    assert tasks_of_hot_rows(found, F.col("vendor").isNull()) > 4
