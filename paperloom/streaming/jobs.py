@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from paperloom.operators import classify as kl
 from paperloom.operators import link, scoring, validate
@@ -18,8 +20,12 @@ TTL_HOURS = 168
 EXPORT_SECONDS = 60
 FAILURE_THRESHOLD = 5
 FAILURE_WINDOW = "60 seconds"
+FAILURE_SECONDS = 60
 FAILURE_SLIDE = "10 seconds"
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def classify_stream(files: DataFrame, routing: kl.Routing | None = None) -> DataFrame:
     """Classify and route every arriving file (R1), as a batch does; stateless, so it needs no watermark."""
@@ -75,7 +81,7 @@ def quality_alerts(stream: DataFrame, limit: float = scoring.ALERT_BELOW) -> Dat
     return scoring.quality(stream, limit).filter("alert")
 
 
-def failure_bursts(
+def failure_windows(
     stream: DataFrame,
     failed: Column,
     source: str = "source",
@@ -85,7 +91,8 @@ def failure_bursts(
     minimum: int = FAILURE_THRESHOLD,
     late: str = "5 minutes",
 ) -> DataFrame:
-    """Sources with at least `minimum` failures inside a sliding window."""
+    """Sliding windows of a fixed grid with at least `minimum` failures of a source: a running view. A burst
+    across the grid is seen by no window; `failure_bursts` finds every one."""
     return (
         stream.withWatermark(ts, late)
         .filter(failed)
@@ -96,6 +103,151 @@ def failure_bursts(
     )
 
 
+def failure_bursts(
+    events: DataFrame,
+    failed: Column,
+    source: str = "source",
+    ts: str = "ts",
+    seconds: int = FAILURE_SECONDS,
+    minimum: int = FAILURE_THRESHOLD,
+    late: str = "5 minutes",
+) -> DataFrame:
+    """Bursts of failures (R5): source, burst_start, burst_end, failures; of a stream or of a batch.
+
+    `minimum` failures of a source in a row of which the last comes less than `seconds` after the first are a
+    span, wherever it begins. Spans that overlap or touch are one burst, which is reported once, with all
+    failures from its start to its end. Events without a source or a time are left out.
+    """
+    seen = events.withWatermark(ts, late) if events.isStreaming else events
+    wanted = seen.filter(failed & F.col(source).isNotNull() & F.col(ts).isNotNull())
+    rows = wanted.select(F.col(source).alias("source"), F.col(ts).alias("ts"))
+    return (_bursts_of_stream if events.isStreaming else _bursts_of_batch)(rows, seconds, minimum)
+
+
+BLOCK_WINDOWS = 64
+
+
+def _islands(spans: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Overlapping or touching spans (start, end) of one key as one."""
+    order = Window.partitionBy(*by).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
+    numbered = spans.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(order))
+    return numbered.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+
+
+def _bursts_of_batch(rows: DataFrame, seconds: int, minimum: int) -> DataFrame:
+    """In blocks of BLOCK_WINDOWS windows: a block also sees the last window of the block before it, so that
+    no task sorts more than a block of one source; only the blocks' few bursts then meet per source."""
+    width = seconds * 1_000_000
+    size = width * BLOCK_WINDOWS
+    us = F.unix_micros("ts")
+    timed = rows.groupBy("source", us.alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    block = F.floor(F.col("t") / size)
+    seen = F.when(F.pmod("t", F.lit(size)) >= size - width, F.array(block, block + 1)).otherwise(F.array(block))
+    # equal times are one row; of n equal ones as many count as a span can need
+    each = F.explode(F.sequence(F.lit(1), F.least("n", F.lit(minimum).cast("long")).cast("int")))
+    shown = timed.select("source", "t", "n", block.alias("own"), F.explode(seen).alias("block"))
+    ordered = shown.select("source", "block", "t", "own", each.alias("i"))
+    before = F.lag("t", minimum - 1).over(Window.partitionBy("source", "block").orderBy("t", "i"))
+    spans = ordered.withColumn("start", before).filter((F.col("own") == F.col("block")) & (F.col("t") - F.col("start") < width))
+    per_block = _islands(spans.select("source", "block", "start", F.col("t").alias("end")), ["source", "block"])
+    bursts = _islands(per_block.select("source", "start", "end"), ["source"])
+    blocks = F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(F.col("end") / size))).alias("own")
+    found = bursts.select("source", "start", "end", blocks).join(timed.select("source", "t", "n", block.alias("own")), ["source", "own"])
+    counted = found.filter(F.col("t").between(F.col("start"), F.col("end"))).groupBy("source", "start", "end").agg(F.sum("n").alias("failures"))
+    return counted.select("source", F.timestamp_micros("start").alias("burst_start"), F.timestamp_micros("end").alias("burst_end"), "failures")
+
+
+class _Bursts(StatefulProcessor):
+    """Per source: failures that wait for the watermark, the last few before it, and the open burst. Times are
+    microseconds; equal ones are one entry with their number. A burst is reported when the watermark is so
+    far that nothing can join it."""
+
+    def __init__(self, width: int, minimum: int):
+        self.width, self.minimum = width, minimum
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        entries = "array<struct<t:long,n:long>>"
+        self.state = handle.getValueState("bursts", f"waiting {entries}, recent {entries}, start long, end long, failures long")
+
+    def _load(self) -> tuple:
+        if not self.state.exists():
+            return {}, [], None
+        waiting, recent, start, end, failures = self.state.get()
+        return dict(map(tuple, waiting)), list(map(tuple, recent)), None if start is None else (start, end, failures)
+
+    def _store(self, waiting: dict, recent: list, burst: tuple | None) -> None:
+        self.state.update((sorted(waiting.items()), recent, *(burst or (None, None, None))))
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        waiting, recent, burst = self._load()
+        for frame in rows:
+            times = frame["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+            for t, n in zip(*np.unique(times, return_counts=True), strict=True):
+                waiting[int(t)] = waiting.get(int(t), 0) + int(n)
+        self._store(waiting, recent, burst)
+        self.handle.registerTimer(min(waiting) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting, recent, burst = self._load()
+        out = []
+        for t in sorted(x for x in waiting if x < now):
+            recent.append((t, waiting.pop(t)))
+            start = self._span(recent)
+            if start is not None:
+                if burst and start <= burst[1]:
+                    burst = (burst[0], t, burst[2] + sum(n for x, n in recent if x > burst[1]))
+                else:
+                    out += [burst] if burst else []
+                    burst = (start, t, sum(n for x, n in recent if x >= start))
+            while len(recent) > 1 and sum(n for _, n in recent[1:]) >= self.minimum - 1:
+                recent.pop(0)
+        if burst and burst[1] + self.width <= now:
+            out.append(burst)
+            burst = None
+        next_due = [min(waiting) // 1000 + 1] if waiting else []
+        next_due += [-(-(burst[1] + self.width) // 1000)] if burst else []
+        for due in next_due:
+            self.handle.registerTimer(due)
+        self._store(waiting, recent, burst)
+        if out:
+            times = [np.array([b[i] for b in out], "datetime64[us]") for i in (0, 1)]
+            columns = {"source": [key[0]] * len(out), "burst_start": times[0], "burst_end": times[1]}
+            yield pd.DataFrame({**columns, "failures": [b[2] for b in out]})
+
+    def _span(self, recent: list) -> int | None:
+        """Where the widest span begins that ends with a failure of the last entry."""
+        t, n = recent[-1]
+        for j in range(1, min(n, self.minimum) + 1):
+            need, start = self.minimum - j, t
+            for x, m in reversed(recent[:-1]):
+                if need <= 0:
+                    break
+                need, start = need - m, x
+            if need <= 0 and t - start < self.width:
+                return start
+        return None
+
+    def close(self) -> None:
+        pass
+
+
+def _bursts_of_stream(rows: DataFrame, seconds: int, minimum: int) -> DataFrame:
+    """State per source with timers in event time; needs the RocksDB state store, which is set here."""
+    rows.sparkSession.conf.set(STATE_STORE, ROCKS_DB)
+    kind = rows.schema["source"].dataType.simpleString()
+    return rows.groupBy("source").transformWithStateInPandas(
+        statefulProcessor=_Bursts(seconds * 1_000_000, minimum),
+        outputStructType=f"source {kind}, burst_start timestamp, burst_end timestamp, failures long",
+        outputMode="append",
+        timeMode="eventTime",
+    )
+
+
 STORE_BUCKETS = 64
 Members = Callable[[DataFrame], DataFrame]
 

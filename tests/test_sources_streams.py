@@ -1,4 +1,5 @@
 import datetime
+import random
 import json
 
 import pytest
@@ -109,11 +110,68 @@ def test_metrics_equal_the_batch_result(spark, tmp_path):
     assert key(got) == key(batch)
 
 
-def test_failure_bursts_need_five_in_a_minute(spark):
-    t = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
-    rows = [(t(s), "a", True) for s in (1, 2, 3, 4, 5)] + [(t(s), "b", True) for s in (1, 2, 3, 4)] + [(t(5), "b", False)]
+def at(seconds):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=seconds)
+
+
+def test_failure_windows_need_five_in_a_minute(spark):
+    rows = [(at(s), "a", True) for s in (1, 2, 3, 4, 5)] + [(at(s), "b", True) for s in (1, 2, 3, 4)] + [(at(5), "b", False)]
+    df = spark.createDataFrame(rows, "ts TIMESTAMP, source STRING, failed BOOLEAN")
+    assert {r["source"] for r in jobs.failure_windows(df, F.col("failed")).collect()} == {"a"}
+
+
+def bursts_by_hand(rows, seconds=60, minimum=5):
+    by_source = {}
+    for t, source, failed in rows:
+        if failed and source is not None and t is not None:
+            by_source.setdefault(source, []).append(t)
+    out = []
+    for source, times in by_source.items():
+        times.sort()
+        spans = [(times[i - minimum + 1], times[i]) for i in range(minimum - 1, len(times))]
+        merged = []
+        for a, b in sorted(s for s in spans if (s[1] - s[0]).total_seconds() < seconds):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        out += [(source, a, b, sum(a <= t <= b for t in times)) for a, b in merged]
+    return sorted(out)
+
+
+def burst_rows():
+    random.seed(4)
+    rows = [(at(s), "edge", True) for s in (9, 20, 30, 40, 65)] + [(at(s), "wide", True) for s in (0, 20, 30, 40, 60)]
+    rows += [(at(s), "ties", True) for s in (9, 9, 9, 200, 200, 200, 200, 200, 259.9, 500)]
+    for source, step in (("slow", 40), ("fast", 9), ("mixed", 14)):
+        t = 0.0
+        for _ in range(400):
+            t += random.expovariate(1 / step)
+            rows.append((at(round(t, random.choice([0, 3, 6]))), source, random.random() < 0.9))
+    rows += [(at(s / 10), "hot", True) for s in range(1500)] + [(None, "edge", True), (at(10), None, True)]
+    return rows
+
+
+def test_failure_bursts_wherever_they_begin(spark):
+    rows = burst_rows()
     df = spark.createDataFrame(rows, "ts TIMESTAMP, source STRING, failed BOOLEAN")
-    assert {r["source"] for r in jobs.failure_bursts(df, F.col("failed")).collect()} == {"a"}
+    want = bursts_by_hand(rows)
+    assert ("edge", at(9), at(65), 5) in want and not [w for w in want if w[0] == "wide"]
+    assert sorted(map(tuple, jobs.failure_bursts(df, F.col("failed")).collect())) == want
+    assert jobs.failure_bursts(df.limit(0), F.col("failed")).collect() == []
+
+
+def test_failure_bursts_of_a_stream(spark, tmp_path):
+    """Events in several batches, out of order within the allowed lateness."""
+    rows = sorted((r for r in burst_rows() if None not in r), key=lambda r: r[0])
+    random.seed(6)
+    rows = sorted(rows, key=lambda r: r[0] + datetime.timedelta(seconds=random.uniform(0, 200)))
+    size = len(rows) // 6
+    batches = [rows[i * size : (i + 1) * size] for i in range(5)] + [rows[5 * size :], [(at(40_000), "end", True)]]
+    stream = parquet_stream(spark, tmp_path, batches, "ts TIMESTAMP, source STRING, failed BOOLEAN")
+    found = jobs.failure_bursts(stream, F.col("failed"), late="10 minutes")
+    out = jobs.run_available(found, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert sorted(map(tuple, out.collect())) == bursts_by_hand(rows)
 
 
 def test_linking_batches_is_complete_and_repeatable(spark, tmp_path):

@@ -13,7 +13,7 @@ from paperloom.operators import classify as kl
 from paperloom.operators import extract, link, semantic
 from paperloom.plans import insights as ins
 from paperloom.plans import pipeline
-from paperloom.session import checkpoint_dir
+from paperloom.session import checkpoint_dir, cut
 from paperloom.streaming import jobs
 from workload import inputs
 from workload.oracle_inputs import oracle
@@ -95,7 +95,7 @@ def stream_dedup(spark, sf_dir):
 
 
 @query(
-    "failure_bursts",
+    "failure_windows",
     oracle(
         """
 SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, source, count(*) AS failures
@@ -105,13 +105,49 @@ GROUP BY w, source
 HAVING count(*) >= 5 AND w + INTERVAL 6 HOURS <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 5 MINUTES FROM events)"""
     ),
 )
-def failure_bursts(spark, sf_dir):
+def failure_windows(spark, sf_dir):
     """Six-hour windows every hour, as the test events are far apart."""
     stream = _events(spark, sf_dir).withColumn("source", F.col("user_id") % 10)
-    out = _run(spark, jobs.failure_bursts(stream, F.col("event_type") == "error", window="6 hours", slide="1 hour"))
+    out = _run(spark, jobs.failure_windows(stream, F.col("event_type") == "error", window="6 hours", slide="1 hour"))
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "source", "failures")
 
 
+@query(
+    "failure_bursts",
+    oracle(
+        """
+WITH f AS (SELECT user_id % 10 AS source, ts FROM events WHERE event_type = 'error'
+           UNION ALL SELECT 100 + i, date_trunc('day', (SELECT min(ts) FROM events)) + to_days(CAST(i AS INTEGER)) + to_minutes(m)
+           FROM range(0, 3) AS x(i), (VALUES (54), (120), (180), (240), (390)) AS v(m)),
+s AS (SELECT source, ts, lag(ts, 4) OVER (PARTITION BY source ORDER BY ts) AS start FROM f),
+h AS (SELECT source, start, ts AS stop, max(ts) OVER (PARTITION BY source ORDER BY start, ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+      FROM s WHERE ts - start < INTERVAL 6 HOUR),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY start, stop) AS island FROM h),
+b AS (SELECT source, min(start) AS burst_start, max(stop) AS burst_end FROM i GROUP BY source, island)
+SELECT b.source, strftime(b.burst_start, '%Y-%m-%d %H:%M:%S') AS burst_start, strftime(b.burst_end, '%Y-%m-%d %H:%M:%S') AS burst_end,
+       count(*) AS failures
+FROM b JOIN f ON f.source = b.source AND f.ts BETWEEN b.burst_start AND b.burst_end
+WHERE b.burst_end + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 5 MINUTES FROM events)
+GROUP BY ALL"""
+    ),
+)
+def failure_bursts(spark, sf_dir):
+    """Five errors within six hours, as the test events are far apart; with three sources of five errors each
+    that lie across any grid of an hour (the offsets 9, 20, 30, 40, 65 of a minute's window, six minutes each)."""
+    events = inputs.table(spark, sf_dir, "events")
+    start = events.agg(F.date_trunc("day", F.min("ts")).alias("t0"))
+    minutes = F.explode(F.array(*[F.lit(m) for m in (54, 120, 180, 240, 390)])).alias("m")
+    planted = start.select("t0", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("i"), minutes)
+    at = F.expr("t0 + make_dt_interval(i, 0, m, 0)").cast("timestamp").alias("ts")
+    planted = planted.select((100 + F.col("i")).cast("bigint").alias("source"), at, F.lit("error").alias("event_type"))
+    own = events.select((F.col("user_id") % 10).alias("source"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    arriving = cut(own.unionByName(planted))
+    stream = spark.readStream.schema(arriving.schema).parquet(arriving.inputFiles()[0].rsplit("/", 1)[0])
+    out = _run(spark, jobs.failure_bursts(stream, F.col("event_type") == "error", seconds=6 * 3600))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("source", shown("burst_start"), shown("burst_end"), "failures")
+
+
 @query(
     "quality_alerts",
     oracle(
