@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.functions.paths import last_segment
 from paperloom.operators.keys import HOT_ROWS, join_groups, join_skewed
+from paperloom.operators.set_join import link_long_lists
 from paperloom.session import cut
 
 # File-name patterns, link types, confidences and thresholds.
@@ -46,7 +47,7 @@ REFERENCE_START = r"^(?:INV|PO|AGR)-"
 AMOUNT_CONFIDENCE = 0.8
 PERIOD_CONFIDENCE = 0.5
 TEMPORAL_DAYS = 30
-MAX_ENTITIES = 8  # longer entity lists are refused: a list has up to 2**n subsets
+SUBSET_ENTITIES = 8  # up to here lists are linked in groups by common subsets, beyond by an exact join of lists
 # Columns that a detector needs beside `ord` and `path`.
 NEEDS = {
     "filename_pattern": [],
@@ -227,15 +228,16 @@ def pairs_of(members: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def entity_keys(entities: Column, minimum: float, inclusive: bool = True) -> Column:
-    """Keys such that two documents share one exactly if their overlap score reaches `minimum` (or, not
-    `inclusive`, exceeds it).
+    """Keys such that two documents of at most SUBSET_ENTITIES entities share one exactly if their overlap
+    score reaches `minimum` (or, not `inclusive`, exceeds it). Longer lists have none: their links, to short
+    lists as well, are those of `link_long_lists`.
 
     A pair whose longer list has m entities needs r(m) common ones. A list of n entities gives every
     subset of its distinct entities with at least r(n) members. Two lists with a common subset of size r
     are both short enough for r to suffice, and a pair that reaches the score has such a subset.
     """
     enough = lambda r, n: r / n >= minimum - 1e-12 if inclusive else r / n > minimum + 1e-12
-    least = [next(r for r in range(1, n + 1) if r == n or enough(r, n)) for n in range(1, MAX_ENTITIES + 1)]
+    least = [next(r for r in range(1, n + 1) if r == n or enough(r, n)) for n in range(1, SUBSET_ENTITIES + 1)]
     unique = F.array_sort(F.array_distinct(entities))
     subsets = F.aggregate(
         unique,
@@ -244,28 +246,39 @@ def entity_keys(entities: Column, minimum: float, inclusive: bool = True) -> Col
     )
     needed = F.element_at(F.array(*[F.lit(r) for r in least]), F.size(entities))
     keys = F.transform(F.filter(subsets, lambda x: F.size(x) >= needed), lambda x: F.concat(F.lit("entities:"), F.to_json(x)))
-    too_long = F.raise_error(F.lit(f"a document has more than {MAX_ENTITIES} entities")).cast("array<string>")
-    return (
-        F.when(F.size(entities) > MAX_ENTITIES, too_long)
-        .when(F.size(entities) > 0, keys)
-        .otherwise(F.array().cast("array<string>"))
-    )
+    return F.when(F.size(entities).between(1, SUBSET_ENTITIES), keys).otherwise(F.array().cast("array<string>"))
+
+
+def _linked_by_entities(df: DataFrame, minimum: float, inclusive: bool) -> DataFrame | None:
+    """Links (first, other) of lists above SUBSET_ENTITIES, or None where there are no such lists."""
+    if df.filter(F.size("entities") > SUBSET_ENTITIES).isEmpty():
+        return None
+    return link_long_lists(df, SUBSET_ENTITIES, minimum, inclusive)
 
 
 def link_entities(df: DataFrame, entities: str = "entities", hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Documents whose overlap score exceeds 0.3 (J4), as spanning edges: from the first document of every
-    group that shares enough entities to each other one. Every two members of a group are related."""
-    listed = df.select("ord", "path", F.col(entities).alias("entities"), F.lit("shared_entities").alias("type"))
-    members = listed.withColumn("group_key", F.explode(entity_keys(F.col("entities"), ENTITY_MIN_SCORE, False)))
+    """Documents whose overlap score exceeds 0.3 (J4), lists of any length.
+
+    Short lists give spanning edges: from the first document of every group that shares enough entities to
+    each other one; every two members of a group are related. Links of longer lists are found by an exact join
+    (`set_join`) and written between the first documents of every two different lists.
+    """
+    listed = df.select("ord", "path", F.col(entities).alias("entities"))
+    keys = F.explode(entity_keys(F.col("entities"), ENTITY_MIN_SCORE, False)).alias("group_key")
+    members = listed.select("*", F.lit("shared_entities").alias("type"), keys)
     stats = group_stats(members, ["entities"])
-    joined = join_groups(members, stats, GROUP, F.col("ord"), hot_rows=hot_rows)
-    mine, theirs = F.col("entities"), F.col("first.entities")
-    edges = joined.filter(F.col("ord") != F.col("first.ord")).select(
+    joined = join_groups(members, stats, GROUP, F.col("ord"), hot_rows=hot_rows).filter(F.col("ord") != F.col("first.ord"))
+    found = joined.select("first", F.struct("ord", "path", "entities").alias("other"))
+    longer = _linked_by_entities(listed, ENTITY_MIN_SCORE, False)
+    if longer is not None:
+        found = found.unionByName(longer)
+    mine, theirs = F.col("other.entities"), F.col("first.entities")
+    edges = found.select(
         F.col("first.ord").alias("source_ord"),
-        F.col("ord").alias("target_ord"),
+        F.col("other.ord").alias("target_ord"),
         F.col("first.path").alias("source"),
-        F.col("path").alias("target"),
-        "type",
+        F.col("other.path").alias("target"),
+        F.lit("shared_entities").alias("type"),
         overlap_score(theirs, mine).alias("confidence"),
         entity_evidence(theirs, mine).alias("evidence"),
     )
@@ -571,21 +584,28 @@ def _group_hits(df: DataFrame, detectors: Sequence[str], minimum: float, hot_row
     joined = join_groups(members, stats, GROUP, F.col("ord"), hot_rows=hot_rows).filter(
         F.col("ord") != F.col("first.ord")
     )
+    doc = ("ord", "path", "names", "entities")
+    found = joined.select(F.struct(*[F.col(f"first.{c}").alias(c) for c in doc]).alias("first"), F.struct(*doc).alias("other"))
+    if "entity_matching" in detectors:
+        inclusive = minimum > ENTITY_MIN_SCORE
+        longer = _linked_by_entities(keyed.select(*doc), minimum if inclusive else ENTITY_MIN_SCORE, inclusive)
+        if longer is not None:
+            found = found.unionByName(longer)
     by_name = F.transform(
-        F.array_intersect("first.names", "names"),
+        F.array_intersect("first.names", "other.names"),
         lambda h: _hit(
             h["rule"], h["type"], F.concat(F.lit("Filename pattern match: "), h["key"]), F.lit(FILENAME_CONFIDENCE)
         ),
     )
-    score = overlap_score(F.col("first.entities"), F.col("entities"))
-    evidence = entity_evidence(F.col("first.entities"), F.col("entities"))
+    score = overlap_score(F.col("first.entities"), F.col("other.entities"))
+    evidence = entity_evidence(F.col("first.entities"), F.col("other.entities"))
     hit = _hit(F.lit(len(FILENAME_RULES) + 2), F.lit("shared_entities"), evidence, score)
     by_entity = F.array_compact(F.array(F.when((score > ENTITY_MIN_SCORE) & (score >= minimum), hit)))
-    edges = joined.select(
+    edges = found.select(
         F.col("first.ord").alias("source_ord"),
-        F.col("ord").alias("target_ord"),
+        F.col("other.ord").alias("target_ord"),
         F.col("first.path").alias("source"),
-        F.col("path").alias("target"),
+        F.col("other.path").alias("target"),
         F.concat(by_name, by_entity).alias("hits"),
     )
     return edges.dropDuplicates(["source_ord", "target_ord"]).select("source", "target", "hits")

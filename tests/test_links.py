@@ -311,9 +311,6 @@ def test_detectors_are_checked(spark):
     long = spark.createDataFrame([(0, "a", list("abc"))], df.schema)
     with pytest.raises(Exception, match="listed, not counted"):
         link.relationship_degrees(long).collect()
-    longer = spark.createDataFrame([(0, "a", list("abcdefghi"))], df.schema)
-    with pytest.raises(Exception, match="more than 8 entities"):
-        link.map_relationships(longer).collect()
 
 
 def tasks_of_hot_rows(joined, hot):
@@ -398,3 +395,44 @@ def test_invoices_of_one_vendor_and_day_are_split(spark, shuffled):
     assert found.filter("agreement_id = 'a'").count() == 2400 and found.count() == 3000
     assert tasks_of_hot_rows(found, F.col("vendor") == "v") > 4
     assert tasks_of_hot_rows(found, F.col("vendor").isNull()) > 4
+
+
+def score(a, b):
+    return len(set(a) & set(b)) / max(len(a), len(b), 1)
+
+
+@pytest.mark.parametrize("minimum", [0.3, 0.6])
+def test_long_entity_lists_equal_brute_force(spark, minimum):
+    """Lists of 1 to 200 entities: popular ones in all, copies, repeats inside a list, short next to long."""
+    random.seed(int(minimum * 10))
+    lists = [[], ["x"], ["x"] * 30, ["x", "y"] * 7]
+    for family in range(14):
+        n = random.choice([3, 7, 8, 9, 10, 12, 20, 60, 200])
+        base = ["x", "y"][: family % 3] + [f"f{family // 2}-{i}" for i in range(n)]
+        for _ in range(9):
+            own = [e for e in base if random.random() < random.choice([0.3, 0.6, 0.9, 1])]
+            own += [f"r{random.random()}" for _ in range(random.choice([0, 0, 2, n // 2]))] + own[: random.choice([0, 0, 3])]
+            random.shuffle(own)
+            lists += [own] * random.choice([1, 1, 2])
+    rows = [(i, f"p{i}", entities) for i, entities in enumerate(lists)]
+    df = spark.createDataFrame(rows, "ord BIGINT, path STRING, entities ARRAY<STRING>").repartition(5)
+    enough = (lambda s: s > 0.3 + 1e-9) if minimum == 0.3 else (lambda s: s >= minimum - 1e-9)
+    edges = link.link_entities(df) if minimum == 0.3 else link.map_relationships(df, ["entity_matching"], minimum=minimum)
+    got = {}
+    for e in edges.collect():
+        s, t = int(e["source"][1:]), int(e["target"][1:])
+        assert s < t and e["confidence"] == pytest.approx(score(lists[s], lists[t])) and enough(e["confidence"])
+        assert (s, t) not in got
+        got[s, t] = e["confidence"]
+    first = {}
+    for i, x in enumerate(lists):
+        first.setdefault((tuple(sorted(set(x))), len(x)), i)
+    of = [first[tuple(sorted(set(x))), len(x)] for x in lists]
+    linked = [(s, t) for s, t in itertools.combinations(range(len(lists)), 2) if enough(score(lists[s], lists[t]))]
+    long = lambda i: len(lists[i]) > link.SUBSET_ENTITIES
+    wanted = {(min(of[s], of[t]), max(of[s], of[t])) for s, t in linked if (long(s) or long(t)) and of[s] != of[t]}
+    wanted |= {(of[i], i) for i in range(len(lists)) if of[i] != i and long(i) and enough(score(lists[i], lists[i]))}
+    assert wanted <= set(got)
+    assert all(not long(s) and not long(t) for s, t in set(got) - wanted)
+    components = lambda pairs: sorted(map(tuple, graph.connected(spark.createDataFrame(list(pairs), "source long, target long")).collect()))
+    assert components(linked) == components(got)

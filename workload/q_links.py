@@ -338,6 +338,44 @@ def entity_lists(spark, sf_dir):
     return link.map_relationships(docs, ["entity_matching"]).select("source", "target", "confidence", "evidence")
 
 
+LONG_LISTS = {
+    "numbered": """
+SELECT c_custkey AS ord, 'c/' || c_custkey AS path, c_custkey // 4 AS g,
+       CASE WHEN c_custkey // 4 % 5 = 0 AND c_custkey % 4 = 1 THEN 0 ELSE c_custkey % 4 END AS j FROM customer""",
+    "lists": """
+SELECT ord, path, list_prepend('ALL', list_transform(range(0, 8 + g % 42 + j), lambda i:
+       CASE WHEN i % 10 < 2 * j THEN 'K' || ord || '-' || i ELSE 'G' || g || '-' || i END)) AS ents FROM numbered""",
+    "profiles": "SELECT list_sort(ents) AS u, min(ord) AS first FROM lists GROUP BY ALL",
+    "linked": """
+SELECT p.first AS s, l.ord AS t FROM lists l JOIN profiles p ON list_sort(l.ents) = p.u WHERE l.ord <> p.first
+UNION ALL SELECT a.first, b.first FROM profiles a JOIN profiles b
+ON a.first < b.first AND len(list_intersect(a.u, b.u)) >= 0.6 * greatest(len(a.u), len(b.u))""",
+}
+
+
+@query(
+    "entity_long_lists",
+    oracle(
+        """
+SELECT a.path AS source, b.path AS target, len(list_intersect(a.ents, b.ents)) / greatest(len(a.ents), len(b.ents)) AS confidence,
+       'Common entities: ' || array_to_string(list_sort(list_intersect(a.ents, b.ents))[1:5], ', ') AS evidence
+FROM linked JOIN lists a ON a.ord = s JOIN lists b ON b.ord = t""",
+        extra=LONG_LISTS,
+    ),
+)
+def entity_long_lists(spark, sf_dir):
+    """Relationships by entity lists of nine to 53 names: equal ones, similar ones, and a name that all share."""
+    k = F.col("c_custkey").cast("int")
+    g = F.floor(k / 4).cast("int")
+    j = F.when((g % 5 == 0) & (k % 4 == 1), 0).otherwise(k % 4)
+    name = lambda i: F.when(i % 10 < 2 * j, F.concat(F.lit("K"), k, F.lit("-"), i)).otherwise(F.concat(F.lit("G"), g, F.lit("-"), i))
+    docs = inputs.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("ord"), F.concat(F.lit("c/"), k).alias("path"),
+        F.concat(F.array(F.lit("ALL")), F.transform(F.sequence(F.lit(0), 7 + g % 42 + j), name)).alias("entities"),
+    )
+    return link.map_relationships(docs, ["entity_matching"]).select("source", "target", "confidence", "evidence")
+
+
 FOUR = {
     "docs": """
 SELECT o_orderkey AS ord, 'a/' || o_orderkey || '/INV-' || (o_orderkey // 3) || '.pdf' AS path, o_custkey AS cust,
