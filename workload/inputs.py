@@ -106,7 +106,7 @@ AGREEMENT_TYPES = ["NDA", "MSA", "SOW", "SLA", "License", "Partnership", "Employ
 
 
 def agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three contracts per supplier with staggered intervals; some single-party, some reversed."""
+    """Three contracts per supplier with staggered intervals; some single-party, reversed or without an end."""
     base = table(spark, sf_dir, "supplier").select(
         "s_suppkey", "s_name", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("slot")
     )
@@ -114,7 +114,9 @@ def agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     effective = F.date_add(F.lit("1995-01-01").cast("date"), ((key * 37 + slot * 700) % 2000).cast("int"))
     dated = base.withColumn("effective_date", effective).withColumn(
         "expiry_date",
-        F.when((key * 3 + slot) % 11 == 0, F.date_sub("effective_date", 10)).otherwise(
+        F.when((key * 3 + slot) % 11 == 0, F.date_sub("effective_date", 10))
+        .when((key * 3 + slot) % 7 == 5, F.lit("9999-12-31").cast("date"))
+        .otherwise(
             F.date_add("effective_date", (365 * (1 + (key + slot) % 6)).cast("int"))
         ),
     )

@@ -66,6 +66,7 @@ SELECT k * 3 + slot AS ord, 'AGR-' || k || '-' || slot AS agreement_id,
          AS agreement_type,
        effective_date,
        CASE WHEN (k * 3 + slot) % 11 = 0 THEN effective_date - 10
+            WHEN (k * 3 + slot) % 7 = 5 THEN DATE '9999-12-31'
             ELSE effective_date + CAST(365 * (1 + (k + slot) % 6) AS INTEGER) END AS expiry_date,
        vendor, 'Customer#' || lpad(CAST(k * 10 AS VARCHAR), 9, '0') AS client, (k + slot) % 9 = 4 AS single_party,
        CAST(((k * 7919 + slot * 104729) % 40 + 1) * 1000000 AS DECIMAL(18,2)) AS cap
