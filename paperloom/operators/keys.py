@@ -3,9 +3,9 @@
 Everything here pre-aggregates before it shuffles. No function sorts, lists or ranks one key's rows
 inside one task, and none drops rows. Spark splits a skewed partition of a sort-merge join at run time, but
 only where both inputs are plain shuffles. An aggregate by the same key is none, so a join of rows with the
-statistics of their group is salted here, from the counts that the aggregate holds anyway (`join_groups`);
-where the other side is an aggregate without such counts, its caller writes it out first (`cut`). All other
-joins are left to Spark.
+statistics of their group writes these out first and salts hot groups from the counts that they hold anyway
+(`join_groups`); where the other side is an aggregate without such counts, its caller writes it out (`cut`).
+All other joins are left to Spark.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from paperloom.session import cut
+
 HOT_ROWS: int | None = 100_000  # rows of a group from which it is dealt to several tasks; None never
 HOT_KEYS = 4_096  # length of the list of salted keys: a key beyond it has at most 1/4096 of all rows
 
@@ -76,11 +78,16 @@ def join_groups(
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Give every row its group's statistics; `groups` has one row per key and the number `n` of the rows
-    of `rows` with that key. Groups of `hot_rows` rows and more are dealt to one salt per `hot_rows` rows;
-    the list of them, which is broadcast, has HOT_KEYS entries at most."""
+    of `rows` with that key. The groups are written out, so that they are computed once. Those of `hot_rows`
+    rows and more are dealt to one salt per `hot_rows` rows; the list of them, which is broadcast, has
+    HOT_KEYS entries at most. Without such groups it is a plain join."""
     if hot_rows is None:
         return rows.join(groups, list(keys), how)
-    return _salted_join(rows, groups, keys, spread, how, hot_keys(groups, keys, hot_rows, n))
+    groups = cut(groups)
+    hot = hot_keys(groups, keys, hot_rows, n)
+    if groups.filter(F.col(n) >= hot_rows).isEmpty() and how == "inner":
+        return rows.join(groups, list(keys), how)
+    return _salted_join(rows, groups, keys, spread, how, hot)
 
 
 def join_skewed(

@@ -444,16 +444,16 @@ def test_an_interval_is_a_few_blocks(spark):
     random.seed(2)
     spans = [(a, a + random.choice([0, 1, 3, 15, 16, 63, 64, 700])) for a in random.sample(range(-900, 900), 60)]
     df = spark.createDataFrame(spans, "a int, b int")
-    made = df.select("a", "b", matching.cover(F.col("a"), F.col("b"), 6).alias("blocks"))
+    made = df.select("a", "b", matching.cover(F.col("a"), F.col("b"), 4, 6).alias("blocks"))
     for a, b, blocks in made.collect():
         days = [d for x in blocks for d in range(x // 32 * 4 ** (x % 32), (x // 32 + 1) * 4 ** (x % 32))]
         assert sorted(days) == list(range(a, b + 1))
-    at = spark.range(-50, 50).select("id", matching.blocks_at(F.col("id"), 3).alias("at")).collect()
+    at = spark.range(-50, 50).select("id", matching.blocks_at(F.col("id"), 4, 3).alias("at")).collect()
     assert all(r["at"] == [r["id"] // 4**k * 32 + k for k in range(3)] for r in at)
     starts = spark.sql("SELECT explode(sequence(date'1990-01-01', date'2040-01-01', interval 5 days)) AS d")
     end = F.unix_date(F.lit("9999-12-31").cast("date"))
     rows = starts.select(
-        F.size(matching.cover(matching._bin(F.col("d")), F.floor(end / 64), matching.BIN_LEVELS)).alias("bins"),
-        F.size(matching.cover(F.unix_date("d"), end, matching.DAY_LEVELS)).alias("days"),
+        F.size(matching.cover(matching._bin(F.col("d")), F.floor(end / 64), *matching.BINS)).alias("bins"),
+        F.size(matching.cover(F.unix_date("d"), end, *matching.DAYS)).alias("days"),
     ).agg(F.max("bins"), F.max("days")).first()
     assert max(rows) < 50
