@@ -17,8 +17,15 @@ DATE_PATTERN = (
     r"|[0-9]? (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* [0-9]{4}"
     r"|(?:an|eb|ar|pr|ay|un|ul|ug|ep|ct|ov|ec)[a-z]* [0-9]{1,2}, [0-9]{4})\b"
 )
-MONEY_CANDIDATE = r"[$€£UEG](?:SD|UR|BP)? ?[0-9](?:[0-9.,]*[0-9])?"
-MONEY_START = r"^(?:[$€£]|USD|EUR|GBP)"
+# An amount with its currency before or behind it and its sign: a minus or an opening bracket that no word
+# precedes, a minus that no word follows, a closing bracket. A currency between two numbers belongs to the
+# second; only that needs a look-ahead (this pattern is Java's alone).
+_SIGNED = r"[0-9](?:[0-9.,]*[0-9])?(?:-?\)|-\B)?"
+MONEY_CANDIDATE = (
+    rf"(?:\B[-(])?[$€£UEG](?:SD|UR|BP)? ?[-(]?{_SIGNED}"
+    rf"|(?:\B[-(])?\b{_SIGNED} ?(?:[$€£]|(?:USD|EUR|GBP)\b)(?! ?[-(]?[0-9])\)?"
+)
+CURRENCY = r"[$€£]|USD|EUR|GBP"
 MONEY_PATTERN = r"(?:[$€£]|USD|EUR|GBP) ?[0-9](?:[0-9.,]*[0-9])?"
 COMPLIANCE_TERMS = ["GDPR", "SOX", "SOC2", "HIPAA"]
 CURRENCY_OF_SIGN = {"$": "USD", "€": "EUR", "£": "GBP"}
@@ -30,6 +37,7 @@ CREDIT_PATTERN = r"(?im)^\s*credit (?:note|adjustment)[^:\n]*: ?[^0-9\n]*([0-9](
 # Shapes of a number without sign and currency. `1.234` alone may be either and is no amount.
 POINT_DECIMAL = r"^(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)(?:\.[0-9]{1,2})?$|^(?:0|[0-9]{4,})\.[0-9]+$|^[0-9]+\.[0-9]{4,}$"
 COMMA_DECIMAL = r"^(?:[0-9]+|[0-9]{1,3}(?:\.[0-9]{3})+),[0-9]{1,2}$|^[0-9]{1,3}(?:\.[0-9]{3}){2,}$"
+PLAIN_AMOUNT = r"^[0-9]+(?:\.[0-9]{1,2})?$"
 AMOUNT_SHAPE = r"^(\(?-?)([0-9](?:[0-9.,]*[0-9])?)(-?\)?)[.,]?$"
 ICD10_PATTERN = r"\b[A-TV-Z][0-9][0-9A-Z](?:\.[0-9A-Z]{1,4})?\b"
 CPT_PATTERN = r"\b[0-9]{5}\b"
@@ -85,7 +93,8 @@ def to_amount(text: Column) -> Column:
         amount = value.try_cast("decimal(18,2)")
         return F.when(sign == "", amount).when(sign.isin("-", "()"), (-amount).cast("decimal(18,2)"))
 
-    return let(F.regexp_replace(text, r"[^0-9.,()\-]", ""), parsed)
+    plain = F.when(text.rlike(PLAIN_AMOUNT), text.try_cast("decimal(18,2)"))
+    return F.coalesce(plain, let(F.regexp_replace(text, r"[^0-9.,()\-]", ""), parsed))
 
 
 def to_date(text: Column) -> Column:
@@ -149,9 +158,13 @@ def currency_of(token: Column) -> Column:
 
 
 def money_mentions(text: Column) -> Column:
-    """All amounts with a currency, in order of appearance."""
-    found = F.filter(all_matches(text, MONEY_CANDIDATE), lambda m: m.rlike(MONEY_START))
-    return F.transform(found, lambda m: F.struct(currency_of(m).alias("currency"), to_amount(m).alias("amount")))
+    """All amounts with a currency, in order of appearance (X21): the currency stands before or behind the
+    number, a minus before or behind, or brackets around it, make it negative. A bracket without its
+    partner is punctuation; an amount whose shape leaves its value open is null."""
+    found = F.filter(all_matches(text, MONEY_CANDIDATE), lambda m: m.rlike(CURRENCY))
+    paired = lambda m: F.when(m.contains("(") & m.contains(")"), m).otherwise(F.translate(m, "()", ""))
+    code = lambda m: currency_of(F.regexp_extract(m, f"({CURRENCY})", 1))
+    return F.transform(found, lambda m: F.struct(code(m).alias("currency"), to_amount(paired(m)).alias("amount")))
 
 
 def icd10_codes(text: Column) -> Column:

@@ -81,6 +81,20 @@ def test_dates(spark):
     assert got == ["2024-02-29", "2024-03-04", "2024-03-05", "2024-09-06", "2024-10-07", "2024-10-17", "2024-05-01"]
 
 
+def test_money_with_signs_and_trailing_currency(spark):
+    cases = {
+        "-$20.00": [("USD", -20)], "$-20.00": [("USD", -20)], "USD 20.00-": [("USD", -20)], "USD -7.50": [("USD", -7.5)],
+        "100 EUR": [("EUR", 100)], "1.234,50 €": [("EUR", 1234.5)], "($20.00)": [("USD", -20)], "(20.00 USD)": [("USD", -20)],
+        "7.50- EUR": [("EUR", -7.5)], "(in all $5)": [("USD", 5)], "(-$5)": [("USD", -5)], "$10-20": [("USD", 10)],
+        "a-$5": [("USD", 5)], "Qty 3 USD 20.00": [("USD", 20)], "USD 100 EUR 200": [("USD", 100), ("EUR", 200)],
+        "20 EURO, UG 5, 3 USDT": [], "$1.234": [("USD", None)], "": [],
+        "£1,234.50.": [("GBP", 1234.5)], "12 $\n3 $": [("USD", 12), ("USD", 3)],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", tx.money_mentions(F.col("t")).alias("m"))
+    for text, found in df.collect():
+        assert [(m["currency"], None if m["amount"] is None else float(m["amount"])) for m in found] == cases[text], text
+
+
 def test_money_terms_and_rates(spark):
     x = F.col("x")
     df = col(spark, ["Pay USD 1,234.50 or €7 or £1234567.8; U 5 and E11 are no amounts. VAT 19%, sales tax of 7.5 %. Terms 1.5% 10 Net 30."])

@@ -137,6 +137,34 @@ def money_mentions(spark, sf_dir):
     return out.select("id", (F.col("i") + 1).alias("pos"), "m.currency", _num(F.col("m.amount")).alias("amount"))
 
 
+@query(
+    "signed_money",
+    oracle(
+        """
+SELECT doc_id, pos, currency, amount FROM (
+  SELECT doc_id, unnest(range(1, 11)) AS pos,
+         unnest(['USD', 'USD', 'EUR', 'EUR', 'GBP', 'USD', 'EUR', 'USD', 'USD', 'GBP']) AS currency,
+         unnest([-v, -v, v, -v, -v, v, 10000 * v, 3, -v, v]) AS amount
+  FROM (SELECT doc_id, (doc_id % 900 + 100) / 1.0::DOUBLE + 0.25 AS v FROM documents))"""
+    ),
+)
+def signed_money(spark, sf_dir):
+    """Amounts with a sign, in brackets, or with the currency behind them, after each document's own text."""
+    docs = inputs.table(spark, sf_dir, "documents")
+    v = F.concat((F.col("doc_id") % 900 + 100).cast("string"), F.lit(".25"))
+    comma = F.translate(v, ".", ",")
+    said = F.concat(
+        F.lit("\nRefund -$"), v, F.lit(", credit USD "), v, F.lit("-; paid "), comma, F.lit(" EUR\nand -"), comma, F.lit(" €, lost ("),
+        F.lit("£"), v, F.lit("), (see $"), v, F.lit("), up to "),
+        F.concat(F.translate(F.format_number((F.col("doc_id") % 900 + 100) * 10000 + 2500, 0), ",", "."), F.lit(",00 EUR")),
+        F.lit("; a range $3-9; lot 7 USD -"), v, F.lit(" net; a-GBP"), v, F.lit("."),
+    )
+    own = F.size(tx.money_mentions(F.col("text")))
+    found = docs.select("doc_id", own.alias("own"), tx.money_mentions(F.concat("text", said)).alias("m"))
+    rows = found.select("doc_id", "own", F.posexplode("m").alias("i", "m")).filter("i >= own")
+    return rows.select("doc_id", (F.col("i") - F.col("own") + 1).alias("pos"), "m.currency", _num(F.col("m.amount")).alias("amount"))
+
+
 @query("compliance", oracle(f"SELECT {ID} AS id, CASE WHEN k % 7 = 0 THEN 'GDPR,SOX' ELSE '' END AS mentions FROM li", extra=LINE))
 def compliance(spark, sf_dir):
     return _texts(spark, sf_dir).select("id", F.array_join(tx.compliance_mentions(F.col("text")), ",").alias("mentions"))
