@@ -99,7 +99,8 @@ STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 
 
 def document_statistics(docs: DataFrame, key: str, text: str, stratum: str) -> DataFrame:
-    """Rows (key, stratum, statistics) of whole texts; null text has no words."""
+    """Rows (key, stratum, digest, statistics) of whole texts; null text has no words. Equal texts have equal
+    digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -108,14 +109,24 @@ def document_statistics(docs: DataFrame, key: str, text: str, stratum: str) -> D
                 found = [text_statistics(t or "") for t in batch.column("text").to_pylist()]
                 columns = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), batch.column("stratum"), *[pa.array(c, pa.int64()) for c in columns]],
-                    ["key", "stratum", *STATISTICS],
+                    [*[batch.column(c) for c in carried], *[pa.array(c, pa.int64()) for c in columns]],
+                    [*carried, *STATISTICS],
                 )
 
-    group = F.coalesce(F.col(stratum).cast("string"), F.lit(NO_STRATUM))
-    rows = docs.select(F.col(key).alias("key"), group.alias("stratum"), F.col(text).alias("text"))
+    carried = ["key", "stratum", "digest"]
+    rows = docs.select(
+        F.col(key).alias("key"),
+        _group(stratum).alias("stratum"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"),
+        F.col(text).alias("text"),
+    )
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, stratum string, " + ", ".join(f"{c} long" for c in STATISTICS))
+    return rows.mapInArrow(run, f"key {kind}, stratum string, digest long, " + ", ".join(f"{c} long" for c in STATISTICS))
+
+
+def _group(stratum: str) -> Column:
+    """The stratum as text; Spark's cast wherever strata are compared."""
+    return F.coalesce(F.col(stratum).cast("string"), F.lit(NO_STRATUM))
 
 
 def log_binomial_tail(k: int, n: int, p: float) -> float:
@@ -200,14 +211,20 @@ def certified_cutoffs(
     risk: float,
     level: float,
 ) -> tuple[dict[str, dict[str, int]], list[str]]:
-    """Cutoffs by stratum and rule, and the strata that have some."""
-    clean = (
+    """Cutoffs by stratum and rule, and the strata that have some. A text is evidence once per stratum, however
+    many rows repeat it under whatever keys; it is clean if all labels of all its rows are."""
+    by_key = (
         labels.filter(F.col(key).isNotNull())
         .groupBy(F.col(key).alias("key"))
         .agg(F.min("quality").alias("_quality"), F.max("toxic").alias("_toxic"))
-        .filter((F.col("_quality") == 1) & (F.coalesce("_toxic", F.lit(0)) == 0))
     )
-    holdout = stats.filter(~F.col("base_failed")).join(clean, "key", "left_semi")
+    texts = (
+        stats.filter(~F.col("base_failed"))
+        .join(by_key, "key")
+        .groupBy("stratum", "digest")
+        .agg(F.min("_quality").alias("_quality"), F.max("_toxic").alias("_toxic"), *[F.max(c).alias(c) for c in STATISTICS])
+    )
+    holdout = texts.filter((F.col("_quality") == 1) & (F.coalesce("_toxic", F.lit(0)) == 0))
     chosen = choose_cutoffs(holdout.withColumn("_stratum", F.col("stratum")), rules, risk, level)
     return chosen, list(chosen)
 
@@ -251,8 +268,8 @@ def judge_quality(
 ) -> DataFrame:
     """One row per row of `docs`: key, statistics, base_failed, rejected_by (rule names), kept.
 
-    A document counts as clean if all its labels say quality 1 and none says toxic 1; null labels, null
-    keys and labels of unknown documents are passed over. Null text has no words and fails the base
+    A text counts as clean if all labels of its rows say quality 1 and none says toxic 1, and is counted once
+    per stratum; null labels, null keys and labels of unknown documents are passed over. Null text has no words and fails the base
     rules. A null stratum is a stratum of its own. Repeated rows give repeated rows. Without labels no
     cutoff is certified and only the base rules reject. Only the named columns of `docs` are read.
     """
@@ -262,8 +279,8 @@ def judge_quality(
         _rejections(stats, chosen, rules)
         .select(*stats.columns, "rejected_by")
         .withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+        .drop("stratum", "digest")
         .withColumnRenamed("key", key)
-        .drop("stratum")
     )
 
 
@@ -284,24 +301,24 @@ def keep_good(
     """
     chosen, _ = certified_cutoffs(_statistics(docs, key, text, stratum), labels, key, rules, risk, level)
 
-    def good(values: tuple[int, ...], group: str | None) -> bool:
+    def good(values: tuple[int, ...], group: str) -> bool:
         of = dict(zip(STATISTICS, values, strict=True))
         if of["n_words"] < MIN_WORDS or 100 * of["n_repeat_words"] > MAX_REPEAT_PERCENT * of["n_words"]:
             return False
-        limits = chosen.get(NO_STRATUM if group is None else group, {})
+        limits = chosen.get(group, {})
         return not any(
             r.name in limits and 1000 * of[r.numerator] > limits[r.name] * of[r.denominator] for r in rules
         )
 
-    at, by = docs.columns.index(text), docs.columns.index(stratum)
+    names, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             give_back()
             for batch in slices(whole, text, 2 << 20):
-                groups = batch.column(by).cast(pa.string()).to_pylist()
+                groups = batch.column(len(names)).to_pylist()
                 texts = batch.column(at).to_pylist()
                 mask = [good(text_statistics(t or ""), g) for t, g in zip(texts, groups, strict=True)]
-                yield batch.filter(pa.array(mask, pa.bool_()))
+                yield batch.select(list(range(len(names)))).filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.withColumn("__stratum", _group(stratum)).mapInArrow(run, docs.schema)

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm import thresholds as T
 from paperloom.llm.thresholds import certified, judge_quality, keep_good, log_binomial_tail, text_statistics
@@ -154,3 +155,25 @@ def test_no_stratum_loses_more_than_its_risk():
             chosen = cutoff
         wrong += chosen in (10, 20)
     assert wrong / 300 < level / 4 + 0.03
+
+
+def test_a_repeated_text_is_one_piece_of_evidence(spark):
+    """Thousands of rows, or of keys, of one labelled text certify no more than the text does."""
+    fine = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    odd = " ".join(f"w{j}#" for j in range(60))
+    docs = [(1, fine(0), "en", "", "", "")] * 3000 + [(10 + i, fine(1), "en", "", "", "") for i in range(3000)]
+    docs += [(9000, odd, "en", "", "", "")]
+    labels = [(1, 1, 0), *[(10 + i, 1, 0) for i in range(3000)]]
+    frames = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, LABELS)
+    stats = T._statistics(frames[0], "doc_id", "text", "lang")
+    assert T.certified_cutoffs(stats, frames[1], "doc_id", T.RULES, 0.05, 0.05) == ({}, [])
+    assert all(r["kept"] for r in judge_quality(*frames, risk=0.05).collect())
+
+
+def test_strata_of_any_type(spark):
+    docs, labels = corpus()
+    frames = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, LABELS)
+    numbered = frames[0].withColumn("lang", F.when(F.col("lang") == "en", 1.5e10).otherwise(2.0))
+    got = {r["doc_id"] for r in judge_quality(numbered, frames[1], risk=0.05).collect() if r["kept"]}
+    assert got == {r["doc_id"] for r in keep_good(numbered, frames[1], risk=0.05).collect()}
+    assert not got & set(range(0, 3000, 5))
