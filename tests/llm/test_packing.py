@@ -1,5 +1,6 @@
 import base64
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -57,6 +58,47 @@ def test_windows_mirror_the_mixture():
             deficit -= int(deficit)
 
 
+@pytest.mark.parametrize("scale", [1, 10**9], ids=["small", "exact_beyond_64_bits"])
+@pytest.mark.parametrize(
+    ("weights", "drift"),
+    [
+        ([1, 1, 1], 1),
+        ([1e-6, 0.5, 0.499999], 1),
+        ([3, 5, 7, 11, 13, 17, 19], 2),
+        ([10**6] + [1 + i % 3 for i in range(300)], 2),
+    ],
+)
+def test_no_queue_drifts_off_its_share(weights, drift, scale):
+    """Wherever one looks, a queue has its share up to that window within a token or two, and never loses one."""
+    window = 64
+    total = np.array([1 << 40] * len(weights), np.int64) * min(scale, 1 << 10)
+    run = plan_runs(total, np.array(weights, float), window)[0]
+    assert run.count > 10**6
+    points = np.unique(np.concatenate([np.arange(500), np.linspace(0, run.count - 1, 999).astype(np.int64)]))
+    each = [Fraction(w) for w in np.array(weights, float).tolist()]
+    for q in range(0, len(weights), max(1, len(weights) // 8)):
+        got = run.before(points, run.path(q))[0].tolist()
+        assert got == sorted(got)
+        for k, n in zip(points.tolist(), got, strict=True):
+            assert abs(n - each[q] * k * window / sum(each)) <= drift
+    for k in (1, 7, run.count):
+        alone = [int(run.before(np.array([k]), run.path(q))[0][0]) for q in range(len(weights))]
+        assert alone == run.totals(k).tolist() and sum(alone) == k * window
+
+
+def test_thin_queue_is_found_token_by_token():
+    """A queue whose tokens lie thousands of windows apart costs its tokens, not the windows between."""
+    totals = np.array([300, 1 << 40], np.int64)
+    schedule = Schedule(plan_runs(totals, totals.astype(float), 64), totals, 64)
+    windows, cut, offset = schedule.cuts(0, 100, 200)
+    assert cut.tolist() == list(range(100, 200)) and np.diff(windows).min() > 10**7
+    # the other queue fills these windows but for that token
+    for w, o in zip(windows[:5].tolist(), offset[:5].tolist(), strict=True):
+        run = schedule.runs[0]
+        other = run.before(np.array([w, w + 1]), run.path(1))
+        assert other[0][1] - other[0][0] == 63 and o in (0, 63)
+
+
 def test_targets_hold_until_a_queue_is_dry():
     totals = np.array([1000, 9000], np.int64)
     schedule = Schedule(plan_runs(totals, np.array([0.5, 0.5]), 100), totals, 100)
