@@ -370,24 +370,24 @@ def link_invoice_orders(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataF
     )
 
 
-def link_reference(
-    df: DataFrame, text: str = "text", own_id: str = "own_id", hot_rows: int | None = None
-) -> DataFrame:
-    """A text that names another document's id (J3): document -> first other holder of that id.
-
-    `n_targets` counts all other holders; they share `group_key`, so none is lost. The holders are written
-    out, so that texts are read once; with `hot_rows` the mentions are counted and hot ids salted instead.
-    """
+def reference_mentions(df: DataFrame, text: str = "text", own_id: str = "own_id") -> DataFrame:
+    """Rows (ord, path, group_key, holds_it): the ids a text names, once each, and whether it holds the id itself."""
     found = F.regexp_extract_all(F.col(text), F.lit(REFERENCE_CANDIDATE), F.lit(0))
     ids = F.array_distinct(F.filter(found, lambda m: m.rlike(REFERENCE_START)))
     mentions = df.select("ord", "path", F.explode(ids).alias("group_key"), F.col(own_id).alias("_own"))
-    own = df.select("ord", "path", F.col(own_id).alias("group_key")).filter(F.col("group_key").isNotNull())
-    holders = _side_stats(own, "holder")
-    if hot_rows is None:  # Spark splits an id that very many texts mention only if the other side is no aggregate
-        holders = cut(holders)
-    joined = join_skewed(mentions, holders, ["group_key"], F.col("ord"), hot_rows=hot_rows)
     holds_it = F.coalesce(F.col("_own") == F.col("group_key"), F.lit(False))
-    others = F.col("n_holder") - holds_it.cast("bigint")
+    return mentions.withColumn("holds_it", holds_it).drop("_own")
+
+
+def reference_holders(df: DataFrame, own_id: str = "own_id") -> DataFrame:
+    """Per id: the number of documents that hold it, the first and the last."""
+    own = df.select("ord", "path", F.col(own_id).alias("group_key")).filter(F.col("group_key").isNotNull())
+    return _side_stats(own, "holder")
+
+
+def reference_edges(joined: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Edges of mentions joined with the holders of their ids; mentions without another holder go."""
+    others = F.col("n_holder") - F.col("holds_it").cast("bigint")
     target = F.when(F.col("first_holder.ord") == F.col("ord"), F.col("last_holder.path")).otherwise(
         F.col("first_holder.path")
     )
@@ -402,10 +402,26 @@ def link_reference(
             F.concat(F.lit("References "), F.col("group_key")).alias("evidence"),
             "group_key",
             "n_targets",
+            *carry,
         )
     )
 
 
+def link_reference(
+    df: DataFrame, text: str = "text", own_id: str = "own_id", hot_rows: int | None = None
+) -> DataFrame:
+    """A text that names another document's id (J3): document -> first other holder of that id.
+
+    `n_targets` counts all other holders; they share `group_key`, so none is lost. The holders are written
+    out, so that texts are read once; with `hot_rows` the mentions are counted and hot ids salted instead.
+    """
+    holders = reference_holders(df, own_id)
+    if hot_rows is None:  # Spark splits an id that very many texts mention only if the other side is no aggregate
+        holders = cut(holders)
+    mentions = reference_mentions(df, text, own_id)
+    return reference_edges(join_skewed(mentions, holders, ["group_key"], F.col("ord"), hot_rows=hot_rows))
+
+
 # --- temporal links (J5) -----------------------------------------------------------------------
 
 
@@ -414,6 +430,19 @@ def temporal_confidence(days_apart: Column, days: int) -> Column:
     return 1 - 0.5 * days_apart / days
 
 
+def day_cells(df: DataFrame, block: str, date: str) -> DataFrame:
+    """Rows (block, day, n, first, last): the documents of a block and day, their first and last."""
+    return (
+        df.filter(F.col(block).isNotNull() & F.col(date).isNotNull())
+        .groupBy(F.col(block).alias("block"), F.col(date).cast("date").alias("day"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min(F.struct("ord", "path")).alias("first"),
+            F.max(F.struct("ord", "path")).alias("last"),
+        )
+    )
+
+
 def link_temporal(df: DataFrame, block: str, date: str, days: int = TEMPORAL_DAYS) -> DataFrame:
     """Documents of one block at most `days` apart, as links between its calendar days.
 
@@ -423,16 +452,12 @@ def link_temporal(df: DataFrame, block: str, date: str, days: int = TEMPORAL_DAY
     stand behind each row; source and target are the cells' first documents (first and last within one
     day).
     """
-    cells = (
-        df.filter(F.col(block).isNotNull() & F.col(date).isNotNull())
-        .groupBy(F.col(block).alias("block"), F.col(date).cast("date").alias("day"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.struct("ord", "path")).alias("first"),
-            F.max(F.struct("ord", "path")).alias("last"),
-        )
-        .withColumn("bin", F.floor(F.unix_date("day") / days))
-    )
+    return link_cells(day_cells(df, block, date), days)
+
+
+def link_cells(cells: DataFrame, days: int = TEMPORAL_DAYS) -> DataFrame:
+    """The links of `link_temporal` from the cells of `day_cells`."""
+    cells = cells.withColumn("bin", F.floor(F.unix_date("day") / days))
     earlier = cells.select(
         "block", "bin", F.col("day").alias("day_a"), F.col("n").alias("n_a"), F.col("first").alias("first_a")
     )

@@ -67,7 +67,7 @@ def drop_cut(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if not folder.rsplit("/", 1)[-1].startswith("paperloom-"):
             raise ValueError(f"not a table written by cut: {folder}")
-        _delete(df.sparkSession, folder)
+        delete_folder(df.sparkSession, folder)
 
 
 def clean_up(spark: SparkSession) -> int:
@@ -75,11 +75,12 @@ def clean_up(spark: SparkSession) -> int:
     more. Returns how many there were."""
     written = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     for folder in written:
-        _delete(spark, folder)
+        delete_folder(spark, folder)
     return len(written)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the library's own, wherever it is stored."""
     sc = spark.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(folder)
     with contextlib.suppress(Exception):  # left to the clean-up of the shared folder

@@ -14,6 +14,7 @@ from paperloom.operators import classify as kl
 from paperloom.operators import link, scoring, validate
 from paperloom.plans import pipeline
 from paperloom.session import cut, drop_cut
+from paperloom.streaming.store import RunStore
 
 # Fixed values
 TTL_HOURS = 168
@@ -248,12 +249,11 @@ def _bursts_of_stream(rows: DataFrame, seconds: int, minimum: int) -> DataFrame:
     )
 
 
-STORE_BUCKETS = 64
 Members = Callable[[DataFrame], DataFrame]
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64(*link.GROUP), F.lit(STORE_BUCKETS))
+def _groups(spark: SparkSession, store: str) -> RunStore:
+    return RunStore(spark, store, link.GROUP, [F.min("first").alias("first"), F.sum("n").alias("n")])
 
 
 def link_batches(
@@ -261,34 +261,28 @@ def link_batches(
 ) -> Callable[[DataFrame, int], None]:
     """A `foreachBatch` function that links each micro-batch with all documents seen so far.
 
-    Each detector turns documents into group members. The store holds, per batch, one row per key that
-    the batch touched: its first document so far and the number of the batch's members; it is laid
-    out in buckets of the key, so a batch reads only the buckets of its own keys, and only their narrow
-    rows. Members of a batch are linked with the key's first document. When a batch brings a document that
-    comes before it, that one becomes the first, and an edge joins the two, so documents may arrive in
-    any order. Both outputs have a folder per batch that is overwritten when a batch is replayed.
+    Each detector turns documents into group members. The store (`RunStore`) holds one row per key and run of
+    batches: its first document so far and the number of members; a batch reads only the buckets of its
+    own keys, and only their narrow rows. Members of a batch are linked with the key's first document. When
+    a batch brings a document that comes before it, that one becomes the first, and an edge joins the two,
+    so documents may arrive in any order. A replayed batch overwrites its own output. `incremental` has the
+    same for references and temporal links.
     `current_links` reads the relationships as they stand.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        groups = _groups(spark, store)
+        groups.begin(batch_id)
         found = [detector(batch) for detector in detectors]
-        members = cut(reduce(DataFrame.unionByName, found).withColumn("bucket", _bucket()))
+        members = cut(reduce(DataFrame.unionByName, found))
         doc = F.struct("ord", "path")
-        fresh = members.groupBy(*link.GROUP, "bucket").agg(F.min(doc).alias("new_first"), F.count(F.lit(1)).alias("n"))
-        before = fresh.select(*link.GROUP, "bucket", F.lit(None).cast(members.select(doc.alias("d")).schema["d"].dataType).alias("old_first"))
-        earlier = [d for d in _batches(spark, store) if d < batch_id]
-        if earlier:
-            touched = [r["bucket"] for r in members.select("bucket").distinct().collect()]  # at most STORE_BUCKETS
-            known = spark.read.parquet(store).filter(F.col("batch").isin(earlier) & F.col("bucket").isin(touched))
-            firsts = known.groupBy(*link.GROUP).agg(F.min("first").alias("old_first"))
-            before = fresh.select(*link.GROUP, "bucket").join(firsts, link.GROUP, "left")
+        fresh = members.groupBy(*link.GROUP).agg(F.min(doc).alias("first"), F.count(F.lit(1)).alias("n"))
+        firsts = groups.known(fresh, groups.touched(members)).select(*link.GROUP, F.col("first").alias("old_first"))
         state = cut(
-            fresh.join(before.drop("bucket"), link.GROUP).withColumn("first", F.least("new_first", "old_first"))
-        )
-        state.select(*link.GROUP, "first", "n", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{store}/batch={batch_id}"
+            fresh.join(firsts, link.GROUP, "left").withColumn("first", F.least("first", "old_first"))
         )
+        groups.add(state.select(fresh.columns), batch_id)
         joined = members.join(state.select(*link.GROUP, "first", "old_first"), link.GROUP)
         arrived = joined.filter(F.col("ord") != F.col("first.ord")).select(
             "first", doc.alias("other"), *link.GROUP, "confidence", "evidence"
@@ -311,20 +305,10 @@ def link_batches(
     return run
 
 
-def _batches(spark: SparkSession, store: str) -> list[int]:
-    """Numbers of the batches in a store, by its folders."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    names = [f.getPath().getName() for f in files.listStatus(path)]
-    return [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
-
-
 def current_links(spark: SparkSession, store: str, edges: str) -> DataFrame:
     """All relationships of `link_batches` so far, from each key's first document to every other one: what
     `link.spanning_edges` finds in all documents at once, whatever order they came in."""
-    firsts = spark.read.parquet(store).groupBy(*link.GROUP).agg(F.min("first").alias("first"))
+    firsts = _groups(spark, store).current().drop("n")
     found = spark.read.parquet(edges)
     end = lambda side: F.struct(F.col(f"{side}_ord").alias("ord"), F.col(side).alias("path")).alias("doc")
     ends = found.select(*link.GROUP, "confidence", "evidence", F.explode(F.array(end("source"), end("target"))).alias("doc"))

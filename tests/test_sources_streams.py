@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import containers, link
 from paperloom.sources import corpus, results
-from paperloom.streaming import jobs
+from paperloom.streaming import incremental, jobs, store
 
 
 def test_corpus_scan(spark, tmp_path):
@@ -190,6 +190,77 @@ def test_linking_batches_is_complete_and_repeatable(spark, tmp_path):
     assert got == whole
 
 
+def test_runs_of_a_store_double_and_survive_replays(spark, tmp_path):
+    path = str(tmp_path / "store")
+    new = lambda: store.RunStore(spark, path, ["k"], [F.sum("n").alias("n")])
+    rows = lambda b: spark.createDataFrame([(f"k{b % 3}", b), ("all", 1)] if b != 4 else [], "k STRING, n BIGINT")
+    for batch in [0, 1, 1, 2, 3, 3, 4, 5, 6]:
+        runs = new()
+        runs.begin(batch)
+        assert len(runs.runs) == bin(batch).count("1")
+        seen = {r["k"]: r["n"] for r in runs.known(rows(0), list(range(store.BUCKETS))).collect()}
+        assert seen.get("all", 0) == batch - (batch > 4)
+        runs.add(rows(batch), batch)
+    assert {r["k"]: r["n"] for r in new().current().collect()} == {"k0": 0 + 3 + 6, "k1": 1, "k2": 2 + 5, "all": 6}
+    (tmp_path / "store" / "run=7-7").mkdir()  # a batch that failed while it was written
+    assert {r["k"]: r["n"] for r in new().current().collect()}["all"] == 6
+    runs = new()
+    runs.begin(7)
+    assert runs.runs == [(0, 3), (4, 5), (6, 6)] and not (tmp_path / "store" / "run=7-7").exists()
+
+
+def _some_letters():
+    """Documents that hold and name ids: none, their own, others', some held by several and some by none."""
+    random.seed(11)
+    ids = [f"INV-{i}" for i in range(12)] + [f"AGR-{i}" for i in range(3)]
+    rows = [(100, "own", "see INV-1 and INV-1", "INV-1"), (101, "none", "INV-999", None), (102, "empty", None, None)]
+    for i in range(80):
+        text = " ".join(random.sample(ids, random.randint(0, 4)))
+        rows.append((i, f"d{i}", text, random.choice([*ids, None, None])))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_references_of_batches_are_those_of_all_documents(spark, tmp_path, seed):
+    rows = _some_letters()
+    schema = "ord BIGINT, path STRING, text STRING, own_id STRING"
+    random.seed(seed)
+    random.shuffle(rows)
+    base, edges = str(tmp_path / "store"), str(tmp_path / "edges")
+    run = incremental.reference_batches(base, edges)
+    parts = [rows[:7], rows[7:9], [], rows[9:40], rows[40:]]
+    for number, part in enumerate(parts):
+        run(spark.createDataFrame(part, schema), number)
+        if number % 2:
+            run(spark.createDataFrame(part, schema), number)  # replay
+        seen = [r for p in parts[: number + 1] for r in p]
+        want = sorted(map(tuple, link.link_reference(spark.createDataFrame(seen, schema)).collect()))
+        assert sorted(map(tuple, incremental.current_references(spark, base, edges).collect())) == want
+    assert len(want) > 40
+    once = spark.read.parquet(edges).groupBy("ord", "group_key").count().filter("count > 1")
+    assert once.isEmpty()
+
+
+def test_temporal_links_of_batches_are_those_of_all_documents(spark, tmp_path):
+    random.seed(5)
+    day = lambda: datetime.date(2023, 12, 1) + datetime.timedelta(days=random.randint(0, 200))
+    rows = [(i, f"d{i}", random.choice(["a", "b", "b", None]), day()) for i in range(90)] + [(500, "x", "a", None)]
+    random.shuffle(rows)
+    schema = "ord BIGINT, path STRING, vendor STRING, date DATE"
+    base, edges = str(tmp_path / "store"), str(tmp_path / "edges")
+    run = incremental.in_turn(incremental.temporal_batches(base, edges, "vendor", "date", 10))
+    for number, part in enumerate([rows[:30], rows[30:31], [], rows[31:70], rows[70:]]):
+        run(spark.createDataFrame(part, schema), number)
+        run(spark.createDataFrame(part, schema), number)  # replay
+    whole = link.link_temporal(spark.createDataFrame(rows, schema), "vendor", "date", 10)
+    want = sorted(map(tuple, whole.collect()))
+    got = incremental.current_temporal(spark, base, 10).select(whole.columns)
+    assert sorted(map(tuple, got.collect())) == want
+    # the links written batch by batch, the latest of each two days, are the same
+    latest = spark.read.parquet(edges).groupBy("block", "day_a", "day_b").agg(F.max_by(F.struct(*whole.columns[3:]), "batch").alias("l"))
+    assert sorted(map(tuple, latest.select("block", "day_a", "day_b", "l.*").select(whole.columns).collect())) == want
+
+
 def test_a_hot_content_is_thinned_before_it_meets(spark, tmp_path):
     t = lambda s: datetime.datetime(2024, 1, 1, 0, s // 60, s % 60)
     stream = parquet_stream(spark, tmp_path, [[(t(i), "hot") for i in range(200)], [(t(i), "hot") for i in range(200, 300)]], "ts TIMESTAMP, sha256 STRING")

@@ -138,7 +138,7 @@ def invoice_order_links(spark, sf_dir):
     return edges.select("source", "target", "group_key", _bigint("n_pairs"))
 
 
-def _letters(spark, sf_dir):
+def letters(spark, sf_dir):
     """Invoices and contracts with a text that names other documents."""
     inv = inputs.invoices(spark, sf_dir)
     k = F.col("order_key")
@@ -174,7 +174,7 @@ FROM inv i JOIN agr a ON a.agreement_id IN ('AGR-' || i.supp_key || '-' || (i.or
     ),
 )
 def reference_links(spark, sf_dir):
-    edges = link.link_reference(_letters(spark, sf_dir))
+    edges = link.link_reference(letters(spark, sf_dir))
     return edges.select("source", "target", "confidence", "evidence", "n_targets")
 
 
@@ -477,7 +477,7 @@ GROUP BY source, target""",
 )
 def consolidated_links(spark, sf_dir):
     """Two detectors with directed pairs: explicit references and the contract in force."""
-    by_text = link.link_reference(_letters(spark, sf_dir)).select(
+    by_text = link.link_reference(letters(spark, sf_dir)).select(
         "source", "target", "type", "confidence", "evidence", F.lit(2).alias("detector")
     )
     matched = matching.contract_asof(inputs.invoices(spark, sf_dir), inputs.agreements(spark, sf_dir))

@@ -14,10 +14,11 @@ from paperloom.operators import extract, link, semantic
 from paperloom.plans import insights as ins
 from paperloom.plans import pipeline
 from paperloom.session import checkpoint_dir, cut
-from paperloom.streaming import jobs
+from paperloom.streaming import incremental, jobs
 from workload import inputs
 from workload.oracle_inputs import oracle
-from workload.registry import query
+from workload.q_links import letters
+from workload.registry import ORACLES, query
 
 EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -84,6 +85,43 @@ def incremental_links(spark, sf_dir):
     return jobs.current_links(spark, f"{base}/store", f"{base}/edges").select("source", "target", "type", "evidence")
 
 
+def _linked_in_batches(spark, docs, job):
+    """Write documents as five files in no order, read them as a stream of five micro-batches, run `job`
+    (store, edges) on each; returns the two folders."""
+    base = f"{checkpoint_dir(spark)}/paperloom-links-{uuid.uuid4().hex}"
+    docs.repartition(5, F.xxhash64("ord")).write.parquet(f"{base}/in")
+    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    ended = arriving.writeStream.foreachBatch(job(f"{base}/store", f"{base}/edges"))
+    ended.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return f"{base}/store", f"{base}/edges"
+
+
+@query("incremental_references", ORACLES["reference_links"])
+def incremental_references(spark, sf_dir):
+    """Letters and the agreements they name arrive in micro-batches in no order; mentions wait for what they
+    name, and the references at the end are those of all letters at once."""
+    folders = _linked_in_batches(spark, letters(spark, sf_dir), incremental.reference_batches)
+    edges = incremental.current_references(spark, *folders)
+    return edges.select("source", "target", "confidence", "evidence", "n_targets")
+
+
+@query("incremental_temporal", ORACLES["temporal_links"])
+def incremental_temporal(spark, sf_dir):
+    """Invoices arrive in micro-batches in no order; the temporal links at the end are those of all at once."""
+    docs = inputs.invoices(spark, sf_dir).select(
+        "ord", "path", F.col("vendor.name").alias("vendor"), F.col("metadata.invoice_date").alias("date")
+    )
+    store, _ = _linked_in_batches(spark, docs, lambda s, e: incremental.temporal_batches(s, e, "vendor", "date"))
+    return incremental.current_temporal(spark, store).select(
+        "block",
+        F.col("day_a").cast("string").alias("day_a"),
+        F.col("day_b").cast("string").alias("day_b"),
+        "days_apart",
+        F.round("confidence", 6).alias("confidence"),
+        F.col("n_pairs").cast("bigint").alias("n_pairs"),
+    )
+
+
 @query("stream_dedup", oracle("SELECT event_id, user_id, event_type FROM events"))
 def stream_dedup(spark, sf_dir):
     """Every event arrives again an hour later for two thirds of them; each is written once."""
