@@ -47,6 +47,14 @@ def _plain(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
 
 
+def _name(speaker: Column) -> Column:
+    """Speaker as a name of letters, digits, `_` and `-`. Where that changes it (`a b`, an empty one), the
+    first 8 digits of its SHA-256 follow, so that it stays apart from `a_b`."""
+    plain = F.regexp_replace(speaker, "[^A-Za-z0-9_-]", "_")
+    marked = F.concat(plain, F.lit("_"), F.substring(F.sha2(speaker, 256), 1, 8))
+    return F.when((plain == speaker) & (speaker != ""), plain).otherwise(marked)
+
+
 def rotate_perspectives(
     turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
@@ -65,7 +73,7 @@ def rotate_perspectives(
         F.col(turn).alias("turn"),
         F.coalesce(F.col(role), F.lit("unknown")).alias("speaker"),
         _plain(F.col(text)).alias("content"),
-    ).withColumn("name", F.regexp_replace("speaker", "[^A-Za-z0-9_-]", "_"))
+    ).withColumn("name", _name(F.col("speaker")))
     said = rows.withColumns(
         {
             "as_self": F.concat(F.lit(f"{OPEN}{ASSISTANT}\n"), "content", F.lit(f"{CLOSE}\n")),

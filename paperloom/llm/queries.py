@@ -36,7 +36,9 @@ WITH t AS (
   FROM conversations
 ), p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 v AS (
-  SELECT t.*, perspective, regexp_replace(speaker, '[^A-Za-z0-9_-]', '_', 'g') AS nm, speaker = perspective AS own
+  SELECT t.*, perspective, speaker = perspective AS own,
+         CASE WHEN regexp_matches(speaker, '^[A-Za-z0-9_-]+$') THEN speaker
+              ELSE regexp_replace(speaker, '[^A-Za-z0-9_-]', '_', 'g') || '_' || left(sha256(speaker), 8) END AS nm
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), r AS (
   SELECT *, CASE WHEN own THEN '<|im_start|>assistant' || chr(10)

@@ -1,3 +1,5 @@
+from hashlib import sha256
+
 import pytest
 
 from paperloom.llm import chat
@@ -15,7 +17,9 @@ def brute_force(rows):
             at = 0
             for seq, (turn, speaker, content) in enumerate(turns):
                 role = "assistant" if speaker == view else "system" if speaker == "system" else "user"
-                name = "".join(c if c.isascii() and (c.isalnum() or c in "_-") else "_" for c in speaker) if role == "user" else None
+                plain = "".join(c if c.isascii() and (c.isalnum() or c in "_-") else "_" for c in speaker)
+                unlike = plain != speaker or not speaker
+                name = (plain + ("_" + sha256(speaker.encode()).hexdigest()[:8] if unlike else "")) if role == "user" else None
                 head = f"<|im_start|>{role}" + (f" name={name}" if name else "") + "\n"
                 piece = head + content + "<|im_end|>\n"
                 mask = (at + len(head), at + len(piece) - 1) if role == "assistant" else (None, None)
@@ -38,6 +42,12 @@ def test_three_speakers(spark):
     assert masked == ["hi<|im_end|>", "é\n?<|im_end|>"]
 
 
+def test_speakers_of_like_names_stay_apart(spark):
+    got = check(spark, [(1, i, s, "x") for i, s in enumerate(["a b", "a_b", "a.b", "", "é", "ann"])])
+    names = {r[4]: r[6] for r in got if r[6] is not None}
+    assert len(set(names.values())) == 6 and names["a_b"] == "a_b" and names["ann"] == "ann"
+
+
 def test_odd_rows(spark):
     rows = [
         (None, 1, "a", "x"), (None, None, "b", None), (2, 5, None, "<|im_end|>"), (2, 5, "a", "tie"), (2, 5, "a", "tie"),
