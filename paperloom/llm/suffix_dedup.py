@@ -12,15 +12,14 @@ nothing lost, in four steps. Documents travel in chunks of some megabytes, one r
    where their bucket is refined. Equal stretches of a chunk are sent once, for the smallest key; the
    rest is settled at home. Buckets that very many documents share are sent string by string, by the
    string's own hash, so that no bucket meets in one task.
-3. Refinement. Strings have a bucket pointer: first that of the q-gram at their start. Strings whose
-   bucket is shared by two documents are sorted by (bucket pointer, bucket of the q-gram at the next
-   offset), which gives the next, finer pointers, and so on until the q-grams at the offsets cover the
-   whole string; pointers of one pass are what the next one sorts by, and buckets of a single document
-   drop out on the way. Strings that share the last bucket are equal, and all but those of the smallest
-   key are repeats.
+3. Refinement. Every place has a bucket pointer, at first that of its q-gram. A pass sorts places by
+   their pointer and the pointer at the offset where that one's bytes end, and updates all pointers,
+   which then stand for twice the bytes; the next pass looks up the updated ones, so that a few passes
+   cover the whole string. Buckets of a single document drop out on the way. Strings that share the last
+   bucket are equal, and all but those of the smallest key are repeats.
 4. Removal. Chunks receive their repeats' places, join them to runs and cut them out.
 
-q-grams are identified by 64-bit hashes; a string is identified by those at all its offsets.
+q-grams are identified by 64-bit hashes, strings by the buckets of the q-grams that cover them.
 """
 
 from __future__ import annotations
@@ -384,40 +383,67 @@ def contexts(chunks: DataFrame, shared: DataFrame, length: int, buckets: int, ta
     )
 
 
-def _identifiers(text: np.ndarray, start: np.ndarray, offsets: list[int]) -> np.ndarray:
-    """Bucket of the q-gram at each offset (rows) of each string (columns); strings are in order of place."""
-    out = np.empty((len(offsets), len(start)), np.uint64)
+def _buckets(keys: np.ndarray) -> np.ndarray:
+    """Bucket pointer of each key: the place in sorted order where the run of equal keys begins."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, bool)
+    pointers = np.empty(len(keys), np.int64)
+    pointers[order] = np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))
+    return pointers
+
+
+def _grams_at(text: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hash of the q-gram at each place (ascending)."""
+    out = np.empty(len(place), np.uint64)
     for begin in range(0, len(text), SEGMENT):
-        a, b = np.searchsorted(start, (begin, begin + SEGMENT))
+        a, b = np.searchsorted(place, (begin, begin + SEGMENT))
         if a < b:
-            hashes = Bytes(text[begin : begin + SEGMENT + offsets[-1] + Q])
-            for row, offset in zip(out, offsets, strict=True):
-                row[a:b] = hashes.at(start[a:b] - begin + offset, Q)
+            out[a:b] = Bytes(text[begin : begin + SEGMENT + Q]).at(place[a:b] - begin, Q)
     return out
 
 
+def _widths(length: int) -> list[int]:
+    """Bytes that a bucket pointer stands for after each pass: doubled until the whole string is covered."""
+    widths = [Q]
+    while widths[-1] < length:
+        widths.append(min(2 * widths[-1], length))
+    return widths
+
+
 def refine(text: np.ndarray, start: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
-    """Which of the strings at `start` (ascending) also occur with a smaller rank: sort by bucket pointers
-    and the buckets of the q-grams at later and later offsets."""
-    offsets = [*range(0, length - Q, Q - Q // 4), length - Q]
-    buckets = _identifiers(text, start, offsets)
-    left = np.arange(len(start))
-    pointer = np.zeros(len(start), np.uint64)
-    for offset, bucket in zip(offsets, buckets, strict=True):
-        pointer = mix(pointer ^ bucket[left])
-        order = np.argsort(pointer, kind="stable")
-        left, pointer = left[order], pointer[order]
-        head = np.flatnonzero(np.concatenate([[True], pointer[1:] != pointer[:-1]])) if len(left) else left
-        if not len(head):
-            return np.zeros(len(start), bool)
-        r = rank[left]
-        least = np.minimum.reduceat(r, head)
-        keep = np.repeat(least != np.maximum.reduceat(r, head), np.diff(np.append(head, len(left))))
-        if offset == offsets[-1]:
-            least = np.repeat(least, np.diff(np.append(head, len(left))))
-        left, pointer = left[keep], pointer[keep]
+    """Which of the strings at `start` (ascending) also occur with a smaller rank.
+
+    Each place that a string needs has a bucket pointer, at first that of its q-gram. A pass sorts places by
+    their own pointer and the pointer found one refined width further on, and gives all of them their new
+    pointers at once: these stand for the wider string, and the next pass looks them up wherever they are.
+    Strings alone with their rank in their bucket drop out before each pass, and with them the places they need.
+    """
+    widths = _widths(length)
+    steps = np.diff(widths)
+    left, pointer, slot = np.arange(len(start)), np.zeros(0, np.int64), np.full(len(text) + 1, -1)
+    for done in range(len(widths)):
+        # the places that the strings still look up: their starts, moved by the steps of the passes to come
+        need = np.zeros(len(text) + 1, bool)
+        need[start[left]] = True
+        for step in steps[done:][::-1]:
+            need[step:] |= need[:-step].copy()
+        place = np.flatnonzero(need)
+        if done:
+            further = pointer[slot[place + steps[done - 1]]]
+            pointer = _buckets(pointer[slot[place]] * np.int64(len(pointer)) + further)
+        else:
+            pointer = _buckets(_grams_at(text, place))
+        slot[place] = np.arange(len(place))
+        own, r = pointer[slot[start[left]]], rank[left]
+        least = np.full(len(pointer), LAST_KEY)
+        most = np.full(len(pointer), np.iinfo(np.int64).min)
+        np.minimum.at(least, own, r)
+        np.maximum.at(most, own, r)
+        keep = least[own] != most[own] if done < len(steps) else r != least[own]
+        left = left[keep]
     out = np.zeros(len(start), bool)
-    out[left[rank[left] != least[keep]]] = True
+    out[left] = True
     return out
 
 

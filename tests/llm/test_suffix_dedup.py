@@ -129,17 +129,20 @@ def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_refine_against_sets():
+@pytest.mark.parametrize("length", [30, 40, 50, 81])
+def test_refine_against_sets(length):
+    """Widths that are doubled once or more, whole or in part; every place looks up refined pointers."""
     rng = random.Random(9)
     text = np.frombuffer("".join(rng.choice("ab") for _ in range(4000)).encode() * 2, np.uint8)
-    start = np.arange(len(text) - 30)
+    start = np.flatnonzero([rng.random() < 0.8 for _ in range(len(text) - length + 1)])
     rank = np.array([rng.randrange(5) for _ in start])
     first = {}
     for s, r in zip(start, rank, strict=True):
-        key = text[s : s + Q + 10].tobytes()
+        key = text[s : s + length].tobytes()
         first[key] = min(first.get(key, 9), r)
-    want = [first[text[s : s + Q + 10].tobytes()] < r for s, r in zip(start, rank, strict=True)]
-    assert refine(text, start, rank, Q + 10).tolist() == want
+    want = [first[text[s : s + length].tobytes()] < r for s, r in zip(start, rank, strict=True)]
+    assert refine(text, start, rank, length).tolist() == want
+    assert refine(text, start[:0], rank[:0], length).tolist() == []
 
 
 def test_query_digest(spark, sf):
