@@ -1,9 +1,8 @@
 """Vector similarity of documents.
 
 The reference meaning (a model reads two documents) is not data work. What is kept is the data side:
-a score for document pairs from stored embeddings. Comparing all documents with each other is
-quadratic, so vectors are compared with the mean vector of a group they are already linked in, or
-along edges that another detector found. Both are exact and linear.
+a score for documents from stored embeddings: here with the mean vector of a group they are already linked
+in, or along edges that another detector found, both linear; `neighbours` finds all near vectors.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from paperloom.operators import classify as kl
-from paperloom.operators import extract, link, semantic
+from paperloom.operators import extract, link, neighbours, semantic
 from paperloom.plans import insights as ins
 from paperloom.plans import pipeline
 from paperloom.session import checkpoint_dir, cut
@@ -239,6 +239,38 @@ def semantic_neighbors(spark, sf_dir):
     return out.select("vec_id", "label", F.round("similarity", 5).alias("similarity"))
 
 
+@query(
+    "semantic_pairs",
+    oracle(
+        """
+SELECT a.vec_id AS source, b.vec_id AS target,
+       round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS similarity
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.4"""
+    ),
+)
+def semantic_pairs(spark, sf_dir):
+    """All pairs of different vectors with a cosine of 0.4 or more (the table's vectors are all different)."""
+    out = neighbours.neighbour_pairs(inputs.table(spark, sf_dir, "embeddings"), "vec_id", minimum=0.4)
+    return out.select("source", "target", F.round("similarity", 5).alias("similarity"))
+
+
+@query(
+    "semantic_clusters",
+    oracle(
+        """
+WITH RECURSIVE e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.4),
+reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT vec_id, b FROM reach JOIN e ON r = a)
+SELECT vec_id, (SELECT count(*) FROM e WHERE a = vec_id) AS n_neighbours, min(r) AS cluster FROM reach GROUP BY vec_id"""
+    ),
+)
+def semantic_clusters(spark, sf_dir):
+    """Number of vectors near each one, and the least one reached over near vectors."""
+    return neighbours.neighbours(inputs.table(spark, sf_dir, "embeddings"), "vec_id", minimum=0.4)
+
+
 def as_of():
     return F.lit("1998-01-01").cast("date")
 
