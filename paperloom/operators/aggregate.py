@@ -99,6 +99,20 @@ def confidence_histogram(df: DataFrame, confidence: str = "confidence", buckets:
     )
 
 
+#: Size of a KLL sketch: exact to that many values or so, then a rank is off by less than 0.1 % of the values.
+SKETCH_K = 4096
+
+
+def merged_quantiles(sketches: DataFrame, *keys: Column | str, quantile: float = 0.95, k: int = SKETCH_K) -> DataFrame:
+    """Documents and a quantile per group of stored sketches (n, sketch), merged without the values behind them.
+    The quantile is the least value with that share of values at or below it, null where there is none."""
+    merged = sketches.groupBy(*keys).agg(
+        F.sum("n").alias("documents"), F.kll_merge_agg_double(F.when(F.col("n") > 0, F.col("sketch")), k).alias("_sketch")
+    )
+    value = F.when(F.col("documents") > 0, F.kll_sketch_get_quantile_double("_sketch", F.lit(float(quantile))))
+    return merged.withColumn("value", value).drop("_sketch")
+
+
 def ops_metrics(df: DataFrame) -> DataFrame:
     """Documents, mean and p95 duration, mean confidence, error rate, cache-hit rate.
     Input: duration_ms, confidence, failed, cache_hit."""

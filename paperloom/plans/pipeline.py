@@ -20,6 +20,9 @@ EXTRACTORS: Mapping[str, Callable[[Column, Column], Column]] = {
 }
 
 
+_BRANCH = "__branch"
+
+
 def sequential(*stages: Stage) -> Stage:
     """Stages one after another (T4); a stage is any function from DataFrame to DataFrame."""
     return lambda df: reduce(lambda acc, stage: acc.transform(stage), stages, df)
@@ -30,16 +33,18 @@ def parallel(
 ) -> Stage:
     """Each branch gets the rows whose `on` column names it; results are united by column name.
 
-    Rows of no branch pass through. A branch may be any DataFrame function, so each one is a filter of
-    its own; the prepared input is written once to the shared checkpoint folder and read per branch,
-    instead of being computed per branch. `extract_all` does the built-in types in a single pass.
+    Rows of no branch pass through. A branch may be any DataFrame function. The prepared input is written once
+    to the shared checkpoint folder, a folder per branch, and each branch reads its own alone.
+    `extract_all` does the built-in types in a single pass.
     """
+    names = list(branches)
 
     def run(df: DataFrame) -> DataFrame:
-        prepared = cut(df.transform(before) if before else df)
-        others = ~F.coalesce(F.col(on).isin(list(branches)), F.lit(False))
-        parts = [prepared.filter(others)]
-        parts += [prepared.filter(F.col(on) == name).transform(stage) for name, stage in branches.items()]
+        prepared = df.transform(before) if before else df
+        number = F.coalesce(*[F.when(F.col(on) == name, F.lit(i)) for i, name in enumerate(names)], F.lit(-1))
+        written = cut(prepared.withColumn(_BRANCH, number), _BRANCH)
+        own = lambda i: written.filter(F.col(_BRANCH) == i).select(prepared.columns)
+        parts = [own(-1), *[own(i).transform(branches[name]) for i, name in enumerate(names)]]
         united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         return united.transform(after) if after else united
 

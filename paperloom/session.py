@@ -49,16 +49,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *by: str) -> DataFrame:
     """Write `df` as a table into the shared checkpoint folder and go on from there.
 
     The result no longer depends on executors or on the plan before it, and, unlike a raw checkpoint,
-    later steps read only the columns they use.
+    later steps read only the columns they use. With `by` (columns of few values) they also read only the folders
+    that a filter on these leaves.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/paperloom-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from paperloom.operators import classify as kl
 from paperloom.operators import link, scoring, validate
+from paperloom.operators.aggregate import SKETCH_K
 from paperloom.plans import pipeline
 from paperloom.session import cut, drop_cut
 from paperloom.streaming.store import RunStore
@@ -60,6 +61,21 @@ def drop_redelivered(
     return thinned.dropDuplicatesWithinWatermark([key]).drop("_salt")
 
 
+def minute_sketches(
+    stream: DataFrame, value: Column, ts: str = "ts", seconds: int = EXPORT_SECONDS, late: str = "5 minutes", k: int = SKETCH_K
+) -> DataFrame:
+    """The distribution of a value per export interval (R3), as a KLL sketch of bounded size that can be added up:
+    `aggregate.merged_quantiles` gives the quantiles of any longer time. Nulls are left out."""
+    window = F.window(ts, f"{seconds} seconds")
+    return (
+        stream.select(F.col(ts), value.cast("double").alias("_value"))
+        .withWatermark(ts, late)
+        .groupBy(window.alias("w"))
+        .agg(F.count("_value").alias("n"), F.kll_sketch_agg_double("_value", k).alias("sketch"))
+        .select(F.col("w.start").alias("window_start"), "n", "sketch")
+    )
+
+
 def minute_metrics(
     stream: DataFrame, failed: Column, confidence: Column, ts: str = "ts", seconds: int = EXPORT_SECONDS, late: str = "5 minutes"
 ) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,6 +229,27 @@ def test_parallel_branches_keep_unrouted_rows(spark):
     assert [(r["v"], r["twice"]) for r in run(df).collect()] == [(1, 2), (2, None), (3, None)]
 
 
+def test_parallel_branches_read_their_own_rows(spark):
+    """Every branch scans one folder of the written table; values need not be fit for folder names."""
+    rows = [("a/b=1", 1), ("", 2), (None, 3), ("a/b=1", 4), ("1", 5), ("01", 6)]
+    df = spark.createDataFrame(rows, "handler STRING, v INT")
+    seen = {}
+
+    def branch(name):
+        def stage(d):
+            seen[name] = d
+            return d.withColumn("branch", F.lit(name))
+
+        return stage
+
+    out = pipeline.parallel({n: branch(n) for n in ("a/b=1", "", "1")})(df)
+    assert sorted(out.collect(), key=lambda r: r["v"]) == [(h, v, h if h in seen else None) for h, v in rows]
+    for d in seen.values():
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^\]]*__branch", plan)
+        assert d.columns == ["handler", "v"]
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [

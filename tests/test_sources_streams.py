@@ -1,3 +1,4 @@
+import bisect
 import datetime
 import random
 import json
@@ -110,6 +111,29 @@ def test_metrics_equal_the_batch_result(spark, tmp_path):
     assert key(got) == key(batch)
 
 
+def test_sketches_of_minutes_add_up(spark, tmp_path):
+    """A day's quantiles from the stored sketches of its minutes: a rank is off by less than 0.1 %."""
+    from paperloom.operators.aggregate import merged_quantiles
+
+    n = 200_000
+    df = spark.range(n).select(
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") % 86_400).alias("ts"),
+        F.when(F.col("id") % 1000 != 0, F.pmod(F.xxhash64("id"), F.lit(10**9)) / 10**6).alias("v"),
+    )
+    minutes = jobs.minute_sketches(df, F.col("v"))
+    assert minutes.count() == 1440
+    ordered = sorted(r["v"] for r in df.filter("v IS NOT NULL").collect())
+    for q in (0.05, 0.5, 0.95):
+        (got,) = merged_quantiles(minutes, F.to_date("window_start").alias("day"), quantile=q).collect()
+        assert got["documents"] == len(ordered)
+        assert abs(bisect.bisect_right(ordered, got["value"]) / len(ordered) - q) < 0.001
+    none = minutes.limit(1).select("window_start", F.lit(0).alias("n"), F.lit(None).cast("binary").alias("sketch"))
+    assert [(r["documents"], r["value"]) for r in merged_quantiles(none, "window_start").collect()] == [(0, None)]
+    assert merged_quantiles(none.filter("n > 0"), "window_start").collect() == []
+    nulls = jobs.minute_sketches(df.withColumn("v", F.lit(None).cast("double")).limit(5), F.col("v"))
+    assert {(r["documents"], r["value"]) for r in merged_quantiles(nulls, F.lit(1).alias("all")).collect()} == {(0, None)}
+
+
 def at(seconds):
     return datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=seconds)
 

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from paperloom.operators import classify as kl
-from paperloom.operators import extract, link, neighbours, semantic
+from paperloom.operators import aggregate, extract, link, neighbours, semantic
 from paperloom.plans import insights as ins
 from paperloom.plans import pipeline
 from paperloom.session import checkpoint_dir, cut
@@ -55,6 +55,22 @@ def stream_metrics(spark, sf_dir):
     )
 
 
+@query(
+    "daily_quantiles",
+    oracle(
+        """
+SELECT strftime(w, '%Y-%m-%d') AS day, count(value) AS documents, quantile_disc(value, 0.95) AS p95
+FROM (SELECT *, time_bucket(INTERVAL 60 SECONDS, ts) AS w FROM events)
+WHERE w + INTERVAL 60 SECONDS <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 5 MINUTES FROM events) GROUP BY day"""
+    ),
+)
+def daily_quantiles(spark, sf_dir):
+    """95th percentile per day, from the sketches of its closed minutes; exact while a day has a few thousand values."""
+    minutes = _run(spark, jobs.minute_sketches(_events(spark, sf_dir), F.col("value")))
+    out = aggregate.merged_quantiles(minutes, F.date_format("window_start", "yyyy-MM-dd").alias("day"))
+    return out.select("day", "documents", F.col("value").alias("p95"))
+
+
 @query(
     "incremental_links",
     oracle(
@@ -335,17 +351,19 @@ def mixed_batch(spark, sf_dir):
     "receipt_rules",
     oracle(
         """
-SELECT 'R-' || o_orderkey AS receipt_number, true AS is_valid FROM orders"""
+SELECT 'R-' || o_orderkey AS receipt_number, o_orderkey % 7 <> 0 AS is_valid FROM orders"""
     ),
 )
 def receipt_rules(spark, sf_dir):
-    """Sequential stages: extract receipts from text, then run their rules."""
+    """Sequential stages: extract receipts from text, then run their rules; every seventh has a wrong subtotal."""
     from paperloom.operators import validate
 
     run = pipeline.sequential(
         lambda df: extract.extract_receipt(df), lambda df: df.select("receipt.*"), lambda df: validate.check_rules(df)
     )
-    out = run(inputs.receipt_texts(spark, sf_dir))
+    texts = inputs.receipt_texts(spark, sf_dir)
+    wrong = F.regexp_replace("text", r"(?m)^Subtotal: .*$", "Subtotal: 0.01")
+    out = run(texts.withColumn("text", F.when(F.col("k") % 7 == 0, wrong).otherwise(F.col("text"))))
     return out.select("transaction.receipt_number", "validation.is_valid")
 
 
