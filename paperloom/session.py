@@ -18,7 +18,7 @@ DEFAULTS = {
 }
 
 
-#: Folders that `cut` wrote, by application.
+#: Folders that `new_folder` named, by application.
 _WRITTEN: dict[str, list[str]] = {}
 
 
@@ -49,6 +49,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, *name: str) -> str:
+    """A path below the shared checkpoint folder that nothing else uses; `clean_up` deletes what is written there."""
+    path = f"{checkpoint_dir(spark)}/{'-'.join(['paperloom', *name, uuid.uuid4().hex])}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def cut(df: DataFrame, *by: str) -> DataFrame:
     """Write `df` as a table into the shared checkpoint folder and go on from there.
 
@@ -57,8 +64,7 @@ def cut(df: DataFrame, *by: str) -> DataFrame:
     that a filter on these leaves.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/paperloom-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = new_folder(spark)
     df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -72,7 +78,7 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def clean_up(spark: SparkSession) -> int:
-    """Delete all tables that `cut` wrote in this application; call it once no result of it is read any
+    """Delete all folders that `cut` and `new_folder` made in this application; call it once no result of it is read any
     more. Returns how many there were."""
     written = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     for folder in written:

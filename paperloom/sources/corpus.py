@@ -37,7 +37,11 @@ def read_text_docs(spark: SparkSession, path: str, globs: Sequence[str] = ("*.tx
 def read_json_docs(spark: SparkSession, path: str, schema: T.StructType | str | None = None, globs: Sequence[str] = ("*.json",)) -> DataFrame:
     """JSON files as typed data (`schema`) or as VARIANT (S4). A file that is no JSON gives null data and
     an error; one that does not fit the schema keeps the fields that do, and an error."""
-    docs = read_text_docs(spark, path, globs)
+    return parse_json_docs(read_text_docs(spark, path, globs), schema)
+
+
+def parse_json_docs(docs: DataFrame, schema: T.StructType | str | None = None) -> DataFrame:
+    """Texts that are JSON (path, text, error) as data: path, data, error, as `read_json_docs` gives them."""
     variant = F.try_parse_json("text")
     broken = F.when(variant.isNull(), F.lit("not valid JSON"))
     if schema is None:

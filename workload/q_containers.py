@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from paperloom.operators import containers as c
-from paperloom.session import checkpoint_dir
+from paperloom.session import new_folder
 from paperloom.sources import corpus, results
 from paperloom.streaming import jobs
 from workload import inputs
@@ -325,12 +323,20 @@ def typed_results(spark, sf_dir):
 
 @query(
     "json_documents",
-    oracle("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
+    oracle(
+        """
+SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+       CASE WHEN event_id % 11 = 0 THEN 'not valid JSON' END AS error
+FROM events"""
+    ),
 )
 def json_documents(spark, sf_dir):
-    """Untyped JSON read through VARIANT."""
-    rows = inputs.table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("v"))
-    return rows.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"))
+    """Untyped JSON read through VARIANT; every eleventh text is cut off and gives an error."""
+    key = F.col("event_id")
+    text = F.when(key % 11 == 0, F.concat(F.lit("["), F.col("props"))).otherwise(F.col("props"))
+    docs = inputs.table(spark, sf_dir, "events").select(key.alias("path"), text.alias("text"), F.lit(None).cast("string").alias("error"))
+    out = corpus.parse_json_docs(docs)
+    return out.select(F.col("path").alias("event_id"), F.try_variant_get("data", "$.k", "bigint").alias("k"), "error")
 
 
 @query(
@@ -354,7 +360,7 @@ def selected_output(spark, sf_dir):
 
 
 def _folder(spark, name):
-    return f"{checkpoint_dir(spark)}/paperloom-files-{name}-{uuid.uuid4().hex}"
+    return new_folder(spark, f"files-{name}")
 
 
 def _key(column="path"):

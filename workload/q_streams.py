@@ -5,15 +5,13 @@ Streams read the events table as files and process all of it; the result is what
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from paperloom.operators import classify as kl
 from paperloom.operators import aggregate, extract, link, neighbours, semantic
 from paperloom.plans import insights as ins
 from paperloom.plans import pipeline
-from paperloom.session import checkpoint_dir, cut
+from paperloom.session import cut, new_folder
 from paperloom.streaming import incremental, jobs
 from workload import inputs
 from workload.oracle_inputs import oracle
@@ -29,7 +27,7 @@ def _events(spark, sf_dir):
 
 
 def _run(spark, stream):
-    base = f"{checkpoint_dir(spark)}/paperloom-stream-{uuid.uuid4().hex}"
+    base = new_folder(spark, "stream")
     return jobs.run_available(stream, f"{base}/out", f"{base}/state")
 
 
@@ -90,7 +88,7 @@ def incremental_links(spark, sf_dir):
     docs = inputs.table(spark, sf_dir, "events").select(
         key.alias("ord"), path.alias("path"), F.floor(key / 40).alias("amount"), F.pmod(F.xxhash64(key), F.lit(5)).alias("part")
     )
-    base = f"{checkpoint_dir(spark)}/paperloom-links-{uuid.uuid4().hex}"
+    base = new_folder(spark, "links")
     docs.repartition(5, "part").write.partitionBy("part").parquet(f"{base}/in")
     arriving = spark.readStream.schema("ord BIGINT, path STRING, amount BIGINT").option("maxFilesPerTrigger", 1)
     arriving = arriving.option("recursiveFileLookup", "true").parquet(f"{base}/in")
@@ -104,7 +102,7 @@ def incremental_links(spark, sf_dir):
 def _linked_in_batches(spark, docs, job):
     """Write documents as five files in no order, read them as a stream of five micro-batches, run `job`
     (store, edges) on each; returns the two folders."""
-    base = f"{checkpoint_dir(spark)}/paperloom-links-{uuid.uuid4().hex}"
+    base = new_folder(spark, "links")
     docs.repartition(5, F.xxhash64("ord")).write.parquet(f"{base}/in")
     arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     ended = arriving.writeStream.foreachBatch(job(f"{base}/store", f"{base}/edges"))
@@ -476,7 +474,7 @@ SELECT 'R-' || o_orderkey AS ref, 'invoice' AS handler, round(0.3 * (3 / 6.0) +
 def stream_processed(spark, sf_dir):
     """Receipts read as invoices by the built-in routes, in a stream: extracted, validated (they lack an
     invoice number) and scored as in a batch."""
-    base = f"{checkpoint_dir(spark)}/paperloom-texts-{uuid.uuid4().hex}"
+    base = new_folder(spark, "texts")
     texts = inputs.receipt_texts(spark, sf_dir).select(F.concat(F.lit("in/receipt_"), F.col("k").cast("string"), F.lit(".pdf")).alias("path"), "text")
     texts.write.parquet(f"{base}/in")
     arriving = spark.readStream.schema("path STRING, text STRING").parquet(f"{base}/in")
