@@ -457,3 +457,15 @@ def test_an_interval_is_a_few_blocks(spark):
         F.size(matching.cover(F.unix_date("d"), end, *matching.DAYS)).alias("days"),
     ).agg(F.max("bins"), F.max("days")).first()
     assert max(rows) < 50
+
+
+def test_written_groups_are_not_broadcast_by_the_size_of_their_files(spark, monkeypatch):
+    rows = spark.range(400).select(F.col("id").alias("ord"), F.floor(F.col("id") / 2).alias("k"))
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    joined = lambda: keys.join_groups(rows, groups, ["k"], F.col("ord"))
+    assert "strategy=merge" not in plan(joined())
+    monkeypatch.setattr(keys, "BROADCAST_ROWS", 100)
+    assert "strategy=merge" in plan(joined()) and joined().count() == 400
+    salted = keys.join_groups(rows, groups, ["k"], F.col("ord"), hot_rows=2)
+    assert "strategy=merge" in plan(salted) and salted.count() == 400
