@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.operators import containers as c
-from paperloom.session import new_folder
+from paperloom.session import cut, new_folder
 from paperloom.sources import corpus, results
 from paperloom.streaming import jobs
 from workload import inputs
@@ -367,6 +367,12 @@ def _key(column="path"):
     return F.regexp_extract(column, "key=([0-9]+)", 1).cast("bigint").alias("key")
 
 
+def _write_files(spark, rows, folder):
+    """A folder with a text file per key, written by all cores: a table of few bytes makes very many files. All rows
+    of a key stay in one task, so in one file."""
+    rows.repartition(spark.sparkContext.defaultParallelism, "key").write.partitionBy("key").text(folder)
+
+
 def _text_files(spark, sf_dir):
     """A folder with one text file per supplier; every seventh is not UTF-8."""
     k = F.col("s_suppkey")
@@ -374,7 +380,7 @@ def _text_files(spark, sf_dir):
     raw = F.when(k % 7 == 0, F.concat(F.unhex(F.lit("C328")), text.cast("binary"))).otherwise(text.cast("binary"))
     folder = _folder(spark, "text")
     rows = inputs.table(spark, sf_dir, "supplier").select(k.alias("key"), raw.cast("string").alias("value"))
-    rows.write.partitionBy("key").text(folder)
+    _write_files(spark, rows, folder)
     return folder
 
 
@@ -434,7 +440,7 @@ def json_files(spark, sf_dir):
         k.alias("key"), F.when(k % 7 == 0, F.substr(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole).alias("value")
     )
     folder = _folder(spark, "json")
-    rows.write.partitionBy("key").text(folder)
+    _write_files(spark, rows, folder)
     docs = corpus.read_json_docs(spark, folder, "name STRING, number BIGINT", ["*.txt"])
     return docs.select(_key(), "data.name", "data.number", "error")
 
@@ -471,7 +477,7 @@ SELECT path, 'invoice' AS document_type, vendor, CAST(total_amount AS DOUBLE) AS
 )
 def written_results(spark, sf_dir):
     """Results written as JSON, read back as typed tables; as flat CSV, with the same rows."""
-    docs = inputs.invoices(spark, sf_dir).select("document_type", F.col("path").alias("document_path"), "metadata", "vendor", "financial")
+    docs = cut(inputs.invoices(spark, sf_dir).select("document_type", F.col("path").alias("document_path"), "metadata", "vendor", "financial"))
     folder, flat = _folder(spark, "results"), _folder(spark, "flat")
     results.write_results(docs, folder)
     results.write_results(docs, flat, "csv")
