@@ -469,3 +469,23 @@ def test_written_groups_are_not_broadcast_by_the_size_of_their_files(spark, monk
     assert "strategy=merge" in plan(joined()) and joined().count() == 400
     salted = keys.join_groups(rows, groups, ["k"], F.col("ord"), hot_rows=2)
     assert "strategy=merge" in plan(salted) and salted.count() == 400
+
+
+def test_blocks_of_contracts_are_not_broadcast(spark):
+    """A contract is many rows of blocks, whatever the size of the table it is read from."""
+    day = lambda d: F.lit(d).cast("date")
+    inv = spark.range(20).select(
+        F.concat(F.lit("i/"), F.col("id").cast("string")).alias("path"),
+        F.struct(F.lit("V").alias("name")).alias("vendor"),
+        F.struct(F.date_add(day("2020-01-01"), F.col("id").cast("int")).alias("invoice_date")).alias("metadata"),
+        F.struct(F.lit(1).cast("decimal(18,2)").alias("total_amount")).alias("financial"),
+    )
+    agr = spark.range(1).select(
+        F.struct(F.lit("A").alias("agreement_id"), day("2020-01-05").alias("effective_date"), day("2020-01-14").alias("expiry_date")).alias("metadata"),
+        F.array(F.struct(F.lit("vendor").alias("role"), F.lit("V").alias("name"))).alias("parties"),
+        F.lit(5).cast("decimal(18,2)").alias("cap"),
+    )
+    found = {"limit": matching.over_limit(inv, agr), "contracts": matching.contracts_of(inv, agr)}
+    for df in found.values():
+        assert "strategy=merge" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert found["limit"].first()["n_invoices"] == 10 and found["contracts"].count() == 10
