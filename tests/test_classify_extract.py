@@ -275,3 +275,14 @@ def test_parallel_branches_read_their_own_rows(spark):
 def test_amount_shapes(spark, text, want):
     got = spark.createDataFrame([(text,)], "t STRING").select(tx.to_amount(F.col("t"))).first()[0]
     assert (None if got is None else str(got)) == want
+
+
+def test_relationships_of_a_batch_are_linked_when_they_are_asked_for(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "in/invoice_1.pdf", "Invoice Number: INV-1")], "ord BIGINT, path STRING, text STRING")
+    asked = []
+    linked = pipeline.link.map_relationships
+    monkeypatch.setattr(pipeline.link, "map_relationships", lambda *args: asked.append(1) or linked(*args))
+    out = pipeline.process_batch(df)
+    assert out["status"].first()["processed"] == 1 and not asked
+    assert out["relationships"].count() == 0 and out["relationships"] is out["relationships"] and asked == [1]
+    assert set(out) == {"documents", "summary", "status", "relationships"}
