@@ -315,3 +315,11 @@ def test_written_tables_can_be_removed(spark):
     assert clean_up(spark) >= 2 and clean_up(spark) == 0
     with pytest.raises(ValueError, match="not a table written by cut"):
         drop_cut(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
+
+
+def test_results_are_written_with_the_options_of_the_writers(spark, tmp_path):
+    df = spark.range(50).selectExpr("id", "named_struct('name', concat('same text ', id)) AS vendor")
+    for fmt, count in (("json", lambda p: spark.read.json(p)), ("csv", lambda p: spark.read.option("header", "true").csv(p))):
+        results.write_results(df, f"{tmp_path}/{fmt}", fmt, compression="gzip")
+        assert list((tmp_path / fmt).glob("part-*.gz")) and not list((tmp_path / fmt).glob(f"part-*.{fmt}"))
+        assert count(f"{tmp_path}/{fmt}").count() == 50

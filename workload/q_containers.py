@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.operators import containers as c
-from paperloom.session import cut, new_folder
+from paperloom.session import new_folder
 from paperloom.sources import corpus, results
 from paperloom.streaming import jobs
 from workload import inputs
@@ -477,10 +477,10 @@ SELECT path, 'invoice' AS document_type, vendor, CAST(total_amount AS DOUBLE) AS
 )
 def written_results(spark, sf_dir):
     """Results written as JSON, read back as typed tables; as flat CSV, with the same rows."""
-    docs = cut(inputs.invoices(spark, sf_dir).select("document_type", F.col("path").alias("document_path"), "metadata", "vendor", "financial"))
+    docs = inputs.invoices(spark, sf_dir).select("document_type", F.col("path").alias("document_path"), "metadata", "vendor", "financial")
     folder, flat = _folder(spark, "results"), _folder(spark, "flat")
-    results.write_results(docs, folder)
-    results.write_results(docs, flat, "csv")
+    results.write_results(docs, folder, compression="gzip")
+    results.write_results(docs, flat, "csv", compression="gzip")
     back = results.read_results(spark, folder).select("document_type", "invoice.*").drop("document_type")
     lines = spark.read.option("header", "true").csv(flat).select(F.col("document_path").alias("path"), "document_type")
     typed = back.select(F.col("document_path").alias("path"), F.col("vendor.name").alias("vendor"), F.col("financial.total_amount").cast("double").alias("total_amount"))
