@@ -285,6 +285,20 @@ def test_temporal_links_of_batches_are_those_of_all_documents(spark, tmp_path):
     assert sorted(map(tuple, latest.select("block", "day_a", "day_b", "l.*").select(whole.columns).collect())) == want
 
 
+def test_links_of_changed_days_are_not_shuffled_again(spark):
+    day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(days=n)
+    rows = [(b, day(n), 1 + n % 2, (n, f"{b}{n}"), (n + 1, f"{b}{n}x"), n in (3, 20, 21)) for b in "ab" for n in (0, 3, 4, 9, 13, 20, 21, 40)]
+    pair = "STRUCT<ord: BIGINT, path: STRING>"
+    cells = spark.createDataFrame(rows, f"block STRING, day DATE, n BIGINT, first {pair}, last {pair}, changed BOOLEAN")
+    links = link.link_cells(cells, 10, F.col("changed"))
+    new = [day(n) for n in (3, 20, 21)]
+    whole = link.link_cells(cells.drop("changed"), 10).collect()
+    want = [tuple(r) for r in whole if r["day_a"] in new or r["day_b"] in new]
+    assert sorted(map(tuple, links.collect())) == sorted(want) and 0 < len(want) < len(whole)
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1, plan  # the flag comes with the cells
+
+
 def test_a_hot_content_is_thinned_before_it_meets(spark, tmp_path):
     t = lambda s: datetime.datetime(2024, 1, 1, 0, s // 60, s % 60)
     stream = parquet_stream(spark, tmp_path, [[(t(i), "hot") for i in range(200)], [(t(i), "hot") for i in range(200, 300)]], "ts TIMESTAMP, sha256 STRING")
