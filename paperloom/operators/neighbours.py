@@ -27,6 +27,7 @@ from paperloom.session import cut
 
 PIVOTS = 128
 BLOCK_ROWS = 2048
+VISIT_VALUES = 1 << 21  # components of the visiting rows that a task holds at once: 16 MB
 #: Rounding: a cosine this little below the minimum counts, and bounds are wider by more than it can matter.
 _ROUNDING, _SLACK = 1e-12, 1e-5
 _KEYS = ["_a", "_b"]
@@ -96,10 +97,11 @@ def _visits(homes: DataFrame, pivots: np.ndarray, rings: np.ndarray, radius: flo
     between = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
     later = np.arange(len(pivots))
 
+    # a row may visit all cells: what is held at once is bounded, whatever the size of Spark's batches
+    step = max(VISIT_VALUES // pivots.size, 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             square = np.maximum(2 - 2 * _matrix(batch.column("vector"), pivots.shape[1]) @ pivots.T, 0)
             own = batch.column("cell").to_numpy()
             beyond = square - square[np.arange(len(own)), own][:, None]

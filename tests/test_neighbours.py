@@ -81,3 +81,34 @@ def test_odd_vectors(spark):
 def test_lengths_must_agree(spark):
     with pytest.raises(Exception, match="differ in length"):
         neighbours(frame(spark, [("a", [1, 0]), ("b", [1, 0, 0])])).collect()
+
+
+def test_visits_leave_a_task_in_bounded_batches():
+    """A row that visits all cells is not gathered with all other rows of its batch."""
+    import pyarrow as pa
+
+    from paperloom.operators import neighbours as module
+
+    class Rows:  # what `_visits` asks of a DataFrame, to see the batches that a task hands on
+        schema = {"node": type("Field", (), {"dataType": type("Type", (), {"simpleString": lambda self: "long"})()})()}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, ddl):
+            return run
+
+    rng = np.random.default_rng(2)
+    unit = lambda n: module._unit(rng.normal(size=(n, 64)))
+    pivots, rows = unit(128), unit(3000)
+    vectors = pa.array(list(rows), pa.list_(pa.float64()))
+    cells = pa.array(np.argmin(2 - 2 * rows @ pivots.T, 1), pa.int32())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([1] * 3000), vectors, cells], ["node", "n", "vector", "cell"])
+    rings = np.array([[0.0] * 128, [2.0] * 128])
+    out = list(module._visits(Rows(), pivots, rings, 1.1)(iter([batch])))
+    visits = sorted((n, c) for b in out for n, c in zip(b.column("node").to_pylist(), b.column("cell").to_pylist(), strict=True))
+    own = cells.to_numpy()
+    assert visits == [(n, c) for n in range(3000) for c in range(own[n] + 1, 128)]  # all later cells: nothing rules one out
+    assert max(b.num_rows for b in out) * 64 <= module.VISIT_VALUES < len(visits) * 64
+    flat = [v for b in out for v in zip(b.column("node").to_pylist(), b.column("vector").to_pylist())][:200]
+    assert all(np.array_equal(rows[n], v) for n, v in flat)
