@@ -286,3 +286,19 @@ def test_relationships_of_a_batch_are_linked_when_they_are_asked_for(spark, monk
     assert out["status"].first()["processed"] == 1 and not asked
     assert out["relationships"].count() == 0 and out["relationships"] is out["relationships"] and asked == [1]
     assert set(out) == {"documents", "summary", "status", "relationships"}
+
+
+def test_rendered_amounts_are_formatted_once_and_spelled_by_key(spark, tmp_path):
+    from workload import inputs
+
+    rows = [(k, 1, 7, 9, 2.0, 1234.5 + k, datetime.date(2024, 1, 31)) for k in range(5, 12)]
+    names = "l_orderkey long, l_linenumber long, l_suppkey long, l_partkey long, l_quantity double, l_extendedprice double, l_shipdate date"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "lineitem.parquet"))
+    texts = inputs.invoice_texts(spark, str(tmp_path))
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_number") == 1, plan
+    found = {r["k"]: r["text"] for r in texts.collect()}
+    assert "Subtotal: EUR 1.252,50" not in found[7] and "Subtotal: EUR 1,254.00" in found[7]
+    assert "Subtotal: $1.253,00" in found[6] and "Credit note: $5,00" in found[6]
+    got = texts.select("k", tx.money_mentions(F.col("text")).alias("m")).collect()
+    assert {r["k"]: float(r["m"][0]["amount"]) for r in got} == {k: 1247.0 + k for k in range(5, 12)}
