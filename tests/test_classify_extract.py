@@ -1,4 +1,5 @@
 import datetime
+import random
 import re
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import paths, text as tx
 from paperloom.operators import classify as k, extract, layout
 from paperloom.plans import pipeline
+from workload import inputs
 
 
 def col(spark, values, ddl="x STRING"):
@@ -109,6 +111,28 @@ def test_money_terms_and_rates(spark):
     assert [d[0] for d in days] == [730, 60, 30, None]
 
 
+def test_payment_terms_take_numbers_whole(spark):
+    """Long numbers that are no terms cost one look each; the terms found are those of the plain pattern."""
+    assert "++" in tx.DISCOUNT_PATTERN
+    plain = r"\b([0-9]+(?:\.[0-9]+)?) ?%,? ?/?([0-9]+),? [Nn][Ee][Tt] ?([0-9]+)"
+    pieces = ["2", "10", "1.5", "1.", ".", "%", " ", ",", "/", "net", "Net ", "30", "x", "\n", "7%", "% 10 net 30", "1.2.3"]
+    rng = random.Random(24)
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    df = col(spark, texts)
+    found = lambda p: F.array(*[F.regexp_extract("x", p, i) for i in range(4)])
+    both = df.select(found(plain).alias("a"), found(tx.DISCOUNT_PATTERN).alias("b"))
+    assert both.filter("a[0] <> ''").count() > 100 and both.filter("NOT a <=> b").isEmpty()
+
+
+def test_rendered_amounts_are_formatted_numbers(spark):
+    cents = [None, 0, 1, 99, 100, 101, 99_999, 100_000, 100_001, 1_234_567, 99_999_999, 100_000_000, 12_345_678_901, -1, -100_000, -123_456_789]
+    df = spark.createDataFrame([(c,) for c in cents], "c BIGINT")
+    both = df.select(inputs._amount(F.col("c")).alias("a"), F.format_number(inputs._cents(F.col("c")), 2).alias("b"))
+    assert both.filter("NOT a <=> b").isEmpty()
+    made = spark.range(300_000).select((F.col("id") * 349 + 7).alias("c"))
+    assert made.filter(~inputs._amount(F.col("c")).eqNullSafe(F.format_number(inputs._cents(F.col("c")), 2))).isEmpty()
+
+
 def test_codes_and_compliance(spark):
     x = F.col("x")
     df = col(spark, ["E11.9, I10, U07.1 and A1; 99213-25, 123456; gdpr, SOC2, Gdpr"])
