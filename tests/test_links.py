@@ -489,3 +489,39 @@ def test_blocks_of_contracts_are_not_broadcast(spark):
     for df in found.values():
         assert "strategy=merge" in df._jdf.queryExecution().optimizedPlan().toString()
     assert found["limit"].first()["n_invoices"] == 10 and found["contracts"].count() == 10
+
+
+def test_entity_links_of_unique_documents_are_not_made_distinct_in_a_shuffle(spark):
+    """A pair's row is the one of all its common entities; repeated `ord`s still give each pair once."""
+    rng = random.Random(17)
+    names = [f"E{i}" for i in range(9)]
+    rows = [(i, f"d{i}", [rng.choice(names) for _ in range(rng.randint(0, 3))]) for i in range(60)] + [(None, "x", ["E1"])]
+    shape = "ord BIGINT, path STRING, entities ARRAY<STRING>"
+
+    def wanted(docs):
+        got = {}
+        for size in (1, 2, 3):
+            for key in itertools.combinations(sorted(names), size):
+                group = sorted(d for d in docs if d[0] is not None and set(key) <= set(d[2]))
+                for d in group[1:]:
+                    common = sorted(set(group[0][2]) & set(d[2]))
+                    score = len(common) / max(len(group[0][2]), len(d[2]))
+                    got[group[0][1], d[1]] = (round(score, 9), "Common entities: " + ", ".join(common))
+        return got
+
+    def found(docs):
+        out = link.link_entities(spark.createDataFrame(docs, shape))
+        listed = [(r["source"], r["target"], round(r["confidence"], 9), r["evidence"]) for r in out.collect()]
+        assert len({r[:2] for r in listed}) == len(listed)
+        return {r[:2]: r[2:] for r in listed}, out._jdf.queryExecution().optimizedPlan().toString()
+
+    got, plan = found(rows)
+    assert got == wanted(rows) and "Aggregate [source_ord" not in plan
+    got, plan = found(rows + rows[:20])
+    assert got == wanted(rows) and "Aggregate [source_ord" in plan
+    mixed = rows + [(100 + i, f"m{i}", [rng.choice(names) for _ in range(5)]) for i in range(20)]
+    got, plan = found(mixed)
+    assert "Aggregate [source_ord" in plan
+    docs = {d[1]: d[2] for d in mixed}
+    for (a, b), (score, _) in got.items():
+        assert score == round(len(set(docs[a]) & set(docs[b])) / max(len(docs[a]), len(docs[b])), 9) and score > 0.3
