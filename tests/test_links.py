@@ -525,3 +525,18 @@ def test_entity_links_of_unique_documents_are_not_made_distinct_in_a_shuffle(spa
     docs = {d[1]: d[2] for d in mixed}
     for (a, b), (score, _) in got.items():
         assert score == round(len(set(docs[a]) & set(docs[b])) / max(len(docs[a]), len(docs[b])), 9) and score > 0.3
+
+
+def test_consolidated_pairs_aggregate_only_their_list(spark):
+    rows = [
+        ("a", "b", "t2", 0.9, "e1", 2), ("a", "b", "t1", 0.9, "e2", 1), ("a", "b", "t0", 0.95, "e3", 3), ("a", "c", "u", 0.7, "f", 5),
+        (None, "c", "v", 0.7, "g", 1), ("d", "c", "w", None, "h", 2), ("d", "c", "x", 0.8, "i", 1), ("a", "c", "u", 0.7, "f", 5),
+    ]
+    edges = spark.createDataFrame(rows, "source STRING, target STRING, type STRING, confidence DOUBLE, evidence STRING, detector INT")
+    out = link.consolidate(edges)
+    got = {(r["source"], r["target"]): tuple(r)[2:] for r in out.collect()}
+    assert got == {
+        ("a", "b"): ("t0", 0.95, "e2 | e1 | e3", ["t1", "t2", "t0"]), ("a", "c"): ("u", 0.7, "f | f", ["u", "u"]),
+        (None, "c"): ("v", 0.7, "g", None), ("d", "c"): ("w", 0.8, "i | h", ["x", "w"]),
+    }
+    assert "min_by" not in out._jdf.queryExecution().optimizedPlan().toString()
