@@ -265,6 +265,25 @@ def test_references_of_batches_are_those_of_all_documents(spark, tmp_path, seed)
     assert once.isEmpty()
 
 
+def test_waiting_mentions_are_stored_without_a_shuffle_by_mention(spark, tmp_path, monkeypatch):
+    """A document that comes twice in a batch waits as two equal rows, which merge when they are read."""
+    schema = "ord BIGINT, path STRING, text STRING, own_id STRING"
+    plans, add = [], store.RunStore.add
+
+    def seen(self, rows, batch):
+        plans.append((self.path, rows._jdf.queryExecution().optimizedPlan().toString()))
+        add(self, rows, batch)
+
+    monkeypatch.setattr(store.RunStore, "add", seen)
+    base, edges = str(tmp_path / "store"), str(tmp_path / "edges")
+    run = incremental.reference_batches(base, edges)
+    run(spark.createDataFrame([(1, "a", "see AGR-1", None)] * 2, schema), 0)
+    run(spark.createDataFrame([(2, "b", "", "AGR-1")], schema), 1)
+    assert [tuple(r)[:2] for r in incremental.current_references(spark, base, edges).collect()] == [("a", "b")]
+    waiting = [plan for path, plan in plans if path.endswith("/waiting")]
+    assert len(waiting) == 2 and not any("Aggregate" in plan or "Deduplicate" in plan for plan in waiting)
+
+
 def test_temporal_links_of_batches_are_those_of_all_documents(spark, tmp_path):
     random.seed(5)
     day = lambda: datetime.date(2023, 12, 1) + datetime.timedelta(days=random.randint(0, 200))
