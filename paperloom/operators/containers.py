@@ -15,7 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from paperloom.functions.paths import file_name, suffix
 from paperloom.operators.keys import first_per_key, join_skewed, keep_first_ids
-from paperloom.session import cut
+from paperloom.operators.naming import name_key, number_members, ordinal_block, tasks_for
+from paperloom.session import cut, drop_cut
 
 # Container suffixes in matching order, junk names, forbidden characters, depth.
 CONTAINER_EXTENSIONS = {
@@ -85,7 +86,7 @@ def content_hash(content: Column) -> Column:
 RANK_BLOCK = 65_536
 
 
-def _rank_in_name(df: DataFrame, keys: Sequence[str], ord_col: str) -> DataFrame:
+def _rank_in_name(df: DataFrame, keys: Sequence[str], ord_col: str, n_tasks: int) -> DataFrame:
     """0-based rank by `ord_col` among equal keys, without one task sorting a whole key.
 
     Rows are ranked inside blocks of consecutive ordinals and shifted by the counts of earlier blocks;
@@ -96,7 +97,7 @@ def _rank_in_name(df: DataFrame, keys: Sequence[str], ord_col: str) -> DataFrame
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = W.partitionBy(*keys, "_block").orderBy(ord_col)
-    ranked = blocked.withColumn("_inside", F.row_number().over(inside) - 1)
+    ranked = blocked.repartition(n_tasks, *keys, "_block").withColumn("_inside", F.row_number().over(inside) - 1)
     return (
         ranked.join(offsets, [*keys, "_block"])
         .withColumn("_rank", (F.col("_before") + F.col("_inside")).cast("bigint"))
@@ -111,64 +112,33 @@ def unique_names(
     next free name of `a_1.txt`, `a_2.txt`, ... (C7). Adds `unique_name`; `name` stays as it was.
 
     A made name can only meet names of its own family, those that differ in a tail of `_<number>`. In a
-    family of one name, however often, or without repeats, the number is the rank among equal names,
-    and no task sees a whole name. Other families are named one member after another, in a stream of
-    sorted rows; every name remembers the last number it took, so that no number is tried twice.
+    family of one name, however often, or without repeats, the number is the rank among equal names.
+    In other families `number_members` finds the numbers that are left out. No task sees a whole name
+    or family: rows are dealt out by blocks of ordinals.
     """
     stem = F.regexp_replace("_clean", r"(?s)^(.*[^.].*)\.[^.]*$", "$1")
-    family = F.struct(
-        F.regexp_replace("_stem", r"(_[0-9]+)+$", "").alias("stem"), F.substr("_clean", F.length("_stem") + 1).alias("ext")
+    family = F.regexp_replace("_stem", r"(_[0-9]+)+$", "")
+    based = df.withColumn("_clean", clean_name(F.col(name))).withColumn("_stem", stem)
+    based = based.withColumn("_ext", F.substr("_clean", F.length("_stem") + 1))
+    based = based.withColumn("_family", name_key(F.col(parent), family, F.col("_ext")))
+    based = cut(based.withColumn("_dealt", ordinal_block(F.col(ord_col), RANK_BLOCK)))
+    n_tasks = tasks_for(based)
+    per_name = based.groupBy("_family", "_clean").agg(F.count(F.lit(1)).alias("_n"))
+    mixed = per_name.groupBy("_family").agg(
+        ((F.count(F.lit(1)) > 1) & (F.max("_n") > 1)).alias("_mixed"), F.sum("_n").alias("_size")
     )
-    based = df.withColumn("_clean", clean_name(F.col(name))).withColumn("_stem", stem).withColumn("_family", family)
-    per_name = based.groupBy(F.col(parent).alias("_p"), F.col("_family").alias("_f"), "_clean").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    mixed = per_name.groupBy("_p", "_f").agg(
-        ((F.count(F.lit(1)) > 1) & (F.max("_n") > 1)).alias("_mixed")
-    )
-    tagged = based.join(
-        mixed.filter("_mixed"), F.col(parent).eqNullSafe(F.col("_p")) & (F.col("_family") == F.col("_f")), "left"
-    ).drop("_p", "_f")
-    ranked = _rank_in_name(tagged.filter("_mixed IS NULL"), [parent, "_clean"], ord_col)
+    blocks = based.select("_family", "_dealt").distinct().join(mixed.filter("_mixed"), "_family")
+    tagged = based.repartition(n_tasks, "_family", "_dealt").join(blocks, ["_family", "_dealt"], "left")
+    tagged = cut(tagged.withColumn("_mixed", F.coalesce("_mixed", F.lit(False))).drop("_family", "_dealt"), "_mixed")
+    drop_cut(based)
+    ranked = _rank_in_name(tagged.filter("NOT _mixed"), [parent, "_clean"], ord_col, n_tasks)
     numbered = F.when(F.col("_rank") == 0, F.col("_clean")).otherwise(
-        F.concat("_stem", F.lit("_"), F.col("_rank").cast("string"), F.col("_family.ext"))
+        F.concat("_stem", F.lit("_"), F.col("_rank").cast("string"), "_ext")
     )
     simple = ranked.select(*[F.col(c) for c in df.columns], numbered.alias("unique_name"))
 
-    sorted_rows = (
-        tagged.filter("_mixed")
-        .select(*df.columns, "_clean", "_stem", F.to_json("_family").alias("_family"))
-        .repartition(parent, "_family")
-        .sortWithinPartitions(parent, "_family", ord_col)
-    )
-    out = T.StructType([*df.schema.fields, T.StructField("unique_name", T.StringType())])
-    return simple.unionByName(sorted_rows.mapInArrow(_naming(parent, df.columns), out))
-
-
-def _naming(parent: str, columns: Sequence[str]) -> Callable:
-    columns = list(columns)
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        current, taken, last = None, set(), {}
-        for batch in batches:
-            given = [batch.column(batch.schema.names.index(c)).to_pylist() for c in (parent, "_family", "_clean", "_stem")]
-            found = []
-            for owner, family, clean, stem in zip(*given):
-                if (owner, family) != current:
-                    current, taken, last = (owner, family), set(), {}
-                unique, k = clean, last.get(clean, 0)
-                while unique in taken:
-                    k += 1
-                    unique = f"{stem}_{k}{clean[len(stem):]}"
-                last[clean] = k
-                taken.add(unique)
-                found.append(unique)
-            kept = [batch.column(batch.schema.names.index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string())], [*columns, "unique_name"])
-
-    return run
+    members = tagged.filter("_mixed").select(*df.columns, "_clean", "_stem", "_ext", "_size")
+    return simple.unionByName(number_members(members, parent, ord_col).select(*df.columns, "unique_name"))
 
 
 # --- codecs (C2, C3) -----------------------------------------------------------------------------

@@ -222,3 +222,47 @@ def test_many_taken_numbers(spark):
     df = spark.createDataFrame([("p", i, n) for i, n in enumerate(given)], "parent_id STRING, ordinal BIGINT, name STRING")
     got = {r["ordinal"]: r["unique_name"] for r in c.unique_names(df).collect()}
     assert [got[i] for i in range(len(given))] == sequential_names(given)
+
+
+def test_names_of_a_family_are_numbered_across_blocks(spark, monkeypatch):
+    import random
+
+    from paperloom.operators import naming
+
+    monkeypatch.setattr(naming, "BLOCK", 3)
+    monkeypatch.setattr(c, "RANK_BLOCK", 3)
+    rng, given = random.Random(20), {}
+    for p in range(150):
+        stems = ["a"] + [f"a_{i}" for i in range(rng.choice([3, 12]))] + [f"a_{rng.randint(1, 3)}_{i}" for i in range(1, 6)] + ["a_1_1_1", "a_01"]
+        weights = [rng.choice([1, 4, 20])] + [1] * (len(stems) - 1)
+        given[f"p{p}"] = [s + ".txt" for s in rng.choices(stems, weights, k=rng.choice([5, 15, 60]))]
+    given["deep"] = ["a", "a"] + ["a" + "_1" * i for i in range(1, 9)] * 2
+    given["odd"] = [".pdf", "_1.pdf", ".pdf", "_1.pdf", "x_1", "x", "x", "x_1", ".pdf_1", "a_99999999999999999999", "a", "a"]
+    rows = [(p if p != "odd" else None, i if i else None, n) for p, names in given.items() for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "parent_id STRING, ordinal BIGINT, name STRING")
+    got = {(r["parent_id"], r["ordinal"]): r["unique_name"] for r in c.unique_names(df).collect()}
+    for p, names in given.items():
+        for i, want in enumerate(sequential_names(names)):
+            key = (p if p != "odd" else None, i if i else None)
+            if key in got or (p != "odd" and i):
+                assert got[key] == want, (p, i, names)
+    assert sum(p is None for p, _ in got) > 5 and sum(i is None for _, i in got) > 100
+
+
+def test_no_task_names_a_whole_family(spark, monkeypatch):
+    from paperloom.operators import naming
+
+    monkeypatch.setattr(naming, "BLOCK", 64)
+    monkeypatch.setattr(c, "RANK_BLOCK", 64)
+    names = [f"n_{4 * i}.pdf" for i in range(1, 2000)] + ["n.pdf"] * 800
+    df = spark.createDataFrame([("p", i, n) for i, n in enumerate(names)], "parent_id STRING, ordinal BIGINT, name STRING")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = c.unique_names(df).withColumn("_part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [r["unique_name"] for r in sorted(out, key=lambda r: r["ordinal"])] == sequential_names(names)
+    sizes = {}
+    for r in out:
+        sizes[r["_part"]] = sizes.get(r["_part"], 0) + 1
+    assert max(sizes.values()) < len(names) / 2
