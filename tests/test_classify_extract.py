@@ -361,3 +361,17 @@ def test_amounts_agree_with_their_shapes_on_random_texts(spark):
 
     df = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", tx.to_amount(F.col("t")).alias("a"))
     assert [(r["t"], r["a"]) for r in df.collect() if r["a"] != want(r["t"])] == []
+
+
+def test_classification_is_compiled(spark):
+    """The JVM leaves methods above 8,000 bytes uncompiled; a branch for each keyword made one of 14,000."""
+    docs = spark.range(10).select(F.concat(F.lit("in/box_"), F.col("id").cast("string")).alias("path"), F.lit("x").alias("text"))
+    codes = k.classify_and_route(docs)._jdf.queryExecution().debug().codegenToSeq()
+    assert all(codes.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(codes.size()))
+    given = k.Routing().register("memo", keywords=["note", "inv"])
+    rows = [("a/INV-note.pdf",), ("a/invoice.pdf",), ("a/Passport.pdf",), ("a/x.pdf",), (None,)]
+    df = k.classify(spark.createDataFrame(rows, "path STRING"), keywords=given.keywords)
+    got = [(r[0]["type"], r[0]["features"]) for r in df.select("classification").collect()]
+    assert got == [
+        ("memo", ["filename:note"]), ("memo", ["filename:inv"]), ("kyc", ["filename:passport"]), ("document", []), ("document", []),
+    ]
